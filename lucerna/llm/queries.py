@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lucerna.llm import mixing, quality_rules
+from lucerna.llm import mixing, pieces, quality_rules
 from lucerna.llm.common import table
 
 
@@ -18,8 +18,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_signals(table(spark, sf_dir, "documents"))
 
 
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_mixing, op5_quality_rules)}
+    return {f.__name__: f for f in (op4_mixing, op5_quality_rules, op9_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
