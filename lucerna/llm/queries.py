@@ -5,9 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lucerna.llm import mixing, pieces, quality_rules
-from lucerna.llm.common import table
+from lucerna.llm import html_text, language_id, mixing, pieces, quality_rules
+from lucerna.llm.common import fold, table
+
+
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,12 +23,18 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_signals(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.label(docs, language_id.train(language_id.training_rows(docs)))
+    return found.withColumn("held_out", fold(F.col("doc_id"), 3) == 1)
+
+
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_mixing, op5_quality_rules, op9_pieces)}
+    return {f.__name__: f for f in (op1_html_text, op4_mixing, op5_quality_rules, op7_language_id, op9_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
