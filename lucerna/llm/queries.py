@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lucerna.llm import html_text, language_id, mixing, pieces, quality_rules
+from lucerna.llm import html_text, language_id, mixing, pieces, quality_rules, toxicity
 from lucerna.llm.common import fold, table
 
 
@@ -15,6 +15,12 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, model).withColumn("held_out", fold(F.col("doc_id"), 5) == 0)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -34,7 +40,7 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_text, op4_mixing, op5_quality_rules, op7_language_id, op9_pieces)}
+    return {f.__name__: f for f in (op1_html_text, op2_toxicity, op4_mixing, op5_quality_rules, op7_language_id, op9_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
