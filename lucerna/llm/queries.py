@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lucerna.llm import html_text, language_id, mixing, pieces, quality_rules, toxicity
+from lucerna.llm import embedding_dedup, html_text, language_id, mixing, pieces, quality_rules, toxicity
 from lucerna.llm.common import fold, table
 
 
@@ -39,8 +39,12 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"))
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_text, op2_toxicity, op4_mixing, op5_quality_rules, op7_language_id, op9_pieces)}
+    return {f.__name__: f for f in (op1_html_text, op2_toxicity, op4_mixing, op5_quality_rules, op7_language_id, op9_pieces, op10_embedding_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
