@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lucerna.llm import embedding_dedup, html_text, language_id, mixing, pieces, quality_rules, toxicity
+from lucerna.llm import embedding_dedup, html_text, language_id, mixing, pieces, quality_rules, toxicity, warc
 from lucerna.llm.common import fold, table
 
 
@@ -29,6 +29,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_signals(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve(warc.crawl_of(table(spark, sf_dir, "pages")))
+    named = {"etag": "etag", "cache_control": "cache-control", "content_type": "content-type"}
+    return found.select("record_id", "canonical_url", "response_id", "outcome", *[F.element_at("headers", h).alias(c) for c, h in named.items()])
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language_id.label(docs, language_id.train(language_id.training_rows(docs)))
@@ -44,8 +50,8 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_text, op2_toxicity, op4_mixing, op5_quality_rules, op7_language_id, op9_pieces, op10_embedding_dedup)}
+    return {f.__name__: f for f in (op1_html_text, op2_toxicity, op4_mixing, op5_quality_rules, op6_warc, op7_language_id, op9_pieces, op10_embedding_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.MIX_SQL}
+    return {"op4_mixing": mixing.MIX_SQL, "op6_warc": warc.WARC_SQL}
