@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lucerna.llm import embedding_dedup, html_text, language_id, mixing, pieces, quality_rules, toxicity, warc
+from lucerna.llm import embedding_dedup, html_text, language_id, minhash_dedup, mixing, pieces, quality_rules, toxicity, warc
 from lucerna.llm.common import fold, table
 
 
@@ -41,6 +41,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", fold(F.col("doc_id"), 3) == 1)
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.groups(table(spark, sf_dir, "documents"))
+
+
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_text, op2_toxicity, op4_mixing, op5_quality_rules, op6_warc, op7_language_id, op9_pieces, op10_embedding_dedup)}
+    return {f.__name__: f for f in (op1_html_text, op2_toxicity, op4_mixing, op5_quality_rules, op6_warc, op7_language_id, op8_minhash_dedup, op9_pieces, op10_embedding_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
