@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lucerna.llm import embedding_dedup, html_text, language_id, minhash_dedup, mixing, pieces, quality_rules, toxicity, warc
+from lucerna.llm import embedding_dedup, html_text, language_id, minhash_dedup, mixing, ngram_lm, pieces, quality_rules, toxicity, warc
 from lucerna.llm.common import fold, table
 
 
@@ -21,6 +21,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).withColumn("held_out", fold(F.col("doc_id"), 5) == 0)
 
 
+def op3_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_text, op2_toxicity, op4_mixing, op5_quality_rules, op6_warc, op7_language_id, op8_minhash_dedup, op9_pieces, op10_embedding_dedup)}
+    return {f.__name__: f for f in (op1_html_text, op2_toxicity, op3_ngram_lm, op4_mixing, op5_quality_rules, op6_warc, op7_language_id, op8_minhash_dedup, op9_pieces, op10_embedding_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
