@@ -226,3 +226,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
         .select(F.col("doc_id").alias(id_col), F.coalesce("class_id", "doc_id").alias("class_id"))
         .withColumn("kept", F.coalesce(F.col(id_col) == F.col("class_id"), F.lit(True)))
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, that groups() keeps; rows with a null id stay."""
+    gone = groups(docs, id_col, text_col, threshold).where("not kept").select(F.col(id_col).alias("_gone")).distinct()
+    return docs.join(cut(gone), docs[id_col].cast("long") == F.col("_gone"), "left_anti")

@@ -58,7 +58,10 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_text, op2_toxicity, op3_ngram_lm, op4_mixing, op5_quality_rules, op6_warc, op7_language_id, op8_minhash_dedup, op9_pieces, op10_embedding_dedup)}
+    import corpus_pipeline
+
+    found = {f.__name__: f for f in (op1_html_text, op2_toxicity, op3_ngram_lm, op4_mixing, op5_quality_rules, op6_warc, op7_language_id, op8_minhash_dedup, op9_pieces, op10_embedding_dedup)}
+    return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
