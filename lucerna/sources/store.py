@@ -1,0 +1,69 @@
+"""Tables as Parquet under a root, published together by a manifest.
+
+A write puts new folders beside the old ones and then replaces the manifest, one small file, through Hadoop's file
+system: readers see all tables of a write or none, on any store that Spark reads.
+"""
+
+from __future__ import annotations
+
+import json
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+VERSION = 3
+
+
+class Store:
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        self._path = hadoop.Path
+        self._fs = hadoop.Path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._overwrite = spark.sparkContext._jvm.org.apache.hadoop.fs.Options
+
+    def manifest(self) -> dict:
+        """Schema version and the folder of each table."""
+        found = sorted(s.getPath().getName() for s in self._fs.globStatus(self._path(f"{self.root}/manifest-*.json")) or [])
+        if not found:
+            return {"version": VERSION, "tables": {}, "n": 0}
+        text = self.spark.read.text(f"{self.root}/{found[-1]}", wholetext=True).first()[0]
+        return json.loads(text)
+
+    def read(self, table: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{self.manifest()['tables'][table]}")
+
+    def write(self, tables: dict[str, DataFrame]) -> None:
+        """K2, K3: these tables anew, all at once; no tables, no write. A failure leaves what was there."""
+        if not tables:
+            return
+        now = self.manifest()
+        folders = dict(now["tables"])
+        for name, df in tables.items():
+            folders[name] = f"{name}/{uuid.uuid4().hex}"
+            df.write.parquet(f"{self.root}/{folders[name]}")
+        self._publish({"version": VERSION, "tables": folders, "n": now["n"] + 1})
+
+    def append(self, table: str, rows: DataFrame) -> None:
+        """K1."""
+        old = [self.read(table)] if table in self.manifest()["tables"] else []
+        self.write({table: old[0].unionByName(rows) if old else rows})
+
+    def migrate(self, steps: dict[int, object]) -> None:
+        """K4: runs the steps above the manifest's version in order; each takes and returns the tables."""
+        now = self.manifest()
+        due = [v for v in sorted(steps) if v > now["version"]]
+        tables = {t: self.read(t) for t in now["tables"]}
+        for v in due:
+            tables = steps[v](tables)
+        if due:
+            self.write(tables)
+
+    def _publish(self, manifest: dict) -> None:
+        """The manifest's number is part of its name; a rename puts it there whole, or fails if another write was first."""
+        draft, final = self._path(f"{self.root}/.draft-{uuid.uuid4().hex}"), self._path(f"{self.root}/manifest-{manifest['n']:09d}.json")
+        out = self._fs.create(draft)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        if self._fs.exists(final) or not self._fs.rename(draft, final):
+            raise RuntimeError("another write was first")
