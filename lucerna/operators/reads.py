@@ -199,7 +199,8 @@ def materials_snapshot(materials: DataFrame, chunks: DataFrame, terms: DataFrame
     lists = [(materials, "lecture_materials", "title"), (chunks, "material_chunks", "heading"), (terms, "glossary_terms", "term"), (bookmarks, "bookmarks", "label")]
     out = None
     for df, table, column in lists:
-        part = ordered(df, table, "session_id").groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", column))), lambda r, c=column: r[c]).alias(table))
+        rows = F.array_sort(F.collect_list(F.struct("rank", F.col(column).alias("value"))))
+        part = ordered(df, table, "session_id").groupBy("session_id").agg(F.transform(rows, lambda r: r["value"]).alias(table))
         out = part if out is None else out.join(part, "session_id", "full_outer")
     return out
 
