@@ -59,6 +59,42 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
             yield batch.slice(int(a), int(b - a))
 
 
+def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The groups of rows sorted by integer keys, each as one table; holds one group and one batch at a time."""
+    held: list[pa.Table] = []
+    last = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        if not len(t):
+            continue
+        values = np.stack([t[k].to_numpy() for k in keys], 1)
+        edges = np.flatnonzero(np.concatenate([[True], (values[1:] != values[:-1]).any(1)]))
+        for a, b in zip(edges, [*edges[1:], len(values)]):
+            key = tuple(values[a].tolist())
+            if key != last and held:
+                yield pa.concat_tables(held).combine_chunks()
+                held = []
+            last = key
+            held.append(t.slice(int(a), int(b - a)))
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
+
+
+def dealt(members: DataFrame, bucket: list[str], name: str, block: int) -> DataFrame:
+    """members with low, high and side, so that any two members of a bucket meet in one group (bucket, low, high).
+
+    A bucket of up to `block` members is one group. A larger one is cut into parts by the hash of `name`; a group then
+    holds one part, or two of them, told apart by side (0 and 1; only rows of different sides are to be compared).
+    Buckets of a single member are left out.
+    """
+    sizes = members.groupBy(*bucket).agg(F.count("*").alias("_n")).where("_n > 1")
+    parts = F.ceil(F.col("_n") / block).cast("int")
+    with_part = members.join(sizes, bucket).withColumn("_parts", parts).withColumn("_part", F.pmod(F.xxhash64(name), F.col("_parts")).cast("int"))
+    both = with_part.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    placed = both.withColumn("low", F.least("_part", "_other")).withColumn("high", F.greatest("_part", "_other"))
+    return placed.withColumn("side", F.when(F.col("_part") > F.col("low"), 1).otherwise(0)).drop("_n", "_parts", "_part", "_other")
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text, null as empty."""
     return [b or b"" for b in column.cast(pa.binary()).to_pylist()]

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lucerna.llm.common import cut
+from lucerna.llm.common import cut, dealt, groups_of
 from lucerna.llm.components import components
 
 THRESHOLD, TABLES, PROBES, BLOCK, SEED = 0.95, 6, 4, 1024, 10
@@ -84,11 +84,11 @@ def buckets(unit: np.ndarray, functions: int, tables: int = TABLES, probes: int
         key = np.full(n, t, np.int64)
         for c in corner:
             key = key * base + c
-        out[:, t * probes] = key
         losses = np.concatenate(loss, axis=1)
         ranked = np.argsort(losses, axis=1, kind="stable")[:, : probes - 1]
         width = losses.shape[1] // functions
-        for p in range(probes - 1):
+        out[:, t * probes : (t + 1) * probes] = key[:, None]  # vectors of few dimensions have fewer other corners
+        for p in range(ranked.shape[1]):
             which, choice = ranked[:, p] // width, ranked[:, p] % width
             key = np.full(n, t, np.int64)
             for f, c in enumerate(corner):
@@ -164,51 +164,29 @@ def links(reps: DataFrame, functions: int, threshold: float = THRESHOLD) -> Data
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], ["rep", "codes"])
 
     coded = cut(reps.select("rep", "vector").mapInArrow(hashed, "rep long, codes array<bigint>"))
-    entries = coded.select("rep", F.explode("codes").alias("code"))
-    shared = entries.groupBy("code").agg(F.count("*").alias("members")).where("members > 1")
-    parts = F.ceil(F.col("members") / BLOCK).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = (
-        entries.join(shared, "code")
-        .withColumn("parts", parts)
-        .withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-        .select("rep", "code", "part", other.alias("other"))
-        .withColumn("low", F.least("part", "other"))
-        .withColumn("high", F.greatest("part", "other"))
-        .withColumn("side", F.when(F.col("part") > F.col("low"), 1).otherwise(0))
-    )
-    full = dealt.join(reps.select("rep", "size", "vector").join(coded, "rep"), "rep").select("code", "low", "high", "side", "rep", "size", "vector", "codes")
-    grouped = full.repartition("code", "low", "high").sortWithinPartitions("code", "low", "high")
+    entries = coded.select("rep", F.explode(F.array_distinct("codes")).alias("code"))
+    spread = dealt(entries, ["code"], "rep", BLOCK)
+    full = spread.join(reps.select("rep", "size", "vector").join(coded, "rep"), "rep").select("code", "low", "high", "side", "rep", "size", "vector", "codes")
+    keys = ["code", "low", "high"]
+    grouped = full.repartition(*keys).sortWithinPartitions(*keys)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        last = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            keys = np.stack([t[c].to_numpy() for c in ("code", "low", "high")], 1)
-            edges = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)])) if len(keys) else []
-            found = []
-            for a, b in zip(edges, [*edges[1:], len(keys)]):
-                key = tuple(keys[a].tolist())
-                if key != last and held:
-                    found.append(group(pa.concat_tables(held)))
-                    held = []
-                last = key
-                held.append(t.slice(a, b - a))
-            yield from told(found)
+        held: list[dict[str, np.ndarray]] = []
+        size = 0
+        for t in groups_of(batches, keys):
+            vectors, codes = (t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1) for c in ("vector", "codes"))
+            held.append(_compare(t["rep"].to_numpy(), t["size"].to_numpy(), vectors, codes, t["side"].to_numpy(), t["code"][0].as_py(), threshold))
+            size += len(t)
+            if size > 50_000:
+                yield told(held)
+                held, size = [], 0
         if held:
-            yield from told([group(pa.concat_tables(held))])
-
-    def group(t: pa.Table) -> dict[str, np.ndarray]:
-        t = t.combine_chunks()
-        vectors, codes = (np.array(t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(len(t), -1) for c in ("vector", "codes"))
-        return _compare(t["rep"].to_numpy(), t["size"].to_numpy(), vectors, codes, t["side"].to_numpy(), t["code"][0].as_py(), threshold)
-
-    def told(found: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        if found:
-            cols = {k: np.concatenate([f[k] for f in found]) for k in ("rep", "n", "root")}
-            linked = (cols["n"] > 0) | (cols["root"] != cols["rep"])
-            yield pa.RecordBatch.from_arrays([pa.array(v[linked]) for v in cols.values()], list(cols))
+            yield told(held)
+
+    def told(found: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
+        cols = {k: np.concatenate([f[k] for f in found]) for k in ("rep", "n", "root")}
+        linked = (cols["n"] > 0) | (cols["root"] != cols["rep"])
+        return pa.RecordBatch.from_arrays([pa.array(v[linked]) for v in cols.values()], list(cols))
 
     return grouped.mapInArrow(compare, "rep long, n long, root long")
 
