@@ -144,7 +144,7 @@ def _first_shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def keyed(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, vector, key) for each row; equal vectors share a key, one that can't link has no vector and a key of its own."""
-    v = vectors.select(vectors[id_col].alias("id"), vectors[vector_col].cast("array<double>").alias("vector"))
+    v = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].cast("array<double>").alias("vector"))
     fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     v = v.withColumn("vector", F.when(F.col("id").isNotNull() & F.coalesce(fine, F.lit(False)), F.transform("vector", lambda x: F.when(x == 0, 0.0).otherwise(x))))
     text = F.array_join(F.transform("vector", lambda x: x.cast("string")), ",")
@@ -208,6 +208,6 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     return (
         rows.select("id", "key")
         .join(label, "key", "left")
-        .select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", F.col("id").cast("long")).alias("component_id"))
+        .select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
     )

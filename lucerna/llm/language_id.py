@@ -14,7 +14,6 @@ rows are labelled each on its own; an empty table gives an empty result; other c
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -47,7 +46,6 @@ _STARTS = np.array([a for a, _, _ in SCRIPTS])
 _ENDS = np.array([b for _, b, _ in SCRIPTS])
 _SCRIPT_OF = np.array([SCRIPT_NAMES.index(s) for _, _, s in SCRIPTS])
 _LATIN = SCRIPT_NAMES.index("latin")
-_LETTER = re.compile(r"[^\W\d_]")
 _BLANKS = bytes.maketrans(b"\t\n\r\x0b\x0c", b"     ")
 
 
@@ -175,7 +173,7 @@ def _label(model: Model, column: pa.Array, penalty: float) -> list[pa.Array]:
     texts = lower(column)
     w = words_of(texts)
     n, langs = len(texts), len(model.langs)
-    readable = np.array([bool(_LETTER.search(x)) if x else False for x in column.to_pylist()], bool) & bool(langs)
+    readable = np.array([any(map(str.isalpha, x)) if x else False for x in column.to_pylist()], bool) & bool(langs)
     if not langs:
         return _columns(["und"] * n, np.zeros(n), [[] for _ in range(n)])
     scores = np.empty((len(w.starts), langs), np.float32)
