@@ -17,7 +17,7 @@ def upsert(current: DataFrame, incoming: DataFrame, key: list[str], order: str |
     if order:
         w = Window.partitionBy(*key).orderBy(F.desc(order))
         incoming = incoming.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-    return current.join(incoming.select(*key).distinct(), key, "left_anti").unionByName(incoming)
+    return current.join(incoming.select(*key).distinct(), key, "left_anti").select(*current.columns).unionByName(incoming)
 
 
 def upsert_digest(current: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -144,7 +144,7 @@ def consolidate(tables: dict[str, DataFrame], preferred: str) -> dict[str, DataF
 
 def replace_session(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """A pack's rows take the place of all rows of their sessions."""
-    return current.join(incoming.select("session_id").distinct(), "session_id", "left_anti").unionByName(incoming)
+    return current.join(incoming.select("session_id").distinct(), "session_id", "left_anti").select(*current.columns).unionByName(incoming)
 
 
 def cleared(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
