@@ -189,3 +189,42 @@ ORACLES["Q10_C5_C6_ask"] = sql(
       FROM supported s LEFT JOIN said g ON g.question_id = s.question_id LEFT JOIN (SELECT question_id, avg(score) AS average, count(*) AS n FROM merged WHERE rank <= 6 GROUP BY question_id) t ON t.question_id = s.question_id)""",
     "supported", "said", "merged",
 )
+
+FIVE = r"len(list_filter(string_split(regexp_replace({0}, '\s+', ' ', 'g'), ' '), lambda w: w <> ''))"
+T40 = "substr(text, 1, 40)"
+KEEPS = r"(len(string_split(regexp_replace({0}, '\s+', ' ', 'g'), ' ')) <= 7 AND length({0}) > 1 AND NOT regexp_matches({0}, '[.!?]') AND NOT contains({0}, 'glossary'))"
+LONG_WORDS = r"list_distinct(list_filter(string_split(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) > 2))"
+ORACLES |= {
+    "F23_F25_F26_F27_numbers": "SELECT l_orderkey, least(greatest(round(q / 40, 3), 0.0), 1.0) AS clamped, least(0.98, round(round(q / 10, 1) / 2.5, 2)) AS confidence, CASE WHEN floor(p) * 100000 > 0 THEN printf('%.2f GB', floor(p) * 100000 / 1073741824.0) END AS gigabytes FROM (SELECT l_orderkey, avg(CAST(l_quantity AS DOUBLE)) AS q, sum(CAST(l_extendedprice AS DOUBLE)) AS p FROM lineitem GROUP BY l_orderkey)",
+    "F28_F29_F34_sentences": f"SELECT item_id, CASE item_id % 4 WHEN 0 THEN '' WHEN 1 THEN w[1] WHEN 2 THEN w[1] || ' and ' || w[2] ELSE w[1] || ', ' || w[2] || ', and ' || w[3] END AS spoken, CASE WHEN t = '' OR regexp_matches(t, '[.!?]$') THEN t ELSE t || '.' END AS sentence, {strip('''regexp_replace(t, '[.!?]+$', '')''')} AS bare, lower(substr(text, 1, 1)) || substr(text, 2) AS lowered, string_split(regexp_replace(t, '([.!?])" + r"\s+', '\1' || chr(1), 'g'), chr(1))[1] AS first FROM (SELECT item_id, text, " + f"{strip('text')} AS t, string_split(text, ' ') AS w FROM benchmark)",
+    "F31_F33_F35_markup": r"""SELECT page_id, '{"id": ' || CAST(page_id AS VARCHAR) || '}' AS json, page_id % 2 = 0 AS refusal, CAST(len(regexp_extract_all(html, '(?s)<p(?:\s[^>]*)?>(.*?)</p>')) AS BIGINT) AS runs, md5(replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<h1(?:\s[^>]*)?>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', chr(39)), '&amp;', '&')) AS heading FROM pages""",
+    "G1_G5_glossary_rules": sql(
+        rf"SELECT id, length({T40}) <= 96 AND {FIVE.format(T40)} <= 10 AND regexp_matches({T40}, '[A-Za-z]') AND NOT regexp_matches(lower({T40}), '^(a|an|the)\s') AND NOT regexp_matches({T40}, '[.!?]$') AND NOT regexp_matches({T40}, '[.!?]\s+\S') AS is_term, length(text) >= 24 OR {FIVE.format('text')} >= 4 AS is_definition, "
+        rf"{norm(T40)} = '' OR {strip('text')} = '' OR {norm(T40)} IN ('source', 'title', 'author', 'date', 'version', 'course', 'lecture', 'lecturer', 'session', 'page', 'chapter', 'section', 'contents') OR contains({norm(T40)}, 'glossary') OR starts_with({norm(T40)}, 'included ') OR regexp_matches({strip('text')}, '^[0-9.,\s]+$') AS ignored, {KEEPS.format(norm(T40))} AS keeps FROM chunks",
+        "chunks",
+    ),
+    "A9_A11_arg_max": sql(
+        f"SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY first, norm) - 1 AS order_index, md5(definition) AS definition FROM (SELECT session_id, norm, min(n) OVER (PARTITION BY session_id, norm) AS first, definition, row_number() OVER (PARTITION BY session_id, norm ORDER BY length(definition) DESC, n) AS k FROM (SELECT session_id, order_index AS n, {norm('substr(text, 1, 6)')} AS norm, text AS definition FROM chunks WHERE {KEEPS.format(norm('substr(text, 1, 6)'))})) WHERE k = 1",
+        "chunks",
+    ),
+    "R14_O18_lexical": sql(
+        f"""SELECT question_id, id, label, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY priority DESC, score DESC, order_index, lower(label), id) AS rank FROM (
+          SELECT question_id, id, label, priority, order_index, round(plain + 0.25 * priority, 4) AS score FROM (
+            SELECT *, round(0.7 * shared / len(q) + 0.3 * shared / len(c), 4) AS plain FROM (
+              SELECT a.question_id, t.id, t.speaker_label AS label, t.order_index, CASE WHEN t.speaker_label = 'system' THEN 1.0 ELSE 0.0 END AS priority, a.q, t.c, len(list_filter(a.q, lambda w: list_contains(t.c, w))) AS shared
+              FROM (SELECT question_id, session_id, {LONG_WORDS.format('question')} AS q FROM asked) a JOIN (SELECT *, {LONG_WORDS.format('text')} AS c FROM transcript) t ON a.session_id = t.session_id) WHERE len(q) > 0 AND len(c) > 0) WHERE plain > 0) WHERE score >= 0.08) WHERE rank <= 3""",
+        "asked", "transcript",
+    ),
+    "Q4_Q12_J19_workspaces": sql(
+        """SELECT s.id AS session_id, f.n AS n_files, m.n AS n_materials, a.ready, a.processing, a.failed, a.in_flight, CAST(m.n AS VARCHAR) || ' materials' AS subtitle,
+          CASE WHEN a.assets = 0 THEN 'No uploads yet' WHEN a.ready = a.assets THEN CAST(a.assets AS VARCHAR) || ' sources indexed' ELSE CAST(a.ready AS VARCHAR) || ' of ' || CAST(a.assets AS VARCHAR) || ' sources indexed' END AS indexed_text
+        FROM sessions s JOIN (SELECT session_id, count(*) AS n FROM materials GROUP BY session_id) m ON m.session_id = s.id
+        JOIN (SELECT session_id, count(*) AS assets, count(*) FILTER (WHERE status = 'ready') AS ready, count(*) FILTER (WHERE status IN ('pending', 'processing')) AS processing, count(*) FILTER (WHERE status = 'failed') AS failed, bool_or(status IN ('pending', 'processing')) AS in_flight FROM assets GROUP BY session_id) a ON a.session_id = s.id
+        JOIN (SELECT session_id, count(DISTINCT name) AS n FROM (SELECT session_id, name FROM assets UNION ALL SELECT session_id, source_label FROM materials) GROUP BY session_id) f ON f.session_id = s.id""",
+        "sessions", "materials", "assets",
+    ),
+    "B6_B11_A15_W6_digests": sql(
+        f"SELECT session_id, asset_id, md5(string_agg(x, ' ' ORDER BY k)) AS text FROM (SELECT session_id, material_id AS asset_id, {collapse(excerpt('text', 240)).replace(excerpt('text', 240), '(' + excerpt('text', 240) + ')')} AS x, row_number() OVER (PARTITION BY material_id ORDER BY order_index, id) AS k FROM chunks) WHERE k <= 4 GROUP BY session_id, asset_id",
+        "chunks",
+    ),
+}
