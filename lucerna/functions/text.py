@@ -92,13 +92,13 @@ def clock_seconds(x: Text) -> Column:
 
 def transcript_line(x: Text, position: Column) -> Column:
     """struct speaker, text, started_at of a paragraph '[mm:ss] Name: words', each part but the words optional."""
-    stamp = r"^\[?((?:[0-9]{1,2}:)?[0-9]{1,2}:[0-9]{2})\]?\s*(.*)$"
+    stamp = r"^\[?((?:[0-9]{1,2}:)?[0-9]{1,2}:[0-9]{2})\]?\s*(.*)\z"
     timed = _c(x).rlike(stamp)
     rest = F.when(timed, strip(F.regexp_extract(_c(x), stamp, 2))).otherwise(_c(x))
-    named = rest.rlike(r"^([^:]{2,40}):\s+(.*)$")
+    named = rest.rlike(r"^([^:]{2,40}):\s+(.*)\z")
     return F.struct(
-        F.when(named, strip(F.regexp_extract(rest, r"^([^:]{2,40}):\s+(.*)$", 1))).otherwise("Lecture").alias("speaker"),
-        F.when(named, strip(F.regexp_extract(rest, r"^([^:]{2,40}):\s+(.*)$", 2))).otherwise(rest).alias("text"),
+        F.when(named, strip(F.regexp_extract(rest, r"^([^:]{2,40}):\s+(.*)\z", 1))).otherwise("Lecture").alias("speaker"),
+        F.when(named, strip(F.regexp_extract(rest, r"^([^:]{2,40}):\s+(.*)\z", 2))).otherwise(rest).alias("text"),
         F.coalesce(F.when(timed, clock_seconds(F.regexp_extract(_c(x), stamp, 1))), position * 30).cast("long").alias("started_at"),
     )
 
