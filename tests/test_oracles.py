@@ -3,6 +3,7 @@
 from collections import Counter
 
 import duckdb
+import pandas as pd
 import pytest
 from lucerna.plans.oracles import ORACLES
 from lucerna.plans.queries import QUERIES
@@ -20,7 +21,7 @@ def duck():
 
 
 def plain(v):
-    if v is None or v != v:
+    if pd.isna(v):
         return None
     if hasattr(v, "item"):
         v = v.item()
