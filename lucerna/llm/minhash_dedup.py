@@ -7,9 +7,12 @@
 2. Texts with equal words are one class; what follows works on a representative.
 3. BANDS x ROWS samples, such that two texts share a sample with the probability of their weighted Jaccard
    similarity; ROWS samples make a band, texts that share a band are candidates.
-4. In each band bucket every text is compared with the bucket's first one (a star, not all pairs). Texts of one
-   bucket that are still in different components are then compared with each other, so no link that would join
-   components is lost. A link needs a weighted Jaccard similarity, or the plain one of the shingle sets, of THRESHOLD.
+4. In each band bucket every text is compared with one of them (a star, not all pairs), the centre changing over
+   STARS rounds; a bucket whose texts are all in one component is done with. Of the texts still apart, all pairs of a
+   bucket whose samples agree by AGREE or more are compared too, so that no link that would join components is lost.
+   This is done in blocks: first the samples alone tell which texts have such a partner, then the blocks of these texts
+   compare them; a pair belongs to its first shared band, and no pair is listed but one link for two components.
+   A link needs a weighted Jaccard similarity, or the plain one of the shingle sets, of THRESHOLD.
 5. Connected components of the links are the groups.
 
 Defined results: a text without words is a group of its own; rows that repeat a doc_id are the same document; a row
@@ -28,10 +31,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lucerna.llm.common import as_bytes, cut, scramble, slices, word_hashes
+from lucerna.llm.common import as_bytes, cut, dealt, groups_of, scramble, slices, word_hashes
 from lucerna.llm.components import components
 
 SHINGLE, THRESHOLD, BANDS, ROWS, SEED = 5, 0.8, 16, 3, 8
+#: Rounds of stars with other centres; texts still apart are compared by their samples, of which this share must agree.
+STARS, AGREE, BLOCK = 2, 0.56, 2048
 FREQUENT, LEAST_FREQUENT, FLOOR = 5e-4, 10, 0.5
 #: Keys that a task counts at a time, and that a counting group holds on average.
 COUNTED, GROUP = 1_000_000, 400_000
@@ -108,12 +113,13 @@ def idf(known: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
     return np.where(known[0][at] == keys, known[1][at], 1.0)
 
 
-def bands(keys: np.ndarray, weights: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """(texts, BANDS) bucket keys by consistent weighted sampling; texts without shingles get zeros."""
+def bands(keys: np.ndarray, weights: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(texts, BANDS) bucket keys by consistent weighted sampling, and 16 bits of each sample; zeros without shingles."""
     out = np.zeros((len(sizes), BANDS), np.uint64)
+    sketch = np.zeros((len(sizes), BANDS * ROWS), np.uint16)
     full = np.flatnonzero(sizes)
     if not len(full):
-        return out
+        return out, sketch
     starts = (np.cumsum(sizes) - sizes)[full]
     lengths = sizes[full]
     log_weight = np.log(weights)
@@ -127,25 +133,94 @@ def bands(keys: np.ndarray, weights: np.ndarray, sizes: np.ndarray) -> np.ndarra
             a = _LOG_GAMMA[(u >> np.uint64(16)) & np.uint64(_TABLE - 1)] - r * (t - beta + 1.0)
             least = np.flatnonzero(a == np.repeat(np.minimum.reduceat(a, starts), lengths))
             chosen = least[np.searchsorted(least, starts)]
-            key = scramble(key * np.uint64(0x9E3779B97F4A7C15) + scramble(keys[chosen] + t[chosen].astype(np.int64).view(np.uint64)))
+            sample = scramble(keys[chosen] + t[chosen].astype(np.int64).view(np.uint64))
+            sketch[full, band * ROWS + row] = (sample & np.uint64(0xFFFF)).astype(np.uint16)
+            key = scramble(key * np.uint64(0x9E3779B97F4A7C15) + sample)
         out[full, band] = key
-    return out
+    return out, sketch
 
 
 def signatures(docs: DataFrame, known: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """docs (doc_id, text): doc_id, same (a digest of its words; null without words) and its bands. No shuffle."""
+    """docs (doc_id, text): doc_id, same (a digest of its words; null without words), bands and sketch. No shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = as_bytes(batch.column(1))
             keys, n, sizes = shingles(texts)
-            found = bands(keys, n * idf(shared.value, keys), sizes).view(np.int64)
+            found, sketch = bands(keys, n * idf(shared.value, keys), sizes)
+            found = found.view(np.int64)
             same = [hashlib.md5(b" ".join(w)).digest() if (w := t.lower().split()) else None for t in texts]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, BANDS, dtype=np.int32)), pa.array(found.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), lists], ["doc_id", "same", "bands"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, same binary, bands array<bigint>")
+            samples = pa.array([x.tobytes() for x in sketch], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), lists, samples], ["doc_id", "same", "bands", "sketch"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, same binary, bands array<bigint>, sketch binary")
+
+
+def _candidates(t: pa.Table, least: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row its partners: in another component, samples that agree, this band the first they share."""
+    reps, part, side = (t[c].to_numpy() for c in ("rep", "component", "side"))
+    sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint16).reshape(len(t), -1)
+    band = t["band"][0].as_py()
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1) if (side == 1).any() else np.flatnonzero(side == 0)
+    for i in left:
+        near = right[(part[right] != part[i]) & ((side[right] == 1) | (reps[right] > reps[i]))]
+        if len(near):
+            same = sketch[near] == sketch[i]
+            close = same.sum(1) >= least
+            near = near[close][same[close].reshape(-1, BANDS, ROWS).all(2).argmax(1) == band]
+            if len(near):
+                yield int(i), near
+
+
+def residual(members: DataFrame, texts: DataFrame, known: tuple[np.ndarray, np.ndarray], threshold: float) -> DataFrame:
+    """members (band, bucket, rep, component, sketch): links (a, b) that join components within a bucket."""
+    least = round(AGREE * BANDS * ROWS)
+    keys = ["band", "bucket", "low", "high"]
+    shared = members.sparkSession.sparkContext.broadcast(known)
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        return dealt(rows, ["band", "bucket"], "rep", BLOCK).repartition(*keys).sortWithinPartitions(*keys)
+
+    def partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups_of(batches, keys):
+            with_partner = np.zeros(len(t), bool)
+            for i, near in _candidates(t, least):
+                with_partner[i] = True
+                with_partner[near] = True
+            yield from t.select(["band", "bucket", "rep"]).filter(pa.array(with_partner)).to_batches()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for t in groups_of(batches, keys):
+            reps, part = t["rep"].to_numpy(), t["component"].to_numpy()
+            hashes, n, sizes = shingles([unpack.decompress(p) for p in t["packed"].to_pylist()])
+            weights = n * idf(shared.value, hashes)
+            ends = np.cumsum(sizes)
+            spans = [slice(int(e - s), int(e)) for e, s in zip(ends, sizes)]
+            joined: dict[int, int] = {}
+
+            def root(x: int, joined: dict[int, int] = joined) -> int:
+                while x in joined:
+                    x = joined[x]
+                return x
+
+            found = []
+            for i, near in _candidates(t, least):
+                for j in near.tolist():
+                    x, y = root(int(part[i])), root(int(part[j]))
+                    if x != y and _similar(hashes[spans[i]], weights[spans[i]], hashes[spans[j]], weights[spans[j]], threshold):
+                        joined[max(x, y)] = min(x, y)
+                        found.append((int(reps[i]), int(reps[j])))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found]), pa.array([f[1] for f in found])], ["a", "b"])
+
+    kind = members.schema["band"].dataType.simpleString()
+    chosen = grouped(members).mapInArrow(partnered, f"band {kind}, bucket long, rep long").distinct()
+    full = cut(members.join(chosen, ["band", "bucket", "rep"]))
+    with_text = full.join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    return grouped(with_text).mapInArrow(compare, "a long, b long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, known: tuple[np.ndarray, np.ndarray], threshold: float = THRESHOLD) -> DataFrame:
@@ -194,6 +269,13 @@ def pack(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, packed binary")
 
 
+def _apart(shared: DataFrame, parts: DataFrame) -> DataFrame:
+    """shared (rep, band, bucket) with components, where a bucket's texts aren't all in one."""
+    placed = shared.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    split = placed.groupBy("band", "bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    return placed.join(split.select("band", "bucket"), ["band", "bucket"])
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs: its id, class_id (the least id of its group) and kept (it has that id)."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
@@ -201,22 +283,24 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     n_docs, n_bytes = named.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     known = frequent(named.select("text"), n_docs, n_bytes)
     signed = cut(signatures(named, known))
-    reps = signed.where("same is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"))
+    reps = signed.where("same is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
     entries = reps.select("rep", F.posexplode("bands").alias("band", "bucket"))
-    stars = entries.groupBy("band", "bucket").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1")
-    shared = cut(entries.join(stars, ["band", "bucket"]).select("rep", "band", "bucket", "a"))
-    first = cut(shared.where("rep <> a").select("a", F.col("rep").alias("b")).distinct())
+    full = entries.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = cut(entries.join(full, ["band", "bucket"]))
     wanted = shared.select(F.col("rep").alias("doc_id")).distinct()
     texts = cut(pack(named).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    links = cut(verified(first, texts, known, threshold))
-    part = cut(components(links))
-    placed = shared.join(part.withColumnRenamed("node", "rep"), "rep", "left").select("band", "bucket", "rep", F.coalesce("component", "rep").alias("component"))
-    split = placed.groupBy("band", "bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    open_ = placed.join(split.select("band", "bucket"), ["band", "bucket"])
-    left = open_.select("band", "bucket", F.col("rep").alias("a"), F.col("component").alias("ca"))
-    right = open_.select("band", "bucket", F.col("rep").alias("b"), F.col("component").alias("cb"))
-    second = left.join(right, ["band", "bucket"]).where("a < b and ca <> cb").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    links = links.union(verified(second, texts, known, threshold))
+    open_ = shared.withColumn("component", F.col("rep"))
+    checked = links = None
+    for star in range(STARS):
+        centres = open_.groupBy("band", "bucket").agg(F.min_by(F.struct("rep", "component"), F.xxhash64("rep", F.lit(star))).alias("c"))
+        rays = open_.join(centres, ["band", "bucket"]).where("component <> c.component")
+        pairs = rays.select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct()
+        pairs = cut(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"))
+        new = cut(verified(pairs, texts, known, threshold))
+        checked, links = (pairs, new) if checked is None else (checked.union(pairs), links.union(new))
+        open_ = cut(_apart(shared, components(links)))
+    sketches = reps.select("rep", "sketch").join(open_.select("rep").distinct(), "rep", "left_semi")
+    links = links.union(residual(open_.join(sketches, "rep"), texts, known, threshold))
     final = cut(components(links).withColumnRenamed("node", "rep"))
     label = reps.join(final, "rep", "left").select("same", F.coalesce("component", "rep").alias("class_id"))
     of_doc = signed.where("same is not null").select("doc_id", "same").join(label, "same").select("doc_id", "class_id").dropDuplicates(["doc_id"])
