@@ -7,8 +7,10 @@
    deletion, substitution or swap; one for 5 to 8 letters, two from 9); stems match exactly.
 3. Each hit looks at the words around it: quotation marks around the hit and reporting words speak for a quotation,
    words that address someone for abuse.
-4. A logistic regression over the sums of hits turns this into a score from 0 to 1. It is fitted on at most
-   FIT_ROWS training rows (those with the smallest hash of their id); lexicon counts cover all training rows.
+4. A logistic regression over the sums of hits turns this into a score from 0 to 1.
+
+Lexicon and regression are fitted on at most FIT_ROWS labelled rows, those with the smallest hash of their id; so the
+labels can be broadcast to the scan of the texts, whose other rows are never shuffled.
 
 Defined results: a null or empty text has no hits and gets the score that belongs to no hits; with no training row
 of either label every score is 0; rows with a null id or repeated rows are scored each on its own; a document with
@@ -29,9 +31,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lucerna.llm.common import fold, slices
+from lucerna.llm.common import cut, fold, slices
 
-FIT_ROWS = 20_000
+FIT_ROWS = 40_000
 MIN_STEM, MAX_STEM, MIN_WORD = 3, 9, 4
 MIN_SUPPORT, MIN_SUPPORT_SHARE, MIN_LOG_ODDS, MIN_STEM_ODDS, MAX_TERMS = 5, 0.01, 3.5, 2.8, 400
 WHOLE_SHARE = 0.8
@@ -80,7 +82,7 @@ def _document_counts(texts: DataFrame, among: frozenset[str] | None = None) -> D
 
 
 def lexicon(labelled: DataFrame) -> list[Term]:
-    """labelled: text, toxic. Counts cover all rows.
+    """labelled: text, toxic.
 
     Candidates occur in at least MIN_SUPPORT_SHARE of the toxic documents; so there are at most
     1 / MIN_SUPPORT_SHARE times as many as a document has words and stems, whatever the number of documents.
@@ -213,7 +215,7 @@ def automaton(terms: list[Term]) -> Automaton:
         hits = [(e, ends[n]) for n, e, owed in state if not owed and n >= 0 and n in ends and e <= edits_allowed(terms[ends[n]]) and not (terms[ends[n]].stem and e == 0)]
         hits += [(0, -1 - n) for n, _, _ in state if n < 0]
         accepts.append(min(hits, default=(0, -1)))
-    classes = np.zeros(0x110000, np.int16)
+    classes = np.zeros(max(map(ord, letters), default=0) + 2, np.int16)  # the last stands for all beyond
     for c, i in number.items():
         classes[ord(c)] = i
     return Automaton(classes, np.array(rows, np.int32), np.array([k for _, k in accepts]), np.array([e for e, _ in accepts]))
@@ -225,7 +227,7 @@ def walk(a: Automaton, words: list[str]) -> dict[str, tuple[int, int]]:
         return {}
     lengths = np.array([len(w) for w in words])
     points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-    classes = a.classes[points]
+    classes = a.classes[np.minimum(points, len(a.classes) - 1)]
     offset = np.cumsum(lengths) - lengths
     alive, state, t, hits = np.arange(len(words)), np.ones(len(words), np.int32), 0, {}
     while len(alive):
@@ -240,6 +242,27 @@ def walk(a: Automaton, words: list[str]) -> dict[str, tuple[int, int]]:
     return hits
 
 
+def automata(terms: list[Term], size: int = 8) -> list[Automaton]:
+    """One automaton for each few neighbouring terms: the states of one for all would grow much faster than the lexicon."""
+    order = sorted(range(len(terms)), key=lambda k: terms[k].text)
+    out = []
+    for k in range(0, len(order), size):
+        some = np.array(order[k : k + size])
+        a = automaton([terms[i] for i in some])
+        a.term = np.where(a.term >= 0, some[np.maximum(a.term, 0)], -1)
+        out.append(a)
+    return out
+
+
+def walk_all(tables: list[Automaton], words: list[str]) -> dict[str, tuple[int, int]]:
+    hits: dict[str, tuple[int, int]] = {}
+    for a in tables:
+        for w, (term, edits) in walk(a, words).items():
+            if w not in hits or edits < hits[w][1]:
+                hits[w] = (term, edits)
+    return hits
+
+
 def _features(terms: list[Term], hits: dict[str, tuple[int, int]], text: str, words: list[str]) -> list[float]:
     out = [0.0] * len(FEATURES)
     at = [k for k, w in enumerate(words) if w in hits]
@@ -267,16 +290,16 @@ def _features(terms: list[Term], hits: dict[str, tuple[int, int]], text: str, wo
     return [*np.log1p(out[:6]).tolist(), float(np.log1p(100 * total / max(len(words), 1)))]
 
 
-def hit_features(docs: DataFrame, terms: list[Term], carried: list[str]) -> DataFrame:
+def hit_features(docs: DataFrame, terms: list[Term], tables: list[Automaton], carried: list[str]) -> DataFrame:
     """docs (text and carried columns): the carried columns and HITS. No shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast((terms, automaton(terms)))
+    shared = docs.sparkSession.sparkContext.broadcast((terms, tables))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, table = shared.value
+        terms, tables = shared.value
         for batch in slices(batches):
             texts = batch.column(0).to_pylist()
             words = [tokens(t) if t else [] for t in texts]
-            hits = walk(table, list(set().union(*words) - {""}))
+            hits = walk_all(tables, list(set().union(*words) - {""}))
             rows = np.array([_features(terms, hits, t, w) for t, w in zip(texts, words)])
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *[pa.array(rows[:, k]) for k in range(len(FEATURES))]], [*carried, *FEATURES])
 
@@ -289,6 +312,7 @@ class Model:
     terms: list[Term]
     weights: np.ndarray | None
     bias: float
+    tables: list[Automaton] | None = None
 
 
 def logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float) -> tuple[np.ndarray, float]:
@@ -306,17 +330,17 @@ def logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float) -> t
     return w[:-1], float(w[-1])
 
 
-def train(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """labelled: doc_id, text, toxic (0 or 1)."""
-    rows = labelled.where("text is not null and toxic in (0, 1)").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
+def train(labelled: DataFrame) -> Model:
+    """labelled: text, toxic (0 or 1)."""
+    rows = cut(labelled.where("text is not null and toxic in (0, 1)").select("text", F.col("toxic").cast("int").alias("toxic")))
     terms = lexicon(rows)
     if not terms:
         return Model([], None, 0.0)
-    some = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    table = hit_features(some.select("text", "toxic"), terms, ["toxic"]).toPandas()
+    tables = automata(terms)
+    table = hit_features(rows, terms, tables, ["toxic"]).toPandas()
     if table["toxic"].nunique() < 2:
         return Model(terms, None, 0.0)
-    return Model(terms, *logistic(table[FEATURES].to_numpy(), table["toxic"].to_numpy(float), PRIOR, RIDGE))
+    return Model(terms, *logistic(table[FEATURES].to_numpy(), table["toxic"].to_numpy(float), PRIOR, RIDGE), tables)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -324,12 +348,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     ready = docs.select(docs[id_col].alias(id_col), docs[text_col].alias("text"))
     if model.weights is None:
         return ready.select(id_col, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    found = hit_features(ready, model.terms, [id_col])
+    found = hit_features(ready, model.terms, model.tables or automata(model.terms), [id_col])
     z = sum((F.col(c) * float(w) for c, w in zip(FEATURES, model.weights)), F.lit(model.bias))
     return found.select(id_col, (1 / (1 + F.exp(-z))).alias("score"), *FEATURES).withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The labelled documents that the contract allows to learn from."""
+def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """Labelled documents that the contract allows to learn from, at most about fit_rows of them."""
     allowed = labels.where((fold(F.col("doc_id"), 5) != 0) & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
-    return docs.where(fold(F.col("doc_id"), 5) != 0).select("doc_id", "text").join(allowed, "doc_id")
+    some = allowed.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(fit_rows)
+    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
