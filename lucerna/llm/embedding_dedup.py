@@ -6,7 +6,7 @@
    with multiprobing a vector also stands in the PROBES buckets that come next.
 3. Vectors that share a bucket are candidates. Their cosines are taken in double precision, in blocks of at most
    BLOCK x BLOCK; a bucket with more vectors is dealt as pairs of blocks over several tasks. A pair counts only in
-   the first bucket that both stand in, so nothing is counted twice and no pair needs to be listed.
+   the bucket of least code that both stand in, so nothing is counted twice and no pair needs to be listed.
 4. Blocks give each vector its number of links and one link to a common vector of those linked with it; connected
    components follow from the latter.
 
@@ -106,19 +106,19 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def _compare(ids, weights, vectors, codes, side, code: int, threshold: float) -> dict[str, np.ndarray]:
-    """The links of one pair of blocks that belong to this bucket: per vector the number of vectors linked and a root."""
+def _compare(ids, weights, vectors, codes, side, two: bool, code: int, threshold: float) -> dict[str, np.ndarray]:
+    """The links of one block, or between two, that belong to this bucket: per vector the number of vectors linked and a root."""
     unit = _unit(vectors)
     rows = np.flatnonzero(side != 1)
-    cols = rows if not (side == 1).any() else np.flatnonzero(side == 1)
+    cols = np.flatnonzero(side == 1) if two else rows  # one of two blocks may be empty
     close = unit[rows] @ unit[cols].T >= threshold
-    if cols is rows:
+    if not two:
         close = np.triu(close, 1)
     a, b = np.nonzero(close)
     a, b = rows[a], cols[b]
     if len(a):
         step = 200_000
-        first = np.concatenate([_first_shared(codes[a[k : k + step]], codes[b[k : k + step]]) for k in range(0, len(a), step)])
+        first = np.concatenate([_least_shared(codes[a[k : k + step]], codes[b[k : k + step]]) for k in range(0, len(a), step)])
         a, b = a[first == code], b[first == code]
     n = np.bincount(a, weights[b], len(ids)) + np.bincount(b, weights[a], len(ids))
     root = np.arange(len(ids))
@@ -133,12 +133,12 @@ def _compare(ids, weights, vectors, codes, side, code: int, threshold: float) ->
     return {"rep": ids, "n": n.astype(np.int64), "root": ids[root]}
 
 
-def _first_shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The first of x's codes, in order, that is also among y's."""
-    out = np.full(len(x), -1, np.int64)
-    for k in range(x.shape[1] - 1, -1, -1):
-        found = (x[:, k : k + 1] == y).any(1)
-        out[found] = x[found, k]
+def _least_shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least of x's codes that is also among y's, so the same from both ends; the greatest number if none is."""
+    none = np.iinfo(np.int64).max
+    out = np.full(len(x), none, np.int64)
+    for k in range(x.shape[1]):
+        np.minimum(out, np.where((x[:, k : k + 1] == y).any(1), x[:, k], none), out=out)
     return out
 
 
@@ -175,7 +175,7 @@ def links(reps: DataFrame, functions: int, threshold: float = THRESHOLD) -> Data
         size = 0
         for t in groups_of(batches, keys):
             vectors, codes = (t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1) for c in ("vector", "codes"))
-            held.append(_compare(t["rep"].to_numpy(), t["size"].to_numpy(), vectors, codes, t["side"].to_numpy(), t["code"][0].as_py(), threshold))
+            held.append(_compare(t["rep"].to_numpy(), t["size"].to_numpy(), vectors, codes, t["side"].to_numpy(), t["low"][0].as_py() != t["high"][0].as_py(), t["code"][0].as_py(), threshold))
             size += len(t)
             if size > 50_000:
                 yield told(held)

@@ -283,6 +283,24 @@ def test_embedding_blocks(spark, monkeypatch):
     assert (got.n_links == 89).all() and (got.component_id == 0).all()
 
 
+def test_embedding_links_are_counted_once(spark, monkeypatch):
+    """Every pair that shares a bucket counts once, whichever end comes first and however its buckets are dealt."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(60, 64))
+    x = np.repeat(base, 5, 0) + rng.normal(size=(300, 64)) * 0.15
+    x = x[rng.permutation(len(x))].astype(np.float32)
+    df = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<float>").repartition(7)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    codes = embedding_dedup.buckets(u, embedding_dedup.functions_for(len(x), 64))
+    meet = np.array([np.isin(codes, c).any(1) for c in codes])
+    want = ((u @ u.T >= 0.95) & meet & ~np.eye(len(x), dtype=bool)).sum(1)
+    assert want.sum() > 500
+    for block in (1024, 3):
+        monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+        got = embedding_dedup.near_duplicates(df).toPandas().set_index("vec_id").sort_index()
+        assert got.n_links.tolist() == want.tolist()
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(1, 60)] + [(100, 101), (103, 102), (101, 103), (100, 100)] + [(200, k) for k in range(201, 260)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
