@@ -218,7 +218,7 @@ def R13_O15_L2_top_matches(v: Views) -> DataFrame:
 
 @query
 def R9_R10_J2_bm25(v: Views) -> DataFrame:
-    found = retrieval.bm25(v.questions(), v.units(), most=1_000_000)
+    found = retrieval.bm25(v.questions(), v.units(), most=None)
     return found.select("question_id", "id", F.round("rank", 6).alias("rank"))
 
 

@@ -41,3 +41,13 @@ def test_ranks_do_not_depend_on_partitions(spark):
 def test_top_k_keeps_only_k_rows_before_the_window(spark):
     plan = QUERIES["R13_O15_L2_top_matches"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_bm25_gives_every_hit_without_a_limit(spark):
+    q = spark.createDataFrame([("q1", "s", "ab cd")], "question_id string, session_id string, question string")
+    units = spark.createDataFrame([(f"u{k}", "s", "ab", "", f"abc {k}", "") for k in range(50)], "id string, session_id string, title string, excerpt string, content_text string, search_text string")
+    every = retrieval.bm25(q, units, most=None)
+    assert {r.id for r in every.collect()} == {f"u{k}" for k in range(50)}
+    assert {(r.id, r.rank) for r in retrieval.bm25(q, units, most=3).collect()} <= {(r.id, r.rank) for r in every.collect()}
+    plan = QUERIES["R9_R10_J2_bm25"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan
