@@ -5,6 +5,11 @@ pass points for their length and their commas to their ancestors, less with each
 discounted by the share of its text that is in links. The container with most points is kept, widened to the
 article around it if there is one, together with siblings that have enough points or a whole paragraph.
 
+Words of a class or id only suggest what is to be cut. A class such as with-sidebar tells what an element has, not what
+it is, and marks nothing. On a page without an article or main, an element marked by such words stays if it holds over
+half of the page's unlinked paragraph text and hardly any of it (LEAST_SEEN) would be left without it; if none at all
+would be left, all such elements stay.
+
 Defined results: null, empty or text-free html gives ''; markup that never closes is closed where the page ends;
 rows with a null id or repeated rows are each extracted; an empty table gives an empty result; very long pages are
 read whole, in time in proportion to their length; other columns are not read.
@@ -49,11 +54,15 @@ CUT_WORDS = frozenset(
     "footer masthead toolbar skip disclaimer paywall toc".split()
 )
 HEADER_WORDS = frozenset("header topbar".split())
+#: A class or id that begins with one of these tells what an element has or lacks.
+HAS_WORDS = frozenset("with has have no without hide show".split())
 KEEP_TAGS = frozenset("html body article main".split())
 CONTAINER_POINTS = {"article": 30.0, "main": 20.0, "section": 5.0, "div": 5.0, "td": 3.0, "blockquote": 3.0, "pre": 3.0, "ol": -3.0, "ul": -3.0, "dl": -3.0}
 CONTENT_WORDS = frozenset("article articlebody body content entry main page post story text blog".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd div section article main body figcaption".split())
 LEAST_PARAGRAPH, SIBLING_SHARE, SIBLING_LEAST, LONG_PARAGRAPH = 25, 0.2, 10.0, 80
+#: The least share of the unlinked paragraph text that cuts by class or id should leave.
+LEAST_SEEN = 0.1
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|$)""", re.I)
@@ -61,12 +70,12 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "words", "cut", "points", "text", "link", "holds_main", "order")
+    __slots__ = ("tag", "parent", "children", "words", "marks", "cut", "points", "text", "link", "holds_main", "order")
 
     def __init__(self, tag: str, parent: "Node | None", attributes: str = ""):
         self.tag, self.parent, self.children = tag, parent, []
         self.points, self.text, self.link, self.holds_main, self.order = 0.0, 0, 0, False, 0
-        self.words, self.cut = frozenset(), tag in CUT_TAGS
+        self.words, self.marks, self.cut = frozenset(), frozenset(), tag in CUT_TAGS
         if attributes:
             self._read(attributes)
 
@@ -74,7 +83,9 @@ class Node:
         for name, value in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'").lower()
             if name in ("class", "id"):
-                self.words |= frozenset(_SPLIT.split(value))
+                names = [_SPLIT.split(v) for v in value.split()]
+                self.words |= frozenset(w for n in names for w in n)
+                self.marks |= frozenset(w for n in names if n[0] not in HAS_WORDS for w in n)
             elif name == "role":
                 self.cut |= value in CUT_ROLES
             elif name == "hidden" or (name == "aria-hidden" and value == "true"):
@@ -156,26 +167,66 @@ def _cut(root: Node) -> None:
     for node in reversed(every):
         if node.parent and (node.holds_main or node.tag in ("article", "main")):
             node.parent.holds_main = True
+    marked = []
     for node in every:
         inside = node.parent
         while inside and inside.tag not in ("article", "main"):
             inside = inside.parent
         if node.tag == "header" and not inside:
             node.cut = True
-        if node.words & CUT_WORDS or (not inside and node.words & HEADER_WORDS):
+        if not node.cut and (node.marks & CUT_WORDS or (not inside and node.marks & HEADER_WORDS)):
             node.cut = True
+            marked.append(node)
         if node.tag in KEEP_TAGS or node.holds_main:
             node.cut = False
+    if marked and not root.holds_main:
+        _spare(every, {id(n) for n in marked if n.cut})
+
+
+def _spare(every: list[Node], marked: set[int]) -> None:
+    """Takes back cuts by class or id, outermost first, that would leave hardly any of the unlinked paragraph text.
+    every: all nodes, parents first; marked: which of them are cut by their class or id only."""
+    inside: dict[int, int] = {}
+    seen: dict[int, bool] = {}
+    for node in every:
+        up = node.parent
+        gone = bool(up and not seen[id(up)]) or node.tag == "a" or (node.cut and id(node) not in marked)
+        seen[id(node)] = not gone
+        inside[id(node)] = len(t) if not gone and node.tag in PARAGRAPHS and len(t := _own_text(node, False)) >= LEAST_PARAGRAPH else 0
+    for node in reversed(every):
+        if node.parent:
+            inside[id(node.parent)] += inside[id(node)]
+    total = inside[id(every[0])]
+    outer = [every[0]]
+    while outer:
+        at = outer.pop()
+        cut, stack = [], [c for c in at.children if not isinstance(c, str)]
+        while stack:
+            node = stack.pop()
+            if id(node) in marked:
+                cut.append(node)
+            elif not node.cut:
+                stack += [c for c in node.children if not isinstance(c, str)]
+        lost = sum(inside[id(n)] for n in cut)
+        most = max(cut, key=lambda n: inside[id(n)], default=None)
+        spared = []
+        if most and inside[id(at)] - lost < LEAST_SEEN * total and inside[id(most)] * 2 > total:
+            spared = [most]
+        elif at is every[0] and 0 < lost == total:
+            spared = cut
+        for node in spared:
+            node.cut = False
+        outer += spared
 
 
-def _own_text(node: Node) -> str:
-    """Text of a node outside of blocks within it."""
+def _own_text(node: Node, links: bool = True) -> str:
+    """Text of a node outside of blocks within it; links: also that of links."""
     out, stack = [], list(reversed(node.children))
     while stack:
         c = stack.pop()
         if isinstance(c, str):
             out.append(c)
-        elif not c.cut and c.tag not in BLOCK:
+        elif not c.cut and c.tag not in BLOCK and (links or c.tag != "a"):
             stack += reversed(c.children)
     return " ".join("".join(out).split())
 

@@ -260,6 +260,28 @@ def test_decode_operator(spark, docs):
     assert all(r.decoded == r.text and r.decoded_ok for r in out)
 
 
+SENTENCE = "This is a sentence of the text, long enough to count, and it says something. "
+
+
+@pytest.mark.parametrize("name", ["layout with-sidebar", "page sidebar", "wrap social", "widget", "has-ads toc"])
+def test_html_wrapper_with_a_cut_word_keeps_the_text(name):
+    """Pages without an article or main: a word in the class of what holds all the text does not lose it."""
+    side = "<div class='sidebar'><p>Latest posts, and more of them here, every day.</p></div>"
+    page = f"<html><body><div class='top'><a href=/>Home of the site and its many pages</a></div><div class='{name}'><div><p>{SENTENCE * 5}</p><p>{SENTENCE * 4}</p></div>{side}</div></body></html>"
+    assert html_text.main_text(page) == "\n".join(((SENTENCE * 5).strip(), (SENTENCE * 4).strip()))
+
+
+def test_html_gives_text_where_only_marked_elements_hold_any():
+    page = "<body>" + "".join(f"<div class=widget><p>{SENTENCE * n}</p></div>" for n in (3, 3, 2)) + "</body>"
+    assert html_text.main_text(page).count("This is a sentence") == 8
+
+
+def test_html_long_comments_stay_cut():
+    page = f"<body><div class=post><p>{SENTENCE * 4}</p></div><div class=comments><p>{SENTENCE * 9}</p></div></body>"
+    wrapped = f"<body><div class='sidebar-right'><div class=post><p>{SENTENCE * 4}</p></div><div class=comments><p>{SENTENCE * 9}</p></div></div></body>"
+    assert html_text.main_text(page) == html_text.main_text(wrapped) == (SENTENCE * 4).strip()
+
+
 def test_embedding_links_equal_brute_force(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(40, 24))
