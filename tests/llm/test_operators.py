@@ -3,13 +3,16 @@
 import collections
 import gzip
 import math
+import os
 import re
 import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
+import zstandard
 from lucerna.llm import embedding_dedup, html_text, language_id, minhash_dedup, ngram_lm, pieces, quality_rules, queries, toxicity, warc
 from lucerna.llm.components import components
 from tests.conftest import SF
@@ -170,6 +173,19 @@ def test_quality_verdicts():
     assert not quality_rules.within_bands(6000, *quality_rules.ratios(b"spam and eggs " * 430, z))
 
 
+def test_quality_keeps_prose_of_other_origin(docs):
+    """Licence texts compress further than the tables' prose, which is no repetition; and one odd chunk drops no long text."""
+    names = [f"/usr/share/common-licenses/{n}" for n in ("GPL-3", "GPL-2", "LGPL-2.1", "Apache-2.0", "GFDL-1.3", "MPL-2.0")]
+    texts = [open(n).read() for n in names if os.path.exists(n)]
+    odd = bytes(np.random.default_rng(1).integers(33, 127, 2048, dtype=np.uint8)).decode()
+    prose = "\n".join(docs[docs.lang == "en"].text.dropna().head(60))[:24576]
+    assert quality_rules.signals(pa.array([*texts, prose]))["kept"].to_pylist() == [True] * (len(texts) + 1)
+    z = zstandard.ZstdCompressor(level=3)
+    whole, least, greatest, out = quality_rules.ratios((prose[:20480] + odd).encode(), z)
+    assert least < quality_rules.CHUNK_LEAST and quality_rules.within_bands(22528, whole, least, greatest, out)
+    assert not quality_rules.within_bands(22528, whole, least, greatest, 0.5)
+
+
 def test_language_spans(spark, docs):
     model = language_id.train(spark.read.parquet(f"{SF}/documents.parquet"))
     en, de = (" ".join(docs[docs.lang == x].text.iloc[0].split()[:60]) for x in ("en", "de"))
