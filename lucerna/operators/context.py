@@ -22,14 +22,24 @@ def focused(matches: DataFrame, most: int = FOCUSED) -> DataFrame:
     return matches.where(F.col("rank") <= most).select("question_id", "source_type", "source_record_id", "rank", F.concat_ws("\n", "label", X.collapse("excerpt")).alias("entry"))
 
 
-def remaining(questions: DataFrame, candidates: DataFrame, used: DataFrame, boost: float) -> DataFrame:
-    """Candidates (session_id, source_type, id, entry) not among the focused ones, with a score and place."""
+def remaining(questions: DataFrame, candidates: DataFrame, used: DataFrame, boost: float, most_chars: int = BLOCK_CHARS, most_blocks: int = BLOCKS) -> DataFrame:
+    """Candidates (session_id, source_type, id, entry, body) not among those used, with the score of
+    their body and a place; relevant: whether any of a question's entries holds its focus.
+
+    Rows that can't come into the first most_blocks blocks are left out: an entry takes its length and a line end of a
+    block, or a whole one, so what lies beyond most_chars * most_blocks characters is never packed.
+    """
     q = questions.select("question_id", "session_id", "focus", "q_tokens")
-    c = candidates.withColumn("c_tokens", X.unique(X.tokenize("entry")))
-    score = text_score(F.col("q_tokens"), F.col("c_tokens"), F.lit(boost) + focus_boost(F.col("focus"), F.col("entry")))
+    c = candidates.withColumn("c_tokens", X.unique(X.tokenize("body")))
+    score = text_score(F.col("q_tokens"), F.col("c_tokens"), F.lit(boost) + focus_boost(F.col("focus"), F.col("body")))
     left = q.join(c, "session_id").join(used.select("question_id", "source_type", F.col("source_record_id").alias("id")), ["question_id", "source_type", "id"], "left_anti")
     order = Window.partitionBy("question_id", "source_type").orderBy(F.desc("score"), F.collate("entry", "UNICODE"), "id")
-    return left.withColumn("score", score).withColumn("rank", F.row_number().over(order)).select("question_id", "source_type", F.col("id").alias("source_record_id"), "rank", "entry", "score", "focus")
+    room = most_chars * most_blocks
+    first = left.withColumn("score", score).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= room)  # a line takes a character at least
+    taken = F.sum(F.least(F.length("entry") + 1, F.lit(most_chars))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    about = left.where(holds_focus(F.col("focus"), F.col("entry"))).select("question_id", "source_type").distinct().withColumn("relevant", F.lit(True))
+    kept = first.withColumn("taken", taken).where(F.col("taken") <= room).join(about, ["question_id", "source_type"], "left")
+    return kept.select("question_id", "source_type", F.col("id").alias("source_record_id"), "rank", "entry", "score", "focus", F.coalesce("relevant", F.lit(False)).alias("relevant"))
 
 
 def pack_blocks(title: Column, entries: Column, most_chars: int = BLOCK_CHARS, most_blocks: int = BLOCKS) -> Column:
@@ -48,9 +58,10 @@ def pack_blocks(title: Column, entries: Column, most_chars: int = BLOCK_CHARS, m
 
 
 def blocks(entries: DataFrame, title: str, most_chars: int = BLOCK_CHARS, most_blocks: int = BLOCKS) -> DataFrame:
-    """question_id, order_index, block. entries: question_id, rank, entry, focus."""
+    """question_id, order_index, block. entries: question_id, rank, entry, focus, and relevant if that is known."""
+    relevant = F.col("relevant") if "relevant" in entries.columns else holds_focus(F.col("focus"), F.col("entry"))
     grouped = entries.groupBy("question_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", "entry"))), lambda e: e["entry"]).alias("entries"), F.bool_or(holds_focus(F.col("focus"), F.col("entry"))).alias("relevant")
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "entry"))), lambda e: e["entry"]).alias("entries"), F.bool_or(relevant).alias("relevant")
     )
     name = F.when(F.col("relevant"), f"{title} (high relevance)").otherwise(title)
     return grouped.select("question_id", F.posexplode(pack_blocks(name, F.col("entries"), most_chars, most_blocks)).alias("order_index", "block"))

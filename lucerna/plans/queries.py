@@ -270,11 +270,19 @@ def B1_B5_context_blocks(v: Views) -> DataFrame:
     q = retrieval.prepare_questions(v.questions())
     m = retrieval.merge_matches(_matches(v))
     used = context.focused(m)
-    more = v.transcript().select("session_id", F.lit("transcript_entry").alias("source_type"), "id", context.line("Transcript", F.col("speaker_label"), F.col("text")).alias("entry"))
     first = used.join(q.select("question_id", "focus"), "question_id")
-    one = context.blocks(first, "Focused evidence").withColumn("section", F.lit(0))
-    two = context.blocks(context.remaining(q, more, used, 0.05).where("rank <= 50"), "Transcript", 1150, 4).withColumn("section", F.lit(1))
-    return one.unionByName(two)
+    out = context.blocks(first, "Focused evidence").withColumn("section", F.lit(0))
+    kinds = [
+        ("evidence_unit", "Indexed evidence", v.units(), "title", "content_text", F.concat_ws(" ", "title", "search_text"), 0.35, 1150, 4),
+        ("glossary_term", "Glossary", v.glossary(), "term", "definition", F.concat_ws(" ", "term", "definition"), 0.4, 900, 3),
+        ("material_chunk", "Material", v.chunks(), "heading", "text", F.concat_ws(" ", "heading", "text"), 0.2, 1150, 4),
+        ("transcript_entry", "Transcript", v.transcript(), "speaker_label", "text", F.concat_ws(" ", "speaker_label", "text"), 0.05, 1150, 4),
+    ]
+    for section, (kind, title, rows, name, text, body, boost, chars, most) in enumerate(kinds, 1):
+        more = rows.select("session_id", F.lit(kind).alias("source_type"), "id", context.line(title, F.col(name), F.col(text)).alias("entry"), body.alias("body"))
+        left = context.remaining(q, more, m, boost, chars, most)
+        out = out.unionByName(context.blocks(left, title, chars, most).withColumn("section", F.lit(section)))
+    return out
 
 
 @query

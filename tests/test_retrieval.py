@@ -1,6 +1,6 @@
 """Rules that are easy to mend by accident, and independence of the partitioning."""
 
-from lucerna.operators import decide, retrieval
+from lucerna.operators import context, decide, retrieval
 from lucerna.plans.queries import QUERIES
 from pyspark.sql import functions as F
 from tests.conftest import SF
@@ -51,3 +51,25 @@ def test_bm25_gives_every_hit_without_a_limit(spark):
     assert {(r.id, r.rank) for r in retrieval.bm25(q, units, most=3).collect()} <= {(r.id, r.rank) for r in every.collect()}
     plan = QUERIES["R9_R10_J2_bm25"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number" not in plan
+
+
+def test_context_packs_every_line_that_has_room(spark):
+    """Very short entries: blocks are as those of all lines, sorted and packed one by one."""
+    q = spark.createDataFrame([("q1", "s", "What is tin?")], "question_id string, session_id string, question string")
+    rows = [(f"t{k:03}", "s", "transcript_entry", f"U: {k:03}", f"{k:03}") for k in range(900)] + [("long", "s", "transcript_entry", "A" * 400, "tin"), ("gone", "s", "transcript_entry", "B", "tin")]
+    c = spark.createDataFrame(rows, "id string, session_id string, source_type string, entry string, body string")
+    used = spark.createDataFrame([("q1", "transcript_entry", "gone")], "question_id string, source_type string, source_record_id string")
+    left = context.remaining(retrieval.prepare_questions(q), c, used, 0.05, 300, 3)
+    got = [r.block for r in context.blocks(left, "T", 300, 3).orderBy("order_index").collect()]
+    want, now = [], ""
+    for entry in ["A" * 400] + [f"U: {k:03}" for k in range(900)]:
+        if now and len(now) + 1 + len(entry) > 300:
+            want.append(now)
+            now = ""
+        now = f"{now or 'T'}\n{entry}"
+    assert got == want[:3] and sum(b.count("U: ") for b in got) > 50
+
+
+def test_context_has_all_kinds(spark):
+    out = QUERIES["B1_B5_context_blocks"](spark, SF).select("section").distinct()
+    assert {r.section for r in out.collect()} == {0, 1, 2, 3, 4}
