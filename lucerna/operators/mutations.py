@@ -142,9 +142,13 @@ def consolidate(tables: dict[str, DataFrame], preferred: str) -> dict[str, DataF
     return out
 
 
-def replace_session(current: DataFrame, incoming: DataFrame) -> DataFrame:
-    """A pack's rows take the place of all rows of their sessions."""
-    return current.join(incoming.select("session_id").distinct(), "session_id", "left_anti").select(*current.columns).unionByName(incoming)
+def replace_session(current: DataFrame, incoming: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
+    """A pack's rows take the place of all rows of its session, also in tables of which it has no row.
+
+    sessions: the packs' session_id; without it, those of the incoming rows.
+    """
+    replaced = incoming.select("session_id").distinct() if sessions is None else sessions
+    return current.join(replaced, "session_id", "left_anti").select(*current.columns).unionByName(incoming)
 
 
 def cleared(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:

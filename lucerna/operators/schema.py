@@ -35,6 +35,7 @@ ALLOWED = {
     ("answers", "state"): "grounded unsupported",
     ("answer_sources", "source_type"): "glossary_term material_chunk transcript_entry evidence_unit",
     ("notes", "anchor_type"): "session lecture_material material_chunk glossary_term transcript_entry evidence_unit",
+    ("bookmarks", "target_type"): "lecture_material material_chunk glossary_term transcript_entry evidence_unit",
     ("uploaded_assets", "status"): "pending processing ready failed",
     ("evidence_units", "modality"): "text image video pdf slide",
     ("asset_digests", "kind"): "asset_summary session_summary",

@@ -59,13 +59,17 @@ def ask(questions: DataFrame, tables: dict[str, DataFrame], generator: Generator
 
 
 def import_packs(loaded: DataFrame, tables: dict[str, DataFrame], now: str) -> dict[str, DataFrame]:
-    """The tables with the packs' rows in place of those of the same sessions; ids carry their session's id."""
-    ids = {"material_chunks": ["id", "material_id"], "questions": ["id", "category_id"], "answers": ["id", "question_id"], "answer_sources": ["answer_id", "source_record_id"]}
+    """The tables with the packs' rows in place of those of the same sessions; the packs' ids stay as they are."""
     out = {}
     for name, rows in packs.tables(loaded, now).items():
-        if name == "lecture_sessions":
-            out[name] = mutations.upsert(tables[name].select(*rows.columns), rows, ["id"]) if name in tables else rows
-            continue
-        rows = packs.namespaced(rows, ids.get(name, ["id"]))
-        out[name] = mutations.replace_session(tables[name].select(*rows.columns), rows) if name in tables else rows
-    return out
+        if name not in tables:
+            out[name] = rows
+        elif name == "lecture_sessions":
+            out[name] = mutations.upsert(tables[name].select(*rows.columns), rows, ["id"])
+        else:
+            out[name] = mutations.replace_session(tables[name].select(*rows.columns), rows, packs_sessions(loaded))
+    return tables | out
+
+
+def packs_sessions(loaded: DataFrame) -> DataFrame:
+    return loaded.select(F.col("pack.session.id").alias("session_id")).distinct()

@@ -20,8 +20,9 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     names = [(x or "").strip().lower() for x in head]
     last = {n: k for k, n in enumerate(names)}
     rows = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, schema=", ".join(f"c{k} string" for k in range(len(names))), enforceSchema=True)
-    out = rows.select(*[F.coalesce(F.trim(f"c{k}"), F.lit("")).alias(n) for n, k in last.items()])
-    return out.where(F.greatest(*[F.length(f"`{c}`") for c in out.columns], F.lit(0)) > 0)
+    cell = lambda k: F.coalesce(F.trim(f"c{k}"), F.lit(""))
+    some = F.concat(*[cell(k) for k in range(len(names))]) != ""
+    return rows.where(some).select(*[cell(k).alias(n) for n, k in last.items()])
 
 
 def uploads(spark: SparkSession, path: str) -> DataFrame:

@@ -12,7 +12,7 @@ def questions(spark):
 
 
 def test_ask(spark, tmp_path):
-    pack = PACK | {"glossary": [{"id": "g1", "term": "a cell", "definition": "The smallest unit of life.", "orderIndex": 0}]}
+    pack = PACK | {"glossary": [{"id": "g1", "term": "a cell", "definition": "The smallest unit of life.", "orderIndex": 0}], "publicQa": []}
     tables = packs.tables(packs.read_packs(spark, write(tmp_path / "a.json", json.dumps(pack))), "now")
     answers, sources = api.ask(questions(spark), tables)
     got = {r.question_id: r for r in answers.collect()}
@@ -28,4 +28,11 @@ def test_import_twice_changes_nothing(spark, tmp_path):
     twice = api.import_packs(loaded, once, "now")
     for name in once:
         assert sorted(map(tuple, once[name].collect()), key=str) == sorted(map(tuple, twice[name].collect()), key=str)
-    assert once["material_chunks"].first()["material_id"] == "s1_m1"
+    assert once["material_chunks"].orderBy("id").first()["material_id"] == "m0"
+
+
+def test_a_pack_without_rows_of_a_kind_empties_its_session(spark, tmp_path):
+    first = packs.read_packs(spark, write(tmp_path / "a.json", json.dumps(PACK)))
+    second = packs.read_packs(spark, write(tmp_path / "b.json", json.dumps(PACK | {"glossary": [], "publicQa": []})))
+    out = api.import_packs(second, api.import_packs(first, {}, "now"), "now")
+    assert out["glossary_terms"].count() == 0 and out["answers"].count() == 0 and out["material_chunks"].count() == 6
