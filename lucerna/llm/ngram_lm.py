@@ -7,13 +7,15 @@ other training documents.
 
 Counting and looking up are one exchange. A block of texts sends its distinct words and bigrams (as 64-bit hashes)
 with their counts, cut by hash range; each range adds up what all blocks sent and answers every block in the order
-in which it asked. A block asks once for each key, so no word is hot; ranges grow in number with the input. The
-texts themselves travel once more, packed, to meet the answers. The weights are learned from a histogram of
-quantised estimates, whose size is bounded (buckets x levels x levels).
+in which it asked. A block asks once for each key, so no word is hot; ranges grow in number with the input. Where
+there are more than FAN ranges, the exchange has two levels, so that a block never sends more than FAN small parts:
+blocks send to wide ranges, bundles of blocks add up there what their blocks sent and ask the ranges proper in their
+blocks' place. The texts themselves travel once more, packed, to meet the answers. The weights are learned from a
+histogram of quantised estimates, whose size is bounded (buckets x levels x levels).
 
-The blocks are formed twice from the same scan and named by a digest of their content; docs must give the same rows
-in the same order both times, as reading a table does (else write it first: stage=True). A block that doesn't find
-its answer fails the job instead of giving another result.
+The blocks are formed twice from the same scan and named by their partition, their place in it and a digest of their
+content; docs must give the same partitions, rows and order both times, as reading a table does (else write it first:
+stage=True). A block that doesn't find its answer fails the job instead of giving another result.
 
 Defined results: a null text is empty and has only its end token; rows with a null id (as id '') or repeated rows are
 counted and scored each on its own; without any training text every estimate is the uniform one; an empty table
@@ -31,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +42,8 @@ from lucerna.llm.common import as_bytes, cut, scramble, slices, word_hashes
 MODULUS, HELD_OUT, HELD = 7, 2, 16
 #: Bytes of text in a block, keys in a range on average, buckets of context frequency, levels per factor of two.
 BLOCK, RANGE, BUCKETS, LEVELS, ROUNDS = 8_000_000, 300_000, 24, 4, 200
+#: The most parts that a block or a bundle of blocks sends of each kind, and the keys that a bundle's part holds on average.
+FAN, BUNDLE = 1024, 3_000_000
 NEVER = -10_000
 END, START = np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
 WORD_KIND, BIGRAM_KIND = 0, 1
@@ -72,28 +77,45 @@ def token_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return scramble(token), scramble(context), bigram, sizes
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
-    """Ids and texts in blocks of about BLOCK bytes."""
-    ids, texts, size = [], [], 0
+class Blocks:
+    """Rows gathered into blocks: full once it holds BLOCK bytes, whatever the batches in which the rows come."""
+
+    def __init__(self, stream: str):
+        self.stream, self.number = stream, 0
+        self.ids: list = []
+        self.texts: list[bytes] = []
+        self.size = 0
+
+    def add(self, i, text: bytes) -> bool:
+        self.ids.append(i)
+        self.texts.append(text)
+        self.size += len(text)
+        return self.size >= BLOCK
+
+    def take(self) -> tuple[str, list, list[bytes]]:
+        """The block's name, ids and texts; the next one is empty."""
+        digest = hashlib.md5(repr(self.ids).encode())
+        for t in self.texts:
+            digest.update(t)
+            digest.update(b"\0")
+        context = TaskContext.get()
+        name = f"{self.stream} {context.partitionId() if context else 0} {self.number} {digest.hexdigest()}"
+        out = name, self.ids, self.texts
+        self.number, self.ids, self.texts, self.size = self.number + 1, [], [], 0
+        return out
+
+
+def blocks(batches: Iterator[pa.RecordBatch], names: tuple[str, ...] = ("all", "deleted")) -> Iterator[tuple[str, list, list[bytes]]]:
+    """Name, ids and texts of the blocks of two streams: all rows, and once more those kept from the counts."""
+    streams = [Blocks(name) for name in names]
     for batch in slices(batches):
-        part = as_bytes(batch.column(1))
-        ids += batch.column(0).to_pylist()
-        texts += part
-        size += sum(map(len, part))
-        if size >= BLOCK:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
-
-
-def name_of(ids: list, texts: list[bytes], stream: str) -> str:
-    digest = hashlib.md5(stream.encode())
-    digest.update(repr(ids).encode())
-    for t in texts:
-        digest.update(t)
-        digest.update(b"\0")
-    return digest.hexdigest()
+        for i, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
+            for stream in streams:
+                if (stream.stream == "all" or is_deleted(i)) and stream.add(i, text):
+                    yield stream.take()
+    for stream in streams:
+        if stream.ids:
+            yield stream.take()
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -108,24 +130,27 @@ def _part(keys: np.ndarray, ranges: int) -> np.ndarray:
     return ((keys >> np.uint64(33)) * np.uint64(ranges) >> np.uint64(31)).astype(np.int64)
 
 
-def requests(docs: DataFrame, stream: str, ranges: int) -> DataFrame:
+def _parted(name: str, kind: int, keys: np.ndarray, n: np.ndarray, m: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """One row for each part that has keys. keys: sorted."""
+    part = _part(keys, parts)
+    edges = np.flatnonzero(np.diff(part, prepend=-1))
+    for a, b in zip(edges, [*edges[1:], len(keys)]):
+        yield pa.RecordBatch.from_pylist([{"block": name, "kind": kind, "part": int(part[a]), "keys": keys[a:b].tobytes(), "n": _pack(n[a:b]), "m": _pack(m[a:b])}], REQUEST)
+
+
+def requests(docs: DataFrame, ranges: int) -> DataFrame:
     """What each block asks: (block, kind, part, keys, n in training texts, n in deleted ones). The stream 'deleted' asks only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in blocks(batches):
+        for name, ids, texts in blocks(batches):
             token, _, bigram, sizes = token_keys(texts)
-            training = np.repeat([is_training(i) for i in ids], sizes) & (stream == "all")
-            deleted = np.repeat([is_deleted(i) for i in ids], sizes) & (stream == "all")
-            name = name_of(ids, texts, stream)
+            counted = name.startswith("all")
+            training = np.repeat([is_training(i) for i in ids], sizes) & counted
+            deleted = np.repeat([is_deleted(i) for i in ids], sizes) & counted
             for kind, every in ((WORD_KIND, token), (BIGRAM_KIND, bigram)):
                 keys, at = np.unique(every, return_inverse=True)
                 n, m = (np.bincount(at, w, len(keys)).astype(np.int64) for w in (training, deleted))
-                part = _part(keys, ranges)
-                edges = np.flatnonzero(np.diff(part, prepend=-1))
-                for a, b in zip(edges, [*edges[1:], len(keys)]):
-                    yield pa.RecordBatch.from_pylist(
-                        [{"block": name, "kind": kind, "part": int(part[a]), "keys": keys[a:b].tobytes(), "n": _pack(n[a:b]), "m": _pack(m[a:b])}], REQUEST
-                    )
+                yield from _parted(name, kind, keys, n, m, ranges)
 
     return docs.select("doc_id", "text").mapInArrow(run, "block string, kind int, part long, keys binary, n binary, m binary")
 
@@ -154,14 +179,48 @@ def answers(asked: DataFrame) -> DataFrame:
     return asked.groupBy("kind", "part").applyInArrow(add, fields)
 
 
+def exchanged(docs: DataFrame, ranges: int) -> DataFrame:
+    """answers() to the requests of all blocks of docs, on one level or two."""
+    if ranges <= FAN:
+        return answers(requests(docs, ranges))
+    bundles = max(1, ranges * RANGE * 2 // (FAN * BUNDLE))
+    asked = cut(requests(docs, FAN)).withColumn("bundle", F.pmod(F.crc32(F.encode("block", "UTF-8")), F.lit(bundles)))
+    key = ["kind", "part", "bundle"]
+
+    def merge(t: pa.Table) -> pa.Table:
+        keys, at = np.unique(np.concatenate([np.frombuffer(k, np.uint64) for k in t["keys"].to_pylist()]), return_inverse=True)
+        n, m = (np.bincount(at, np.concatenate([_unpack(x) for x in t[c].to_pylist()]), len(keys)).astype(np.int64) for c in ("n", "m"))
+        name = f"{t['part'][0].as_py()} {t['bundle'][0].as_py()}"
+        return pa.Table.from_batches(list(_parted(name, t["kind"][0].as_py(), keys, n, m, ranges)), REQUEST)
+
+    def spread(t: pa.Table, found: pa.Table) -> pa.Table:
+        asked = [np.frombuffer(k, np.uint64) for k in t["keys"].to_pylist()]
+        keys = np.unique(np.concatenate(asked))
+        found = found.sort_by("fine")
+        total, deleted = (np.concatenate([_unpack(x) for x in found[c].to_pylist()]) for c in ("total", "deleted"))
+        if len(total) != len(keys):
+            raise RuntimeError("a bundle of blocks has lost an answer")
+        rows = []
+        for name, kind, part, mine in zip(t["block"].to_pylist(), t["kind"].to_pylist(), t["part"].to_pylist(), asked):
+            at = np.searchsorted(keys, mine)
+            rows.append({"block": name, "kind": kind, "part": part, "total": _pack(total[at]), "deleted": _pack(deleted[at])})
+        return pa.Table.from_pylist(rows, ANSWER)
+
+    fine = cut(answers(asked.groupBy(*key).applyInArrow(merge, asked.drop("bundle").schema)))
+    names = F.split("block", " ")
+    of_bundle = fine.where("block is not null").select("kind", names[0].cast("long").alias("part"), names[1].cast("long").alias("bundle"), F.col("part").alias("fine"), "total", "deleted")
+    back = asked.groupBy(*key).cogroup(of_bundle.groupBy(*key)).applyInArrow(spread, fine.schema)
+    return back.unionByName(fine.where("block is null"))
+
+
 def packed(docs: DataFrame, stream: str) -> DataFrame:
-    """The blocks themselves, to meet their answers: (block, ids, sizes in bytes, texts)."""
+    """The blocks of a stream themselves, to meet their answers: (block, ids, sizes in bytes, texts)."""
     kind = pa.schema([("block", pa.string()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("texts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in blocks(batches):
+        for name, ids, texts in blocks(batches, (stream,)):
             body = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
-            yield pa.RecordBatch.from_pylist([{"block": name_of(ids, texts, stream), "ids": ids, "sizes": list(map(len, texts)), "texts": body}], kind)
+            yield pa.RecordBatch.from_pylist([{"block": name, "ids": ids, "sizes": list(map(len, texts)), "texts": body}], kind)
 
     return docs.select("doc_id", "text").mapInArrow(run, "block string, ids array<bigint>, sizes array<int>, texts binary")
 
@@ -230,9 +289,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stage
     rows = cut(rows) if stage else rows
     n_bytes = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     ranges = max(8, math.ceil(n_bytes / 6 * 0.8 / RANGE))
-    crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    some = rows.where((F.pmod(crc, F.lit(MODULUS)) != HELD_OUT) & (F.pmod(F.floor(crc / MODULUS), F.lit(HELD)) == 0))
-    found = cut(answers(requests(rows, "all", ranges).union(requests(some, "deleted", ranges))))
+    found = cut(exchanged(rows, ranges))
     totals = found.where(f"block is null and kind = {WORD_KIND}").agg(F.sum("types"), F.sum("tokens"), F.sum("deleted_tokens")).first()
     types, tokens, deleted_tokens = (int(x or 0) for x in totals)
     uniform = 1 / (types + 1)
@@ -250,7 +307,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stage
 
     answered = found.where("block is not null").select("block", "kind", "part", "total", "deleted")
     histogram = (
-        packed(some, "deleted").groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(weigh, "bucket long, q1 long, q2 long, n long")
+        packed(rows, "deleted").groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(weigh, "bucket long, q1 long, q2 long, n long")
     ).groupBy("bucket", "q1", "q2").agg(F.sum("n").alias("n"))
     weights = learn(histogram.toPandas())
 

@@ -121,29 +121,42 @@ def test_ngram_base_counts(spark, docs):
     assert np.allclose(got.base_score, [sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w) for w in words])
 
 
-def test_ngram_mixture(spark):
-    """On a corpus small enough to count by hand, with the weights that were learned."""
-    rows_ = [(i, " ".join(np.random.default_rng(i).choice(list("abcdef"), 40))) for i in range(300)]
-    df = spark.createDataFrame(rows_, "doc_id long, text string").repartition(4)
-    seen = {}
-    learn = ngram_lm.learn
-    ngram_lm.learn = lambda h: seen.setdefault("w", learn(h))
-    try:
-        got = {r.doc_id: r.score for r in ngram_lm.score(df, stage=True).collect()}
-    finally:
-        ngram_lm.learn = learn
+def mixture_by_hand(rows_, weights):
     uni, bi, ctx = collections.Counter(), collections.Counter(), collections.Counter()
     for i, t in rows_:
         if ngram_lm.is_training(i):
             w = ["<s>", *t.split(), "</s>"]
             uni.update(w[1:]), bi.update(zip(w, w[1:])), ctx.update(w[:-1])
-    n, v = sum(uni.values()), len(uni)
-    for i, t in rows_[:20]:
+    n, v, out = sum(uni.values()), len(uni), []
+    for _, t in rows_:
         w, total = ["<s>", *t.split(), "</s>"], 0.0
         for a, b in zip(w, w[1:]):
-            k = seen["w"][min(int(math.log2(ctx[a] + 1)), ngram_lm.BUCKETS - 1)]
+            k = weights[min(int(math.log2(ctx[a] + 1)), ngram_lm.BUCKETS - 1)]
             total += math.log10(k[0] / (v + 1) + k[1] * uni[b] / n + k[2] * bi[a, b] / max(ctx[a], 1))
-        assert abs(got[i] - total) < 1e-9
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize("stage, times, small", [(True, 1, False), (False, 1, False), (False, 2, False), (False, 3, True)])
+def test_ngram_mixture(spark, tmp_path, monkeypatch, stage, times, small):
+    """On a corpus small enough to count by hand, with the weights that were learned; also of a table joined to itself,
+    so that whole blocks are equal, and with the exchange on two levels."""
+    rows_ = [(i, " ".join(np.random.default_rng(i).choice(list("abcdef"), 40))) for i in range(300)]
+    path = str(tmp_path / "t")
+    spark.createDataFrame(rows_, "doc_id long, text string").coalesce(4).write.parquet(path)
+    df = one = spark.read.parquet(path)
+    for _ in range(times - 1):
+        df = df.unionByName(one)
+    if small:
+        for name, value in {"FAN": 3, "RANGE": 2, "BLOCK": 3000, "BUNDLE": 20}.items():
+            monkeypatch.setattr(ngram_lm, name, value)
+    seen, learn = {}, ngram_lm.learn
+    monkeypatch.setattr(ngram_lm, "learn", lambda h: seen.setdefault("w", learn(h)))
+    got = collections.defaultdict(list)
+    for r in ngram_lm.score(df, stage=stage).collect():
+        got[r.doc_id].append(r.score)
+    want = mixture_by_hand(rows_ * times, seen["w"])[: len(rows_)]
+    assert all(len(got[i]) == times and np.allclose(got[i], w, rtol=0, atol=1e-8) for (i, _), w in zip(rows_, want))
     assert np.allclose(seen["w"].sum(1), 1)
 
 
