@@ -1,8 +1,8 @@
 """Main text of a web page by tree scoring.
 
 The markup becomes a tree; menus, notices, adverts, forms, comments and the like are cut off it. Paragraphs then
-pass points for their length and their commas to their ancestors, less with each level; an ancestor's points are
-discounted by the share of its text that is in links. The container with most points is kept, widened to the
+pass points for their length and their commas to their ancestors, less with each level and none beyond FADED of them;
+an ancestor's points are discounted by the share of its text that is in links. The container with most points is kept, widened to the
 article around it if there is one, together with siblings that have enough points or a whole paragraph.
 
 Words of a class or id only suggest what is to be cut. A class such as with-sidebar tells what an element has, not what
@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,6 +46,8 @@ ENDS = {
     "tr": ({"tr", "td", "th"}, {"table"}),
     "body": ({"head"}, set()),
 }
+#: Tags that change what an ENDS tag ends.
+SCOPED = frozenset().union(*(ended | border for ended, border in ENDS.values()))
 CUT_TAGS = frozenset("head nav footer aside form button menu dialog label fieldset".split())
 CUT_ROLES = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog menu menubar form".split())
 #: Words in a class or id that mark what isn't the article.
@@ -63,19 +67,27 @@ PARAGRAPHS = frozenset("p pre td blockquote li dd div section article main body
 LEAST_PARAGRAPH, SIBLING_SHARE, SIBLING_LEAST, LONG_PARAGRAPH = 25, 0.2, 10.0, 80
 #: The least share of the unlinked paragraph text that cuts by class or id should leave.
 LEAST_SEEN = 0.1
+#: Levels above which a paragraph's points have faded.
+FADED = 50
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>""", re.S)
+_TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:_-]*+)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>""")
+_HEAD = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:_-]*+)")
+_LONG_NUMBER = re.compile(r"&#([0-9]{1000,});?")
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|$)""", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "words", "marks", "cut", "points", "text", "link", "holds_main", "order")
+    __slots__ = ("tag", "parent", "children", "words", "marks", "cut", "points", "text", "link", "holds_main", "order", "block", "scope", "inside")
 
     def __init__(self, tag: str, parent: "Node | None", attributes: str = ""):
         self.tag, self.parent, self.children = tag, parent, []
         self.points, self.text, self.link, self.holds_main, self.order = 0.0, 0, 0, False, 0
         self.words, self.marks, self.cut = frozenset(), frozenset(), tag in CUT_TAGS
+        # what would take a climb to find: the nearest block, what an ENDS tag ends here, the article or main around
+        self.block = self if tag in BLOCK or parent is None else parent.block
+        self.scope = {} if parent is None else _scope(self, parent.scope) if tag in SCOPED else parent.scope
+        self.inside = None if parent is None else parent if parent.tag in ("article", "main") else parent.inside
         if attributes:
             self._read(attributes)
 
@@ -94,56 +106,119 @@ class Node:
                 self.cut = True
 
 
+def _scope(node: Node, outer: dict[str, Node]) -> dict[str, Node]:
+    """For each tag of ENDS the outermost element that it ends within node, up to what stands between."""
+    out = {}
+    for tag, (ended, border) in ENDS.items():
+        if node.tag not in border:
+            found = outer.get(tag) or (node if node.tag in ended else None)
+            if found:
+                out[tag] = found
+    return out
+
+
+class Tags:
+    """The tags of a page, found in time in proportion to its length, also where quotes or tags never close."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.stops: list[int] | None = None
+
+    def at(self, start: int) -> tuple[str, str, str, int] | None:
+        """Slash, name, attributes and end of the tag that starts there, if one does."""
+        if self.stops is None:
+            m = _TAG.match(self.page, start)
+            if m:
+                return m[1], m[2], m[3], m.end()
+            if not _HEAD.match(self.page, start):
+                return None
+            # a tag that doesn't close: from here on places of quotes and > are looked up, never searched for again
+            self.stops = [m.start() for m in re.finditer("[\"'>]", self.page[start:])]
+            self.stops = [start + k for k in self.stops]
+            self.again, last = [0] * len(self.stops), {}
+            for k in range(len(self.stops) - 1, -1, -1):
+                quote = self.page[self.stops[k]]
+                self.again[k] = last.get(quote, -1)
+                last[quote] = k
+            self.lost: set[int] = set()
+        head = _HEAD.match(self.page, start)
+        if not head:
+            return None
+        k, opened = bisect_left(self.stops, head.end()), []
+        while 0 <= k < len(self.stops) and k not in self.lost:
+            if self.page[self.stops[k]] == ">":
+                end = self.stops[k]
+                return head[1], head[2], self.page[head.end() : end], end + 1
+            opened.append(k)
+            k = self.again[k] + 1 if self.again[k] >= 0 else -1
+        self.lost.update(opened)
+        return None
+
+
+def _raw_end(page: str, tag: str, here: int) -> int:
+    """Behind the end tag of an element whose content is no markup."""
+    close = re.compile(rf"</{tag}\b", re.I).search(page, here)
+    end = page.find(">", close.end()) if close else -1
+    return end + 1 if end >= 0 else len(page)
+
+
 def parse(page: str) -> Node:
-    root = Node("html", None)
-    at, here = root, 0
-    end = len(page)
-    for_end: dict[str, re.Pattern] = {}
-    while here < end:
-        m = _TOKEN.search(page, here)
-        if not m:
-            at.children.append(page[here:])
-            break
-        if m.start() > here:
-            at.children.append(page[here : m.start()])
-        here = m.end()
-        tag = m[2]
-        if not tag:
+    at = root = Node("html", None)
+    here = text = 0
+    tags, open_ = Tags(page), Counter()
+
+    def close(upto: Node) -> Node:
+        """Leaves all elements up to this one, too."""
+        node = at
+        while node is not upto:
+            open_[node.tag] -= 1
+            node = node.parent
+        open_[upto.tag] -= 1
+        return upto.parent
+
+    while (here := page.find("<", here)) >= 0:
+        second = page[here + 1 : here + 2]
+        if second == "!" or second == "?":
+            mark = "-->" if page.startswith("<!--", here) else ">"
+            end = page.find(mark, here + (4 if mark == "-->" else 2))
+            found, end = ("", "", "", 0), len(page) if end < 0 else end + len(mark)
+        else:
+            found = tags.at(here) if second == "/" or second.isalpha() else None
+            end = found[3] if found else 0
+        if not found:
+            here += 1
+            continue
+        if here > text:
+            at.children.append(page[text:here])
+        here = text = end
+        slash, tag, attributes = found[0], found[1].lower(), found[2]
+        if not tag or (tag == "html" and not slash):
             continue
-        tag = tag.lower()
-        if m[1]:
-            node = at
-            while node and node.tag != tag:
-                node = node.parent
-            if node and node.parent:
-                at = node.parent
+        if slash:
+            if open_[tag] > 0:
+                node = at
+                while node.tag != tag:
+                    node = node.parent
+                at = close(node)
             elif tag == "p":
                 at.children.append(Node("p", at))
             continue
+        closed = attributes.rstrip().endswith("/")
         if tag in RAW:
-            if not m[3].rstrip().endswith("/"):
-                close = for_end.setdefault(tag, re.compile(rf"</{tag}\b[^>]*>", re.I)).search(page, here)
-                here = close.end() if close else end
-            continue
-        if tag == "html":
+            if not closed:
+                here = text = _raw_end(page, tag, here)
             continue
-        if tag in CLOSES_P:
-            node = at
-            while node.tag != "p" and node.parent and (node.tag not in BLOCK):
-                node = node.parent
-            if node.tag == "p":
-                at = node.parent
-        if tag in ENDS:
-            ended, border = ENDS[tag]
-            node, found = at, None
-            while node.parent and node.tag not in border:
-                found = node if node.tag in ended else found
-                node = node.parent
-            at = found.parent if found else at
-        child = Node(tag, at, m[3])
+        if tag in CLOSES_P and at.block.tag == "p":
+            at = close(at.block)
+        if tag in ENDS and tag in at.scope:
+            at = close(at.scope[tag])
+        child = Node(tag, at, attributes)
         at.children.append(child)
-        if tag not in VOID and not (m[3].rstrip().endswith("/") and tag not in BLOCK and tag != "a"):
+        if tag not in VOID and not (closed and tag not in BLOCK and tag != "a"):
             at = child
+            open_[tag] += 1
+    if text < len(page):
+        at.children.append(page[text:])
     return root
 
 
@@ -169,9 +244,7 @@ def _cut(root: Node) -> None:
             node.parent.holds_main = True
     marked = []
     for node in every:
-        inside = node.parent
-        while inside and inside.tag not in ("article", "main"):
-            inside = inside.parent
+        inside = node.inside
         if node.tag == "header" and not inside:
             node.cut = True
         if not node.cut and (node.marks & CUT_WORDS or (not inside and node.marks & HEADER_WORDS)):
@@ -251,7 +324,7 @@ def choose(root: Node) -> list[Node]:
             continue
         points = 1.0 + text.count(",") + text.count("，") + min(len(text) / 100, 3.0)
         up, level = (node.parent if node.tag in ("p", "pre", "td", "blockquote", "li", "dd", "figcaption") else node), 0
-        while up:
+        while up and level <= FADED:
             up.points += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
             scored[up.order] = up
             up, level = up.parent, level + 1
@@ -281,13 +354,19 @@ def choose(root: Node) -> list[Node]:
     return kept
 
 
+def _number(m: re.Match) -> str:
+    """A character reference of very many digits in few: without leading zeros, or as one that is no character."""
+    digits = m[1].lstrip("0")
+    return f"&#{digits or 0};" if len(digits) < 9 else "\ufffd"
+
+
 def blocks(nodes: list[Node]) -> list[str]:
     """Text of each block, white space as one space, empty ones left out."""
     out: list[str] = []
     parts: list[str] = []
 
     def flush() -> None:
-        if text := " ".join(html.unescape("".join(parts)).split()):
+        if text := " ".join(html.unescape(_LONG_NUMBER.sub(_number, "".join(parts))).split()):
             out.append(text)
         parts.clear()
 
