@@ -6,8 +6,13 @@
    the distinct tokens of a batch of texts walk through it together. Whole terms may be misspelled (an insertion,
    deletion, substitution or swap; one for 5 to 8 letters, two from 9); stems match exactly.
 3. Each hit looks at the words around it: quotation marks around the hit and reporting words speak for a quotation,
-   words that address someone for abuse.
-4. A logistic regression over the sums of hits turns this into a score from 0 to 1.
+   words that address someone for abuse. Both kinds of words are lists of a few dozen, in four languages (REPORTING,
+   ADDRESS).
+4. A logistic regression over the sums of hits turns this into a score from 0 to 1. A ridge draws its weights to
+   PRIOR, set by hand, which is what holds for features that the training rows never show.
+
+The lexicon has no cap: a term must stand in MIN_SUPPORT_SHARE of the toxic documents, so there are at most as many as
+a toxic document has words and stems, divided by that share.
 
 Lexicon and regression are fitted on at most FIT_ROWS labelled rows, those with the smallest hash of their id; so the
 labels can be broadcast to the scan of the texts, whose other rows are never shuffled.
@@ -35,7 +40,7 @@ from lucerna.llm.common import cut, fold, slices
 
 FIT_ROWS = 40_000
 MIN_STEM, MAX_STEM, MIN_WORD = 3, 9, 4
-MIN_SUPPORT, MIN_SUPPORT_SHARE, MIN_LOG_ODDS, MIN_STEM_ODDS, MAX_TERMS = 5, 0.01, 3.5, 2.8, 400
+MIN_SUPPORT, MIN_SUPPORT_SHARE, MIN_LOG_ODDS, MIN_STEM_ODDS = 5, 0.01, 3.5, 2.8
 WHOLE_SHARE = 0.8
 FAMILY, ALIKE = 3, 4
 WINDOW = 8
@@ -109,7 +114,7 @@ def lexicon(labelled: DataFrame) -> list[Term]:
         covered.append(s)
         taken.append(Term(s, True, odds[s + "*"]))
     taken += [Term(w, False, odds[w]) for w in whole if not any(w.startswith(c) for c in covered)]
-    return families(sorted(taken, key=lambda x: (-x.weight, x.text))[:MAX_TERMS])
+    return families(sorted(taken, key=lambda x: (-x.weight, x.text)))
 
 
 def families(terms: list[Term]) -> list[Term]:
@@ -344,13 +349,14 @@ def train(labelled: DataFrame) -> Model:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: its id, score and predicted."""
+    """One row per row of docs: its id, score, predicted and the features it was scored by."""
     ready = docs.select(docs[id_col].alias(id_col), docs[text_col].alias("text"))
     if model.weights is None:
-        return ready.select(id_col, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+        return ready.select(id_col, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), *[F.lit(0.0).alias(c) for c in FEATURES])
     found = hit_features(ready, model.terms, model.tables or automata(model.terms), [id_col])
     z = sum((F.col(c) * float(w) for c, w in zip(FEATURES, model.weights)), F.lit(model.bias))
-    return found.select(id_col, (1 / (1 + F.exp(-z))).alias("score"), *FEATURES).withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+    chance = 1 / (1 + F.exp(-z))
+    return found.select(id_col, chance.alias("score"), F.when(chance >= 0.5, 1).otherwise(0).alias("predicted"), *FEATURES)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
