@@ -94,9 +94,9 @@ def word_count(text: str = "text") -> F.Column:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken (and source, times)."""
+    """One row per document: doc_id, size, source_size, target, taken, and source, times."""
     sizes = docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), word_count(text_col).alias("size"))
-    return plan(cut(sizes)).select("doc_id", "source", "size", "source_size", "target", "times", "taken")
+    return plan(cut(sizes)).select("doc_id", "size", "source_size", "target", "taken", "source", "times")
 
 
 def apply_mix(docs: DataFrame, text_col: str = "text") -> DataFrame:
