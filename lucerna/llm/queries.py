@@ -18,7 +18,7 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
-    return toxicity.score(docs, model).withColumn("held_out", fold(F.col("doc_id"), 5) == 0)
+    return toxicity.score(docs, model).select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", *toxicity.FEATURES)
 
 
 def op3_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +30,9 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_signals(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    limits = quality_rules.fit(quality_rules.training_rows(docs, table(spark, sf_dir, "labels")))
+    return quality_rules.quality_signals(docs, limits=limits)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +44,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language_id.label(docs, language_id.train(language_id.training_rows(docs)))
-    return found.withColumn("held_out", fold(F.col("doc_id"), 3) == 1)
+    return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "n_spans", "spans")
 
 
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
