@@ -16,8 +16,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the compression bands or the base rules reject."""
-    return quality_rules.keep_good(docs)
+    """Drops documents that the compression bands, fitted to the labelled ones, or the base rules reject."""
+    return quality_rules.keep_good(docs, limits=quality_rules.fit(quality_rules.training_rows(docs, table(spark, sf_dir, "labels"))))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
