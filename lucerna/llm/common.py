@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of text that a Python worker handles at a time; bounds its memory whatever the batch size.
 SLICE_BYTES = 3_000_000
+#: The most keys that looked_up() broadcasts, and the rows from which a key is one of them.
+HOT, HOT_ROWS = 1000, 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,20 +28,62 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names, else (tests, local mode) one of our own."""
+    """The shared folder the cluster names; without one the warehouse, which a cluster shares too, or in local mode a folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    own = f"{tempfile.gettempdir()}/lucerna-{uuid.uuid4().hex}"
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    if not found:
+        local = spark.sparkContext.master.startswith("local")
+        found = f"{tempfile.gettempdir()}/lucerna-{uuid.uuid4().hex}" if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_lucerna"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
+
+
+_written: list[str] = []
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder and read again: a lost executor costs no recomputation."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/lucerna/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _written.append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._lucerna_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _written.remove(path)
+
+
+def remove(*tables: DataFrame) -> None:
+    """Deletes what cut() wrote for these tables, which nothing reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, t._lucerna_path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes what cut() wrote within: for work whose result is written before the block ends."""
+    before = set(_written)
+    yield
+    for path in [p for p in _written if p not in before]:
+        _delete(spark, path)
+
+
+def looked_up(rows: DataFrame, unique: DataFrame, key: list[str], n: str) -> DataFrame:
+    """The inner join of rows with a table that has one row per key and in column n how many of the rows have it.
+
+    Of the keys with over HOT_ROWS rows the HOT with most are broadcast, so HOT narrow rows in all; any other key has at
+    most HOT_ROWS rows or 1 / HOT of them all. However many rows share a key, they never meet in one task.
+    unique should be cut and must be narrow.
+    """
+    hot = unique.where(F.col(n) > HOT_ROWS).orderBy(F.desc(n), *key).limit(HOT).collect()
+    if not hot:
+        return rows.join(unique, key)
+    top = F.broadcast(rows.sparkSession.createDataFrame(hot, unique.schema))
+    keys = F.broadcast(top.select(*key))
+    return rows.join(top, key).unionByName(rows.join(keys, key, "left_anti").join(unique.join(keys, key, "left_anti"), key))
 
 
 def fold(doc_id: Column, modulus: int) -> Column:
@@ -80,19 +125,27 @@ def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa
         yield pa.concat_tables(held).combine_chunks()
 
 
-def dealt(members: DataFrame, bucket: list[str], name: str, block: int) -> DataFrame:
+def dealt(members: DataFrame, bucket: list[str], name: str, block: int, main: str | None = None) -> DataFrame:
     """members with low, high and side, so that any two members of a bucket meet in one group (bucket, low, high).
 
     A bucket of up to `block` members is one group. A larger one is cut into parts by the hash of `name`; a group then
     holds one part, or two of them, told apart by side (0 and 1; only rows of different sides are to be compared).
     Buckets of a single member are left out.
+
+    main: a boolean column; members of the main part of their bucket need not meet each other, only all the others.
     """
-    sizes = members.groupBy(*bucket).agg(F.count("*").alias("_n")).where("_n > 1")
-    parts = F.ceil(F.col("_n") / block).cast("int")
-    with_part = members.join(sizes, bucket).withColumn("_parts", parts).withColumn("_part", F.pmod(F.xxhash64(name), F.col("_parts")).cast("int"))
-    both = with_part.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    chief = F.lit(False) if main is None else F.col(main)
+    sizes = members.groupBy(*bucket).agg(F.count("*").alias("_n"), F.count_if(chief).alias("_m")).where("_n > 1 and _n > _m")
+    # parts of the main members come first; where all fit into one block there is one part of both kinds
+    one = F.col("_n") <= block
+    sizes = cut(sizes.withColumn("_main", F.when(one, 0).otherwise(F.ceil(F.col("_m") / block))).withColumn("_parts", F.when(one, 1).otherwise(F.col("_main") + F.ceil((F.col("_n") - F.col("_m")) / block))))
+    here = F.xxhash64(name)
+    part = F.when(chief & (F.col("_main") > 0), F.pmod(here, F.col("_main"))).otherwise(F.col("_main") + F.pmod(here, F.greatest(F.col("_parts") - F.col("_main"), F.lit(1)))).cast("int")
+    with_part = looked_up(members, sizes, bucket, "_n").withColumn("_part", part)
+    first = F.when(F.col("_part") < F.col("_main"), F.col("_main")).otherwise(F.lit(0))
+    both = with_part.withColumn("_other", F.explode(F.sequence(first.cast("int"), (F.col("_parts") - 1).cast("int"))))
     placed = both.withColumn("low", F.least("_part", "_other")).withColumn("high", F.greatest("_part", "_other"))
-    return placed.withColumn("side", F.when(F.col("_part") > F.col("low"), 1).otherwise(0)).drop("_n", "_parts", "_part", "_other")
+    return placed.withColumn("side", F.when(F.col("_part") > F.col("low"), 1).otherwise(0)).drop("_n", "_m", "_main", "_parts", "_part", "_other")
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:

@@ -1,7 +1,10 @@
 """Connected components by alternating large and small stars (Kiveris et al., 2014), a table per round.
 
-Labels and edges stay distributed; the driver sees one count and one sum a round. Each round's edges are written
-to the shared checkpoint folder, so lineage stays short and a lost executor costs no recomputation.
+Labels and edges stay distributed; the driver sees a count and two checksums a round. Each round's edges are written
+to the shared checkpoint folder, so lineage stays short and a lost executor costs no recomputation; the edges of the
+round before are removed then. A node's least neighbour comes from a partial aggregate; where very many edges of one
+node meet it again, the join is a plain sort-merge join that a shuffle follows, whose skewed partitions Spark splits
+(spark.sql.adaptive.skewJoin).
 """
 
 from __future__ import annotations
@@ -9,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lucerna.llm.common import cut
+from lucerna.llm.common import cut, remove
 
 MAX_ROUNDS = 60
 
@@ -33,9 +36,12 @@ def components(edges: DataFrame) -> DataFrame:
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
     for _ in range(MAX_ROUNDS):
-        now = cut(_small_star(_large_star(now)))
-        found = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-        if found == state:
+        after = cut(_small_star(_large_star(now)))
+        name = F.xxhash64("a", "b")
+        found = after.agg(F.count("*"), F.sum(name.cast("decimal(20,0)")), F.bit_xor(name)).first()
+        remove(now)
+        now = after
+        if found == state or not found[0]:
             break
         state = found
     else:

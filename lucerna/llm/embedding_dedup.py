@@ -2,7 +2,7 @@
 
 1. Equal vectors become one class; what follows works on one vector per class.
 2. Each vector is turned by seeded sign flips and fast Hadamard transforms; the corner of the cross-polytope (a
-   coordinate with its sign) nearest to it is its hash. FUNCTIONS corners make a bucket of one of TABLES tables;
+   coordinate with its sign) nearest to it is its hash. A few corners make a bucket of one of the tables;
    with multiprobing a vector also stands in the PROBES buckets that come next.
 3. Vectors that share a bucket are candidates. Their cosines are taken in double precision, in blocks of at most
    BLOCK x BLOCK; a bucket with more vectors is dealt as pairs of blocks over several tasks. A pair counts only in
@@ -10,7 +10,8 @@
 4. Blocks give each vector its number of links and one link to a common vector of those linked with it; connected
    components follow from the latter.
 
-More vectors fill the buckets; FUNCTIONS follows their number so that a bucket keeps a few unrelated ones.
+More vectors fill the buckets; the number of corners follows theirs so that a bucket keeps a few unrelated ones, and
+the number of tables follows that of the corners so that pairs are found as often.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components link with nothing; equal
 vectors link with each other; vectors of different length don't link; a row that repeats a vec_id adds its own
@@ -28,10 +29,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lucerna.llm.common import cut, dealt, groups_of
+from lucerna.llm.common import cut, dealt, groups_of, looked_up
 from lucerna.llm.components import components
 
 THRESHOLD, TABLES, PROBES, BLOCK, SEED = 0.95, 6, 4, 1024, 10
+#: Corners up to which TABLES do, and how many times more tables each further corner asks for.
+FEW_CORNERS, MORE_TABLES = 4, 1.6
 #: Unrelated vectors that a bucket may hold on average.
 FILL = 4
 
@@ -42,6 +45,11 @@ def functions_for(n: int, dimensions: int) -> int:
     return max(1, math.ceil(math.log(max(n * PROBES / FILL, 2)) / math.log(corners)))
 
 
+def tables_for(functions: int) -> int:
+    """Tables that find a pair at the threshold with probability 0.98 or more, as measured for 1 to 6 corners in 64 dimensions."""
+    return math.ceil(TABLES * MORE_TABLES ** max(0, functions - FEW_CORNERS))
+
+
 def _power(d: int) -> int:
     return 1 << max(1, (d - 1).bit_length())
 
@@ -57,10 +65,11 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / math.sqrt(d)
 
 
-def buckets(unit: np.ndarray, functions: int, tables: int = TABLES, probes: int = PROBES, seed: int = SEED) -> np.ndarray:
+def buckets(unit: np.ndarray, functions: int, tables: int | None = None, probes: int = PROBES, seed: int = SEED) -> np.ndarray:
     """(vectors, tables * probes) bucket codes. The first bucket of a table has the nearest corners; each further one
     changes the corner whose second choice is nearest, in order of that loss."""
     n, d = unit.shape
+    tables = tables or tables_for(functions)
     wide = np.zeros((n, _power(d)))
     wide[:, :d] = unit
     size = wide.shape[1]
@@ -143,12 +152,12 @@ def _least_shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def keyed(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, vector, key) for each row; equal vectors share a key, one that can't link has no vector and a key of its own."""
+    """(id, vector, key) for each row; equal vectors share a key, one that can't link has neither vector nor key."""
     v = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].cast("array<double>").alias("vector"))
     fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     v = v.withColumn("vector", F.when(F.col("id").isNotNull() & F.coalesce(fine, F.lit(False)), F.transform("vector", lambda x: F.when(x == 0, 0.0).otherwise(x))))
     text = F.array_join(F.transform("vector", lambda x: x.cast("string")), ",")
-    return v.withColumn("key", F.coalesce(F.sha2(text, 256), F.concat(F.lit("row "), F.coalesce(F.col("id").cast("string"), F.lit("")))))
+    return v.withColumn("key", F.sha2(text, 256))
 
 
 def links(reps: DataFrame, functions: int, threshold: float = THRESHOLD) -> DataFrame:
@@ -200,14 +209,13 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     found = cut(links(reps, functions_for(seen[0], seen[1] or 1), threshold))
     per_rep = found.groupBy("rep").agg(F.sum("n").alias("n"))
     named = cut(components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b"))))
-    label = (
+    label = cut(
         reps.join(per_rep, "rep", "left")
         .join(named.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("key", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        .select("key", "size", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     )
-    return (
-        rows.select("id", "key")
-        .join(label, "key", "left")
-        .select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+    linked = looked_up(rows.where("key is not null").select("id", "key"), label, ["key"], "size").select("id", "n_links", "component_id")
+    alone = rows.where("key is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    return linked.unionByName(alone).select(
+        F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")
     )

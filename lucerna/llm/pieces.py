@@ -9,7 +9,8 @@ model's own encoding, token by token.
 
 White space splits words: no piece of the model holds it after another character (checked when the tables are
 built). So do punctuation marks that no piece holds after a letter or digit. A character that no piece holds
-becomes its UTF-8 bytes.
+becomes its UTF-8 bytes. The rare word of over LONG_WORD characters is merged pair by pair from a queue instead, in time
+that grows with its length and not with numpy calls for every character; the result is the same.
 
 Defined results: a null or empty text has no tokens and decodes to ''; the model writes U+2581 for a space, so
 that character decodes to a space; repeated rows and null ids are encoded each on its own; an empty table gives
@@ -18,6 +19,7 @@ an empty result; other columns are carried along by add_tokens and not returned
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,6 +34,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: A memo of encoded words per task is emptied beyond so many words.
 MEMO_WORDS = 400_000
+#: Characters above which a word's merges are made one after the other.
+LONG_WORD = 256
 TOKENS = "token_ids array<int>, n_tokens long, n_byte_tokens long, decoded_ok boolean"
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -54,6 +58,7 @@ class Tables:
     text: list[bytes]  # UTF-8 of each model id, U+2581 as a space
     units: str  # pattern of what can be encoded by itself
     maybe: np.ndarray  # whether a hash's first bits occur among keys
+    joins: dict[int, int] | None = None  # merged by pair, made where it is first needed
 
 
 def _hash(codes: np.ndarray) -> np.ndarray:
@@ -218,6 +223,36 @@ def viterbi(t: Tables, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return back[there], there.sum(1)
 
 
+def merge_pieces(t: Tables, codes: np.ndarray) -> np.ndarray:
+    """The pieces of one very long word, by the model's merges in the order of their rank, the leftmost first.
+
+    What viterbi() gives, too; it takes numpy steps for each character of a word, which pay where many words share them.
+    """
+    joins = t.joins if t.joins is not None else dict(zip(t.pairs.tolist(), t.merged.tolist()))
+    t.joins = joins
+    n = len(codes)
+    h = codes.astype(np.uint64) + np.uint64(1)
+    k = np.minimum(np.searchsorted(t.keys, h), len(t.keys) - 1)
+    unknown = len(t.lengths) - 1
+    piece = np.where((t.keys[k] == h) & (t.lengths[t.at[k]] == 1), t.at[k], unknown).tolist()
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(m, i, piece[i], piece[i + 1]) for i in range(n - 1) if (m := joins.get(piece[i] << 32 | piece[i + 1])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        m, i, a, b = heapq.heappop(heap)
+        j = after[i]
+        if piece[i] != a or j >= n or piece[j] != b:
+            continue  # one of the two has been merged already
+        piece[i], piece[j] = m, -1
+        after[i] = after[j]
+        if after[j] < n:
+            before[after[j]] = i
+        for x, y in ((before[i], i), (i, after[i])):
+            if x >= 0 and y < n and (made := joins.get(piece[x] << 32 | piece[y])) is not None:
+                heapq.heappush(heap, (made, x, piece[x], piece[y]))
+    return np.array([q for q in piece if q >= 0])
+
+
 def encode_words(t: Tables, words: list[str], memo: dict[str, bytes]) -> None:
     """Adds to memo the model ids, as int32 bytes, of words that hold no white space but at their start."""
     plain, runs = set(), []
@@ -237,7 +272,11 @@ def encode_words(t: Tables, words: list[str], memo: dict[str, bytes]) -> None:
         for k in range(0, len(all_of), step):
             group = all_of[k : k + step]
             codes = np.frombuffer("".join(group).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(group), length)
-            flat, counts = viterbi(t, codes)
+            if length <= LONG_WORD:
+                flat, counts = viterbi(t, codes)
+            else:
+                each = [merge_pieces(t, c) for c in codes]
+                flat, counts = np.concatenate(each), np.array([len(e) for e in each])
             ids = t.ids[flat].astype(np.int32)
             ends = np.cumsum(counts)
             data = ids.tobytes()
@@ -313,7 +352,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
 
 def decode(tokens: DataFrame, ids_col: str = "token_ids", model: str = MODEL) -> DataFrame:
-    """tokens with a column decoded: the text of its token ids."""
+    """tokens with a column decoded: the text of its token ids. No ids give ''; null or unknown ids among others stand for nothing."""
     shared = tokens.sparkSession.sparkContext.broadcast(load(model))
     kept = [c for c in tokens.columns if c != "decoded"]
     source = tokens.select(*[f"`{c}`" for c in kept])
@@ -321,7 +360,8 @@ def decode(tokens: DataFrame, ids_col: str = "token_ids", model: str = MODEL) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [decode_ids(shared.value, np.array(x or [], np.int32)).decode("utf-8", "replace") for x in batch.column(at).to_pylist()]
+            size = len(shared.value.text)
+            texts = [decode_ids(shared.value, np.array([i for i in x or [] if i is not None and 0 <= i < size], np.int32)).decode("utf-8", "replace") for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*kept, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)

@@ -72,12 +72,25 @@ def test_language(docs, none):
     assert language_id.label(none, model).count() == 0
 
 
-def test_dedup(docs, none):
+def test_dedup(spark, docs, none):
     got = by_id(minhash_dedup.groups(docs), "class_id")
     assert got[None] == [None] and got[8] == [8, 8] and got[2] == [2] and got[3] == [3] and got[4] == [4]
+    assert sorted(by_id(minhash_dedup.groups(docs), "kept")[8]) == [False, True]
     kept = minhash_dedup.keep_one(docs)
-    assert kept.columns == docs.columns and kept.count() == len(ROWS)
-    assert minhash_dedup.groups(none).count() == 0
+    assert kept.columns == docs.columns and sorted(r.n_words for r in kept.select("doc_id", "n_words").collect()) == [1, 2, 3, 4, 5, 6, 7, 8, 9]
+    assert minhash_dedup.groups(none).count() == minhash_dedup.keep_one(none).count() == 0
+
+
+def test_dedup_of_rows_that_repeat(spark):
+    """One row of each group stays, whether rows repeat whole, repeat an id with another text, or are copies."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a, "p"), (1, a, "p"), (1, a.upper(), "q"), (2, a, "r"), (3, b, "s"), (3, c, "t"), (4, c, "u"), (5, None, "v"), (5, None, "w"), (5, "", "x"), (6, "", "y"), (None, a, "z"), (None, a, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id string").repartition(4)
+    kept = sorted(tuple(r) for r in minhash_dedup.keep_one(df.select("doc_id", "text", "_id")).fillna(0, ["doc_id"]).select("doc_id", "_id").collect())
+    assert [k for k, _ in kept] == [0, 0, 1, 3, 3, 5, 6] and {x for k, x in kept if k == 3} == {"s", "t"}
+    assert kept == sorted(tuple(r) for r in minhash_dedup.keep_one(df.repartition(2)).fillna(0, ["doc_id"]).select("doc_id", "_id").collect())
+    got = minhash_dedup.groups(df).where("doc_id is not null").collect()
+    assert len(got) == 11 and sum(r.kept for r in got) == 5 and {r.class_id for r in got if r.doc_id in (1, 2)} == {1} and {r.class_id for r in got if r.doc_id == 4} == {3}
 
 
 def test_ngrams(docs, none):

@@ -351,6 +351,23 @@ def test_encoding_equals_the_library(docs):
     assert [pieces.decode_ids(t, np.array(g, np.int32)).decode() for g in got] == [x.replace("▁", " ") for x in texts]
 
 
+def test_long_words_equal_the_library():
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    t = pieces.load()
+    rng = np.random.default_rng(1)
+    texts = ["".join(rng.choice(list(letters), int(n))) for letters in ("abcdefghijklmnop", "ABCab01+/=", "aab", "eé漢😀t") for n in (250, 257, 300, 900, 5000)]
+    assert [np.frombuffer(x, np.int32).tolist() for x in pieces.encode_texts(t, texts, {})] == sp.encode(texts)
+    started = time.process_time()
+    pieces.encode_texts(t, ["".join(rng.choice(list("ABCDEFabcdef0123+/"), 200_000))], {})
+    assert time.process_time() - started < 8
+
+
+def test_decode_of_nulls_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, None, "x"), (2, [], "y"), (3, [450, None, -1, 10**6], "z")], "doc_id long, token_ids array<int>, decoded string")
+    out = pieces.decode(df)
+    assert out.columns == ["doc_id", "token_ids", "decoded"] and [r.decoded for r in out.orderBy("doc_id").collect()][:2] == ["", ""]
+
+
 def test_decode_operator(spark, docs):
     df = spark.createDataFrame(docs[["doc_id", "text"]].head(20))
     out = pieces.decode(pieces.add_tokens(df)).collect()
@@ -419,6 +436,19 @@ def test_embedding_links_equal_brute_force(spark):
     assert (got.n_links <= true).all() and got.n_links.sum() >= 0.97 * true.sum()
 
 
+@pytest.mark.parametrize("functions", [1, 2, 3, 4, 5, 6])
+def test_embedding_recall(functions):
+    """Pairs with a cosine of 0.95 meet in a bucket, however many corners the number of vectors asks for."""
+    rng = np.random.default_rng(functions)
+    x = rng.normal(size=(1000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    away = rng.normal(size=(1000, 64))
+    away -= (away * x).sum(1)[:, None] * x
+    y = 0.95 * x + math.sqrt(1 - 0.95**2) * away / np.linalg.norm(away, axis=1)[:, None]
+    a, b = embedding_dedup.buckets(x, functions), embedding_dedup.buckets(y, functions)
+    assert np.mean([np.isin(p, q).any() for p, q in zip(a, b)]) > 0.97
+
+
 def test_embedding_blocks(spark, monkeypatch):
     """A bucket of many vectors is dealt as pairs of blocks and loses nothing."""
     monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
