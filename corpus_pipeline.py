@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from lucerna.llm import language_id, minhash_dedup, mixing, pieces, quality_rules
-from lucerna.llm.common import checkpoint_dir, table
+from lucerna.llm.common import checkpoint_dir, scratch, table
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +42,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn, each written as Parquet and read again."""
+    """All stages in turn, each written as Parquet and read again; what a stage wrote on its way is removed behind it."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = f"{checkpoint_dir(spark).rstrip('/')}/lucerna/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
