@@ -46,8 +46,8 @@ from lucerna.llm.common import as_bytes, cut, dealt, groups_of, looked_up, scram
 from lucerna.llm.components import components
 
 SHINGLE, THRESHOLD, BANDS, ROWS, SEED = 5, 0.8, 16, 3, 8
-#: Rounds of stars with other centres; texts still apart are compared by their samples, of which this share must agree.
-STARS, AGREE, BLOCK = 2, 0.56, 2048
+#: Rounds of stars with other centres, in parts of RAYS; texts still apart are compared by their samples, of which this share must agree.
+STARS, AGREE, BLOCK, RAYS = 2, 0.56, 2048, 256
 FREQUENT, LEAST_FREQUENT, FLOOR = 5e-4, 10, 0.5
 #: Keys that a task counts at a time, that a counting group holds on average, and the most parts that a task's or a bundle's keys are cut into.
 COUNTED, GROUP, FAN = 1_000_000, 1_000_000, 4096
@@ -261,14 +261,14 @@ def residual(members: DataFrame, texts: DataFrame, known: tuple[np.ndarray, np.n
 
 
 def spread_stars(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs (centre, ray) and their texts as groups (centre, part) of at most about BLOCK rays, the centre first in each.
+    """pairs (centre, ray) and their texts as groups (centre, part) of at most about RAYS rays, the centre first in each.
 
     A centre's text is sent once for each part, whatever the number of its rays.
     """
     sizes = cut(pairs.groupBy("centre").agg(F.count("*").alias("n")))
-    rays = looked_up(pairs, sizes, ["centre"], "n").withColumn("part", F.pmod(F.xxhash64("ray"), F.ceil(F.col("n") / BLOCK)))
+    rays = looked_up(pairs, sizes, ["centre"], "n").withColumn("part", F.pmod(F.xxhash64("ray"), F.ceil(F.col("n") / RAYS)))
     member = rays.join(texts.withColumnRenamed("doc_id", "ray"), "ray").select("centre", "part", F.lit(1).alias("place"), F.col("ray").alias("node"), "packed")
-    heads = sizes.join(texts.withColumnRenamed("doc_id", "centre"), "centre").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / BLOCK) - 1)))
+    heads = sizes.join(texts.withColumnRenamed("doc_id", "centre"), "centre").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / RAYS) - 1)))
     centre = heads.select("centre", "part", F.lit(0).alias("place"), F.col("centre").alias("node"), "packed")
     return member.unionByName(centre).repartition("centre", "part").sortWithinPartitions("centre", "part", "place")
 
