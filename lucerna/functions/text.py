@@ -291,36 +291,54 @@ def location(page: Text, slide: Text, start: Text, end: Text) -> Column:
     return F.coalesce(F.concat(F.lit("page "), _c(page).cast("string")), F.concat(F.lit("slide "), _c(slide).cast("string")), span)
 
 
-#: Entries of a glossary that are about the document.
-METADATA = "source title author date version course lecture lecturer session page chapter section contents".split()
+#: Headings of glossary files that are no terms.
+METADATA = [
+    "alphabetical glossary starts on the next page",
+    "how to use this pdf",
+    "included scope",
+    "included topic bands",
+    "indirect restoration language",
+    "occlusal and esthetic vocabulary",
+    "operative concepts",
+    "restorative materials",
+    "scope",
+    "total unique terms",
+    "unique terms and concise definitions",
+    "use note",
+    "endodontic terms and definitions",
+]
+
+
+def _words(x: Column) -> Column:
+    return F.size(F.filter(F.split(x, r"\s+"), lambda w: w != ""))
 
 
 def is_term(x: Text) -> Column:
     """G1."""
-    x = _c(x)
-    words = F.size(F.filter(F.split(x, r"\s+"), lambda w: w != ""))
-    return (
-        (F.length(x) <= 96) & (words <= 10) & x.rlike("[A-Za-z]") & ~F.lower(x).rlike(r"^(a|an|the)\s") & ~x.rlike(r"[.!?]$") & ~x.rlike(r"[.!?]\s+\S")
-    )
+    x = collapse(x)
+    fits = (x != "") & (F.length(x) <= 96) & (_words(x) <= 10) & x.rlike("[A-Za-z]")
+    return fits & ~F.lower(x).rlike(r"^(a|an|the)\s") & ~x.rlike(r"[.!?]$") & ~x.rlike(r"[.!?].+\s")
 
 
 def is_definition(x: Text) -> Column:
     """G2."""
-    return (F.length(_c(x)) >= 24) | (F.size(F.filter(F.split(_c(x), r"\s+"), lambda w: w != "")) >= 4)
+    x = collapse(x)
+    return (F.length(x) >= 24) | (_words(x) >= 4)
 
 
 def is_ignored_entry(term: Text, definition: Text) -> Column:
     """G3."""
-    t = normalize(term)
-    return (t == "") | (strip(definition) == "") | t.isin(METADATA) | t.contains("glossary") | t.startswith("included ") | strip(definition).rlike(r"^[0-9.,\s]+$")
+    t, d = normalize(clean_term(term)), collapse(definition)
+    return (t == "") | (d == "") | t.isin(METADATA) | t.contains("glossary") | t.startswith("included ") | d.rlike(r"^[0-9]+$")
 
 
 def clean_term(x: Text) -> Column:
-    """Without a bullet in front and with single spaces."""
-    return collapse(F.regexp_replace(_c(x), r"^\s*[-*•]+\s*", ""))
+    """Without a bullet in front, with single spaces, and without the letter of its section."""
+    plain = F.regexp_replace(F.regexp_replace(_c(x), r"^[-*]\s+", ""), f"[{SPACE}]+", " ")
+    return strip(F.regexp_replace(plain, r"^[A-Z]\s+(?=[A-Z][a-z])", ""))
 
 
 def keeps_term(x: Text) -> Column:
     """G5."""
     t = normalize(x)
-    return (F.size(F.split(t, r"\s+")) <= 7) & (F.length(t) > 1) & ~t.rlike("[.!?]") & ~t.contains("glossary")
+    return (_words(t) <= 7) & (t != "") & ~t.rlike("^[a-z]$") & ~t.rlike("[.!?]") & ~t.contains("glossary") & ~t.isin(METADATA)

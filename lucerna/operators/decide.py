@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lucerna.functions import text as X
 from lucerna.operators.retrieval import SUPPORT, holds_focus
+from lucerna.sources.tables import settle
 
 #: Words that put a question into a category; a word counts inside other words too.
 CATEGORY_WORDS = {
@@ -15,6 +16,7 @@ CATEGORY_WORDS = {
     "logistics": ["when", "where", "schedule", "deadline", "location"],
     "concepts": ["what", "why", "define", "meaning", "concept", "grounding"],
 }
+#: What is said where the evidence is not enough.
 UNSUPPORTED = (
     "This question is not supported by the current on-device lecture pack. "
     "Ask about the glossary, lecture materials, or transcript loaded into this session."
@@ -71,6 +73,7 @@ def answer(questions: DataFrame, matches: DataFrame, generated: DataFrame | None
 
     generated: question_id, generated; by default C7.
     """
+    matches = settle(matches)  # read by four consumers
     said = generated if generated is not None else extract(matches)
     checked = support(questions, matches).select("question_id", "supported")
     traced = matches.where(F.col("rank") <= TRACEABLE).groupBy("question_id").agg(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lucerna.functions.text import STOP_WORDS
+from lucerna.functions.text import METADATA, STOP_WORDS
 from lucerna.operators.decide import CATEGORY_WORDS, UNSUPPORTED
 
 STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -70,7 +70,8 @@ VIEWS = {
     "m_match": f"SELECT * FROM (SELECT q.question_id, 'material_chunk' AS source_type, m.id AS source_record_id, 'Material: ' || m.heading AS label, {excerpt('m.text', 420)} AS excerpt, {score('q.qt', 'm.ct', f'''(0.4 + {boost('''m.heading || ' ' || m.text''')})''')} AS score, q.focus, m.order_index AS position, {holds('m.candidate')} AS held FROM questions q JOIN m_cand m ON q.session_id = m.session_id) WHERE score >= 0.65 AND (focus IS NULL OR held)",
     "t_cand": f"SELECT *, concat_ws(' ', speaker_label, text) AS candidate, {once(tokens('''concat_ws(' ', speaker_label, text)'''))} AS ct FROM transcript",
     "t_match": f"SELECT * FROM (SELECT q.question_id, 'transcript_entry' AS source_type, t.id AS source_record_id, 'Transcript: ' || t.speaker_label AS label, {excerpt('t.text', 360)} AS excerpt, {score('q.qt', 't.ct', '0.1')} AS score, q.focus, t.order_index AS position, {holds('t.candidate')} AS held FROM questions q JOIN t_cand t ON q.session_id = t.session_id) WHERE score >= 0.55 AND (focus IS NULL OR held)",
-    "merged": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, CASE source_type WHEN 'glossary_term' THEN 1 WHEN 'material_chunk' THEN 3 ELSE 4 END, position, source_record_id) AS rank FROM (SELECT question_id, source_type, source_record_id, label, excerpt, score, focus, position FROM g_match UNION ALL SELECT question_id, source_type, source_record_id, label, excerpt, score, focus, position FROM m_match UNION ALL SELECT question_id, source_type, source_record_id, label, excerpt, score, focus, position FROM t_match)) WHERE rank <= 18",
+    "e_match": f"SELECT b.question_id, 'evidence_unit' AS source_type, b.id AS source_record_id, u.title AS label, u.excerpt, greatest(1.0, 4 / greatest(b.rank, 0.25)) + {boost("u.title || ' ' || u.content_text")} + CASE WHEN u.modality IN ('image', 'video', 'slide', 'pdf') AND {holds("u.title || ' ' || u.content_text")} THEN 0.35 ELSE 0.0 END AS score, q.focus, b.place AS position FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rank DESC, id) AS place FROM bm) b JOIN units u ON u.id = b.id JOIN questions q ON q.question_id = b.question_id WHERE b.place <= 18",
+    "merged": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, CASE source_type WHEN 'glossary_term' THEN 1 WHEN 'evidence_unit' THEN 2 WHEN 'material_chunk' THEN 3 ELSE 4 END, position, source_record_id) AS rank FROM (SELECT question_id, source_type, source_record_id, label, excerpt, score, focus, position FROM g_match UNION ALL SELECT question_id, source_type, source_record_id, label, excerpt, score, focus, position FROM m_match UNION ALL SELECT question_id, source_type, source_record_id, label, excerpt, score, focus, position FROM t_match UNION ALL SELECT question_id, source_type, source_record_id, label, excerpt, score, focus, position FROM e_match)) WHERE rank <= 18",
     "figures": f"SELECT question_id, max(score) AS strongest, avg(score) AS average, sum(score) AS total, count(*) FILTER (WHERE {holds('''label || ' ' || excerpt''')}) AS focused, count(DISTINCT source_type) AS kinds FROM merged WHERE rank <= 3 GROUP BY question_id",
     "supported": "SELECT q.question_id, coalesce(f.strongest, 0) AS strongest, coalesce(f.average, 0) AS average, coalesce(f.focused, 0) AS focused, coalesce(f.kinds, 0) AS kinds, coalesce(f.strongest, 0) >= 1.0 OR (coalesce(f.focused, 0) >= 1 AND coalesce(f.strongest, 0) >= 0.85) OR (coalesce(f.focused, 0) >= 2 AND coalesce(f.average, 0) >= 0.8) OR (q.focus IS NULL AND coalesce(f.kinds, 0) >= 2 AND coalesce(f.total, 0) >= 2.15) AS supported FROM questions q LEFT JOIN figures f ON q.question_id = f.question_id",
     "defined": f"SELECT question_id, CASE WHEN d = '' OR regexp_matches(d, '[.!?]$') THEN d ELSE d || '.' END AS definition FROM (SELECT question_id, {strip('excerpt')} AS d, row_number() OVER (PARTITION BY question_id ORDER BY tier, rank) AS n FROM (SELECT *, CASE WHEN source_type = 'glossary_term' AND {norm(r'''regexp_replace(label, '^(Glossary|Material|Transcript):\s*', '')''')} = focus THEN 0 WHEN {holds('''label || ' ' || excerpt''')} THEN 1 END AS tier FROM merged) WHERE tier IS NOT NULL) WHERE n = 1",
@@ -88,13 +89,13 @@ VIEWS = {
     "pairs": "SELECT p.prefix, v.token FROM prefixes p JOIN (SELECT DISTINCT token, substr(token, 1, 2) AS head FROM unit_index) v ON p.head = v.head WHERE starts_with(v.token, p.prefix)",
     "hits": "SELECT p.prefix, i.id, sum(i.tf) AS tf FROM pairs p JOIN unit_index i ON p.token = i.token GROUP BY p.prefix, i.id",
     "dfs": "SELECT prefix, count(*) AS df FROM hits GROUP BY prefix",
-    "bm": "SELECT a.question_id, h.id, sum(greatest(ln(((SELECT count(*) FROM units) - d.df + 0.5) / (d.df + 0.5)), 1e-6) * h.tf * 2.2 / (h.tf + 1.2 * (0.25 + 0.75 * s.length / ((SELECT sum(length) FROM unit_sizes) / (SELECT CAST(count(*) AS DOUBLE) FROM units))))) AS rank FROM asked_words a JOIN hits h ON a.prefix = h.prefix JOIN units u ON u.id = h.id AND u.session_id = a.session_id JOIN dfs d ON d.prefix = a.prefix JOIN unit_sizes s ON s.id = h.id GROUP BY a.question_id, h.id",
+    "bm": "SELECT a.question_id, h.id, round(sum(greatest(ln(((SELECT count(*) FROM units) - d.df + 0.5) / (d.df + 0.5)), 1e-6) * h.tf * 2.2 / (h.tf + 1.2 * (0.25 + 0.75 * s.length / ((SELECT sum(length) FROM unit_sizes) / (SELECT CAST(count(*) AS DOUBLE) FROM units))))), 9) AS rank FROM asked_words a JOIN hits h ON a.prefix = h.prefix JOIN units u ON u.id = h.id AND u.session_id = a.session_id JOIN dfs d ON d.prefix = a.prefix JOIN unit_sizes s ON s.id = h.id GROUP BY a.question_id, h.id",
     "dim": "SELECT 'lecture_material' AS type, id, title AS label, NULL AS parent_id FROM materials UNION ALL SELECT 'material_chunk', id, heading, material_id FROM chunks UNION ALL SELECT 'glossary_term', id, term, NULL FROM glossary UNION ALL SELECT 'transcript_entry', id, speaker_label, NULL FROM transcript UNION ALL SELECT 'evidence_unit', id, title, NULL FROM units",
 }
 #: Views that a view reads.
 NEEDS = {
     "asked": ["glossary"], "stripped": ["asked"], "questions": ["stripped"], "g_cand": ["glossary"], "g_scored": ["questions", "g_cand"], "g_match": ["g_scored"], "m_cand": ["chunks"], "m_match": ["questions", "m_cand"],
-    "t_cand": ["transcript"], "t_match": ["questions", "t_cand"], "merged": ["g_match", "m_match", "t_match"], "figures": ["merged"], "supported": ["figures", "questions"], "defined": ["merged"], "said": ["merged"],
+    "t_cand": ["transcript"], "t_match": ["questions", "t_cand"], "e_match": ["bm", "units", "questions"], "merged": ["g_match", "m_match", "t_match", "e_match"], "figures": ["merged"], "supported": ["figures", "questions"], "defined": ["merged"], "said": ["merged"],
     "qa_sources": ["qa"], "ranked_sources": ["qa_sources"], "units": ["chunks"], "unit_words": ["units"], "unit_index": ["unit_words"], "unit_sizes": ["unit_words"], "asked_words": ["asked"], "prefixes": ["asked_words"],
     "pairs": ["prefixes", "unit_index"], "hits": ["pairs", "unit_index"], "dfs": ["hits"], "bm": ["asked_words", "hits", "units", "dfs", "unit_sizes"], "dim": ["materials", "chunks", "glossary", "transcript", "units"],
 }
@@ -132,10 +133,10 @@ ORACLES = {
     "F5_F7_F9_ids_titles": sql(f"SELECT asset_id, {SLUG.format('lower(name)')} AS slug, 'material_' || {SLUG.format('lower(name)')} || CASE WHEN doc_id % 3 > 0 THEN '_' || CAST(doc_id % 3 AS VARCHAR) ELSE '' END AS built, session_id || '_' || asset_id AS scoped, {TITLE.format(strip(f'''regexp_replace({BASE}, '[_-]+', ' ', 'g')'''))} AS title FROM assets", "assets"),
     "F8_F37_digests": "SELECT page_id, sha256(html) AS checksum, sha256(CAST(page_id AS VARCHAR) || chr(31) || url) AS stable FROM pages",
     "F11_F12_W8_clock": f"SELECT conv_id, turn, {CLOCK.format('conv_id * 30 + turn')} AS clock, CAST(CASE WHEN (conv_id * 30 + turn) // 60 > 99 THEN ((conv_id * 30 + turn) // 60 % 100) * 60 + (conv_id * 30 + turn) % 60 ELSE conv_id * 30 + turn END AS BIGINT) AS seconds FROM conversations",
-    "F13_T11_transcript_lines": f"SELECT conv_id, turn, role AS speaker, md5({strip('''string_split(substr(text, 1, 60), chr(10))[1]''')}) AS text, CAST(turn * 75 AS BIGINT) AS started_at FROM conversations WHERE NOT contains(substr(text, 1, 60), chr(10)) UNION ALL SELECT conv_id, turn, 'Lecture', md5('[' || {CLOCK.format('turn * 75')} || '] ' || role || ': ' || substr(text, 1, 60)), CAST(turn * 30 AS BIGINT) FROM conversations WHERE contains(substr(text, 1, 60), chr(10))",
+    "F13_T11_transcript_lines": f"SELECT conv_id, turn, role AS speaker, md5({strip('''string_split(text, chr(10))[1]''')}) AS text, CAST(turn * 75 AS BIGINT) AS started_at FROM conversations WHERE NOT contains(text, chr(10)) UNION ALL SELECT conv_id, turn, 'Lecture', md5('[' || {CLOCK.format('turn * 75')} || '] ' || role || ': ' || text), CAST(turn * 30 AS BIGINT) FROM conversations WHERE contains(text, chr(10))",
     "F14_F15_F22_split": rf"SELECT item_id, 'item ' || CAST(item_id AS VARCHAR) AS key, md5({strip('''' a; b ,' || text''')}) AS value, CAST(len(list_filter(list_transform(string_split(regexp_replace(' Item ' || CAST(item_id AS VARCHAR) || ' : a; b ,' || text, '[;,|]', chr(1), 'g'), chr(1)), lambda p: {strip('p')}), lambda p: p <> '')) AS BIGINT) AS parts, array_to_string(list_slice({once(r'''list_filter(string_split(regexp_replace(lower(text), '\s+', ' ', 'g'), ' '), lambda w: w <> '')''')}, 1, 6), ' ') AS keywords FROM benchmark",
     "F16_F20_classify": sql(f"SELECT asset_id, extension, base, {KIND} AS kind, CASE WHEN extension IN ('ppt', 'key', 'doc', 'docx', 'xls', 'xlsx') THEN 'binary' WHEN extension NOT IN ('json', 'txt', 'md', 'markdown', 'csv', 'pdf', 'pptx', 'png', 'jpg', 'jpeg', 'webp', 'mp4', 'mov', 'm4v', 'avi', 'webm') THEN 'unsupported' END AS error, CASE WHEN extension IN ('pptx', 'png', 'jpg', 'jpeg', 'webp') OR regexp_matches(base, 'slide|deck|presentation') THEN 'slide_deck' WHEN regexp_matches(base, 'handout|worksheet') THEN 'handout' WHEN regexp_matches(base, 'code|snippet|example') THEN 'code_sample' ELSE 'reading' END AS type, CASE extension WHEN 'pdf' THEN 'pdf' WHEN 'pptx' THEN 'slide' ELSE 'text' END AS modality FROM (SELECT asset_id, {EXT} AS extension, {BASE} AS base FROM assets)", "assets"),
-    "F21_summary_kind": "SELECT doc_id, CASE WHEN contains(lower(substr(text, 1, 60)), 'exam') THEN 'exam_focus' WHEN contains(lower(substr(text, 1, 60)), 'key') THEN 'key_points' ELSE 'overview' END AS kind FROM documents",
+    "F21_summary_kind": "SELECT doc_id, CASE WHEN contains(lower(text), 'exam') THEN 'exam_focus' WHEN contains(lower(text), 'key') THEN 'key_points' ELSE 'overview' END AS kind FROM documents",
     "F24_string_list": "SELECT event_id, event_type || '|x' AS strings FROM events",
     "F36_F38_labels": f"SELECT doc_id, 'Material: ' || lang AS label, lang AS name, CASE WHEN doc_id % 3 = 0 THEN 'page ' || CAST(doc_id AS VARCHAR) WHEN doc_id % 3 = 1 THEN 'slide ' || CAST(doc_id AS VARCHAR) WHEN doc_id % 2 = 0 THEN {CLOCK.format('doc_id * 10')} || CASE WHEN doc_id % 4 = 0 THEN '-' || {CLOCK.format('doc_id * 10 + 5')} ELSE '' END END AS location FROM documents",
     "T1_paragraphs": f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INTEGER) AS order_index, text FROM (SELECT doc_id, n, {collapse('line')} AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)) WHERE text <> ''",
@@ -146,7 +147,7 @@ ORACLES = {
     "R1_R2_R3_R7_glossary": sql(SHORT + "g_match", "g_match"),
     "R8_J18_materials": sql(SHORT + "m_match", "m_match"),
     "R8_transcripts": sql(SHORT + "t_match", "t_match"),
-    "R13_O15_L2_top_matches": sql("SELECT question_id, source_type, source_record_id, score, rank FROM merged", "merged"),
+    "R13_O15_L2_top_matches": sql("SELECT question_id, source_type, source_record_id, round(score, 6) AS score, rank FROM merged", "merged"),
     "R9_R10_J2_bm25": sql("SELECT question_id, id, round(rank, 6) AS rank FROM bm", "bm"),
     "C1_D15_categorize": sql(f"SELECT question_id, session_id || '_' || key AS category_id FROM (SELECT question_id, session_id, key, row_number() OVER (PARTITION BY question_id ORDER BY CASE WHEN {CATEGORY} THEN 0 ELSE 1 END, n) AS r FROM asked, (VALUES ('exam_prep', 0), ('applications', 1), ('logistics', 2), ('concepts', 3)) AS c(key, n)) WHERE r = 1", "asked"),
     "C2_C3_A5_A8_support": sql("SELECT question_id, round(strongest, 6) AS strongest, round(average, 6) AS average, focused, kinds, supported, CASE WHEN supported THEN 'grounded evidence found' ELSE 'not enough grounded evidence' END AS reason FROM supported", "supported"),
@@ -191,20 +192,22 @@ ORACLES["Q10_C5_C6_ask"] = sql(
 )
 
 FIVE = r"len(list_filter(string_split(regexp_replace({0}, '\s+', ' ', 'g'), ' '), lambda w: w <> ''))"
-T40 = "substr(text, 1, 40)"
-KEEPS = r"(len(string_split(regexp_replace({0}, '\s+', ' ', 'g'), ' ')) <= 7 AND length({0}) > 1 AND NOT regexp_matches({0}, '[.!?]') AND NOT contains({0}, 'glossary'))"
+TERM = "string_split(text, '. ')[1]"
+CLEAN = strip(rf"regexp_replace(regexp_replace(regexp_replace({TERM}, '^[-*]\s+', ''), '\s+', ' ', 'g'), '^[A-Z]\s+([A-Z][a-z])', '\1')")
+METADATA_SQL = ", ".join(f"'{w}'" for w in METADATA)
+KEEPS = r"(len(list_filter(string_split(regexp_replace({0}, '\s+', ' ', 'g'), ' '), lambda w: w <> '')) <= 7 AND {0} <> '' AND NOT regexp_matches({0}, '^[a-z]$') AND {0} NOT IN (" + METADATA_SQL + r") AND NOT regexp_matches({0}, '[.!?]') AND NOT contains({0}, 'glossary'))"
 LONG_WORDS = r"list_distinct(list_filter(string_split(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) > 2))"
 ORACLES |= {
     "F23_F25_F26_F27_numbers": "SELECT l_orderkey, least(greatest(round(q / 40, 3), 0.0), 1.0) AS clamped, least(0.98, round(round(q / 10, 1) / 2.5, 2)) AS confidence, CASE WHEN floor(p) * 100000 > 0 THEN printf('%.2f GB', floor(p) * 100000 / 1073741824.0) END AS gigabytes FROM (SELECT l_orderkey, avg(CAST(l_quantity AS DOUBLE)) AS q, sum(CAST(l_extendedprice AS DOUBLE)) AS p FROM lineitem GROUP BY l_orderkey)",
     "F28_F29_F34_sentences": f"SELECT item_id, CASE item_id % 4 WHEN 0 THEN '' WHEN 1 THEN w[1] WHEN 2 THEN w[1] || ' and ' || w[2] ELSE w[1] || ', ' || w[2] || ', and ' || w[3] END AS spoken, CASE WHEN t = '' OR regexp_matches(t, '[.!?]$') THEN t ELSE t || '.' END AS sentence, {strip('''regexp_replace(t, '[.!?]+$', '')''')} AS bare, lower(substr(text, 1, 1)) || substr(text, 2) AS lowered, string_split(regexp_replace(t, '([.!?])" + r"\s+', '\1' || chr(1), 'g'), chr(1))[1] AS first FROM (SELECT item_id, text, " + f"{strip('text')} AS t, string_split(text, ' ') AS w FROM benchmark)",
     "F31_F33_F35_markup": r"""SELECT page_id, '{"id": ' || CAST(page_id AS VARCHAR) || '}' AS json, page_id % 2 = 0 AS refusal, CAST(len(regexp_extract_all(html, '(?s)<p(?:\s[^>]*)?>(.*?)</p>')) AS BIGINT) AS runs, md5(replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<h1(?:\s[^>]*)?>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', chr(39)), '&amp;', '&')) AS heading FROM pages""",
     "G1_G5_glossary_rules": sql(
-        rf"SELECT id, length({T40}) <= 96 AND {FIVE.format(T40)} <= 10 AND regexp_matches({T40}, '[A-Za-z]') AND NOT regexp_matches(lower({T40}), '^(a|an|the)\s') AND NOT regexp_matches({T40}, '[.!?]$') AND NOT regexp_matches({T40}, '[.!?]\s+\S') AS is_term, length(text) >= 24 OR {FIVE.format('text')} >= 4 AS is_definition, "
-        rf"{norm(T40)} = '' OR {strip('text')} = '' OR {norm(T40)} IN ('source', 'title', 'author', 'date', 'version', 'course', 'lecture', 'lecturer', 'session', 'page', 'chapter', 'section', 'contents') OR contains({norm(T40)}, 'glossary') OR starts_with({norm(T40)}, 'included ') OR regexp_matches({strip('text')}, '^[0-9.,\s]+$') AS ignored, {KEEPS.format(norm(T40))} AS keeps FROM chunks",
+        rf"SELECT id, c <> '' AND length(c) <= 96 AND {FIVE.format('c')} <= 10 AND regexp_matches(c, '[A-Za-z]') AND NOT regexp_matches(lower(c), '^(a|an|the)\s') AND NOT regexp_matches(c, '[.!?]$') AND NOT regexp_matches(c, '[.!?].+\s') AS is_term, length(d) >= 24 OR {FIVE.format('d')} >= 4 AS is_definition, "
+        rf"t = '' OR d = '' OR t IN ({METADATA_SQL}) OR contains(t, 'glossary') OR starts_with(t, 'included ') OR regexp_matches(d, '^[0-9]+$') AS ignored, {KEEPS.format(norm(TERM))} AS keeps FROM (SELECT id, text, {collapse(TERM)} AS c, {collapse('text')} AS d, lower({CLEAN}) AS t FROM chunks)",
         "chunks",
     ),
     "A9_A11_arg_max": sql(
-        f"SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY first, norm) - 1 AS order_index, md5(definition) AS definition FROM (SELECT session_id, norm, min(n) OVER (PARTITION BY session_id, norm) AS first, definition, row_number() OVER (PARTITION BY session_id, norm ORDER BY length(definition) DESC, n) AS k FROM (SELECT session_id, order_index AS n, {norm('substr(text, 1, 6)')} AS norm, text AS definition FROM chunks WHERE {KEEPS.format(norm('substr(text, 1, 6)'))})) WHERE k = 1",
+        f"SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY first, norm) - 1 AS order_index, md5(definition) AS definition FROM (SELECT session_id, norm, min(n) OVER (PARTITION BY session_id, norm) AS first, definition, row_number() OVER (PARTITION BY session_id, norm ORDER BY length(definition) DESC, n) AS k FROM (SELECT session_id, order_index AS n, {norm('''string_split(text, ' ')[1]''')} AS norm, text AS definition FROM chunks WHERE {KEEPS.format(norm('''string_split(text, ' ')[1]'''))})) WHERE k = 1",
         "chunks",
     ),
     "R14_O18_lexical": sql(

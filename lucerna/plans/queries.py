@@ -53,7 +53,7 @@ def F11_F12_W8_clock(v: Views) -> DataFrame:
 
 @query
 def F13_T11_transcript_lines(v: Views) -> DataFrame:
-    lines = v.table("conversations").select("conv_id", "turn", F.concat(F.lit("["), X.clock(F.col("turn") * 75), F.lit("] "), F.col("role"), F.lit(": "), F.substring("text", 1, 60)).alias("line"))
+    lines = v.table("conversations").select("conv_id", "turn", F.concat(F.lit("["), X.clock(F.col("turn") * 75), F.lit("] "), F.col("role"), F.lit(": "), F.col("text")).alias("line"))
     t = X.transcript_line("line", F.col("turn"))
     return lines.select("conv_id", "turn", t["speaker"].alias("speaker"), F.md5(t["text"]).alias("text"), t["started_at"].alias("started_at"))
 
@@ -73,7 +73,7 @@ def F16_F20_classify(v: Views) -> DataFrame:
 
 @query
 def F21_summary_kind(v: Views) -> DataFrame:
-    return v.table("documents").select("doc_id", X.summary_kind(F.substring("text", 1, 60)).alias("kind"))
+    return v.table("documents").select("doc_id", X.summary_kind("text").alias("kind"))
 
 
 @query
@@ -112,7 +112,7 @@ def F36_F38_labels(v: Views) -> DataFrame:
 
 @query
 def G1_G5_glossary_rules(v: Views) -> DataFrame:
-    c = v.chunks().select("id", F.substring("text", 1, 40).alias("term"), F.col("text").alias("definition"))
+    c = v.chunks().select("id", F.split("text", r"\. ")[0].alias("term"), F.col("text").alias("definition"))
     return c.select("id", X.is_term("term").alias("is_term"), X.is_definition("definition").alias("is_definition"), X.is_ignored_entry("term", "definition").alias("ignored"), X.keeps_term("term").alias("keeps"))
 
 
@@ -149,7 +149,7 @@ def T4_material_chunks(v: Views) -> DataFrame:
 def T5_T9_glossary(v: Views) -> DataFrame:
     d = v.table("benchmark").select((F.col("item_id") % 10).alias("doc"), "item_id", F.concat_ws(" ", F.slice(F.split("text", " "), 1, 2)).alias("term"), "text")
     packs = d.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", F.concat_ws(": ", "term", "text").alias("line")))), lambda x: x["line"]), "\n").alias("text"))
-    return parse.glossary(packs, ["doc"])
+    return parse.glossary(packs, ["doc"]).withColumn("aliases", F.array_join("aliases", ","))
 
 
 @query
@@ -182,7 +182,7 @@ def T18_T19_units(v: Views) -> DataFrame:
 
 def _matches(v: Views) -> list[DataFrame]:
     q = v.questions()
-    return [retrieval.glossary_matches(q, v.glossary()), retrieval.material_matches(q, v.chunks()), retrieval.transcript_matches(q, v.transcript())]
+    return [retrieval.glossary_matches(q, v.glossary()), retrieval.material_matches(q, v.chunks()), retrieval.transcript_matches(q, v.transcript()), retrieval.evidence_matches(q, v.units())]
 
 
 def _short(matches: DataFrame) -> DataFrame:
@@ -213,7 +213,7 @@ def R8_transcripts(v: Views) -> DataFrame:
 
 @query
 def R13_O15_L2_top_matches(v: Views) -> DataFrame:
-    return retrieval.merge_matches(_matches(v)).select("question_id", "source_type", "source_record_id", "score", F.col("rank").cast("long").alias("rank"))
+    return retrieval.merge_matches(_matches(v)).select("question_id", "source_type", "source_record_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query
@@ -359,7 +359,7 @@ def A10_median(v: Views) -> DataFrame:
 
 @query
 def A9_A11_arg_max(v: Views) -> DataFrame:
-    rows = v.chunks().select("session_id", F.col("order_index").alias("n"), F.substring("text", 1, 6).alias("term"), F.col("text").alias("definition"))
+    rows = v.chunks().select("session_id", F.col("order_index").alias("n"), F.split("text", " ")[0].alias("term"), F.col("text").alias("definition"))
     return parse.merge_terms(rows, ["session_id"]).select("session_id", F.col("order_index").cast("long").alias("order_index"), F.md5("definition").alias("definition"))
 
 
@@ -378,7 +378,7 @@ def A17_status_lattice(v: Views) -> DataFrame:
 @query
 def W2_W3_A13_append(v: Views) -> DataFrame:
     g = v.glossary().select("session_id", "term", "aliases", "definition", "order_index")
-    more = v.chunks().where("text like '%.'").select("session_id", F.substring("text", 1, 12).alias("term"), "keywords", "text", "order_index")
+    more = v.chunks().where("text like '%.'").select("session_id", F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("term"), "keywords", "text", "order_index")
     first = Window.partitionBy("session_id", F.lower(F.trim("term"))).orderBy("order_index")
     more = more.withColumn("n", F.row_number().over(first)).where("n = 1").select("session_id", "term", F.col("keywords").alias("aliases"), F.col("text").alias("definition"), "order_index")
     out = mutations.append_terms(g, more)

@@ -4,8 +4,7 @@ import zipfile
 
 import pytest
 from lucerna.operators import mutations, parse, schema
-from lucerna.sources import files, packs
-from lucerna.sources.store import Store
+from lucerna.sources import files, packs, tables
 from pyspark.sql import functions as F
 
 def rows_of(n, **fields):
@@ -104,16 +103,12 @@ def test_pptx(spark, tmp_path):
     assert [(r.slide, r.heading, r.text) for r in got] == [(1, "Head", "body\n\n## Speaker Notes\nsay this"), (2, "Two &", "Two &")]
 
 
-def test_store_publishes_all_tables_or_none(spark, tmp_path):
-    store = Store(spark, str(tmp_path / "store"))
+def test_tables_are_written_and_added_to(spark, tmp_path):
     a = spark.createDataFrame([(1,)], "id int")
-    store.write({"x": a, "y": a})
-    store.append("x", spark.createDataFrame([(2,)], "id int"))
-    assert sorted(r.id for r in store.read("x").collect()) == [1, 2]
-    broken = spark.range(1).select(F.raise_error(F.lit("no")).cast("int").alias("id"))
-    with pytest.raises(Exception):
-        store.write({"x": a, "y": broken})
-    assert store.read("x").count() == 2 and store.read("y").count() == 1
+    tables.write_tables({"x": a}, str(tmp_path))
+    tables.write_tables({"x": spark.createDataFrame([(2,)], "id int")}, str(tmp_path), append=True)
+    tables.write_tables({}, str(tmp_path))
+    assert sorted(r.id for r in tables.read_table(spark, str(tmp_path), "x").collect()) == [1, 2]
 
 
 def test_validation(spark):
