@@ -154,7 +154,7 @@ ORACLES = {
     "C4_definitions": sql("SELECT question_id, definition FROM defined", "defined"),
     "C7_extract": sql("SELECT question_id, generated FROM said", "said"),
     "P1_P6_lookup": sql("SELECT id, title FROM materials WHERE order_index IN (SELECT item_id FROM benchmark)", "materials"),
-    "P2_P5_P8_filters": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'O' AND year(o_orderdate) = 1996",
+    "P2_P5_P8_filters": sql("SELECT asset_id, name AS file_name FROM assets WHERE status = 'ready' AND doc_id % 3 <> 0", "assets"),
     "P11_D13_known_sources": "SELECT l_orderkey AS order_id, CAST(count(DISTINCT l_suppkey) AS BIGINT) AS n_sources FROM lineitem GROUP BY l_orderkey HAVING count(*) FILTER (WHERE NOT l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 7 <> 0)) = 0",
     "O1_Q11_sessions": sql("SELECT id, title, starts_at, status, row_number() OVER (ORDER BY starts_at DESC, title, id) AS rank FROM sessions", "sessions"),
     "O2_O3_J1_chunks": sql("SELECT c.session_id, c.id, row_number() OVER (PARTITION BY c.session_id ORDER BY m.order_index, c.order_index, c.id) AS rank FROM chunks c JOIN materials m ON c.material_id = m.id", "chunks", "materials"),
@@ -181,7 +181,7 @@ ORACLES = {
     "M4_M5_cascade": sql("SELECT id, material_id FROM chunks WHERE material_id NOT IN (SELECT id FROM materials WHERE order_index % 5 = 0)", "chunks", "materials"),
     "M6_toggle": "SELECT CAST(user_id AS VARCHAR) AS session_id, 'event' AS target_type, event_type AS target_id, event_type AS label FROM events GROUP BY user_id, event_type HAVING (count(*) FILTER (WHERE event_id % 10 = 0) > 0) <> (count(*) % 2 = 1)",
     "M9_consolidate": sql("SELECT id, 'src0' AS session_id, term FROM (SELECT g.id, g.term, row_number() OVER (PARTITION BY lower(trim(g.term)) ORDER BY r.n, g.id) AS k FROM glossary g JOIN (SELECT id, row_number() OVER (ORDER BY id <> 'src0', starts_at DESC, title, id) AS n FROM sessions) r ON r.id = g.session_id) WHERE k = 1", "glossary", "sessions"),
-    "U4_U5_J10_difference": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "U4_U5_J10_difference": "WITH p AS (SELECT DISTINCT o_custkey AS key FROM orders WHERE o_orderstatus = 'P') SELECT key, key AS order_index FROM p UNION ALL SELECT c_custkey, (SELECT max(key) FROM p) + row_number() OVER (ORDER BY c_custkey) FROM customer WHERE c_custkey NOT IN (SELECT key FROM p)",
     "ST2_ST3_index_states": sql("SELECT asset_id, session_id, CASE WHEN trim(text) = '' THEN 'failed' ELSE 'ready' END AS status FROM assets", "assets"),
 }
 ORACLES["Q10_C5_C6_ask"] = sql(

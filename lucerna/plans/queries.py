@@ -313,8 +313,8 @@ def P1_P6_lookup(v: Views) -> DataFrame:
 
 @query
 def P2_P5_P8_filters(v: Views) -> DataFrame:
-    o = v.table("orders").where((F.col("o_orderstatus") == "O") & (F.year("o_orderdate") == 1996)).select("o_orderkey", "o_custkey")
-    return o
+    a = v.assets().withColumnRenamed("name", "file_name").withColumn("error_message", F.when(F.col("doc_id") % 3 == 0, "unreadable"))
+    return reads.scan(a, "uploaded_assets", status="ready", error_message=None).select("asset_id", "file_name")
 
 
 @query
@@ -331,9 +331,8 @@ def O1_Q11_sessions(v: Views) -> DataFrame:
 
 @query
 def O2_O3_J1_chunks(v: Views) -> DataFrame:
-    joined = v.chunks().join(v.materials().select(F.col("id").alias("material_id"), F.col("order_index").alias("m")), "material_id")
-    w = Window.partitionBy("session_id").orderBy("m", "order_index", "id")
-    return joined.select("session_id", "id", F.row_number().over(w).cast("long").alias("rank"))
+    w = Window.partitionBy("session_id").orderBy("material_order", "order_index", "id")
+    return reads.chunks_in_order(v.chunks(), v.materials()).select("session_id", "id", F.row_number().over(w).cast("long").alias("rank"))
 
 
 @query
@@ -479,7 +478,9 @@ def M9_consolidate(v: Views) -> DataFrame:
 
 @query
 def U4_U5_J10_difference(v: Views) -> DataFrame:
-    return v.table("customer").join(v.table("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    current = v.table("orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("key"), F.lit("s").alias("session_id"), F.col("o_custkey").cast("int").alias("order_index")).distinct()
+    incoming = v.table("customer").select(F.col("c_custkey").alias("key"), F.lit("s").alias("session_id"), F.col("c_custkey").cast("int").alias("order_index"))
+    return mutations.append_rows(current, incoming, ["session_id", "key"]).select("key", F.col("order_index").cast("long").alias("order_index"))
 
 
 @query
