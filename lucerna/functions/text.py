@@ -236,6 +236,43 @@ def embedded_json(x: Text) -> Column:
     return F.when(F.try_parse_json(part).isNotNull() & (part != ""), part).otherwise("{}")
 
 
+#: Marks of a model's reasoning, of the prompt's end and of lines that aren't the answer.
+REASONING = ["thinking", "analysis", "thought"]
+CHANNEL_MARKS = [r"<\|channel>thought", r"<channel\|>", r"<\|turn\|>", r"<turn\|>"]
+PROMPT_MARKS = ["Instruction:", "Evidence:", "Answer requirements:"]
+SCAFFOLD = r"(?i)^(question:|thinking:|analysis:|answer:\s*$)"
+
+
+def answer_text(x: Text, question: Text) -> Column:
+    """F32: a model's answer without its reasoning, what it repeats of the prompt, numbered lines, and the question if it
+    stands in front with a colon (or alone), as one line."""
+    closed = _c(x).rlike(r"(?s)<\|channel>thought.*<channel\|>")
+    out = F.when(closed, F.regexp_replace(_c(x), r"(?s)\A.*<channel\|>", "")).otherwise(_c(x))
+    for pattern in [rf"(?is)<{tag}>.*?</{tag}>" for tag in REASONING] + [f"(?i){mark}" for mark in CHANNEL_MARKS]:
+        out = F.regexp_replace(out, pattern, " ")
+    out = strip(F.regexp_replace(out, f"(?s)({'|'.join(PROMPT_MARKS)}).*", ""))
+    lines = F.filter(F.transform(F.split(out, r"\r?\n"), strip), lambda s: (s != "") & ~s.rlike(SCAFFOLD))
+    bare = F.transform(lines, lambda s: strip(F.regexp_replace(s, r"(?i)^final answer:\s*", "")))
+    joined = F.array_join(F.filter(bare, lambda s: ~s.rlike(rf"^[0-9]+\.[{SPACE}]")), " ")
+    asked = F.regexp_replace(strip(question), "[?!.]+$", "")
+    said, sought = F.lower(joined), F.lower(asked)
+    cut = F.when((asked == "") | asked.isNull(), joined).when(said == sought, "").when(F.startswith(said, F.concat(sought, F.lit(":"))), F.substr(joined, F.length(asked) + 2))
+    return collapse(cut.otherwise(joined))
+
+
+def unit_payload(json: Text, title: Text) -> Column:
+    """struct title, excerpt, content_text, search_text of a JSON object of a unit; names in snake or camel case,
+    the title given where it has none, its first 240 characters as excerpt."""
+    parsed = F.try_parse_json(_c(json))
+    field = lambda *names: F.coalesce(*[F.nullif(F.try_variant_get(parsed, f"$.{n}", "string"), F.lit("")) for n in names])
+    filled = lambda x, other: F.coalesce(F.nullif(strip(x), F.lit("")), other)
+    name = filled(field("title"), _c(title))
+    content = F.coalesce(strip(field("content_text", "contentText", "excerpt")), F.lit(""))
+    short = filled(field("excerpt"), F.substring(content, 1, 240))
+    search = filled(field("search_text", "searchText"), strip(F.concat_ws(" ", name, content)))
+    return F.struct(name.alias("title"), short.alias("excerpt"), F.coalesce(F.nullif(content, F.lit("")), F.nullif(short, F.lit("")), name).alias("content_text"), search.alias("search_text"))
+
+
 def is_refusal(x: Text) -> Column:
     """F33."""
     return F.regexp_replace(normalize(x), r"[.!?]+$", "") == "unsupported"

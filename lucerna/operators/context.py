@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lucerna.functions import text as X
-from lucerna.operators.retrieval import focus_boost, holds_focus, text_score
+from lucerna.operators.retrieval import MOST_SOURCES, focus_boost, holding, holds_focus, sharing, text_score
+from lucerna.sources.tables import settle
 
 FOCUSED, BLOCKS, BLOCK_CHARS = 8, 3, 900
 ANSWER_RULES = ["Answer only from the evidence.", "Say unsupported if the evidence doesn't answer the question.", "Use at most six sentences."]
@@ -27,16 +28,35 @@ def remaining(questions: DataFrame, candidates: DataFrame, used: DataFrame, boos
     their body and a place; relevant: whether any of a question's entries holds its focus.
 
     Rows that can't come into the first most_blocks blocks are left out: an entry takes its length and a line end of a
-    block, or a whole one, so what lies beyond most_chars * most_blocks characters is never packed.
+    block, or a whole one, so what lies beyond most_chars * most_blocks characters is never packed. A line without a
+    token or the focus of the question scores as all such lines of its session do, so of these only the first in order,
+    as many as fill the blocks beside those used, meet the session's questions; all others meet on a token or the focus.
+
+    used: at most MOST_SOURCES rows of a question, as merge_matches gives.
     """
     q = questions.select("question_id", "session_id", "focus", "q_tokens")
     c = candidates.withColumn("c_tokens", X.unique(X.tokenize("body")))
-    score = text_score(F.col("q_tokens"), F.col("c_tokens"), F.lit(boost) + focus_boost(F.col("focus"), F.col("body")))
-    left = q.join(c, "session_id").join(used.select("question_id", "source_type", F.col("source_record_id").alias("id")), ["question_id", "source_type", "id"], "left_anti")
-    order = Window.partitionBy("question_id", "source_type").orderBy(F.desc("score"), F.collate("entry", "UNICODE"), "id")
     room = most_chars * most_blocks
-    first = left.withColumn("score", score).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= room)  # a line takes a character at least
-    taken = F.sum(F.least(F.length("entry") + 1, F.lit(most_chars))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    placed = [F.collate("entry", "UNICODE"), F.col("id")]
+    takes = F.least(F.length("entry") + 1, F.lit(most_chars))
+    most = room + MOST_SOURCES * most_chars
+
+    def first_lines(*before: Column) -> DataFrame:
+        order = Window.partitionBy("session_id").orderBy(*before, *placed)
+        some = c.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)  # a line takes a character at least
+        return some.withColumn("taken", F.sum(takes).over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("taken") - takes <= most).select("session_id", "id")
+
+    asks = F.size("q_tokens") > 0
+    plain = q.where(asks).join(first_lines(F.size("c_tokens") == 0), "session_id").union(q.where(~asks).join(first_lines(), "session_id")).select("question_id", "id")
+    asked = q.where("focus is not null").select("session_id", F.col("question_id").alias("key"), F.col("focus").alias("phrase"))
+    held = holding(asked, c.select("session_id", "id", X.normalize(F.concat_ws("\n", "body", "entry")).alias("body"))).select(F.col("key").alias("question_id"), "id")
+    gone = used.select("question_id", "source_type", F.col("source_record_id").alias("id"))
+    pairs = sharing(q, c, 0.0, boost).union(held).union(plain).distinct()
+    left = settle(pairs.join(q.drop("session_id"), "question_id").join(c, "id").join(gone, ["question_id", "source_type", "id"], "left_anti"))
+    score = text_score(F.col("q_tokens"), F.col("c_tokens"), F.lit(boost) + focus_boost(F.col("focus"), F.col("body")))
+    order = Window.partitionBy("question_id", "source_type").orderBy(F.desc("score"), *placed)
+    first = left.withColumn("score", score).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= room)
+    taken = F.sum(takes).over(order.rowsBetween(Window.unboundedPreceding, 0))
     about = left.where(holds_focus(F.col("focus"), F.col("entry"))).select("question_id", "source_type").distinct().withColumn("relevant", F.lit(True))
     kept = first.withColumn("taken", taken).where(F.col("taken") <= room).join(about, ["question_id", "source_type"], "left")
     return kept.select("question_id", "source_type", F.col("id").alias("source_record_id"), "rank", "entry", "score", "focus", F.coalesce("relevant", F.lit(False)).alias("relevant"))

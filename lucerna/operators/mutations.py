@@ -111,6 +111,86 @@ def append_rows(current: DataFrame, incoming: DataFrame, key: list[str]) -> Data
     return current.unionByName(numbered.select(*current.columns))
 
 
+def numbered_on(current: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Both, the incoming rows' order_index counted on from the session's last."""
+    last = current.groupBy("session_id").agg((F.max("order_index") + 1).alias("_next"))
+    moved = incoming.join(last, "session_id", "left").withColumn("order_index", F.col("order_index") + F.coalesce("_next", F.lit(0)))
+    return current.unionByName(moved.select(*current.columns))
+
+
+def _first_seen(by: str):
+    """Distinct elements of array column `by`, over the rows of a group in the order of order_index and id."""
+    return F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("order_index", "id", F.col(by).alias("x")))), lambda r: r["x"])))
+
+
+def append_pack(current: dict[str, DataFrame], incoming: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The rows of packs join sessions that exist; incoming rows have those sessions' ids.
+
+    A session takes the version, the tags in addition and the time of change; materials and transcripts are numbered on;
+    a known term takes the longer definition and all aliases, new ones are numbered on; known categories stay and
+    questions point to them; summaries of a known kind take the new title and text; all other rows are added. Incoming
+    rows of one term count as one; a table in one argument only is taken as it is.
+    """
+    both = set(current) & set(incoming)
+    out = {**incoming, **current}
+    for name in both - {"lecture_sessions", "glossary_terms", "qa_categories", "summaries", "questions"}:
+        out[name] = numbered_on(current[name], incoming[name]) if name in ("lecture_materials", "transcript_entries") else current[name].unionByName(incoming[name])
+    if "lecture_sessions" in both:
+        i = incoming["lecture_sessions"].select("id", F.col("source_pack_version").alias("_version"), F.col("tags").alias("_tags"), F.col("updated_at").alias("_at"))
+        s = current["lecture_sessions"].join(i, "id", "left")
+        tags = F.when(F.col("_tags").isNull(), F.col("tags")).otherwise(F.array_distinct(F.concat("tags", "_tags")))
+        out["lecture_sessions"] = s.withColumns({"tags": tags, "source_pack_version": F.coalesce("_version", "source_pack_version"), "updated_at": F.coalesce("_at", "updated_at")}).select(*current["lecture_sessions"].columns)
+    if "glossary_terms" in both:
+        out["glossary_terms"] = _append_glossary(current["glossary_terms"], incoming["glossary_terms"])
+    if "summaries" in both:
+        i = incoming["summaries"].select("session_id", "kind", F.col("title").alias("_title"), F.col("text").alias("_text"), F.col("updated_at").alias("_at"))
+        s = current["summaries"].join(i, ["session_id", "kind"], "left").withColumns({c: F.coalesce("_" + x, c) for c, x in (("title", "title"), ("text", "text"), ("updated_at", "at"))})
+        new = incoming["summaries"].join(current["summaries"].select("session_id", "kind"), ["session_id", "kind"], "left_anti")
+        out["summaries"] = s.select(*current["summaries"].columns).unionByName(new.select(*current["summaries"].columns))
+    if "qa_categories" in both:
+        c, i = current["qa_categories"], incoming["qa_categories"]
+        known = c.groupBy("session_id", "key").agg(F.min_by("id", F.struct("created_at", "id")).alias("_known"))
+        mapped = i.join(known, ["session_id", "key"], "left")
+        out["qa_categories"] = c.unionByName(mapped.where("_known is null").select(*c.columns))
+        if "questions" in incoming:
+            to = mapped.select("session_id", F.col("id").alias("category_id"), F.coalesce("_known", "id").alias("_to"))
+            q = incoming["questions"].join(to, ["session_id", "category_id"], "left").withColumn("category_id", F.col("_to")).select(*incoming["questions"].columns)
+            out["questions"] = current["questions"].unionByName(q) if "questions" in current else q
+    elif "questions" in both:
+        out["questions"] = current["questions"].unionByName(incoming["questions"])
+    return out
+
+
+def _append_glossary(current: DataFrame, incoming: DataFrame) -> DataFrame:
+    size = F.struct(F.length("definition"), -F.col("order_index"))
+    rows = incoming.withColumn("_norm", X.normalize("term"))
+    one = rows.groupBy("session_id", "_norm").agg(
+        F.min_by("id", F.struct("order_index", "id")).alias("id"), F.min_by("term", F.struct("order_index", "id")).alias("term"), F.max_by("definition", size).alias("definition"), _first_seen("aliases").alias("aliases"),
+        F.min("order_index").alias("order_index"), F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at"),
+    )
+    i = one.select("session_id", "_norm", F.col("definition").alias("_definition"), F.col("aliases").alias("_aliases"), F.col("updated_at").alias("_at"))
+    c = current.withColumn("_norm", X.normalize("term")).join(i, ["session_id", "_norm"], "left")
+    longer = F.length("_definition") > F.length("definition")
+    aliases = F.when(F.col("_aliases").isNull(), F.col("aliases")).otherwise(F.array_distinct(F.concat("aliases", "_aliases")))
+    changed = F.coalesce(longer, F.lit(False)) | (F.size(aliases) > F.size("aliases"))
+    c = c.withColumns({"definition": F.when(longer, F.col("_definition")).otherwise(F.col("definition")), "aliases": aliases, "updated_at": F.when(changed, F.col("_at")).otherwise(F.col("updated_at"))})
+    new = one.join(current.select("session_id", X.normalize("term").alias("_norm")), ["session_id", "_norm"], "left_anti")
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy("order_index", "id")) - 1
+    return numbered_on(c.select(*current.columns), new.withColumn("order_index", place).select(*current.columns))
+
+
+def most_advanced(assets: DataFrame, key: list[str], order: str) -> DataFrame:
+    """Per key the state furthest on, and of equal ones the last by `order`."""
+    rank = F.array_position(F.array(*map(F.lit, STATUS_ORDER)), F.col("status"))
+    return assets.groupBy(*key).agg(F.max_by("status", F.struct(rank, order)).alias("status"))
+
+
+def ordered_union(rows: DataFrame, key: list[str], order: str, value: str) -> DataFrame:
+    """Per key the distinct values in the order in which they first stood; each value shrinks to one row first."""
+    first = rows.groupBy(*key, value).agg(F.min(order).alias("_first"))
+    return first.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_first", value))), lambda r: r[value]).alias(value))
+
+
 def consolidate(tables: dict[str, DataFrame], preferred: str) -> dict[str, DataFrame]:
     """M9: all sessions into the preferred one, in one pass: rows are re-keyed, duplicates by natural key dropped, and
     references to a dropped glossary term or unit point to the one that stays.

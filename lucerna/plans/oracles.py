@@ -169,7 +169,7 @@ ORACLES = {
     "A14_U3_ordered_union": "SELECT user_id, string_agg(event_type, ',' ORDER BY first) AS types FROM (SELECT user_id, event_type, min(event_id) AS first FROM events GROUP BY user_id, event_type) GROUP BY user_id",
     "A17_status_lattice": sql("SELECT session_id, status FROM (SELECT session_id, status, row_number() OVER (PARTITION BY session_id ORDER BY CASE status WHEN 'failed' THEN 1 WHEN 'pending' THEN 2 WHEN 'processing' THEN 3 ELSE 4 END DESC, doc_id DESC) AS n FROM assets) WHERE n = 1", "assets"),
     "W5_latest_entries": sql("SELECT session_id, id, n AS from_end FROM (SELECT session_id, id, row_number() OVER (PARTITION BY session_id ORDER BY order_index DESC, started_at_seconds DESC, id DESC) AS n FROM transcript) WHERE n <= 4", "transcript"),
-    "Q1_J3_J5_J6_feed": sql("SELECT 'q' || CAST(q.doc_id AS VARCHAR) AS id, q.source AS session_id, 'Language ' || q.lang AS category, CASE WHEN q.quality = 1 THEN substr(q.text, 1, 80) END AS answer, coalesce(s.types, '') AS sources, row_number() OVER (PARTITION BY q.source ORDER BY lpad(CAST(q.doc_id AS VARCHAR), 12, '0') DESC) AS rank FROM qa q LEFT JOIN (SELECT answer_id, string_agg(source_type, ',' ORDER BY rank) AS types FROM ranked_sources GROUP BY answer_id) s ON s.answer_id = 'a' || CAST(q.doc_id AS VARCHAR) WHERE q.toxic = 0", "qa", "ranked_sources"),
+    "Q1_J3_J5_J6_feed": sql("SELECT 'q' || CAST(q.doc_id AS VARCHAR) AS id, q.source AS session_id, 'Language ' || q.lang AS category, CASE WHEN q.quality = 1 THEN q.text END AS answer, coalesce(s.types, '') AS sources, row_number() OVER (PARTITION BY q.source ORDER BY lpad(CAST(q.doc_id AS VARCHAR), 12, '0') DESC) AS rank FROM qa q LEFT JOIN (SELECT answer_id, string_agg(source_type, ',' ORDER BY rank) AS types FROM ranked_sources GROUP BY answer_id) s ON s.answer_id = 'a' || CAST(q.doc_id AS VARCHAR) WHERE q.toxic = 0", "qa", "ranked_sources"),
     "Q2_J4_history": sql("SELECT 'q' || CAST(q.doc_id AS VARCHAR) AS id, q.source AS session_id, round((q.doc_id % 100) / 100.0, 2) AS confidence_score, q.doc_id % 3 + 1 AS n_sources, row_number() OVER (PARTITION BY q.source ORDER BY lpad(CAST(q.doc_id AS VARCHAR), 12, '0') DESC) AS rank FROM qa q WHERE q.doc_id % 2 = 1 AND q.quality = 1", "qa"),
     "Q5_J7_notes": sql("""SELECT CAST(e.event_id AS VARCHAR) AS id, CAST(e.user_id AS VARCHAR) AS session_id,
         coalesce(d.label, CASE e.event_id % 4 WHEN 0 THEN 'Session note' WHEN 1 THEN 'Lecture material' WHEN 2 THEN 'Material section' ELSE 'Glossary term' END) AS anchor_label,
@@ -231,3 +231,14 @@ ORACLES |= {
         "chunks",
     ),
 }
+
+DIGESTS = "SELECT asset_id, session_id, 'asset_summary' AS kind, name AS title, md5(text) AS text, lpad(asset_id, 12, '0') AS updated_at, status FROM assets"
+ORACLES |= {
+    "F32_answer_text": f"SELECT item_id, {collapse('text')} AS answer FROM benchmark",
+    "F30_unit_payload": f"SELECT doc_id, title, md5(substr(c, 1, 240)) AS excerpt, md5(CASE WHEN c = '' THEN title ELSE c END) AS content_text, md5({strip("title || ' ' || c")}) AS search_text FROM (SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN lang ELSE source END AS title, {strip('text')} AS c FROM documents)",
+    "M2_upsert_digest": sql(f"SELECT asset_id, session_id, kind, CASE WHEN status <> 'failed' THEN 'again' ELSE title END AS title, text, updated_at FROM ({DIGESTS})", "assets"),
+    "M3_set_status": sql("SELECT asset_id AS id, CASE status WHEN 'processing' THEN 'ready' ELSE status END AS status, CASE WHEN status <> 'processing' THEN 'old' END AS error_message, CASE status WHEN 'processing' THEN '2' ELSE '1' END AS indexed_at, CASE status WHEN 'processing' THEN '2' ELSE lpad(asset_id, 12, '0') END AS updated_at FROM assets", "assets"),
+    "M7_new_notes": f"SELECT CAST(conv_id AS VARCHAR) AS session_id, CAST(turn AS VARCHAR) AS created_at, CASE WHEN turn % 2 = 0 THEN 'material_chunk' ELSE 'session' END AS anchor_type, md5(c) AS content, CASE WHEN c = '' THEN 'empty' WHEN turn % 2 = 0 AND turn % 4 <> 0 THEN 'no anchor' END AS reason FROM (SELECT conv_id, turn, CASE WHEN turn % 3 > 0 THEN {strip('text')} ELSE '' END AS c FROM conversations)",
+    "M8_W3_append_materials": sql("SELECT m.id, m.session_id, CASE WHEN starts_with(m.source_label, 'slides') THEN m.order_index ELSE m.order_index + coalesce(n.n, 0) END AS order_index FROM materials m LEFT JOIN (SELECT session_id, max(order_index) + 1 AS n FROM materials WHERE starts_with(source_label, 'slides') GROUP BY session_id) n ON n.session_id = m.session_id", "materials"),
+    "M8_J13_append_questions": "SELECT CAST(event_id AS VARCHAR) AS id, CAST(user_id AS VARCHAR) AS session_id, CASE WHEN event_type IN ('view', 'error') THEN 'old_' ELSE 'new_' END || CAST(user_id AS VARCHAR) || '_' || event_type AS category_id FROM events",
+}

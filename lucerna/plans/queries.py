@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lucerna.functions import text as X
 from lucerna.operators import context, decide, mutations, parse, reads, retrieval
 from lucerna.plans.views import Views
+from lucerna.sources.tables import settle
 from lucerna.streaming import index as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -268,7 +269,7 @@ def Q10_C5_C6_ask(v: Views) -> DataFrame:
 @query
 def B1_B5_context_blocks(v: Views) -> DataFrame:
     q = retrieval.prepare_questions(v.questions())
-    m = retrieval.merge_matches(_matches(v))
+    m = settle(retrieval.merge_matches(_matches(v)))
     used = context.focused(m)
     first = used.join(q.select("question_id", "focus"), "question_id")
     out = context.blocks(first, "Focused evidence").withColumn("section", F.lit(0))
@@ -364,14 +365,13 @@ def A9_A11_arg_max(v: Views) -> DataFrame:
 
 @query
 def A14_U3_ordered_union(v: Views) -> DataFrame:
-    e = v.table("events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"]).alias("types"))
-    return e.select("user_id", F.array_join(F.array_distinct("types"), ",").alias("types"))
+    e = mutations.ordered_union(v.table("events"), ["user_id"], "event_id", "event_type")
+    return e.select("user_id", F.array_join("event_type", ",").alias("types"))
 
 
 @query
 def A17_status_lattice(v: Views) -> DataFrame:
-    rank = F.array_position(F.array(*map(F.lit, mutations.STATUS_ORDER)), F.col("status"))
-    return v.assets().groupBy("session_id").agg(F.max_by("status", F.struct(rank, "doc_id")).alias("status"))
+    return mutations.most_advanced(v.assets(), ["session_id"], "doc_id")
 
 
 @query
@@ -483,6 +483,65 @@ def U4_U5_J10_difference(v: Views) -> DataFrame:
     return mutations.append_rows(current, incoming, ["session_id", "key"]).select("key", F.col("order_index").cast("long").alias("order_index"))
 
 
+@query
+def F32_answer_text(v: Views) -> DataFrame:
+    b = v.table("benchmark")
+    asked = F.concat_ws(" ", F.slice(F.split("text", r"\s+"), 1, 3))
+    told = F.when(F.col("item_id") % 2 == 0, F.concat(F.regexp_replace(asked, "[?!.]+$", ""), F.lit(": "), F.col("text"))).otherwise(F.col("text"))
+    value = F.concat(F.lit("<thinking>"), "text", F.lit("</Thinking>\nQuestion: why\nFinal answer: "), told, F.lit("\n1. "), F.regexp_replace("text", "\n", " "), F.lit("\nEvidence:\n"), "text")
+    return b.select("item_id", X.answer_text(value, F.concat(asked, F.lit("?"))).alias("answer"))
+
+
+@query
+def F30_unit_payload(v: Views) -> DataFrame:
+    d = v.table("documents")
+    name = F.when(F.col("doc_id") % 2 == 0, "content_text").otherwise("contentText")
+    u = X.unit_payload(F.to_json(F.map_from_arrays(F.array(name, F.lit("title")), F.array("text", F.when(F.col("doc_id") % 3 > 0, F.col("lang")).otherwise("")))), "source")
+    return d.select("doc_id", u.alias("u")).select("doc_id", "u.title", F.md5("u.excerpt").alias("excerpt"), F.md5("u.content_text").alias("content_text"), F.md5("u.search_text").alias("search_text"))
+
+
+@query
+def M2_upsert_digest(v: Views) -> DataFrame:
+    a = v.assets().select("asset_id", "session_id", F.lit("asset_summary").alias("kind"), F.col("name").alias("title"), F.md5("text").alias("text"), F.col("created_at").alias("updated_at"), "status")
+    new = a.where("status <> 'failed'").withColumn("title", F.lit("again")).drop("status")
+    return mutations.upsert_digest(a.where("status <> 'ready'").drop("status"), new)
+
+
+@query
+def M3_set_status(v: Views) -> DataFrame:
+    a = v.assets().select(F.col("asset_id").alias("id"), "status", F.lit("old").alias("error_message"), F.lit("1").alias("indexed_at"), F.col("created_at").alias("updated_at"))
+    done = a.where("status = 'processing'").select("id", F.lit("ready").alias("status"), F.lit(None).cast("string").alias("error_message"), F.lit("2").alias("indexed_at"), F.lit("2").alias("updated_at"))
+    return mutations.set_status(a, done)
+
+
+@query
+def M7_new_notes(v: Views) -> DataFrame:
+    r = v.table("conversations").select(
+        F.col("conv_id").cast("string").alias("session_id"), F.when(F.col("turn") % 3 > 0, F.concat(F.lit(" "), "text", F.lit("\n"))).otherwise(" ").alias("content"),
+        F.when(F.col("turn") % 2 == 0, "material_chunk").alias("anchor_type"), F.when(F.col("turn") % 4 == 0, "c").alias("anchor_id"), F.col("turn").cast("string").alias("created_at"),
+    )
+    made, refused = mutations.new_notes(r)
+    return made.select("session_id", "created_at", "anchor_type", F.md5("content").alias("content"), F.lit(None).cast("string").alias("reason")).unionByName(refused.select("session_id", "created_at", "anchor_type", F.md5("content").alias("content"), "reason"))
+
+
+@query
+def M8_W3_append_materials(v: Views) -> DataFrame:
+    m = v.materials()
+    first = F.col("source_label").startswith("slides")
+    out = mutations.append_pack({"lecture_materials": m.where(first)}, {"lecture_materials": m.where(~first)})
+    return out["lecture_materials"].select("id", "session_id", "order_index")
+
+
+@query
+def M8_J13_append_questions(v: Views) -> DataFrame:
+    e = v.table("events").select(F.col("user_id").cast("string").alias("session_id"), F.col("event_type").alias("key"), F.col("event_id").cast("string").alias("event_id"))
+    kinds = e.select("session_id", "key").distinct().withColumn("created_at", F.lit("1"))
+    named = lambda df, p: df.withColumn("id", F.concat_ws("_", F.lit(p), "session_id", "key"))
+    q = e.select(F.col("event_id").alias("id"), "session_id", F.concat_ws("_", F.lit("new"), "session_id", "key").alias("category_id"))
+    out = mutations.append_pack({"qa_categories": named(kinds.where("key in ('view', 'error')"), "old")}, {"qa_categories": named(kinds, "new"), "questions": q})
+    return out["questions"]
+
+
 @query
 def ST2_ST3_index_states(v: Views) -> DataFrame:
     a = v.assets().select("asset_id", "session_id", "name", X.extension("name").alias("extension"), "text", F.col("created_at").alias("queued_at"))

@@ -74,11 +74,11 @@ class Views:
         labelled = self.table("labels").join(self.table("documents").select("doc_id", "source", "lang", "text"), "doc_id")
         n = F.col("doc_id").cast("string")
         questions = labelled.select(
-            F.concat(F.lit("q"), n).alias("id"), F.col("source").alias("session_id"), F.col("lang").alias("category_id"), F.substring("text", 1, 40).alias("text"),
+            F.concat(F.lit("q"), n).alias("id"), F.col("source").alias("session_id"), F.col("lang").alias("category_id"), "text",
             F.when(F.col("toxic") == 1, "private").otherwise("public").alias("visibility"), F.when(F.col("doc_id") % 2 == 0, "seed_public").otherwise("user_local").alias("origin"), F.lpad(n, 12, "0").alias("created_at"),
         )
         answers = labelled.where("quality = 1").select(
-            F.concat(F.lit("a"), n).alias("id"), F.concat(F.lit("q"), n).alias("question_id"), F.col("source").alias("session_id"), F.substring("text", 1, 80).alias("text"),
+            F.concat(F.lit("a"), n).alias("id"), F.concat(F.lit("q"), n).alias("question_id"), F.col("source").alias("session_id"), "text",
             F.lit("grounded").alias("state"), F.round((F.col("doc_id") % 100) / 100, 2).alias("confidence_score"), F.lpad(n, 12, "0").alias("created_at"),
         )
         kinds = F.array(*map(F.lit, ["glossary_term", "material_chunk", "transcript_entry"]))

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lucerna.functions import text as X
 from lucerna.operators import parse
+from lucerna.operators.context import asset_digests
 from lucerna.operators.retrieval import COLUMN_WEIGHTS, postings
 
 ASSET = "asset_id string, session_id string, name string, extension string, text string, queued_at string"
@@ -42,8 +43,9 @@ def start(spark: SparkSession, source: str, root: str, once: bool = True) -> Str
 
     def batch(assets: DataFrame, number: int) -> None:
         assets = assets.persist()
-        units = units_of(assets).withColumn("batch", F.lit(number))
-        for name, df in (("units", units), ("postings", postings(units, COLUMN_WEIGHTS)), ("states", states_of(assets))):
+        units = units_of(assets)
+        words = postings(units, COLUMN_WEIGHTS).join(units.select("id", "asset_id"), "id")
+        for name, df in (("units", units), ("postings", words), ("digests", asset_digests(units)), ("states", states_of(assets))):
             df.write.mode("overwrite").parquet(f"{root}/{name}/batch={number}")
         assets.unpersist()
 
@@ -52,7 +54,11 @@ def start(spark: SparkSession, source: str, root: str, once: bool = True) -> Str
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="2500 milliseconds")).start()
 
 
+def current(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """ST3, ST5: the units, postings or digests of the last batch that held each asset, none if it has no text any more."""
+    last = spark.read.parquet(f"{root}/states").groupBy("asset_id").agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{root}/{name}").join(last, ["asset_id", "batch"], "left_semi").drop("batch")
+
+
 def current_units(spark: SparkSession, root: str) -> DataFrame:
-    """The units of the last batch that held each asset."""
-    every = spark.read.parquet(f"{root}/units")
-    return every.withColumn("_last", F.max("batch").over(Window.partitionBy("asset_id"))).where("batch = _last").drop("_last", "batch")
+    return current(spark, root, "units")

@@ -22,3 +22,15 @@ def test_stream_equals_batch_and_repeats_change_nothing(spark, tmp_path):
     assert got == {(r.asset_id, r.content_text) for r in index.units_of(every).collect()} == {("a", "three"), ("c", "four")}
     states = {r.asset_id: r.status for r in index.latest_states(spark.read.parquet(f"{root}/states")).collect()}
     assert states == {"a": "ready", "b": "failed", "c": "ready"}
+    words = {(r.asset_id, r.token) for r in index.current(spark, root, "postings").collect()}
+    assert {("a", "three"), ("c", "four")} <= words and not words & {("a", "one"), ("a", "two")}
+    assert {(r.asset_id, r.text) for r in index.current(spark, root, "digests").collect()} == {("a", "three"), ("c", "four")}
+
+
+def test_an_asset_that_becomes_empty_has_no_units(spark, tmp_path):
+    source, root = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    for k, text in enumerate(("one", " ")):
+        (source / f"{k}.json").write_text(json.dumps(row("a", text, str(k))))
+        index.start(spark, str(source), root).awaitTermination()
+    assert index.current_units(spark, root).count() == 0 == index.current(spark, root, "digests").count()

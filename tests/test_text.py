@@ -62,3 +62,25 @@ def test_transcript_line(spark):
 
 def test_xml_decodes_the_ampersand_last(spark):
     assert one(spark, X.xml_decode(F.lit("a &amp;lt; b &lt;"))) == "a &lt; b <"
+
+
+def test_answer_text(spark):
+    said = "Tin is soft."
+    for value, question, answer in (
+        (f"{said}\n\nInstruction: only local.\nEvidence:\n1. Tin", "What is tin?", said),
+        (f"<thinking>a\nb</thinking>\nFinal answer:\n{said}", "?", said),
+        (f"<|channel>thought x<channel|>{said}<turn|>", "", said),
+        (f"what IS tin: {said}", " What is tin?! ", said),
+        ("What is tin", "What is tin?", ""),
+        ("Answer:\n1. a\nanalysis: b\n2.5 parts", "q", "2.5 parts"),
+        (said, None, said),
+    ):
+        assert one(spark, X.answer_text(F.lit(value), F.lit(question).cast("string"))) == answer
+
+
+def test_unit_payload(spark):
+    u = one(spark, X.unit_payload(F.lit('{"title": " ", "excerpt": " e "}'), F.lit("T")))
+    assert tuple(u) == ("T", "e", "e", "T e")
+    assert tuple(one(spark, X.unit_payload(F.lit("no json"), F.lit("T")))) == ("T", "", "T", "T")
+    u = one(spark, X.unit_payload(F.lit('{"title": "A", "contentText": "c", "searchText": "s"}'), F.lit("T")))
+    assert tuple(u) == ("A", "c", "c", "s")
