@@ -79,14 +79,20 @@ def words_of(texts: list[bytes]) -> Words:
     per_text = np.diff(np.searchsorted(starts, ends), prepend=0)
     letter = (raw >= 0x80) | ((raw >= 97) & (raw <= 122))
     letter[:1] = letter[-1:] = False
-    at = np.flatnonzero(letter)
-    wide = raw.astype(np.uint32)
-    code = (wide[at - 1] << np.uint32(16)) | (wide[at] << np.uint32(8)) | wide[at + 1]
-    bucket = ((code * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int64)
-    word = (np.cumsum(first) - 1)[at]
+    at = np.flatnonzero(letter).astype(np.int32)  # slices hold few MB, and a text under 2 GB
+    code = np.zeros(len(at), np.uint32)
+    for step in (-1, 0, 1):  # narrow types and work in place: these arrays are most of a worker's memory
+        code <<= np.uint32(8)
+        code |= raw[at + np.int32(step)]
+    code *= np.uint32(2654435761)
+    code >>= np.uint32(16)
+    bucket = code.astype(np.uint16)
+    place = np.cumsum(first, dtype=np.int32)
+    place -= 1
+    word = place[at]
     letters = np.bincount(word, minlength=len(starts))
     script = np.full(len(starts), _LATIN, np.int64)
-    foreign = np.unique((np.cumsum(first) - 1)[np.flatnonzero(raw >= 0xCD)])
+    foreign = np.unique(place[np.flatnonzero(raw >= 0xCD)])
     if len(foreign):
         blanks = np.flatnonzero(blank)
         stops = blanks[np.searchsorted(blanks, starts[foreign])]
