@@ -180,8 +180,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     The same on every machine.
     """
     raw = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
-    value = _FOLDED[raw]
-    letter = value > 0
+    letter = (_FOLDED > 0)[raw]
     first = letter.copy()
     first[1:] &= ~letter[:-1]
     starts = np.flatnonzero(first)
@@ -189,8 +188,10 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     counts = np.diff(np.searchsorted(starts, ends), prepend=0)
     if not len(starts):
         return np.zeros(0, np.uint64), counts
-    at = np.flatnonzero(letter)
-    place = at - np.repeat(starts, np.add.reduceat(letter.astype(np.int64), starts))
+    at = np.flatnonzero(letter).astype(np.int32)  # narrow types, as these arrays are most of a worker's memory
+    place = at - np.repeat(starts.astype(np.int32), np.add.reduceat(letter, starts, dtype=np.int32))
     power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(place.max()), _ODD)]), dtype=np.uint64)
     begin = np.searchsorted(at, starts)
-    return scramble(np.add.reduceat(value[at] * power[place], begin)), counts
+    value = power[place]
+    value *= _FOLDED[raw[at]]
+    return scramble(np.add.reduceat(value, begin)), counts
