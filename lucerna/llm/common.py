@@ -153,6 +153,27 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [b or b"" for b in column.cast(pa.binary()).to_pylist()]
 
 
+#: Bytes of a search term: ASCII letters (capitals as small ones) and digits, and all of what is not ASCII; other bytes part terms.
+_TERM = bytes(b if b >= 128 or chr(b).isdigit() or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(256))
+#: Bytes of a text that are split at a time.
+PIECE = 1_000_000
+
+
+def folded(term: bytes) -> bytes:
+    return term.translate(_TERM)
+
+
+def terms(text: bytes) -> Iterator[list[bytes]]:
+    """The terms of a UTF-8 text, in lists of about PIECE bytes of it: maximal runs of letters, digits and characters beyond ASCII."""
+    text = text.translate(_TERM)
+    at = 0
+    while at < len(text):
+        end = text.find(b" ", at + PIECE)
+        end = len(text) if end < 0 else end
+        yield text[at:end].split()
+        at = end
+
+
 def sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Sum of each run of the given lengths; 0 for an empty run."""
     ends = np.cumsum(lengths)

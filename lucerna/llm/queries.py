@@ -1,4 +1,4 @@
-"""The queries op1_ to op10_ and the pipeline, with their SQL where SQL can express them."""
+"""The queries op1_ to op13_ and the pipeline, with their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lucerna.llm import embedding_dedup, html_text, language_id, minhash_dedup, mixing, ngram_lm, pieces, quality_rules, toxicity, warc
+from lucerna.llm import centroids, embedding_dedup, html_text, language_id, lexical_search, minhash_dedup, mixing, ngram_lm, pieces, pii, quality_rules, toxicity, warc
 from lucerna.llm.common import fold, table
 
 
@@ -59,12 +59,24 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    found = {f.__name__: f for f in (op1_html_text, op2_toxicity, op3_ngram_lm, op4_mixing, op5_quality_rules, op6_warc, op7_language_id, op8_minhash_dedup, op9_pieces, op10_embedding_dedup)}
+    found = {f.__name__: f for f in (op1_html_text, op2_toxicity, op3_ngram_lm, op4_mixing, op5_quality_rules, op6_warc, op7_language_id, op8_minhash_dedup, op9_pieces, op10_embedding_dedup, op11_centroids, op12_lexical_search, op13_pii)}
     return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.MIX_SQL, "op6_warc": warc.WARC_SQL}
+    return {"op4_mixing": mixing.MIX_SQL, "op6_warc": warc.WARC_SQL, "op11_centroids": centroids.CENTROIDS_SQL, "op12_lexical_search": lexical_search.SEARCH_SQL}

@@ -28,7 +28,7 @@ def docs(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings", "benchmark"):
         c.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     assert rows(queries.queries()[name](spark, SF).toPandas()) == rows(c.execute(queries.oracle_sql()[name]).df())
 
