@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +28,22 @@ def normalize(x: Text) -> Column:
     return F.lower(strip(x))
 
 
+def _decomposed() -> dict[str, str]:
+    """Small letters that are an ASCII letter with one mark, by their canonical decomposition, in the Latin blocks."""
+    each = {chr(c): unicodedata.normalize("NFD", chr(c)) for block in (range(0x80, 0x250), range(0x1E00, 0x1F00)) for c in block}
+    return {c: d[0] for c, d in each.items() if len(d) == 2 and d[0].isascii() and d[0].islower() and unicodedata.combining(d[1])}
+
+
+#: Combining marks that a full-text index drops; letters with one of them stand for their base.
+MARKS = "".join(map(chr, [0x300, 0x301, 0x302, 0x303, 0x304, 0x306, 0x307, 0x308, 0x309, 0x30A, 0x30B, 0x30C, 0x30F, 0x311, 0x31B, 0x323, 0x324, 0x325, 0x326, 0x327, 0x328, 0x32D, 0x32E, 0x330, 0x331]))
+MARKED = _decomposed() | {"\u017f": "s", "\u1e9b": "s"}
+
+
+def without_marks(x: Text) -> Column:
+    """In lower case, letters with one diacritic as their base letter, combining marks left out; letters with several marks stay."""
+    return F.translate(F.lower(_c(x)), "".join(MARKED) + MARKS, "".join(MARKED.values()))
+
+
 def collapse(x: Text) -> Column:
     """every run of white space as one space, none at the ends."""
     return strip(F.regexp_replace(_c(x), f"[{SPACE}]+", " "))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from lucerna.functions.text import METADATA, STOP_WORDS
 from lucerna.operators.decide import CATEGORY_WORDS, UNSUPPORTED
 
@@ -50,6 +52,13 @@ def boost(x: str) -> str:
     return f"CASE WHEN {holds(x)} THEN CASE WHEN {words('focus')} >= 2 THEN 0.7 ELSE 0.4 END ELSE 0.0 END"
 
 
+def unit_words(units: str) -> str:
+    """The tokens of all four columns of units, without diacritics, with their weights."""
+    found = r"unnest(list_filter(string_split(regexp_replace(strip_accents(lower({})), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> ''))"
+    weights = {"title": 1.0, "excerpt": 0.5, "content_text": 1.0, "search_text": 1.0}
+    return " UNION ALL ".join(f"SELECT id, {found.format(c)} AS token, {w} AS weight FROM {units}" for c, w in weights.items())
+
+
 SLUG = r"coalesce(nullif(substr(regexp_replace(regexp_replace({0}, '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 48), ''), 'item')"
 EXT = r"lower(regexp_extract(trim(name), '\.([^.]*)$', 1))"
 BASE = r"lower(regexp_replace(trim(name), '\.[^.]+$', ''))"
@@ -81,7 +90,7 @@ VIEWS = {
     "qa_sources": "SELECT 's_' || CAST(doc_id AS VARCHAR) || '_' || CAST(k AS VARCHAR) AS id, 'a' || CAST(doc_id AS VARCHAR) AS answer_id, source AS session_id, (['glossary_term', 'material_chunk', 'transcript_entry'])[(doc_id + k) % 3 + 1] AS source_type, 'doc' || CAST(doc_id AS VARCHAR) || '_0' AS source_record_id, CAST((doc_id * 7 + k * 3) % 10 AS DOUBLE) AS relevance_score, k FROM (SELECT doc_id, source, unnest(generate_series(0, doc_id % 3)) AS k FROM qa WHERE quality = 1)",
     "ranked_sources": "SELECT *, row_number() OVER (PARTITION BY answer_id ORDER BY CASE source_type WHEN 'glossary_term' THEN 0 WHEN 'material_chunk' THEN 1 WHEN 'transcript_entry' THEN 2 ELSE 99 END, relevance_score DESC, k, id) AS rank FROM qa_sources",
     "units": f"SELECT id, session_id, CASE WHEN order_index % 5 = 0 THEN 'pdf' ELSE 'text' END AS modality, material_id || ' ' || heading AS title, {excerpt('text', 240)} AS excerpt, text AS content_text, lower(text) AS search_text FROM chunks",
-    "unit_words": r"SELECT id, unnest(list_filter(string_split(regexp_replace(lower(title), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda w: w <> '')) AS token, 1.0 AS weight FROM units UNION ALL SELECT id, unnest(list_filter(string_split(regexp_replace(lower(excerpt), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda w: w <> '')), 0.5 FROM units UNION ALL SELECT id, unnest(list_filter(string_split(regexp_replace(lower(content_text), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda w: w <> '')), 1.0 FROM units UNION ALL SELECT id, unnest(list_filter(string_split(regexp_replace(lower(search_text), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda w: w <> '')), 1.0 FROM units",
+    "unit_words": unit_words("units"),
     "unit_index": "SELECT id, token, sum(weight) AS tf FROM unit_words GROUP BY id, token",
     "unit_sizes": "SELECT id, count(*) AS length FROM unit_words GROUP BY id",
     "asked_words": r"SELECT question_id, session_id, unnest(list_slice(p, 1, 8)) AS prefix FROM (SELECT question_id, session_id, list_filter(string_split(regexp_replace(lower(question), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) >= 2) AS p FROM asked)",
@@ -100,6 +109,19 @@ NEEDS = {
     "pairs": ["prefixes", "unit_index"], "hits": ["pairs", "unit_index"], "dfs": ["hits"], "bm": ["asked_words", "hits", "units", "dfs", "unit_sizes"], "dim": ["materials", "chunks", "glossary", "transcript", "units"],
 }
 
+#: The same over the units of a living index: those of the assets not deleted, a third of them written again.
+_LIVING = ["units", "unit_words", "unit_index", "unit_sizes", "pairs", "hits", "dfs", "bm"]
+_NUMBER = "CAST(regexp_extract(id, 'doc([0-9]+)_', 1) AS BIGINT)"
+_AGAIN = f"{_NUMBER} % 3 = 0"
+for _name in _LIVING:
+    VIEWS[f"{_name}_now"] = re.sub(rf"\b({'|'.join(_LIVING)})\b(?! AS )", r"\1_now", VIEWS[_name])
+    NEEDS[f"{_name}_now"] = [f"{n}_now" if n in _LIVING else n for n in NEEDS.get(_name, [])]
+VIEWS["units_now"] = (
+    f"SELECT id, session_id, title, CASE WHEN {_AGAIN} THEN '' ELSE excerpt END AS excerpt, CASE WHEN {_AGAIN} THEN array_to_string(list_reverse(string_split(content_text, ' ')), ' ') ELSE content_text END AS content_text, "
+    f"CASE WHEN {_AGAIN} THEN '' ELSE search_text END AS search_text FROM units WHERE {_NUMBER} % 7 <> 0"
+)
+NEEDS["units_now"] = ["units"]
+
 
 def sql(text: str, *views: str) -> str:
     """The query with the views it reads, and theirs, in front."""
@@ -148,6 +170,7 @@ ORACLES = {
     "R8_J18_materials": sql(SHORT + "m_match", "m_match"),
     "R8_transcripts": sql(SHORT + "t_match", "t_match"),
     "R13_O15_L2_top_matches": sql("SELECT question_id, source_type, source_record_id, round(score, 6) AS score, rank FROM merged", "merged"),
+    "R10_ST5_living_index": sql("SELECT question_id, id, round(rank, 6) AS rank, place FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rank DESC, id) AS place FROM bm_now) WHERE place <= 18", "bm_now"),
     "R9_R10_J2_bm25": sql("SELECT question_id, id, round(rank, 6) AS rank FROM bm", "bm"),
     "C1_D15_categorize": sql(f"SELECT question_id, session_id || '_' || key AS category_id FROM (SELECT question_id, session_id, key, row_number() OVER (PARTITION BY question_id ORDER BY CASE WHEN {CATEGORY} THEN 0 ELSE 1 END, n) AS r FROM asked, (VALUES ('exam_prep', 0), ('applications', 1), ('logistics', 2), ('concepts', 3)) AS c(key, n)) WHERE r = 1", "asked"),
     "C2_C3_A5_A8_support": sql("SELECT question_id, round(strongest, 6) AS strongest, round(average, 6) AS average, focused, kinds, supported, CASE WHEN supported THEN 'grounded evidence found' ELSE 'not enough grounded evidence' END AS reason FROM supported", "supported"),

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lucerna.functions import text as X
-from lucerna.operators import context, decide, mutations, parse, reads, retrieval
+from lucerna.operators import context, decide, mutations, parse, reads, retrieval, search_index
 from lucerna.plans.views import Views
-from lucerna.sources.tables import settle
+from lucerna.sources.tables import folder_between, settle
 from lucerna.streaming import index as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -183,7 +184,7 @@ def T18_T19_units(v: Views) -> DataFrame:
 
 def _matches(v: Views) -> list[DataFrame]:
     q = v.questions()
-    return [retrieval.glossary_matches(q, v.glossary()), retrieval.material_matches(q, v.chunks()), retrieval.transcript_matches(q, v.transcript()), retrieval.evidence_matches(q, v.units())]
+    return [retrieval.glossary_matches(q, v.glossary()), retrieval.material_matches(q, v.chunks()), retrieval.transcript_matches(q, v.transcript()), retrieval.evidence_matches(q, v.units(), index=v.index())]
 
 
 def _short(matches: DataFrame) -> DataFrame:
@@ -219,15 +220,37 @@ def R13_O15_L2_top_matches(v: Views) -> DataFrame:
 
 @query
 def R9_R10_J2_bm25(v: Views) -> DataFrame:
-    found = retrieval.bm25(v.questions(), v.units(), most=None)
+    found = retrieval.bm25(v.questions(), v.units(), most=None, index=v.index())
     return found.select("question_id", "id", F.round("rank", 6).alias("rank"))
 
 
+def _versions(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The units of three writes: all assets, then every third with its text in reverse order of words, and the assets deleted last."""
+    units = v.units()
+    turned = F.array_join(F.reverse(F.split("content_text", " ")), " ")
+    number = F.regexp_extract("asset_id", "([0-9]+)$", 1).cast("long")
+    again = units.where(number % 3 == 0).withColumns({"content_text": turned, "search_text": F.lit(""), "excerpt": F.lit("")})
+    gone = units.where(number % 7 == 0).select("asset_id").distinct()
+    return units, again, gone
+
+
+@query
+def R10_ST5_living_index(v: Views) -> DataFrame:
+    """The first 18 units of each question by an index of three segments: all units, a third of the assets written again, a seventh deleted."""
+    units, again, gone = _versions(v)
+    root = f"{folder_between(v.spark)}/index-{uuid.uuid4().hex}"
+    search_index.write_segment(root, 0, units, units.select("asset_id", F.lit(False).alias("deleted")))
+    search_index.write_segment(root, 1, again, again.select("asset_id", F.lit(False).alias("deleted")))
+    search_index.delete_assets(root, gone)
+    found = search_index.search(v.questions(), search_index.load(v.spark, root), retrieval.MOST_SOURCES)
+    return found.select("question_id", "id", F.round("rank", 6).alias("rank"), F.col("place").cast("long").alias("place"))
+
+
 @query
 def R11_R12_J17_evidence(v: Views) -> DataFrame:
     q, units = v.questions(), v.units()
-    again = retrieval.bm25(q, units, most=retrieval.RERANKED).select("question_id", "id", (F.lit(20.0) - F.col("place")).alias("new_score"))
-    return _short(retrieval.evidence_matches(q, units, again))
+    again = retrieval.bm25(q, units, most=retrieval.RERANKED, index=v.index()).select("question_id", "id", (F.lit(20.0) - F.col("place")).alias("new_score"))
+    return _short(retrieval.evidence_matches(q, units, again, v.index()))
 
 
 @query
@@ -545,4 +568,4 @@ def M8_J13_append_questions(v: Views) -> DataFrame:
 @query
 def ST2_ST3_index_states(v: Views) -> DataFrame:
     a = v.assets().select("asset_id", "session_id", "name", X.extension("name").alias("extension"), "text", F.col("created_at").alias("queued_at"))
-    return streaming.latest_states(streaming.states_of(a))
+    return streaming.latest_states(streaming.states_of(a)).select("asset_id", "session_id", "status")

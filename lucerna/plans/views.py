@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lucerna.functions import text as X
+from lucerna.operators.search_index import Index, built
 
 SESSIONS = 20
+#: The indexes built so far, by application and folder: one serves all queries of a session.
+_INDEXES: dict[tuple[str, str], Index] = {}
 
 
 class Views:
@@ -108,3 +111,10 @@ class Views:
             "id", "session_id", F.col("material_id").alias("asset_id"), F.when(F.col("order_index") % 5 == 0, "pdf").otherwise("text").alias("modality"), F.concat_ws(" ", "material_id", "heading").alias("title"),
             X.excerpt("text", 240).alias("excerpt"), F.col("text").alias("content_text"), F.lower("text").alias("search_text"), "order_index",
         )
+
+    def index(self) -> Index:
+        """The search index of the units, built once."""
+        key = (self.spark.sparkContext.applicationId, self.dir)
+        if key not in _INDEXES:
+            _INDEXES[key] = built(self.units())
+        return _INDEXES[key]

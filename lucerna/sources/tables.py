@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,17 +17,14 @@ def write_tables(tables: dict[str, DataFrame], root: str, append: bool = False)
         df.write.mode("append" if append else "overwrite").parquet(f"{root.rstrip('/')}/{name}")
 
 
+def folder_between(spark: SparkSession) -> str:
+    """The shared folder for tables in between: the one that spark.checkpoint.dir names, else one in the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_lucerna"
+    return f"{root.rstrip('/')}/lucerna"
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """df written to the shared folder that spark.checkpoint.dir names and read again, for what several consumers read.
-
-    Without that setting the warehouse is taken, in local mode a folder of our own.
-    """
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        local = spark.sparkContext.master.startswith("local")
-        root = f"{tempfile.gettempdir()}/lucerna-{uuid.uuid4().hex}" if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_lucerna"
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/lucerna/{uuid.uuid4().hex}"
+    """df written to the folder for tables in between and read again, for what several consumers read."""
+    path = f"{folder_between(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

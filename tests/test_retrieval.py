@@ -1,6 +1,6 @@
 """Rules that are easy to mend by accident, and independence of the partitioning."""
 
-from lucerna.operators import context, decide, retrieval
+from lucerna.operators import context, decide, retrieval, search_index
 from lucerna.plans.queries import QUERIES
 from pyspark.sql import functions as F
 from tests.conftest import SF
@@ -73,3 +73,100 @@ def test_context_packs_every_line_that_has_room(spark):
 def test_context_has_all_kinds(spark):
     out = QUERIES["B1_B5_context_blocks"](spark, SF).select("section").distinct()
     assert {r.section for r in out.collect()} == {0, 1, 2, 3, 4}
+
+
+UNIT = "id string, session_id string, asset_id string, title string, excerpt string, content_text string, search_text string"
+
+
+def test_diacritics_fold_as_in_a_full_text_index(spark):
+    """All letters of the Latin blocks, alone and with combining marks, against SQLite's tokenizer."""
+    import sqlite3
+    import unicodedata
+
+    letters = [chr(c) for c in [*range(0xC0, 0x250), *range(0x300, 0x332), *range(0x1E00, 0x1F00)] if unicodedata.category(chr(c))[0] in "LM"]
+    c = sqlite3.connect(":memory:")
+    c.execute("create virtual table t using fts5(x)")
+    c.execute("create virtual table v using fts5vocab(t, 'instance')")
+    texts = [f"a{x}b {x}" for x in letters]
+    c.executemany("insert into t(rowid, x) values (?, ?)", list(enumerate(texts)))
+    want = {k: [] for k in range(len(texts))}
+    for term, doc in c.execute("select term, doc from v order by doc, offset"):
+        want[doc].append(term)
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, x string")
+    got = {r.n: r.w for r in df.select("n", search_index.words("x").alias("w")).collect()}
+    ascii_of = lambda found: [t for t in found if t.isascii()]  # noqa: E731  a prefix that is asked for is ASCII
+    # a mark alone is a token there, but no prefix can ask for it; ligatures and letters newer than its tables stay
+    assert {k for k in got if ascii_of(got[k]) != ascii_of(want[k])} == set()
+
+
+def test_words_without_diacritics_are_found(spark):
+    q = spark.createDataFrame([("q1", "s", "cafe"), ("q2", "s", "uber senor"), ("q3", "s", "café")], "question_id string, session_id string, question string")
+    rows = [("u1", "Café"), ("u2", "cafe\u0301s"), ("u3", "Über"), ("u4", "SEÑORA"), ("u5", "nothing"), ("u6", "strasse stra\u00dfe")]
+    units = spark.createDataFrame([(i, "s", "a", "", "", t, "") for i, t in rows], UNIT)
+    found = {}
+    for r in retrieval.bm25(q, units).collect():
+        found.setdefault(r.question_id, set()).add(r.id)
+    assert found == {"q1": {"u1", "u2"}, "q2": {"u3", "u4"}, "q3": {"u1", "u2"}}
+
+
+def _sqlite(units, question, session, most=18):
+    """What the reference's index gives: ids by falling absolute rank."""
+    import sqlite3
+
+    c = sqlite3.connect(":memory:")
+    c.execute("create virtual table t using fts5(id unindexed, session_id unindexed, title, excerpt, content_text, search_text)")
+    c.executemany("insert into t values (?, ?, ?, ?, ?, ?)", units)
+    words = [w for w in "".join(x if x.isascii() and x.isalnum() else " " for x in question.lower()).split() if len(w) > 1][:8]
+    rows = c.execute("select id, abs(bm25(t, 6.0, 1.0, 1.0, 0.5)) from t where t match ? and session_id = ? order by 2 desc limit ?", (" OR ".join(f"{w}*" for w in words), session, most))
+    return {(i, round(r, 6)) for i, r in rows}
+
+
+def test_index_in_segments_equals_one_built_anew(spark, tmp_path):
+    """After appends, assets written again, deletions and compaction; and equals SQLite's ranks."""
+    import random
+
+    r = random.Random(3)
+    vocabulary = ["tin", "tinder", "tint", "Ärger", "argen", "élan", "elanes", "one", "once", "zebra", "x9", "日本"]
+    texts = lambda: tuple(" ".join(r.choices(vocabulary, k=r.randint(0, 9))) for _ in range(4))
+    asset = lambda a: [(f"{a}_{k}", "s0", a, *texts()) for k in range(3)]
+    root, now = str(tmp_path / "index"), {}
+    q = spark.createDataFrame([("q1", "s0", "tin élan one"), ("q2", "s0", "on on arg"), ("q3", "s0", "none ?"), ("q4", "other", "tin"), ("q5", "s0", "a")], "question_id string, session_id string, question string")
+
+    def write(number, assets):
+        rows = [u for a in assets for u in asset(a)]
+        now.update({a: [u for u in rows if u[2] == a] for a in assets})
+        df = spark.createDataFrame(rows, UNIT)
+        for _ in range(2):  # a batch that runs again
+            search_index.write_segment(root, number, df, df.select("asset_id", F.lit(False).alias("deleted")))
+
+    def same():
+        live = [u for us in now.values() for u in us]
+        found = lambda df: {(x.question_id, x.id, round(x.rank, 6), x.place) for x in df.collect()}
+        got = found(search_index.search(q, search_index.load(spark, root), 18))
+        assert got == found(retrieval.bm25(q, spark.createDataFrame(live, UNIT)))
+        for name, text in (("q1", "tin élan one"), ("q2", "on on arg")):
+            assert {(i, s) for k, i, s, _ in got if k == name} == _sqlite([(u[0], u[1], *u[3:]) for u in live], text, "s0", 1000) or len(live) > 18
+        assert got
+
+    write(0, ["a1", "a2", "a3"])
+    same()
+    write(10, ["a2", "a4"])
+    same()
+    search_index.delete_assets(root, spark.createDataFrame([("a1",)], "asset_id string"))
+    del now["a1"]
+    same()
+    search_index.compacted(spark, root)
+    same()
+    write(20, ["a1", "a4"])
+    same()
+    search_index.delete_assets(root, spark.createDataFrame([("a1",), ("a2",), ("a4",)], "asset_id string"))
+    for a in ("a1", "a2", "a4"):
+        del now[a]
+    same()
+
+
+def test_an_index_of_nothing(spark, tmp_path):
+    q = spark.createDataFrame([("q1", "s", "tin")], "question_id string, session_id string, question string")
+    assert search_index.search(q, search_index.load(spark, str(tmp_path / "none")), 18).count() == 0
+    assert retrieval.bm25(q, spark.createDataFrame([], UNIT)).count() == 0
+    assert retrieval.bm25(q.limit(0), spark.createDataFrame([("u", "s", "a", "tin", "", "", "")], UNIT)).count() == 0
