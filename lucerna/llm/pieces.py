@@ -313,8 +313,9 @@ def encode_texts(t: Tables, texts: list[str | None], memo: dict[str, bytes]) ->
 
 
 def decode_ids(t: Tables, ids: np.ndarray) -> bytes:
-    """UTF-8 of the text; the space that encoding puts in front is taken off."""
-    return b"".join(map(t.text.__getitem__, ids.tolist()))[1:]
+    """UTF-8 of the text; the space that encoding puts in front is taken off, if there is one: ids may start within a text."""
+    found = b"".join(map(t.text.__getitem__, ids.tolist()))
+    return found[1:] if found[:1] == b" " else found
 
 
 def _columns(t: Tables, texts: list[str | None], memo: dict[str, bytes]) -> list[pa.Array]:
