@@ -15,7 +15,7 @@ are not read by resolve.
 
 from __future__ import annotations
 
-import gzip
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,6 +29,9 @@ PERMITTED = ["age", "cache-control", "content-location", "date", "etag", "expire
 #: Query parameters that don't name another document.
 TRACKING = r"^(utm_[a-z]+|gclid|fbclid|ref|sessionid|phpsessid|jsessionid|sid)(=|$)"
 
+#: Bytes that are unpacked at a time.
+STEP = 1 << 20
+PROBLEM = "path string, problem string"
 CAPTURE = "record_id string, kind string, url string, time long, status int, headers map<string,string>, payload binary"
 
 
@@ -82,27 +85,92 @@ def resolve(captures: DataFrame, bin_width: int = BIN) -> DataFrame:
     )
 
 
+def inflated(data: bytes) -> Iterator[bytes | str]:
+    """The content of a file, plain or in gzip members, in steps of STEP bytes; a text in between tells of a broken member, behind which the next is looked for."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    view, at = memoryview(data), 0
+    while 0 <= at < len(data):
+        member, end, problem = zlib.decompressobj(wbits=31), at, ""
+        try:
+            while not member.eof and end < len(data):
+                part = view[end : end + STEP]
+                end += len(part)
+                rest = part
+                while len(rest) and not member.eof:
+                    yield member.decompress(rest, STEP)
+                    rest = member.unconsumed_tail
+            problem = "" if member.eof else "a gzip member ends too soon"
+        except zlib.error as e:
+            problem = f"a gzip member is broken: {e}"
+        if problem:
+            yield f"{problem} (at byte {at})"
+        at = data.find(b"\x1f\x8b\x08", at + 1 if problem else end - len(member.unused_data))
+
+
 def parse(data: bytes) -> Iterator[dict]:
-    """The records of a WARC file, gzip or plain: response and revisit records with their HTTP headers and payload."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while (at := data.find(b"WARC/1.", at)) >= 0:
-        head_end = data.find(b"\r\n\r\n", at)
+    """The records of a WARC file, gzip or plain: response and revisit records with their HTTP headers and payload.
+
+    What can't be read gives a row with its problem only, and reading goes on behind it: a broken or truncated gzip member, a
+    record that ends too soon or has no length. A capture whose date can't be read keeps a null time. One record and STEP bytes
+    more are held at a time.
+    """
+    held, parts, ended = bytearray(), inflated(data), False
+
+    def more() -> Iterator[dict]:
+        nonlocal ended, held
+        part = next(parts, None)
+        if part is None:
+            ended = True
+        elif isinstance(part, str):
+            left = bytes(held)
+            held = bytearray()
+            yield {"problem": part + ("; a record is lost with it" if left.strip() else "")}
+        else:
+            held += part
+
+    while True:
+        at = held.find(b"WARC/1.")
+        head_end = held.find(b"\r\n\r\n", at) if at >= 0 else -1
         if head_end < 0:
-            return
-        fields = _fields(data[at:head_end])
-        body = data[head_end + 4 : head_end + 4 + int(fields.get("content-length", 0))]
-        at = head_end + 4 + len(body)
+            if ended:
+                if at >= 0:
+                    yield {"problem": "a record's head ends too soon"}
+                elif held.strip():
+                    yield {"problem": f"{len(held)} bytes hold no record"}
+                return
+            if at < 0:
+                del held[: max(0, len(held) - 6)]
+            yield from more()
+            continue
+        fields = _fields(bytes(held[at:head_end]))
+        length = fields.get("content-length", "")
+        if not (length.isascii() and length.isdigit()):
+            yield {"problem": f"a record's length can't be read: {length[:40]!r}"}
+            del held[: head_end + 4]
+            continue
+        stop = head_end + 4 + int(length)
+        problems = []
+        while len(held) < stop and not ended and not problems:
+            problems = list(more())
+        if len(held) < stop:
+            yield from problems or [{"problem": "a record ends too soon"}]
+            if not problems:
+                del held[: head_end + 4]
+            continue
+        body = bytes(held[head_end + 4 : stop])
+        del held[:stop]
         if fields.get("warc-type") in ("response", "revisit"):
             http, _, payload = body.partition(b"\r\n\r\n")
             status = http.split(b"\r\n", 1)[0].split(b" ")
+            when = pd.to_datetime(fields.get("warc-date"), errors="coerce", utc=True)
             yield {
                 "record_id": fields.get("warc-record-id"),
                 "kind": fields["warc-type"],
                 "url": fields.get("warc-target-uri"),
-                "time": int(pd.Timestamp(fields["warc-date"]).value // 10**9) if "warc-date" in fields else None,
-                "status": int(status[1]) if len(status) > 1 and status[1].isdigit() else None,
+                "time": None if when is None or pd.isna(when) else int(when.timestamp() // 1),
+                "status": int(status[1]) if len(status) > 1 and re.fullmatch(rb"[0-9]{3}", status[1]) else None,
                 "headers": _fields(http),
                 "payload": payload,
             }
@@ -123,17 +191,38 @@ def record(kind: str, record_id: str, url: str, time: int, status: int, headers:
     return packer.compress(head.encode() + body + b"\r\n\r\n") + packer.flush()
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The captures in the WARC files at path; a task reads whole files."""
+def _read(spark: SparkSession, path: str, problems: bool) -> DataFrame:
+    schema = PROBLEM if problems else CAPTURE
+    names = [c.split()[0] for c in schema.replace("map<string,string>", "map").split(", ")]
+
+    def frame(rows: list[dict]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in ("time", "status") if c in names})
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for content in part["content"]:
-                rows = list(parse(bytes(content)))
-                if rows:
-                    yield pd.DataFrame(rows)
+            for file, content in zip(part["path"], part["content"]):
+                held, size = [], 0
+                for r in parse(bytes(content)):
+                    if ("problem" in r) == problems:
+                        held.append({"path": file} | r)
+                        size += len(r.get("payload", b""))
+                    if size > STEP or len(held) > 1000:
+                        yield frame(held)
+                        held, size = [], 0
+                if held:
+                    yield frame(held)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """The captures in the WARC files at path; a task reads whole files. What is broken is left out; see read_problems."""
+    return _read(spark, path, False)
+
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, CAPTURE)
+def read_problems(spark: SparkSession, path: str) -> DataFrame:
+    """What read_warc leaves out of the files at path: path, problem."""
+    return _read(spark, path, True)
 
 
 def crawl_of(pages: DataFrame) -> DataFrame:
