@@ -1,7 +1,7 @@
 """Near-duplicate documents by improved consistent weighted sampling over TF-IDF shingles.
 
 1. Shingles of SHINGLE words (a shorter text is one shingle). Their document frequencies are counted over all
-   documents; a shingle's weight is its count in the text times a damped inverse document frequency: 1 up to
+   documents; a shingle's weight is 1 + log(its count in the text) times a damped inverse document frequency: 1 up to
    FREQUENT of all documents, falling with the logarithm to FLOOR for one that stands everywhere. So only frequent
    shingles must be known to all tasks, and there are at most mean document length / FREQUENT of them.
 2. Texts with equal words are one class; what follows works on a representative.
@@ -17,8 +17,8 @@
 
 Candidates are found by chance, and by their weighted similarity only. Two texts of weighted similarity s share a band
 with probability 1 - (1 - s^ROWS)^BANDS (0.8: 0.99999, 0.7: 0.998, 0.5: 0.88) and agree in AGREE of the samples with
-0.9999, 0.97 and 0.2; only the first is needed where the star's centre is one of them. A pair whose plain similarity
-alone is high, as when a line stands once in one text and ten times in the other, can be lost.
+0.9999, 0.97 and 0.2; only the first is needed where the star's centre is one of them. The logarithm of the counts keeps
+the weighted similarity of a pair near its plain one: where a fifth of a text stands ten times in the other it is 0.68.
 
 Keys that very many rows share (a bucket, a group of exact copies, a centre, an edge's end) are looked up and compared
 in parts (common.looked_up, common.dealt and spread_stars), so no task meets all of a key's rows.
@@ -141,6 +141,11 @@ def frequent(docs: DataFrame, n_docs: int, n_bytes: int) -> tuple[np.ndarray, np
     return keys[order], FLOOR + (1 - FLOOR) * np.clip(fall, 0, 1)
 
 
+def weighted(known: tuple[np.ndarray, np.ndarray], keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The weights of shingles that occur n times."""
+    return (1 + np.log(n)) * idf(known, keys)
+
+
 def idf(known: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
     if not len(known[0]):
         return np.ones(len(keys))
@@ -184,7 +189,7 @@ def signatures(docs: DataFrame, known: tuple[np.ndarray, np.ndarray]) -> DataFra
         for batch in slices(batches):
             texts = as_bytes(batch.column(1))
             keys, n, sizes = shingles(texts)
-            found, sketch = bands(keys, n * idf(shared.value, keys), sizes)
+            found, sketch = bands(keys, weighted(shared.value, keys, n), sizes)
             found = found.view(np.int64)
             same = [hashlib.md5(b" ".join(w)).digest() if (w := t.lower().split()) else b"" for t in texts]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, BANDS, dtype=np.int32)), pa.array(found.ravel()))
@@ -233,7 +238,7 @@ def residual(members: DataFrame, texts: DataFrame, known: tuple[np.ndarray, np.n
         for t in groups_of(batches, keys):
             reps, part = t["rep"].to_numpy(), t["component"].to_numpy()
             hashes, n, sizes = shingles([unpack.decompress(p) for p in t["packed"].to_pylist()])
-            weights = n * idf(shared.value, hashes)
+            weights = weighted(shared.value, hashes, n)
             ends = np.cumsum(sizes)
             spans = [slice(int(e - s), int(e)) for e, s in zip(ends, sizes)]
             joined: dict[int, int] = {}
@@ -283,7 +288,7 @@ def verified(pairs: DataFrame, texts: DataFrame, known: tuple[np.ndarray, np.nda
         for whole in batches:
             for batch in slices(iter([whole]), "packed"):
                 keys, n, sizes = shingles([unpack.decompress(p) for p in batch.column(4).to_pylist()])
-                weights = n * idf(shared.value, keys)
+                weights = weighted(shared.value, keys, n)
                 ends = np.cumsum(sizes)
                 a, b = [], []
                 groups = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
