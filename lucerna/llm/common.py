@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of text that a Python worker handles at a time; bounds its memory whatever the batch size.
-SLICE_BYTES = 3_000_000
+SLICE_BYTES = 1_000_000
 #: The most keys that looked_up() broadcasts, and the rows from which a key is one of them.
 HOT, HOT_ROWS = 1000, 1000
 
