@@ -500,3 +500,64 @@ def test_warc_time_bins_change_nothing(spark):
     hot = c.withColumn("url", c.url.substr(1, 9))
     one, many = (sorted((r.record_id, r.response_id, r.outcome) for r in warc.resolve(hot, bin_width=w).collect()) for w in (10**9, 7))
     assert one == many
+
+
+def test_warc_broken_files(spark, tmp_path, monkeypatch):
+    one, two, three = (warc.record("response", f"r{k}", "http://a.com/x", 100 + k, 200, {"ETag": "1"}, b"p" * 5000 + bytes([k])) for k in range(3))
+    plain = b"".join(map(gzip.decompress, (one, two, three)))
+    broken = bytearray(two)
+    broken[30:60] = b"\0" * 30
+    files = {
+        "cut.warc.gz": (one + two[:-40], ["r0"]), "middle.warc.gz": (one + bytes(broken) + three, ["r0", "r2"]), "garbage.warc.gz": (b"\x1f\x8b" + b"junk" * 50, []), "text.warc": (b"hello", []), "empty.warc": (b"", []),
+        "length.warc": (plain.replace(b"Content-Length: ", b"Content-Length: x", 1), ["r1", "r2"]), "date.warc": (plain.replace(b"WARC-Date: 1970", b"WARC-Date: never", 1), ["r0", "r1", "r2"]),
+        "short.warc": (plain[:-3000], ["r0", "r1"]), "head.warc": (plain + b"WARC/1.1\r\nWARC-Type: res", ["r0", "r1", "r2"]), "whole.warc.gz": (gzip.compress(plain), ["r0", "r1", "r2"]),
+    }
+    for step in (1 << 20, 777):
+        monkeypatch.setattr(warc, "STEP", step)
+        for name, (data, want) in files.items():
+            rows = list(warc.parse(data))
+            assert [r["record_id"] for r in rows if "problem" not in r] == want, name
+            assert any("problem" in r for r in rows) == (name not in ("empty.warc", "date.warc", "whole.warc.gz")), name
+    for name, (data, _) in files.items():
+        (tmp_path / name).write_bytes(data)
+    got = warc.read_warc(spark, str(tmp_path)).collect()
+    assert len(got) == sum(len(w) for _, w in files.values()) and [r.time for r in got if r.time is None] == [None]
+    assert {r.path.rsplit("/", 1)[1] for r in warc.read_problems(spark, str(tmp_path)).collect()} == set(files) - {"empty.warc", "date.warc", "whole.warc.gz"}
+    assert warc.resolve(warc.read_warc(spark, str(tmp_path))).count() == 0
+
+
+def test_decode_of_ids_that_do_not_start_a_text(spark):
+    """As the library decodes them: only a space in front is taken off."""
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    known = [k for k in range(library.get_piece_size()) if not (library.is_control(k) or library.is_unknown(k) or library.is_byte(k))]
+    lists = [[288], [1237], [450], [450, 288], library.encode("hello world")[-2:], library.encode("été à la mer")[2:], *[[int(x) for x in np.random.default_rng(k).choice(known, 4)] for k in range(200)]]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(lists)], "n int, token_ids array<int>")
+    assert {r.n: r.decoded for r in pieces.decode(df).collect()} == {k: library.decode(x) for k, x in enumerate(lists)}
+
+
+def test_near_duplicates_by_weighted_similarity(spark, docs):
+    """Every pair whose weighted similarity is 0.8 or more is in one class, as is one whose text repeats a part many times."""
+    words = [f"v{k}" for k in range(200)]
+    more = [(10**6, " ".join(words)), (10**6 + 1, " ".join(words + words[:40] * 9))]
+    df = spark.createDataFrame([(int(d), t) for d, t in zip(docs.doc_id, docs.text)] + more, "doc_id long, text string")
+    n_bytes = sum(len((r.text or "").encode()) for r in df.collect())
+    known = minhash_dedup.frequent(df.where("text is not null").select("text"), df.count(), n_bytes)
+    of = {r.doc_id: r.class_id for r in minhash_dedup.groups(df).collect()}
+    rows = [(r.doc_id, r.text.encode()) for r in df.collect() if (r.text or "").split()]
+    keys, n, sizes = minhash_dedup.shingles([t for _, t in rows])
+    weight = minhash_dedup.weighted(known, keys, n)
+    ends = np.cumsum(sizes)
+    each = [dict(zip(keys[e - s : e].tolist(), weight[e - s : e].tolist())) for e, s in zip(ends, sizes)]
+    by_key = collections.defaultdict(list)
+    for k, d in enumerate(each):
+        for x in d:
+            by_key[x].append(k)
+    pairs = {(a, b) for ks in by_key.values() for i, a in enumerate(ks) for b in ks[:i]}
+    close = 0
+    for a, b in pairs:
+        x, y = each[a], each[b]
+        least = sum(min(w, y[k]) for k, w in x.items() if k in y)
+        if least / (sum(x.values()) + sum(y.values()) - least) >= 0.8:
+            close += 1
+            assert of[rows[a][0]] == of[rows[b][0]]
+    assert close > 10 and of[10**6] == of[10**6 + 1]
