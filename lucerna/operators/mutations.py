@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lucerna.functions import text as X
 from lucerna.operators.schema import PARENTS
+from lucerna.sources.tables import settle
 
 #: States of an upload from least to most.
 STATUS_ORDER = ["failed", "pending", "processing", "ready"]
@@ -191,37 +192,155 @@ def ordered_union(rows: DataFrame, key: list[str], order: str, value: str) -> Da
     return first.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_first", value))), lambda r: r[value]).alias(value))
 
 
-def consolidate(tables: dict[str, DataFrame], preferred: str) -> dict[str, DataFrame]:
-    """M9: all sessions into the preferred one, in one pass: rows are re-keyed, duplicates by natural key dropped, and
-    references to a dropped glossary term or unit point to the one that stays.
-
-    Sessions count in their order, the preferred one first; the first row of a key stays.
+def session_ranks(sessions: DataFrame, preferred: str | None) -> DataFrame:
+    """session_id, _rank from 0: the preferred session first, then by O1. One row a session is numbered in one task."""
+    order = Window.partitionBy().orderBy(F.coalesce(F.col("id") != F.lit(preferred), F.lit(True)), F.desc("starts_at"), "title", "id")
+    return settle(sessions.select(F.col("id").alias("session_id"), (F.row_number().over(order) - 1).alias("_rank")))
+
+
+def _offsets(sizes: DataFrame) -> DataFrame:
+    """_rank, _base: of sizes (_rank, n) the sum of those before. A row a session."""
+    before = F.sum("n").over(Window.partitionBy().orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1))
+    return sizes.withColumn("_base", F.coalesce(before, F.lit(0))).select("_rank", "_base")
+
+
+def _moved_on(rows: DataFrame) -> DataFrame:
+    """rows (with _rank) with order_index counted on from session to session; sums over sessions, so no row meets another."""
+    base = _offsets(rows.groupBy("_rank").agg((F.max("order_index") + 1).alias("n")))
+    return rows.join(base, "_rank").withColumn("order_index", (F.col("order_index") + F.col("_base")).cast(rows.schema["order_index"].dataType)).drop("_base")
+
+
+def _merged_terms(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Terms of all sessions by name: the first's row with the longest definition and all aliases; new ones numbered on. Also old id to id."""
+    at = F.struct("_rank", "order_index", "id")
+    named = rows.withColumn("_norm", X.normalize("term"))
+    longest = F.struct(F.length("definition"), -F.col("_rank"), -F.col("order_index"))
+    plain = [c for c in rows.columns if c not in ("aliases", "definition", "updated_at", "id")]
+    has = lambda c: c in rows.columns
+    one = named.groupBy("_norm").agg(F.min_by("id", at).alias("id"), *[F.min_by(c, at).alias(c) for c in plain], F.max_by("definition", longest).alias("definition"), *([F.max("updated_at").alias("updated_at")] if has("updated_at") else []))
+    if has("aliases"):
+        each = named.select("_norm", "_rank", "order_index", "id", F.posexplode("aliases").alias("_i", "alias"))
+        first = each.groupBy("_norm", "alias").agg(F.min(F.struct("_rank", "order_index", "id", "_i")).alias("_at"))
+        listed = first.groupBy("_norm").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "alias"))), lambda x: x["alias"]).alias("aliases"))
+        one = one.join(listed, "_norm", "left").withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
+    place = F.row_number().over(Window.partitionBy("_rank").orderBy("order_index", "id")) - 1
+    own = one.where("_rank = 0")
+    more = one.where("_rank > 0").withColumn("order_index", place.cast(rows.schema["order_index"].dataType))
+    sizes = more.groupBy("_rank").agg(F.count("*").alias("n")).unionByName(own.agg(F.lit(0).alias("_rank"), F.coalesce(F.max("order_index") + 1, F.lit(0)).cast("long").alias("n")))
+    more = more.join(_offsets(sizes), "_rank").withColumn("order_index", (F.col("order_index") + F.col("_base")).cast(rows.schema["order_index"].dataType)).drop("_base")
+    to = named.select(F.col("id").alias("old"), "_norm").join(one.select("_norm", F.col("id").alias("new")), "_norm").where("old <> new").select("old", "new")
+    return own.unionByName(more).drop("_norm"), to
+
+
+def _merged_assets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Assets of all sessions by kind and name: those of the first session with a name stay; of them the last made takes in
+    all of later sessions: their newest type, extension, checksum, size, message and time, and the state furthest on. Also old id to id."""
+    key = ["_kind", "_name"]
+    named = rows.withColumn("_kind", F.coalesce("source_kind", F.lit(""))).withColumn("_name", X.normalize("file_name"))
+    at = F.struct("created_at", "file_name", "id")
+    first = named.groupBy(*key).agg(F.min("_rank").alias("_first"))
+    heads = named.join(first, key).where("_rank = _first").groupBy(*key).agg(F.max_by("id", at).alias("new"), F.first("_first").alias("_first"))
+    with_head = named.join(heads, key)
+    later = F.struct("_rank", "created_at", "file_name", "id")
+    mine = with_head.where("id = new or _rank > _first")
+    state = F.array_position(F.array(*map(F.lit, STATUS_ORDER)), F.col("status"))
+    newest = [c for c in ("media_type", "source_extension", "checksum", "size_bytes", "error_message", "indexed_at", "updated_at") if c in rows.columns]
+    taken = mine.groupBy("new").agg(F.max_by("status", F.struct(state, later)).alias("_status"), *[F.max_by(c, F.when(F.col(c).isNotNull(), later)).alias(f"_{c}") for c in newest])
+    kept = with_head.where("_rank = _first").join(taken.withColumnRenamed("new", "_of"), F.col("id") == F.col("_of"), "left")
+    kept = kept.withColumns({"status": F.coalesce("_status", "status"), **{c: F.when(F.col("_of").isNotNull(), F.col(f"_{c}")).otherwise(F.col(c)) for c in newest}})
+    return kept.select(*rows.columns), with_head.where("_rank > _first").select(F.col("id").alias("old"), "new")
+
+
+def _mapped(rows: DataFrame, column: str, to: DataFrame, when: Column | None = None) -> DataFrame:
+    """rows with the ids of a column replaced by those they went to."""
+    hit = rows.join(to.select(F.col("old").alias("_old"), F.col("new").alias("_new")), (F.col(column) == F.col("_old")) & (F.lit(True) if when is None else when), "left")
+    return hit.withColumn(column, F.coalesce("_new", column)).drop("_old", "_new")
+
+
+def consolidate(tables: dict[str, DataFrame], preferred: str | None, now: str | None = None) -> dict[str, DataFrame]:
+    """All sessions into the preferred one (else the first by O1), in one pass with sessions ranked in that order.
+
+    What goes into another row leaves a pair of ids, and every reference to it follows: terms (one a name, the longest
+    definition, all aliases), categories (one a key), uploads (one a kind and name, from the first session that has it). So
+    questions follow categories; sources, notes and bookmarks follow terms; units and digests follow uploads. Bookmarks are
+    freed of repeats after that. Summaries and digests of one kind keep the first row with the last one's title and text;
+    materials, transcripts and new terms are numbered on; questions of other sessions without an answer are left out; the
+    session takes all tags, and its digest is written anew from the uploads' digests in their order.
+
+    now: the time of change; without it the latest there is. With one session or none nothing changes.
     """
     sessions = tables["lecture_sessions"]
-    order = Window.partitionBy().orderBy(F.col("id") != preferred, F.desc("starts_at"), "title", "id")
-    rank = sessions.select(F.col("id").alias("session_id"), F.row_number().over(order).alias("_rank"))
-    keys = {"glossary_terms": [X.normalize("term")], "qa_categories": [F.col("key")], "bookmarks": [F.col("target_type"), F.col("target_id")], "summaries": [F.col("kind")], "uploaded_assets": [F.col("source_kind"), X.normalize("file_name")]}
-    out, moved = {"lecture_sessions": sessions.where(F.col("id") == preferred)}, {}
-    for name, df in tables.items():
-        if name == "lecture_sessions":
-            continue
-        ranked = df.join(rank, "session_id").withColumn("session_id", F.lit(preferred))
-        if name in keys:
-            w = Window.partitionBy(*keys[name]).orderBy("_rank", "id")
-            ranked = ranked.withColumn("_first", F.first("id").over(w)).withColumn("_n", F.row_number().over(w))
-            if name == "uploaded_assets":
-                state = F.array_position(F.array(*map(F.lit, STATUS_ORDER)), F.col("status"))
-                ranked = ranked.withColumn("status", F.max_by("status", F.struct(state, "_rank")).over(Window.partitionBy(*keys[name])))
-            moved[name] = ranked.where("_n > 1").select("id", F.col("_first").alias("new_id"))
-            ranked = ranked.where("_n = 1").drop("_first", "_n")
-        out[name] = ranked.drop("_rank").select(*df.columns)
-    for name, column, kind in (("answer_sources", "source_record_id", "source_type"), ("notes", "anchor_id", "anchor_type"), ("bookmarks", "target_id", "target_type")):
-        if name in out and "glossary_terms" in moved:
-            m = moved["glossary_terms"].select(F.col("id").alias(column), "new_id", F.lit("glossary_term").alias(kind))
-            out[name] = out[name].join(m, [column, kind], "left").withColumn(column, F.coalesce("new_id", column)).select(*tables[name].columns)
+    rank = session_ranks(sessions, preferred)
+    found = rank.where("_rank < 2").collect()
+    if len(found) < 2:
+        return dict(tables)
+    target = next(r.session_id for r in found if r["_rank"] == 0)
+    ranked = {name: df.join(rank, "session_id").withColumn("session_id", F.lit(target)) for name, df in tables.items() if name != "lecture_sessions"}
+    terms = assets = categories = None
+    if "glossary_terms" in ranked:
+        ranked["glossary_terms"], terms = _merged_terms(ranked["glossary_terms"])
+        terms = settle(terms)
+    if "uploaded_assets" in ranked:
+        ranked["uploaded_assets"], assets = _merged_assets(ranked["uploaded_assets"])
+        assets = settle(assets)
+    for name in ("lecture_materials", "transcript_entries"):
+        if name in ranked:
+            ranked[name] = _moved_on(ranked[name])
+    if "qa_categories" in ranked:
+        c = ranked["qa_categories"]
+        stays = c.groupBy("key").agg(F.min_by("id", F.struct("_rank", "created_at", "id")).alias("new"))
+        categories = settle(c.select("key", F.col("id").alias("old")).join(stays, "key").where("old <> new").select("old", "new"))
+        ranked["qa_categories"] = c.join(stays.select(F.col("new").alias("id")), "id", "left_semi")
+    if "questions" in ranked:
+        q = ranked["questions"]
+        if "answers" in tables:
+            answered = tables["answers"].select(F.col("question_id").alias("id"))
+            q = q.where("_rank = 0").unionByName(q.where("_rank > 0").join(answered, "id", "left_semi"))
+        ranked["questions"] = _mapped(q, "category_id", categories) if categories is not None else q
+    if "summaries" in ranked:
+        ranked["summaries"] = _last_text(ranked["summaries"], ["kind"], ["_rank", "id"])
+    if terms is not None:
+        for name, column, kind in (("answer_sources", "source_record_id", "source_type"), ("notes", "anchor_id", "anchor_type"), ("bookmarks", "target_id", "target_type")):
+            if name in ranked:
+                ranked[name] = _mapped(ranked[name], column, terms, F.col(kind) == "glossary_term")
+    if "bookmarks" in ranked:
+        marks = ranked["bookmarks"]
+        w = Window.partitionBy("target_type", "target_id").orderBy("_rank", F.desc("created_at"), "id") if "created_at" in marks.columns else Window.partitionBy("target_type", "target_id").orderBy("_rank", "id")
+        ranked["bookmarks"] = marks.withColumn("_n", F.row_number().over(w)).where("_n = 1")
+    if assets is not None:
+        for name in ("evidence_units", "asset_digests"):
+            if name in ranked:
+                ranked[name] = _mapped(ranked[name], "asset_id", assets)
+    if "asset_digests" in ranked:
+        every = ranked["asset_digests"]
+        of_assets = settle(_last_text(every.where("asset_id is not null"), ["asset_id", "kind"], ["_rank", "created_at", "id"]))
+        own = every.where("asset_id is null and _rank = 0")
+        latest = F.lit(now) if now else F.max("updated_at")
+        parts = F.array_sort(F.collect_list(F.struct("created_at", "id", F.concat_ws("\n", "title", "text").alias("x"))))
+        text = F.array_join(F.transform(parts, lambda p: p["x"]), "\n\n")
+        made = of_assets.where("kind = 'asset_summary'").groupBy("session_id").agg(text.alias("text"), latest.alias("updated_at")).withColumns(
+            {"id": X.stable_id(F.lit("asset_digest"), "session_id"), "asset_id": F.lit(None).cast("string"), "kind": F.lit("session_summary"), "title": F.lit("Workspace session digest"), "created_at": F.col("updated_at")}
+        )
+        columns = tables["asset_digests"].columns
+        kept_own = own.join(made.select("session_id"), "session_id", "left_anti")
+        ranked["asset_digests"] = of_assets.select(*columns).unionByName(made.select(*columns)).unionByName(kept_own.select(*columns))
+    out = {name: df.select(*tables[name].columns) for name, df in ranked.items()}
+    if "tags" in sessions.columns:
+        at = sessions.join(rank, sessions["id"] == rank["session_id"]).select("_rank", F.posexplode("tags").alias("_i", "tag"))
+        first = at.groupBy("tag").agg(F.min(F.struct("_rank", "_i")).alias("_at"))
+        tags = first.agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "tag"))), lambda x: x["tag"]).alias("_tags"))
+        sessions = sessions.where(F.col("id") == target).join(tags).withColumn("tags", F.col("_tags")).drop("_tags")
+    out["lecture_sessions"] = sessions.where(F.col("id") == target).select(*tables["lecture_sessions"].columns)
     return out
 
 
+def _last_text(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """One row a key: the first, with the title, text and time of change of the last."""
+    at = F.struct(*order)
+    last = [c for c in ("title", "text", "updated_at") if c in rows.columns]
+    return rows.groupBy(*key).agg(*[F.min_by(c, at).alias(c) for c in rows.columns if c not in (*last, *key)], *[F.max_by(c, at).alias(c) for c in last])
+
+
 def replace_session(current: DataFrame, incoming: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
     """A pack's rows take the place of all rows of its session, also in tables of which it has no row.
 

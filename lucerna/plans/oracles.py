@@ -170,6 +170,24 @@ ORACLES = {
     "R8_J18_materials": sql(SHORT + "m_match", "m_match"),
     "R8_transcripts": sql(SHORT + "t_match", "t_match"),
     "R13_O15_L2_top_matches": sql("SELECT question_id, source_type, source_record_id, round(score, 6) AS score, rank FROM merged", "merged"),
+    "M9_J16_references": sql("""
+, rk AS (SELECT id AS session_id, row_number() OVER (ORDER BY id <> 'src0', starts_at DESC, title, id) AS n FROM sessions),
+a AS (SELECT doc_id, 'doc' || doc_id AS id, lang, text, n, lower('Notes ' || (doc_id // 3) || '.txt') AS name, ['ready', 'pending', 'processing', 'failed', 'ready'][doc_id % 5 + 1] AS status FROM documents JOIN rk ON rk.session_id = source),
+f AS (SELECT *, min(n) OVER (PARTITION BY name) AS first FROM a),
+h AS (SELECT name, max(doc_id) AS head FROM f WHERE n = first GROUP BY name),
+fh AS (SELECT f.*, head, 'doc' || head AS head_id FROM f JOIN h USING (name)),
+s AS (SELECT name, ['failed', 'pending', 'processing', 'ready'][max(list_position(['failed', 'pending', 'processing', 'ready'], status))] AS status FROM fh WHERE doc_id = head OR n > first GROUP BY name),
+went AS (SELECT *, CASE WHEN n > first THEN head_id ELSE id END AS to_id FROM fh),
+dg AS (SELECT to_id, min_by(doc_id, (n, doc_id)) AS doc_id, max_by(lang, (n, doc_id)) AS title, max_by(md5(text), (n, doc_id)) AS text FROM went GROUP BY to_id),
+g AS (SELECT g.*, n, lower(trim(term)) AS norm FROM glossary g JOIN rk USING (session_id)),
+gk AS (SELECT *, first_value(id) OVER (PARTITION BY norm ORDER BY n, order_index, id) AS kept FROM g)
+SELECT 'uploaded_assets' AS name, id, CASE WHEN doc_id = head THEN s.status ELSE fh.status END AS refers FROM fh JOIN s USING (name) WHERE n = first
+UNION ALL SELECT 'evidence_units', u.id, w.to_id FROM units u JOIN went w ON w.id = regexp_extract(u.id, '(doc[0-9]+)_', 1)
+UNION ALL SELECT 'asset_digests', 'd' || doc_id, to_id || ' ' || text FROM dg
+UNION ALL SELECT 'asset_digests', 'all', md5(string_agg(title || chr(10) || text, chr(10) || chr(10) ORDER BY lpad(CAST(doc_id AS VARCHAR), 12, '0'))) FROM dg
+UNION ALL SELECT 'bookmarks', 'm' || min_by(id, (n, -order_index, id)), kept FROM gk GROUP BY kept
+UNION ALL SELECT 'questions', q.question_id, c.kept || '_concepts' FROM asked q JOIN rk USING (session_id), (SELECT min_by(session_id, n) AS kept FROM rk WHERE session_id IN (SELECT session_id FROM glossary)) c
+""", "sessions", "glossary", "units", "asked"),
     "R10_ST5_living_index": sql("SELECT question_id, id, round(rank, 6) AS rank, place FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rank DESC, id) AS place FROM bm_now) WHERE place <= 18", "bm_now"),
     "R9_R10_J2_bm25": sql("SELECT question_id, id, round(rank, 6) AS rank FROM bm", "bm"),
     "C1_D15_categorize": sql(f"SELECT question_id, session_id || '_' || key AS category_id FROM (SELECT question_id, session_id, key, row_number() OVER (PARTITION BY question_id ORDER BY CASE WHEN {CATEGORY} THEN 0 ELSE 1 END, n) AS r FROM asked, (VALUES ('exam_prep', 0), ('applications', 1), ('logistics', 2), ('concepts', 3)) AS c(key, n)) WHERE r = 1", "asked"),

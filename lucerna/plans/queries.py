@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -499,6 +500,26 @@ def M9_consolidate(v: Views) -> DataFrame:
     return mutations.consolidate(t, "src0")["glossary_terms"].select("id", "session_id", "term")
 
 
+@query
+def M9_J16_references(v: Views) -> DataFrame:
+    """All sessions into one: what units, digests, bookmarks and questions refer to after it, and the uploads' states."""
+    d = v.table("documents")
+    text = F.concat(F.lit("doc"), F.col("doc_id").cast("string"))
+    name = F.concat(F.lit("Notes "), F.floor(F.col("doc_id") / 3).cast("string"), F.when(F.col("doc_id") % 2 == 0, ".TXT").otherwise(".txt"))
+    a = v.assets().select(F.concat(F.lit("doc"), "asset_id").alias("id"), "session_id", name.alias("file_name"), F.lit("material").alias("source_kind"), "status", "created_at")
+    digests = d.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.col("source").alias("session_id"), text.alias("asset_id"), F.lit("asset_summary").alias("kind"), F.col("lang").alias("title"), F.md5("text").alias("text"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("created_at"))
+    g, c = v.glossary(), v.categories()
+    t = {
+        "lecture_sessions": v.sessions(), "glossary_terms": g, "uploaded_assets": a, "evidence_units": v.units().select("id", "session_id", "asset_id"), "asset_digests": digests.withColumn("updated_at", F.col("created_at")), "qa_categories": c,
+        "bookmarks": g.select(F.concat(F.lit("m"), "id").alias("id"), "session_id", F.lit("glossary_term").alias("target_type"), F.col("id").alias("target_id"), F.lpad(F.col("order_index").cast("string"), 9, "0").alias("created_at")),
+        "questions": v.questions().select(F.col("question_id").alias("id"), "session_id", F.concat_ws("_", "session_id", F.lit("concepts")).alias("category_id")),
+    }
+    out = mutations.consolidate(t, "src0", "now")
+    refers = {"uploaded_assets": F.col("status"), "evidence_units": F.col("asset_id"), "asset_digests": F.concat_ws(" ", "asset_id", F.when(F.col("asset_id").isNull(), F.md5("text")).otherwise(F.col("text"))), "bookmarks": F.col("target_id"), "questions": F.col("category_id")}
+    every = [out[n].select(F.lit(n).alias("name"), (F.when(F.col("asset_id").isNull(), "all").otherwise(F.col("id")).alias("id") if n == "asset_digests" else F.col("id")), value.alias("refers")) for n, value in refers.items()]
+    return reduce(DataFrame.unionByName, every)
+
+
 @query
 def U4_U5_J10_difference(v: Views) -> DataFrame:
     current = v.table("orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("key"), F.lit("s").alias("session_id"), F.col("o_custkey").cast("int").alias("order_index")).distinct()
