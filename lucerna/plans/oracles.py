@@ -170,6 +170,27 @@ ORACLES = {
     "R8_J18_materials": sql(SHORT + "m_match", "m_match"),
     "R8_transcripts": sql(SHORT + "t_match", "t_match"),
     "R13_O15_L2_top_matches": sql("SELECT question_id, source_type, source_record_id, round(score, 6) AS score, rank FROM merged", "merged"),
+    "T10_columns": r"""
+SELECT doc_id, md5(concat_ws(chr(10) || chr(10), rtrim('l ' || a) || chr(10) || rtrim('m ' || b) || chr(10) || chr(10) || rtrim('r ' || b) || chr(10) || rtrim('s ' || a), nullif(CASE WHEN regexp_matches(w, '^[0-9]+$') OR w = '-' THEN '' ELSE w END, ''))) AS text
+FROM (SELECT doc_id, trim(substr(regexp_replace(coalesce(string_split(text, chr(10))[1], ''), '\s+', ' ', 'g'), 1, 50)) AS a, trim(substr(regexp_replace(coalesce(string_split(text, chr(10))[2], ''), '\s+', ' ', 'g'), 1, 50)) AS b, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS w FROM documents)
+""",
+    "T21_T17_J14_assembly": rf"""
+WITH d AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS n, coalesce(lang, 'none') AS lang, coalesce(text, '') AS raw, {strip("coalesce(text, '')")} AS t FROM documents),
+u AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN 'Course ' || n ELSE 'Notes ' || n END AS title, t <> '' AS full_text, doc_id % 2 = 0 AS listed FROM d),
+s AS (SELECT *, 'session_' || lower(replace(title, ' ', '_')) AS sid, {collapse("raw")} AS one FROM u),
+q AS (SELECT *, CASE WHEN doc_id % 4 = 0 THEN 'concepts' ELSE 'lang' END AS cat FROM s WHERE doc_id % 5 <> 0 AND listed)
+SELECT 'lecture_sessions' AS name, sid AS id, sid AS session_id, title || '|' || CASE WHEN doc_id % 3 = 0 THEN 'ended' ELSE 'live' END || '|uploaded,ground-truth,' || CASE WHEN doc_id % 3 = 0 THEN 'x,' ELSE '' END || 'material,glossary,transcript' || CASE WHEN doc_id % 3 = 0 THEN ',session' ELSE '' END || CASE WHEN listed THEN ',categories' ELSE '' END || ',public-qa|Ground-truth lecture import assembled from ' || (4 + CAST(doc_id % 3 = 0 AS INTEGER) + CAST(listed AS INTEGER)) || ' uploaded files.' AS told FROM s
+UNION ALL SELECT 'lecture_materials', sid || CASE WHEN full_text THEN '_material_notes_' || n ELSE '_material_imported_glossary' END, sid, CASE WHEN full_text THEN 'Notes ' || n || '|reading|notes_' || n || '.csv' ELSE 'Imported glossary|reading|generated-from-glossary' END FROM s
+UNION ALL SELECT 'material_chunks', sid || CASE WHEN full_text THEN '_chunk_notes_' || n || '_part_1_0' ELSE '_chunk_glossary_term_' || n || '_0' END, sid, sid || CASE WHEN full_text THEN '_material_notes_' || n ELSE '_material_imported_glossary' END || '|' || md5(CASE WHEN full_text THEN t ELSE lang END) FROM s
+UNION ALL SELECT 'glossary_terms', sid || '_glossary_term_' || n, sid, 'Term ' || n || '|' || lang FROM s
+UNION ALL SELECT 'transcript_entries', sid || '_transcript_said_' || n || '_0', sid, CASE WHEN one <> '' THEN 'Dr. X|' || md5(one) ELSE 'Lecture|' || md5('Dr. X:') END || '|65' FROM s
+UNION ALL SELECT 'qa_categories', sid || '_category_concepts', sid, 'concepts|' || CASE WHEN listed THEN 'c' ELSE 'Definitions and grounded lecture concepts.' END FROM s
+UNION ALL SELECT 'qa_categories', sid || '_category_lang_1', sid, 'lang|' || lang FROM s WHERE listed
+UNION ALL SELECT 'questions', sid || '_public_question_what_is_' || n || '_1', sid, sid || CASE WHEN cat = 'lang' THEN '_category_lang_1' ELSE '_category_concepts' END || '|What is ' || n || '?' FROM q
+UNION ALL SELECT 'answers', sid || '_public_answer_what_is_' || n || '_1', sid, sid || '_public_question_what_is_' || n || '_1|It is.' FROM q
+UNION ALL SELECT 'answer_sources', sid || '_public_answer_what_is_' || n || '_1_src_0', sid, sid || '_glossary_term_' || n || '|Glossary: Term ' || n || '|' || lang FROM q
+UNION ALL SELECT 'questions', sid || '_public_question_what_is_' || n || '_1', sid, sid || '_category_concepts|What is ' || n || '?' FROM s WHERE doc_id % 5 <> 0 AND NOT listed AND doc_id % 4 = 0
+""",
     "M9_J16_references": sql("""
 , rk AS (SELECT id AS session_id, row_number() OVER (ORDER BY id <> 'src0', starts_at DESC, title, id) AS n FROM sessions),
 a AS (SELECT doc_id, 'doc' || doc_id AS id, lang, text, n, lower('Notes ' || (doc_id // 3) || '.txt') AS name, ['ready', 'pending', 'processing', 'failed', 'ready'][doc_id % 5 + 1] AS status FROM documents JOIN rk ON rk.session_id = source),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lucerna.functions import text as X
 from lucerna.operators import context, decide, mutations, parse, reads, retrieval, search_index
 from lucerna.plans.views import Views
+from lucerna.sources import assembly
 from lucerna.sources.tables import folder_between, settle
 from lucerna.streaming import index as streaming
 
@@ -169,6 +170,46 @@ def T15_A16_metadata(v: Views) -> DataFrame:
     return parse.metadata(packs).select("asset_id", *[F.try_element_at("record", F.lit(k)).alias(k) for k in "fop"])
 
 
+@query
+def T10_columns(v: Views) -> DataFrame:
+    """Two lines of each document as the halves of a page, with a page number, put in order."""
+    line = lambda n: F.trim(F.substring(F.regexp_replace(F.coalesce(F.get(F.split("text", "\n"), F.lit(n)), F.lit("")), r"\s+", " "), 1, 50))
+    d = v.table("documents").select("doc_id", line(0).alias("a"), line(1).alias("b"), F.col("text").alias("whole"))
+    row = lambda left, right: F.concat(F.rpad(left, 60, " "), right)
+    page = F.concat_ws("\n", row(F.concat(F.lit("l "), "a"), F.concat(F.lit("r "), "b")), F.lit("12"), row(F.concat(F.lit("m "), "b"), F.concat(F.lit("s "), "a")))
+    return d.select("doc_id", parse.columns_in_order(F.concat_ws("\f", page, F.regexp_replace("whole", r"[\s]+", " "))).alias("t")).select("doc_id", F.md5("t").alias("text"))
+
+
+def _raw_files(v: Views) -> DataFrame:
+    """Each document as an upload: its text as CSV of one chunk and as a transcript, a glossary, and for some a session file, categories and questions."""
+    n = F.col("doc_id").cast("string")
+    quoted = F.concat(F.lit('"'), F.replace(F.coalesce("text", F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    asked = F.concat(F.lit('[{"questionText": "What is '), n, F.lit('?", "categoryKey": "'), F.when(F.col("doc_id") % 4 == 0, "concepts").otherwise("lang"), F.lit('", "answer": {"text": "It is.", "sources": [{"sourceType": "glossary_term", "sourceId": "glossary_term_'), n, F.when(F.col("doc_id") % 5 == 0, "x").otherwise(""), F.lit('"}]}}]'))
+    files = [
+        (F.lit(True), F.concat(F.lit("notes_"), n), "csv", "material", F.concat(F.lit("Heading,Text\nPart 1,"), quoted)),
+        (F.lit(True), F.lit("terms"), "csv", "glossary", F.concat(F.lit("term,definition\nTerm "), n, F.lit(","), F.coalesce("lang", F.lit("none")))),
+        (F.lit(True), F.concat(F.lit("said_"), n), "txt", "transcript", F.concat(F.lit("[01:05] Dr. X: "), F.coalesce("text", F.lit("")))),
+        (F.col("doc_id") % 3 == 0, F.lit("session"), "json", "session", F.concat(F.lit('{"title": "Course '), n, F.lit('", "tags": ["x", "uploaded"], "status": "ended"}'))),
+        (F.col("doc_id") % 2 == 0, F.lit("categories"), "txt", "categories", F.concat(F.lit("Concepts: c\nLang: "), F.coalesce("lang", F.lit("none")))),
+        (F.lit(True), F.lit("publicqa"), "json", "public_qa", asked),
+    ]
+    one = lambda k, f: F.when(f[0], F.struct(F.lit(k).alias("position"), F.concat_ws(".", f[1], F.lit(f[2])).alias("name"), f[1].alias("base_name"), F.lit(f[2]).alias("extension"), F.lit(f[3]).alias("kind"), f[4].alias("text")))
+    each = v.table("documents").select(n.alias("upload"), F.explode(F.array_compact(F.array(*[one(k, f) for k, f in enumerate(files)]))).alias("f"))
+    return each.select("upload", "f.*")
+
+
+@query
+def T21_T17_J14_assembly(v: Views) -> DataFrame:
+    t = assembly.assemble(_raw_files(v), "2024-01-01", "upload")
+    told = {
+        "lecture_sessions": F.concat_ws("|", "title", "status", F.array_join("tags", ","), "description"), "lecture_materials": F.concat_ws("|", "title", "type", "source_label"), "material_chunks": F.concat_ws("|", "material_id", F.md5("text")),
+        "glossary_terms": F.concat_ws("|", "term", "definition"), "transcript_entries": F.concat_ws("|", "speaker_label", F.md5("text"), F.col("started_at_seconds").cast("int").cast("string")), "qa_categories": F.concat_ws("|", "key", "description"),
+        "questions": F.concat_ws("|", "category_id", "text"), "answers": F.concat_ws("|", "question_id", "text"), "answer_sources": F.concat_ws("|", "source_record_id", "label", "excerpt"),
+    }
+    every = [t[name].select(F.lit(name).alias("name"), "id", F.col("id" if name == "lecture_sessions" else "session_id").alias("session_id"), value.alias("told")) for name, value in told.items()]
+    return reduce(DataFrame.unionByName, every)
+
+
 @query
 def T16_materials(v: Views) -> DataFrame:
     a = v.assets().select("session_id", "asset_id", F.col("doc_id").alias("position"), X.base_name("name").alias("base_name"), X.extension("name").alias("extension"), "text")

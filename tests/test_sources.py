@@ -4,7 +4,7 @@ import zipfile
 
 import pytest
 from lucerna.operators import mutations, parse, schema
-from lucerna.sources import files, packs, tables
+from lucerna.sources import assembly, files, packs, tables
 from pyspark.sql import functions as F
 
 def rows_of(n, **fields):
@@ -134,3 +134,62 @@ def test_toggle_by_parity(spark):
     current = spark.createDataFrame([("s", "t", "1", "l")], "session_id string, target_type string, target_id string, label string")
     presses = spark.createDataFrame([("s", "t", "1", "l", 1), ("s", "t", "2", "m", 2), ("s", "t", "3", "n", 3), ("s", "t", "3", "n", 4)], "session_id string, target_type string, target_id string, label string, at int")
     assert [(r.target_id, r.label) for r in mutations.toggle_bookmarks(current, presses).collect()] == [("2", "m")]
+
+
+def _upload(spark, *uploads):
+    """Files (name, kind, text) of each upload as raw assets."""
+    rows = [(f"u{k}", n, name, name.rsplit(".", 1)[0].lower(), name.rsplit(".", 1)[1].lower(), kind, text) for k, files_ in enumerate(uploads) for n, (name, kind, text) in enumerate(files_)]
+    return spark.createDataFrame(rows, "upload string, position int, name string, base_name string, extension string, kind string, text string")
+
+
+def test_files_become_a_session(spark):
+    """What the reference's importer is expected to build of its files, and of uploads with less."""
+    qa_text = json.dumps({"publicQa": [
+        {"id": "q1", "questionText": " Why? ", "categoryKey": "Exam Prep", "answer": {"id": "a1", "text": "So.", "confidenceScore": 3, "sources": [{"sourceType": "glossary_term", "sourceId": "glossary_tin"}, {"sourceType": "transcript_entry", "sourceId": "transcript_talk_1_1"}]}},
+        {"id": "q2", "questionText": "Lost?", "categoryKey": "exam_prep", "answer": {"text": "x", "sources": [{"sourceType": "glossary_term", "sourceId": "glossary_tin"}, {"sourceType": "glossary_term", "sourceId": "gone"}]}},
+        {"id": "q3", "questionText": "Other?", "categoryKey": "general", "answer": {"text": "x", "sources": [{"sourceType": "glossary_term", "sourceId": "glossary_tin"}]}},
+    ]})
+    whole = [
+        ("session.json", "session", json.dumps({"title": "Metals, an Intro", "courseCode": "M-1", "lecturer": "Dr. A", "tags": ["m", "uploaded"]})),
+        ("slides.md", "material", "# Tin\nTin is soft.\n\n# Lead\nLead is heavy."), ("empty.txt", "material", "  "), ("my_handout.txt", "material", "One paragraph.\n\nAnother one."),
+        ("glossary.csv", "glossary", "term,definition,aliases\nTin,A soft metal,Sn\nLead,short,"), ("more.json", "glossary", json.dumps([{"term": "lead", "definition": "a longer one", "aliases": ["Pb"]}])),
+        ("talk.txt", "transcript", "[00:05] Dr. A: Tin melts.\n\nThen it sets."), ("categories.csv", "categories", "key,label,description\n,Exam Prep,for exams"), ("publicqa.json", "public_qa", qa_text), ("summary.md", "summaries", "# Key points\nAll of it."),
+    ]
+    only_terms = [("definitions.pdf", "glossary", "Working length: The extent that is used while a canal is shaped")]
+    no_pairs = [("groundrules.pdf", "glossary", "Ground rules for shaping include keeping the canal as it is, avoiding ledges, and keeping access open throughout all of it.")]
+    terms_csv = [("t.csv", "glossary", "term,definition\nZinc,bluish"), ("c.txt", "categories", "no colon here")]
+    talk = [("talk.txt", "transcript", "Hello there.\n\nBob Q: Good-bye now.")]
+    t = assembly.assemble(_upload(spark, whole, only_terms, no_pairs, terms_csv, talk), "2024-05-05", "five uploads")
+    for name, df in t.items():
+        assert df.columns == [c.split(":")[0].rstrip("?") for c in schema.COLUMNS[name].split()], name
+        assert schema.validate(df, name)[1].count() == 0, name
+    rows = lambda name, session, *columns: [tuple(r) for r in t[name].where(F.col("id" if name == "lecture_sessions" else "session_id") == session).orderBy("id").select(*columns).collect()]
+    m = "session_metals_an_intro"
+    assert rows("lecture_sessions", m, "title", "course_code", "lecturer", "status", "location", "starts_at", "tags", "source_pack_version") == [
+        ("Metals, an Intro", "M-1", "Dr. A", "live", "five uploads", "2024-05-05", ["uploaded", "ground-truth", "m", "session", "material", "glossary", "transcript", "categories", "public-qa", "summaries"], "1.0.0:five uploads"),
+    ]
+    assert rows("lecture_materials", m, "id", "title", "type", "order_index", "content_text") == [(f"{m}_material_my_handout_2", "My Handout", "handout", 2, "One paragraph. Another one."), (f"{m}_material_slides", "Slides", "slide_deck", 0, "Tin is soft. Lead is heavy.")]
+    assert [r[:2] for r in rows("material_chunks", m, "id", "heading", "order_index")] == [(f"{m}_chunk_my_handout_passage_1_0", "Passage 1"), (f"{m}_chunk_my_handout_passage_2_1_1", "Passage 2"), (f"{m}_chunk_slides_lead_1_1", "Lead"), (f"{m}_chunk_slides_tin_0", "Tin")]
+    assert rows("glossary_terms", m, "id", "term", "definition", "aliases", "order_index") == [(f"{m}_glossary_lead_1", "Lead", "a longer one", ["Pb", "lead"], 1), (f"{m}_glossary_tin", "Tin", "A soft metal", ["Sn"], 0)]
+    assert rows("transcript_entries", m, "id", "speaker_label", "text", "started_at_seconds") == [(f"{m}_transcript_talk_0", "Dr. A", "Tin melts.", 5.0), (f"{m}_transcript_talk_1_1", "Lecture", "Then it sets.", 30.0)]
+    assert rows("questions", m, "id", "category_id", "text") == [(f"{m}_q1", f"{m}_category_exam_prep", "Why?")] and rows("answers", m, "id", "confidence_score") == [(f"{m}_a1", 1.0)]
+    assert rows("answer_sources", m, "id", "source_record_id", "label") == [(f"{m}_a1_src_0", f"{m}_glossary_tin", "Glossary: Tin"), (f"{m}_a1_src_1", f"{m}_transcript_talk_1_1", "Transcript: Lecture")]
+    assert rows("summaries", m, "id", "kind") == [(f"{m}_summary_key_points_key_points", "key_points")]
+    assert rows("lecture_sessions", "session_definitions", "title", "course_code") == [("Definitions", "LOCAL-IMPORT")] and rows("glossary_terms", "session_definitions", "term") == [("Working length",)]
+    assert len(rows("lecture_materials", "session_definitions", "title")) == 1
+    assert rows("glossary_terms", "session_groundrules", "term") == [] and rows("lecture_materials", "session_groundrules", "title") == [("Groundrules",)]
+    assert "keeping the canal" in rows("material_chunks", "session_groundrules", "text")[0][0]
+    assert rows("qa_categories", "session_t", "id", "key") == [("session_t_category_concepts", "concepts")] and rows("lecture_materials", "session_t", "id", "source_label") == [("session_t_material_imported_glossary", "generated-from-glossary")]
+    assert rows("lecture_materials", "session_talk", "id") == [("session_talk_material_imported_transcript",)] and rows("material_chunks", "session_talk", "heading") == [("Lecture 1",), ("Bob Q 2",)]
+    # no reference without its row
+    ids = {r.id for n in ("material_chunks", "glossary_terms", "transcript_entries") for r in t[n].select("id").collect()}
+    assert {r.source_record_id for r in t["answer_sources"].collect()} <= ids and {r.material_id for r in t["material_chunks"].collect()} == {r.id for r in t["lecture_materials"].collect()}
+
+
+def test_files_for_a_session_that_is_there(spark):
+    there = spark.createDataFrame([("u0", "s9", "Old title", None, "Dr. Z", "d", "l", "2020", "ended", ["old"])], "upload string, id string, title string, course_code string, lecturer string, description string, location string, starts_at string, status string, tags array<string>")
+    t = assembly.assemble(_upload(spark, [("a.txt", "material", "Some text.")]), "now", "files", there)
+    s = t["lecture_sessions"].first()
+    assert (s.id, s.title, s.course_code, s.lecturer, s.status, s.tags) == ("s9", "Old title", "LOCAL-IMPORT", "Dr. Z", "ended", ["old", "uploaded", "ground-truth", "material"])
+    assert t["material_chunks"].first().id.startswith("s9_chunk_a_")
+    assert all(df.count() == 0 for df in assembly.assemble(_upload(spark, [("a.txt", "material", "Some text.")]).limit(0), "now", "files").values())
