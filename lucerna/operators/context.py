@@ -11,16 +11,91 @@ from lucerna.sources.tables import settle
 
 FOCUSED, BLOCKS, BLOCK_CHARS = 8, 3, 900
 ANSWER_RULES = ["Answer only from the evidence.", "Say unsupported if the evidence doesn't answer the question.", "Use at most six sentences."]
+#: How many matches are written out, and the characters and number of blocks of each kind of record, by profile.
+PROFILES = {
+    "development": {"focused": 8, "visual": 1, "evidence_unit": (1150, 4), "glossary_term": (900, 3), "material_chunk": (1150, 4), "transcript_entry": (900, 2)},
+    "production": {"focused": 6, "visual": 1, "evidence_unit": (1000, 3), "glossary_term": (800, 2), "material_chunk": (1000, 3), "transcript_entry": (850, 2)},
+}
+#: Titles of matches and of blocks, and what a record's kind adds to its score; in the order in which they are written.
+TITLES = {
+    "evidence_unit": ("Focused multimodal evidence", "Session indexed multimodal context", 0.35), "glossary_term": ("Focused glossary evidence", "Session glossary context", 0.4),
+    "material_chunk": ("Focused lecture material", "Session lecture material context", 0.2), "transcript_entry": ("Focused transcript evidence", "Session transcript context", 0.05),
+}
+DIGESTS, VISUAL_BOOST, VISUAL_LEAST = 4, 0.3, 0.6
+#: Parts in which the first lines of a session or question are looked for, before they are put together.
+PARTS = 64
 
 
-def line(kind: str, name: Column, body: Column) -> Column:
-    """B1."""
-    return F.concat(F.lit(f"{kind}: "), name, F.lit(" - "), X.collapse(body))
+def _or_null(rows: DataFrame, column: str, kind: str = "string") -> Column:
+    return F.col(column).cast(kind) if column in rows.columns else F.lit(None).cast(kind)
 
 
-def focused(matches: DataFrame, most: int = FOCUSED) -> DataFrame:
-    """B2: question_id, source_type, source_record_id, rank, entry of the first matches."""
-    return matches.where(F.col("rank") <= most).select("question_id", "source_type", "source_record_id", "rank", F.concat_ws("\n", "label", X.collapse("excerpt")).alias("entry"))
+def _listed(rows: DataFrame, column: str, word: str) -> Column:
+    words = F.coalesce(_or_null(rows, column, "array<string>"), F.array().cast("array<string>"))
+    return F.when(F.size(words) > 0, F.concat(F.lit(f" {word}: "), F.array_join(words, ", "), F.lit("."))).otherwise("")
+
+
+def _seconds(x: Column) -> Column:
+    return F.floor(x.cast("double") + 0.5).cast("long").cast("string")
+
+
+def _place(rows: DataFrame) -> Column:
+    """Where in its file a unit stands: page, else slide, else time."""
+    page, slide, start, end = (_or_null(rows, c, "double") for c in ("page_number", "slide_number", "timestamp_start_seconds", "timestamp_end_seconds"))
+    time = F.concat(F.lit("Timestamp "), _seconds(start), F.lit("s"), F.when(end.isNotNull(), F.concat(F.lit("-"), _seconds(end), F.lit("s"))).otherwise(""), F.lit("."))
+    whole = lambda word, x: F.concat(F.lit(f"{word} "), x.cast("long").cast("string"), F.lit("."))
+    return F.when(page.isNotNull(), whole("Page", page)).when(slide.isNotNull(), whole("Slide", slide)).when(start.isNotNull(), time)
+
+
+def records(tables: dict[str, DataFrame]) -> DataFrame:
+    """B1: session_id, source_type, id, asset_id, entry (the record in one line) and body (what it is scored by) of the four kinds of evidence there are.
+
+    tables: glossary_terms, material_chunks, transcript_entries, evidence_units and, for the names of files, uploaded_assets.
+    """
+    parts = []
+    keys = lambda kind, asset=None: ["session_id", F.lit(kind).alias("source_type"), "id", (asset if asset is not None else F.lit(None)).cast("string").alias("asset_id")]
+    told = lambda name, body, *more: F.concat(F.lit("- "), F.coalesce(name, F.lit("")), F.lit(": "), F.coalesce(body, F.lit("")), *more).alias("entry")
+    both = lambda *c: F.concat_ws(" ", *c).alias("body")
+    if "glossary_terms" in tables:
+        t = tables["glossary_terms"]
+        parts.append(t.select(*keys("glossary_term"), told(F.col("term"), F.col("definition"), _listed(t, "aliases", "Aliases")), both("term", "definition")))
+    if "material_chunks" in tables:
+        t = tables["material_chunks"]
+        parts.append(t.select(*keys("material_chunk"), told(F.col("heading"), F.col("text"), _listed(t, "keywords", "Keywords")), both("heading", "text")))
+    if "transcript_entries" in tables:
+        t = tables["transcript_entries"]
+        at = F.concat("speaker_label", F.lit(" at "), _seconds(F.col("started_at_seconds")), F.lit("s"))
+        parts.append(t.select(*keys("transcript_entry"), told(at, F.col("text")), both("speaker_label", "text")))
+    if "evidence_units" in tables:
+        t = tables["evidence_units"]
+        if "uploaded_assets" in tables:
+            t = t.join(tables["uploaded_assets"].select(F.col("id").alias("asset_id"), F.col("file_name").alias("_file")), "asset_id", "left")
+        file = F.when(F.coalesce(_or_null(t, "_file"), F.lit("")) != "", F.concat(F.lit(" Source file: "), _or_null(t, "_file"), F.lit("."))).otherwise("")
+        parts.append(t.select(*keys("evidence_unit", F.col("asset_id")), told(F.col("title"), F.col("content_text"), file, F.coalesce(F.concat(F.lit(" "), _place(t)), F.lit(""))), both("title", "search_text")))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every
+
+
+def focused(matches: DataFrame, found: DataFrame, most: int = FOCUSED) -> DataFrame:
+    """question_id, order_index, block: the first matches written out from their whole records; one without a record by its label and excerpt."""
+    first = matches.where(F.col("rank") <= most)
+    whole = found.select("source_type", F.col("id").alias("source_record_id"), "entry").dropDuplicates(["source_type", "source_record_id"])
+    title = F.create_map(*[F.lit(x) for kind, t in TITLES.items() for x in (kind, t[0])])
+    known = F.concat_ws("\n", F.try_element_at(title, F.col("source_type")), "entry")
+    unknown = F.concat(F.lit("Focused evidence\n- "), F.coalesce("label", F.lit("")), F.lit(": "), F.coalesce("excerpt", F.lit("")))
+    joined = first.join(whole, ["source_type", "source_record_id"], "left")
+    return joined.select("question_id", (F.col("rank") - 1).cast("int").alias("order_index"), F.when(F.col("entry").isNotNull(), known).otherwise(unknown).alias("block"))
+
+
+def first_filling(rows: DataFrame, keys: list[str], order: list[Column], size: Column, most: int) -> DataFrame:
+    """The first rows of each key in an order whose sizes come to most; the last one may go beyond. First in parts, so that a key with very many rows doesn't meet in one task."""
+    spread = rows.withColumn("_size", size).withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(PARTS)))
+    for by in ([*keys, "_part"], keys):
+        before = F.sum("_size").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")
+        spread = spread.withColumn("_before", before).where(F.col("_before") < most)
+    return spread.drop("_size", "_part", "_before")
 
 
 def remaining(questions: DataFrame, candidates: DataFrame, used: DataFrame, boost: float, most_chars: int = BLOCK_CHARS, most_blocks: int = BLOCKS) -> DataFrame:
@@ -42,9 +117,7 @@ def remaining(questions: DataFrame, candidates: DataFrame, used: DataFrame, boos
     most = room + MOST_SOURCES * most_chars
 
     def first_lines(*before: Column) -> DataFrame:
-        order = Window.partitionBy("session_id").orderBy(*before, *placed)
-        some = c.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)  # a line takes a character at least
-        return some.withColumn("taken", F.sum(takes).over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("taken") - takes <= most).select("session_id", "id")
+        return first_filling(c, ["session_id"], [*before, *placed], takes, most).select("session_id", "id")
 
     asks = F.size("q_tokens") > 0
     plain = q.where(asks).join(first_lines(F.size("c_tokens") == 0), "session_id").union(q.where(~asks).join(first_lines(), "session_id")).select("question_id", "id")
@@ -54,21 +127,21 @@ def remaining(questions: DataFrame, candidates: DataFrame, used: DataFrame, boos
     pairs = sharing(q, c, 0.0, boost).union(held).union(plain).distinct()
     left = settle(pairs.join(q.drop("session_id"), "question_id").join(c, "id").join(gone, ["question_id", "source_type", "id"], "left_anti"))
     score = text_score(F.col("q_tokens"), F.col("c_tokens"), F.lit(boost) + focus_boost(F.col("focus"), F.col("body")))
-    order = Window.partitionBy("question_id", "source_type").orderBy(F.desc("score"), *placed)
-    first = left.withColumn("score", score).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= room)
-    taken = F.sum(takes).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    sorted_by = [F.desc("score"), *placed]
+    first = first_filling(left.withColumn("score", score), ["question_id", "source_type"], sorted_by, takes, room)
+    kept = first.withColumn("rank", F.row_number().over(Window.partitionBy("question_id", "source_type").orderBy(*sorted_by)))
     about = left.where(holds_focus(F.col("focus"), F.col("entry"))).select("question_id", "source_type").distinct().withColumn("relevant", F.lit(True))
-    kept = first.withColumn("taken", taken).where(F.col("taken") <= room).join(about, ["question_id", "source_type"], "left")
+    kept = kept.join(about, ["question_id", "source_type"], "left")
     return kept.select("question_id", "source_type", F.col("id").alias("source_record_id"), "rank", "entry", "score", "focus", F.coalesce("relevant", F.lit(False)).alias("relevant"))
 
 
 def pack_blocks(title: Column, entries: Column, most_chars: int = BLOCK_CHARS, most_blocks: int = BLOCKS) -> Column:
-    """Entries under a title line in blocks of at most most_chars characters, title and line ends counted; an
+    """Entries under a title line in blocks of at most most_chars characters, title and line ends counted, also the last one; an
     entry that is too long has a block of its own."""
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
 
     def step(acc: Column, entry: Column) -> Column:
-        full = (acc["now"] != "") & (F.length(acc["now"]) + 1 + F.length(entry) > most_chars)
+        full = (acc["now"] != "") & (F.length(acc["now"]) + F.length(entry) + 2 > most_chars)
         done = F.when(full, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"])
         now = F.when(full | (acc["now"] == ""), F.concat(title, F.lit("\n"), entry)).otherwise(F.concat(acc["now"], F.lit("\n"), entry))
         return F.struct(done.alias("done"), now.alias("now"))
@@ -87,16 +160,71 @@ def blocks(entries: DataFrame, title: str, most_chars: int = BLOCK_CHARS, most_b
     return grouped.select("question_id", F.posexplode(pack_blocks(name, F.col("entries"), most_chars, most_blocks)).alias("order_index", "block"))
 
 
-def digests_for(digests: DataFrame, matches: DataFrame, questions: DataFrame, most: int = 4) -> DataFrame:
-    """A question's digests: of assets with a matched unit, or whose text holds the focus; the session's last.
+def digests_for(digests: DataFrame, matches: DataFrame, questions: DataFrame, found: DataFrame, most: int = DIGESTS) -> DataFrame:
+    """question_id, section, order_index, block: a question's first digests of uploads with a matched unit, or that hold the focus; then its session's.
+
+    digests: id, session_id, asset_id (null for the session's), kind, title, text, created_at; matches: question_id,
+    source_type, source_record_id; found: as records gives. A digest with neither meets no question.
+    """
+    q = questions.select("question_id", "session_id", "focus")
+    of_assets = digests.where("kind = 'asset_summary' and asset_id is not null")
+    units = found.where("source_type = 'evidence_unit' and asset_id is not null").select(F.col("id").alias("source_record_id"), "asset_id").dropDuplicates(["source_record_id"])
+    hit = matches.where("source_type = 'evidence_unit'").select("question_id", "source_record_id").join(units, "source_record_id").join(q.select("question_id", "session_id"), "question_id").select("question_id", "session_id", "asset_id").distinct()
+    by_unit = hit.join(of_assets.select("id", "session_id", "asset_id"), ["session_id", "asset_id"]).select("question_id", "id")
+    asked = q.where("focus is not null").select("session_id", F.col("question_id").alias("key"), F.col("focus").alias("phrase"))
+    by_focus = holding(asked, of_assets.select("session_id", "id", X.normalize(F.concat_ws(" ", "title", "text")).alias("body"))).select(F.col("key").alias("question_id"), "id")
+    order = Window.partitionBy("question_id").orderBy("created_at", "id")
+    chosen = by_unit.union(by_focus).distinct().join(of_assets.select("id", "title", "text", "created_at"), "id").withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
+    first = chosen.select("question_id", F.lit(5).alias("section"), (F.col("n") - 1).alias("order_index"), F.concat(F.lit("Asset digest\n- "), "title", F.lit(": "), "text").alias("block"))
+    own = digests.where("kind = 'session_summary'").groupBy("session_id").agg(F.min_by("text", F.struct("created_at", "id")).alias("text"))
+    last = q.join(own, "session_id").select("question_id", F.lit(6).alias("section"), F.lit(0).alias("order_index"), F.concat(F.lit("Session digest\n"), "text").alias("block"))
+    return first.unionByName(last)
 
-    digests: session_id, asset_id (null for the session's), text, created_at. matches: with asset_id.
+
+def answer_evidence(questions: DataFrame, matches: DataFrame, tables: dict[str, DataFrame], profile: str = "development") -> DataFrame:
+    """question_id, section, order_index, block: all that an answer may be drawn from, in the order of section and order_index.
+
+    First the best matches from their whole records, then blocks of what else the session has: units, terms, materials,
+    transcript; then digests. questions: as prepare_questions gives; matches: as merge_matches gives, and settled.
+    """
+    limits = PROFILES[profile]
+    found = settle(records(tables))
+    out = focused(matches, found, limits["focused"]).select("question_id", F.lit(0).alias("section"), "order_index", "block")
+    for section, (kind, (_, title, boost)) in enumerate(TITLES.items(), 1):
+        chars, most = limits[kind]
+        left = remaining(questions, found.where(F.col("source_type") == kind).drop("asset_id"), matches, boost, chars, most)
+        out = out.unionByName(blocks(left, title, chars, most).select("question_id", F.lit(section).alias("section"), "order_index", "block"))
+    if "asset_digests" in tables:
+        out = out.unionByName(digests_for(tables["asset_digests"], matches, questions, found))
+    return out
+
+
+def visual_evidence(questions: DataFrame, matches: DataFrame, units: DataFrame, assets: DataFrame | None = None) -> DataFrame:
+    """question_id, tier, id, uri, caption: the first matched unit with a preview; only for questions without one, the best of the session's
+    units with a preview that score VISUAL_LEAST or hold the focus (equal scores by title, then id).
+
+    questions: as prepare_questions gives; units: with preview_uri; assets: id and file_name.
     """
-    hit = matches.where("asset_id is not null").select("question_id", "asset_id").distinct().withColumn("hit", F.lit(True))
-    both = questions.select("question_id", "session_id", "focus").join(digests, "session_id").join(hit, ["question_id", "asset_id"], "left")
-    keep = both.where(F.col("asset_id").isNull() | F.coalesce("hit", F.lit(False)) | holds_focus(F.col("focus"), F.col("text")))
-    order = Window.partitionBy("question_id", F.col("asset_id").isNull()).orderBy("created_at", "asset_id")
-    return keep.withColumn("n", F.row_number().over(order)).where(F.col("asset_id").isNull() | (F.col("n") <= most)).select("question_id", "asset_id", "text", "n")
+    seen = units.where("preview_uri is not null and preview_uri <> ''")
+    matched = matches.where("source_type = 'evidence_unit'").select("question_id", "rank", F.col("source_record_id").alias("id")).join(seen.select("id").distinct(), "id", "left_semi")
+    first = settle(matched.groupBy("question_id").agg(F.min_by("id", "rank").alias("id")).select("question_id", F.lit(0).alias("tier"), "id"))
+    rest = questions.join(first, "question_id", "left_anti")
+    c = seen.select("session_id", "id", "title", F.concat_ws(" ", "title", "search_text").alias("body"), F.concat_ws(" ", "title", "content_text").alias("content")).withColumn("c_tokens", X.unique(X.tokenize("body")))
+    asked = rest.where("focus is not null").select("session_id", F.col("question_id").alias("key"), F.col("focus").alias("phrase"))
+    held = holding(asked, c.select("session_id", "id", X.normalize(F.concat_ws("\n", "body", "content")).alias("body"))).select(F.col("key").alias("question_id"), "id")
+    pairs = sharing(rest, c, VISUAL_LEAST, VISUAL_BOOST).union(held).distinct()
+    scored = pairs.join(rest.select("question_id", "focus", "q_tokens"), "question_id").join(c, "id").withColumn("score", text_score(F.col("q_tokens"), F.col("c_tokens"), F.lit(VISUAL_BOOST) + focus_boost(F.col("focus"), F.col("body"))))
+    good = scored.where((F.col("score") >= VISUAL_LEAST) | holds_focus(F.col("focus"), F.col("content")))
+    second = good.groupBy("question_id").agg(F.min_by("id", F.struct(-F.col("score"), F.collate("title", "UNICODE"), "id")).alias("id")).select("question_id", F.lit(1).alias("tier"), "id")
+    full = first.unionByName(second).join(seen.dropDuplicates(["id"]), "id")
+    if assets is not None:
+        full = full.join(assets.select(F.col("id").alias("asset_id"), F.col("file_name").alias("_file")), "asset_id", "left")
+    file = F.when(F.coalesce(_or_null(full, "_file"), F.lit("")) != "", F.concat(F.lit("File: "), _or_null(full, "_file"), F.lit(".")))
+    page, slide, frame, start = (_or_null(full, x) for x in ("page_number", "slide_number", "frame_label", "timestamp_start_seconds"))
+    spot = F.when(page.isNotNull(), F.concat(F.lit("Page "), page, F.lit("."))).when(slide.isNotNull(), F.concat(F.lit("Slide "), slide, F.lit(".")))
+    time = F.when(start.isNotNull(), _place(full.select(*[x for x in full.columns if x.startswith("timestamp")]))) if "timestamp_start_seconds" in full.columns else F.lit(None).cast("string")
+    caption = F.concat_ws(" ", "title", file, spot, F.when(F.coalesce(frame, F.lit("")) != "", F.concat(frame, F.lit("."))), time, "excerpt")
+    return full.select("question_id", "tier", "id", F.col("preview_uri").alias("uri"), caption.alias("caption"))
 
 
 def prompt(question: Column, evidence: Column, most: int = 12, clip: int = 1000) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from lucerna.functions.text import METADATA, STOP_WORDS
+from lucerna.operators.context import TITLES
 from lucerna.operators.decide import CATEGORY_WORDS, UNSUPPORTED
 
 STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -101,6 +102,8 @@ VIEWS = {
     "bm": "SELECT a.question_id, h.id, round(sum(greatest(ln(((SELECT count(*) FROM units) - d.df + 0.5) / (d.df + 0.5)), 1e-6) * h.tf * 2.2 / (h.tf + 1.2 * (0.25 + 0.75 * s.length / ((SELECT sum(length) FROM unit_sizes) / (SELECT CAST(count(*) AS DOUBLE) FROM units))))), 9) AS rank FROM asked_words a JOIN hits h ON a.prefix = h.prefix JOIN units u ON u.id = h.id AND u.session_id = a.session_id JOIN dfs d ON d.prefix = a.prefix JOIN unit_sizes s ON s.id = h.id GROUP BY a.question_id, h.id",
     "dim": "SELECT 'lecture_material' AS type, id, title AS label, NULL AS parent_id FROM materials UNION ALL SELECT 'material_chunk', id, heading, material_id FROM chunks UNION ALL SELECT 'glossary_term', id, term, NULL FROM glossary UNION ALL SELECT 'transcript_entry', id, speaker_label, NULL FROM transcript UNION ALL SELECT 'evidence_unit', id, title, NULL FROM units",
 }
+_STEM = "['lecture_notes', 'glossary-terms', 'transcript 1', 'Course_Summary', 'public_qa', 'slide_deck', 'code-example', 'handout']"
+_ENDING = "['txt', 'md', 'csv', 'pdf', 'pptx', 'docx', 'png', 'mp4', 'zip']"
 #: Views that a view reads.
 NEEDS = {
     "asked": ["glossary"], "stripped": ["asked"], "questions": ["stripped"], "g_cand": ["glossary"], "g_scored": ["questions", "g_cand"], "g_match": ["g_scored"], "m_cand": ["chunks"], "m_match": ["questions", "m_cand"],
@@ -109,6 +112,14 @@ NEEDS = {
     "pairs": ["prefixes", "unit_index"], "hits": ["pairs", "unit_index"], "dfs": ["hits"], "bm": ["asked_words", "hits", "units", "dfs", "unit_sizes"], "dim": ["materials", "chunks", "glossary", "transcript", "units"],
 }
 
+VIEWS["asset_names"] = "SELECT 'doc' || doc_id AS asset_id, (" + _STEM + "[doc_id % 8 + 1]) || '_' || doc_id || '.' || (" + _ENDING + "[doc_id % 9 + 1]) AS name FROM documents"
+VIEWS["records"] = (
+    "SELECT 'glossary_term' AS type, id, '- ' || term || ': ' || definition || CASE WHEN has_alias THEN ' Aliases: ' || alias || '.' ELSE '' END AS entry FROM glossary "
+    "UNION ALL SELECT 'material_chunk', id, '- ' || heading || ': ' || text || coalesce(' Keywords: ' || lang || '.', '') FROM chunks "
+    "UNION ALL SELECT 'transcript_entry', id, '- ' || speaker_label || ' at ' || started_at_seconds || 's: ' || text FROM transcript "
+    "UNION ALL SELECT 'evidence_unit', u.id, '- ' || u.title || ': ' || u.content_text || ' Source file: ' || n.name || '.' || CASE WHEN c.order_index % 3 = 0 THEN ' Page ' || (c.order_index % 100) || '.' ELSE '' END FROM units u JOIN chunks c USING (id) JOIN asset_names n ON n.asset_id = c.material_id"
+)
+NEEDS["records"] = ["glossary", "chunks", "transcript", "units", "asset_names"]
 #: The same over the units of a living index: those of the assets not deleted, a third of them written again.
 _LIVING = ["units", "unit_words", "unit_index", "unit_sizes", "pairs", "hits", "dfs", "bm"]
 _NUMBER = "CAST(regexp_extract(id, 'doc([0-9]+)_', 1) AS BIGINT)"
@@ -170,6 +181,29 @@ ORACLES = {
     "R8_J18_materials": sql(SHORT + "m_match", "m_match"),
     "R8_transcripts": sql(SHORT + "t_match", "t_match"),
     "R13_O15_L2_top_matches": sql("SELECT question_id, source_type, source_record_id, round(score, 6) AS score, rank FROM merged", "merged"),
+    "J15_names": """
+WITH d AS (SELECT doc_id, source AS session_id, 'f' || (doc_id // 60) || '.txt' AS file_name FROM documents)
+SELECT d.doc_id, d.file_name, s.doc_id AS source, p.doc_id AS parsed FROM d JOIN (SELECT session_id, file_name, min(doc_id) AS doc_id FROM d WHERE doc_id % 2 = 0 GROUP BY ALL) s USING (session_id, file_name)
+LEFT JOIN (SELECT session_id, file_name, max(doc_id) AS doc_id FROM d WHERE doc_id % 3 = 0 GROUP BY ALL) p USING (session_id, file_name)
+""",
+    "B2_J9_focused": sql(f"SELECT question_id, CAST(rank - 1 AS INTEGER) AS order_index, md5(CASE source_type {' '.join(f"WHEN '{k}' THEN '{t[0]}'" for k, t in TITLES.items())} END || chr(10) || r.entry) AS block FROM merged m JOIN records r ON r.type = m.source_type AND r.id = m.source_record_id WHERE rank <= 6", "merged", "records"),
+    "B6_J11_digests": sql("""
+, dig AS (SELECT 'dig' || doc_id AS id, source AS session_id, 'doc' || doc_id AS asset_id, 'Digest ' || doc_id AS title, """ + excerpt("text", 200) + """ AS text, doc_id FROM documents),
+hit AS (SELECT DISTINCT m.question_id, regexp_extract(m.source_record_id, '^(doc[0-9]+)_', 1) AS asset_id FROM merged m WHERE m.source_type = 'evidence_unit'),
+c AS (SELECT q.question_id, d.title, d.text, row_number() OVER (PARTITION BY q.question_id ORDER BY d.doc_id) - 1 AS n FROM questions q JOIN dig d ON d.session_id = q.session_id
+  WHERE EXISTS (SELECT 1 FROM hit h WHERE h.question_id = q.question_id AND h.asset_id = d.asset_id) OR """ + holds("d.title || ' ' || d.text") + """)
+SELECT question_id, 5 AS section, CAST(n AS INTEGER) AS order_index, md5('Asset digest' || chr(10) || '- ' || title || ': ' || text) AS block FROM c WHERE n < 4
+UNION ALL SELECT q.question_id, 6, 0, md5('Session digest' || chr(10) || s.title) FROM questions q JOIN sessions s ON s.id = q.session_id
+""", "merged", "questions", "sessions"),
+    "R15_visual": sql("""
+, seen AS (SELECT u.*, c.order_index, CASE WHEN c.order_index % 3 = 0 THEN c.order_index % 100 END AS page, """ + once(tokens("u.title || ' ' || u.search_text")) + """ AS ct, n.name FROM units u JOIN chunks c USING (id) JOIN asset_names n ON n.asset_id = c.material_id WHERE CAST(regexp_extract(c.material_id, '([0-9]+)$', 1) AS BIGINT) % 2 = 0),
+one AS (SELECT m.question_id, min_by(m.source_record_id, m.rank) AS id FROM merged m WHERE m.source_type = 'evidence_unit' AND m.source_record_id IN (SELECT id FROM seen) GROUP BY 1),
+q AS (SELECT *, """ + once(tokens("question")) + """ AS qt FROM questions WHERE question_id NOT IN (SELECT question_id FROM one)),
+sc AS (SELECT q.question_id, s.id, s.title, """ + score("qt", "ct", "0.3 + " + boost("s.title || ' ' || s.search_text")) + """ AS score, """ + holds("s.title || ' ' || s.content_text") + """ AS held FROM q JOIN seen s ON s.session_id = q.session_id),
+two AS (SELECT question_id, arg_min(id, (-score, title, id)) AS id FROM sc WHERE score >= 0.6 OR held GROUP BY 1),
+every AS (SELECT question_id, 0 AS tier, id FROM one UNION ALL SELECT question_id, 1, id FROM two)
+SELECT e.question_id, e.tier, e.id, 'file:/' || e.id AS uri, md5(concat_ws(' ', s.title, 'File: ' || s.name || '.', 'Page ' || s.page || '.', s.excerpt)) AS caption FROM every e JOIN seen s USING (id)
+""", "merged", "questions", "units", "chunks", "asset_names"),
     "T10_columns": r"""
 SELECT doc_id, md5(concat_ws(chr(10) || chr(10), rtrim('l ' || a) || chr(10) || rtrim('m ' || b) || chr(10) || chr(10) || rtrim('r ' || b) || chr(10) || rtrim('s ' || a), nullif(CASE WHEN regexp_matches(w, '^[0-9]+$') OR w = '-' THEN '' ELSE w END, ''))) AS text
 FROM (SELECT doc_id, trim(substr(regexp_replace(coalesce(string_split(text, chr(10))[1], ''), '\s+', ' ', 'g'), 1, 50)) AS a, trim(substr(regexp_replace(coalesce(string_split(text, chr(10))[2], ''), '\s+', ' ', 'g'), 1, 50)) AS b, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS w FROM documents)

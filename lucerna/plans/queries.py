@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lucerna.functions import text as X
 from lucerna.operators import context, decide, mutations, parse, reads, retrieval, search_index
 from lucerna.plans.views import Views
-from lucerna.sources import assembly
+from lucerna.sources import assembly, files
 from lucerna.sources.tables import folder_between, settle
 from lucerna.streaming import index as streaming
 
@@ -185,7 +185,7 @@ def _raw_files(v: Views) -> DataFrame:
     n = F.col("doc_id").cast("string")
     quoted = F.concat(F.lit('"'), F.replace(F.coalesce("text", F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
     asked = F.concat(F.lit('[{"questionText": "What is '), n, F.lit('?", "categoryKey": "'), F.when(F.col("doc_id") % 4 == 0, "concepts").otherwise("lang"), F.lit('", "answer": {"text": "It is.", "sources": [{"sourceType": "glossary_term", "sourceId": "glossary_term_'), n, F.when(F.col("doc_id") % 5 == 0, "x").otherwise(""), F.lit('"}]}}]'))
-    files = [
+    parts = [
         (F.lit(True), F.concat(F.lit("notes_"), n), "csv", "material", F.concat(F.lit("Heading,Text\nPart 1,"), quoted)),
         (F.lit(True), F.lit("terms"), "csv", "glossary", F.concat(F.lit("term,definition\nTerm "), n, F.lit(","), F.coalesce("lang", F.lit("none")))),
         (F.lit(True), F.concat(F.lit("said_"), n), "txt", "transcript", F.concat(F.lit("[01:05] Dr. X: "), F.coalesce("text", F.lit("")))),
@@ -194,7 +194,7 @@ def _raw_files(v: Views) -> DataFrame:
         (F.lit(True), F.lit("publicqa"), "json", "public_qa", asked),
     ]
     one = lambda k, f: F.when(f[0], F.struct(F.lit(k).alias("position"), F.concat_ws(".", f[1], F.lit(f[2])).alias("name"), f[1].alias("base_name"), F.lit(f[2]).alias("extension"), F.lit(f[3]).alias("kind"), f[4].alias("text")))
-    each = v.table("documents").select(n.alias("upload"), F.explode(F.array_compact(F.array(*[one(k, f) for k, f in enumerate(files)]))).alias("f"))
+    each = v.table("documents").select(n.alias("upload"), F.explode(F.array_compact(F.array(*[one(k, f) for k, f in enumerate(parts)]))).alias("f"))
     return each.select("upload", "f.*")
 
 
@@ -331,24 +331,51 @@ def Q10_C5_C6_ask(v: Views) -> DataFrame:
 # --- context
 
 
+def _evidence_tables(v: Views) -> dict[str, DataFrame]:
+    """All kinds of evidence; every unit of an even document has a preview, and each upload and session a digest."""
+    preview = F.when(F.regexp_extract("asset_id", "([0-9]+)$", 1).cast("long") % 2 == 0, F.concat(F.lit("file:/"), "id"))
+    units = v.units().withColumns({"preview_uri": preview, "page_number": F.when(F.col("order_index") % 3 == 0, (F.col("order_index") % 100).cast("int"))})
+    d = v.table("documents")
+    n = F.col("doc_id").cast("string")
+    of_asset = d.select(F.concat(F.lit("dig"), n).alias("id"), F.col("source").alias("session_id"), F.concat(F.lit("doc"), n).alias("asset_id"), F.lit("asset_summary").alias("kind"), F.concat(F.lit("Digest "), n).alias("title"), X.excerpt("text", 200).alias("text"), F.lpad(n, 12, "0").alias("created_at"))
+    of_session = v.sessions().select(F.concat(F.lit("dig_"), "id").alias("id"), F.col("id").alias("session_id"), F.lit(None).cast("string").alias("asset_id"), F.lit("session_summary").alias("kind"), F.lit("Session").alias("title"), F.col("title").alias("text"), F.col("starts_at").alias("created_at"))
+    assets = v.assets().select(F.concat(F.lit("doc"), "asset_id").alias("id"), F.col("name").alias("file_name"))
+    return {"evidence_units": units, "glossary_terms": v.glossary(), "material_chunks": v.chunks(), "transcript_entries": v.transcript(), "uploaded_assets": assets, "asset_digests": of_asset.unionByName(of_session)}
+
+
 @query
 def B1_B5_context_blocks(v: Views) -> DataFrame:
     q = retrieval.prepare_questions(v.questions())
-    m = settle(retrieval.merge_matches(_matches(v)))
-    used = context.focused(m)
-    first = used.join(q.select("question_id", "focus"), "question_id")
-    out = context.blocks(first, "Focused evidence").withColumn("section", F.lit(0))
-    kinds = [
-        ("evidence_unit", "Indexed evidence", v.units(), "title", "content_text", F.concat_ws(" ", "title", "search_text"), 0.35, 1150, 4),
-        ("glossary_term", "Glossary", v.glossary(), "term", "definition", F.concat_ws(" ", "term", "definition"), 0.4, 900, 3),
-        ("material_chunk", "Material", v.chunks(), "heading", "text", F.concat_ws(" ", "heading", "text"), 0.2, 1150, 4),
-        ("transcript_entry", "Transcript", v.transcript(), "speaker_label", "text", F.concat_ws(" ", "speaker_label", "text"), 0.05, 1150, 4),
-    ]
-    for section, (kind, title, rows, name, text, body, boost, chars, most) in enumerate(kinds, 1):
-        more = rows.select("session_id", F.lit(kind).alias("source_type"), "id", context.line(title, F.col(name), F.col(text)).alias("entry"), body.alias("body"))
-        left = context.remaining(q, more, m, boost, chars, most)
-        out = out.unionByName(context.blocks(left, title, chars, most).withColumn("section", F.lit(section)))
-    return out
+    return context.answer_evidence(q, settle(retrieval.merge_matches(_matches(v))), _evidence_tables(v))
+
+
+@query
+def B2_J9_focused(v: Views) -> DataFrame:
+    """The first six matches of each question from their whole records."""
+    f = context.focused(retrieval.merge_matches(_matches(v)), context.records(_evidence_tables(v)), context.PROFILES["production"]["focused"])
+    return f.select("question_id", "order_index", F.md5("block").alias("block"))
+
+
+@query
+def B6_J11_digests(v: Views) -> DataFrame:
+    t = _evidence_tables(v)
+    d = context.digests_for(t["asset_digests"], settle(retrieval.merge_matches(_matches(v))), retrieval.prepare_questions(v.questions()), context.records(t))
+    return d.select("question_id", "section", "order_index", F.md5("block").alias("block"))
+
+
+@query
+def R15_visual(v: Views) -> DataFrame:
+    t = _evidence_tables(v)
+    return context.visual_evidence(retrieval.prepare_questions(v.questions()), settle(retrieval.merge_matches(_matches(v))), t["evidence_units"], t["uploaded_assets"]).withColumn("caption", F.md5("caption"))
+
+
+@query
+def J15_names(v: Views) -> DataFrame:
+    """Uploads whose names repeat: each third document has the name of the one before."""
+    d = v.table("documents").select("doc_id", F.col("source").alias("session_id"), F.concat(F.lit("f"), F.floor(F.col("doc_id") / 60).cast("string"), F.lit(".txt")).alias("name"), "lang")
+    rows = d.select("session_id", F.col("doc_id").alias("position"), "name", "lang")
+    out = files.matched_by_name(d.select("doc_id", "session_id", F.col("name").alias("file_name")), rows.where("position % 2 = 0"), rows.where("position % 3 = 0"))
+    return out.select("doc_id", "file_name", F.col("source.position").alias("source"), F.col("parsed.position").alias("parsed"))
 
 
 @query

@@ -51,3 +51,13 @@ def extracted(files: DataFrame, extractor: Callable[[bytes], str]) -> DataFrame:
 
     found = files.select("path", "content").mapInPandas(run, "path string, text string")
     return found.withColumn("text", F.replace("text", F.lit("\0"), F.lit(""))).where(X.strip("text") != "")
+
+
+def matched_by_name(uploads: DataFrame, sources: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Uploads (session_id, file_name) with the source and the parsed file of their name: of sources that share one the first, of parsed
+    files the last. An upload without a source is left out; without a parsed file its column is null.
+
+    sources and parsed: session_id, position, name and what else they have; the result has them as structs.
+    """
+    one = lambda df, pick, out: df.groupBy("session_id", F.col("name").alias("file_name")).agg(pick(F.struct(*df.columns), "position").alias(out))
+    return uploads.join(one(sources, F.min_by, "source"), ["session_id", "file_name"]).join(one(parsed, F.max_by, "parsed"), ["session_id", "file_name"], "left")

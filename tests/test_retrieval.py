@@ -1,5 +1,6 @@
 """Rules that are easy to mend by accident, and independence of the partitioning."""
 
+from lucerna.functions import text as X
 from lucerna.operators import context, decide, retrieval, search_index
 from lucerna.plans.queries import QUERIES
 from pyspark.sql import functions as F
@@ -63,7 +64,7 @@ def test_context_packs_every_line_that_has_room(spark):
     got = [r.block for r in context.blocks(left, "T", 300, 3).orderBy("order_index").collect()]
     want, now = [], ""
     for entry in ["A" * 400] + [f"U: {k:03}" for k in range(900)]:
-        if now and len(now) + 1 + len(entry) > 300:
+        if now and len(now) + len(entry) + 2 > 300:
             want.append(now)
             now = ""
         now = f"{now or 'T'}\n{entry}"
@@ -72,7 +73,7 @@ def test_context_packs_every_line_that_has_room(spark):
 
 def test_context_has_all_kinds(spark):
     out = QUERIES["B1_B5_context_blocks"](spark, SF).select("section").distinct()
-    assert {r.section for r in out.collect()} == {0, 1, 2, 3, 4}
+    assert {r.section for r in out.collect()} == {0, 1, 2, 3, 4, 5, 6}
 
 
 UNIT = "id string, session_id string, asset_id string, title string, excerpt string, content_text string, search_text string"
@@ -170,3 +171,81 @@ def test_an_index_of_nothing(spark, tmp_path):
     assert search_index.search(q, search_index.load(spark, str(tmp_path / "none")), 18).count() == 0
     assert retrieval.bm25(q, spark.createDataFrame([], UNIT)).count() == 0
     assert retrieval.bm25(q.limit(0), spark.createDataFrame([("u", "s", "a", "tin", "", "", "")], UNIT)).count() == 0
+
+
+def _evidence(spark, n_chunks=40):
+    """A session with a third of all rows and more, and a small one."""
+    at = {"s": n_chunks, "t": 3}
+    g = spark.createDataFrame([(f"g{k}{x}", x, f"Term {k}", ["al", f"b{k}"] if k else [], f"what term {k} means") for x in at for k in range(3)], "id string, session_id string, term string, aliases array<string>, definition string")
+    c = spark.createDataFrame([(f"c{k}{x}", x, f"Head {k % 7}", ["k"] if k % 2 else [], f"a line about tin and topic {k}" if k % 3 else f"words {k}") for x, n in at.items() for k in range(n)], "id string, session_id string, heading string, keywords array<string>, text string")
+    t = spark.createDataFrame([(f"t{k}{x}", x, "Dr. A", f"said {k} of tin", k * 2.5) for x in at for k in range(4)], "id string, session_id string, speaker_label string, text string, started_at_seconds double")
+    u = spark.createDataFrame([(f"u{k}{x}", x, f"a{k % 3}{x}", "pdf", f"Unit {k}", "ex", f"content {k} with zinc", f"content {k} with zinc and tin", k if k % 2 else None, f"uri{k}" if k in (1, 4) else None) for x in at for k in range(6)], "id string, session_id string, asset_id string, modality string, title string, excerpt string, content_text string, search_text string, page_number int, preview_uri string")
+    a = spark.createDataFrame([(f"a{k}{x}", f"file{k}.pdf") for x in at for k in range(2)], "id string, file_name string")
+    d = spark.createDataFrame([(f"d{k}{x}", x, f"a{k}{x}", "asset_summary", f"Digest {k}", "about a tin cell" if k == 2 else "other", str(k)) for x in at for k in range(3)] + [("ds", "s", None, "session_summary", "S", "all of s", "9")], "id string, session_id string, asset_id string, kind string, title string, text string, created_at string")
+    return {"glossary_terms": g, "material_chunks": c, "transcript_entries": t, "evidence_units": u, "uploaded_assets": a, "asset_digests": d}
+
+
+def _plain_evidence(spark, tables, question, session, matches, profile):
+    """The context of one question, step by step: records, scores by the tested expressions row by row, sorting and packing in Python."""
+    rows = {k: [r.asDict() for r in v.collect()] for k, v in tables.items()}
+    names = {r["id"]: r["file_name"] for r in rows["uploaded_assets"]}
+    page = lambda u: f" Page {u['page_number']}." if u["page_number"] is not None else ""
+    lines = {
+        "evidence_unit": [(u["id"], f"- {u['title']}: {u['content_text']}" + (f" Source file: {names[u['asset_id']]}." if u["asset_id"] in names else "") + page(u), f"{u['title']} {u['search_text']}") for u in rows["evidence_units"] if u["session_id"] == session],
+        "glossary_term": [(g["id"], f"- {g['term']}: {g['definition']}" + (f" Aliases: {', '.join(g['aliases'])}." if g["aliases"] else ""), f"{g['term']} {g['definition']}") for g in rows["glossary_terms"] if g["session_id"] == session],
+        "material_chunk": [(c["id"], f"- {c['heading']}: {c['text']}" + (f" Keywords: {', '.join(c['keywords'])}." if c["keywords"] else ""), f"{c['heading']} {c['text']}") for c in rows["material_chunks"] if c["session_id"] == session],
+        "transcript_entry": [(t["id"], f"- {t['speaker_label']} at {int(t['started_at_seconds'] + 0.5)}s: {t['text']}", f"{t['speaker_label']} {t['text']}") for t in rows["transcript_entries"] if t["session_id"] == session],
+    }
+    q = retrieval.prepare_questions(spark.createDataFrame([("q", session, question)], "question_id string, session_id string, question string"))
+    focus = q.first()["focus"]
+    limits, used = context.PROFILES[profile], {(k, i) for k, i, _, _ in matches}
+    out = []
+    for n, (kind, i, label, excerpt) in enumerate(matches[: limits["focused"]]):
+        entry = next((e for k, e, _ in lines.get(kind, []) if k == i), None)
+        out.append((0, n, f"{context.TITLES[kind][0]}\n{entry}" if entry else f"Focused evidence\n- {label}: {excerpt}"))
+    for section, (kind, (_, title, boost)) in enumerate(context.TITLES.items(), 1):
+        left = [x for x in lines[kind] if (kind, x[0]) not in used]
+        if not left:
+            continue
+        df = q.crossJoin(spark.createDataFrame(left, "id string, entry string, body string"))
+        score = retrieval.text_score(F.col("q_tokens"), X.unique(X.tokenize("body")), F.lit(boost) + retrieval.focus_boost(F.col("focus"), F.col("body")))
+        entries = [r.entry for r in df.select("id", "entry", score.alias("s")).orderBy(F.desc("s"), F.collate("entry", "UNICODE"), "id").collect()]
+        title += " (high relevance)" if focus and any(focus in e.lower() for e in entries) else ""
+        chars, most = limits[kind]
+        blocks, now = [], ""
+        for e in entries:
+            if now and len(now) + len(e) + 2 > chars:
+                blocks.append(now)
+                now = ""
+            now = f"{now or title}\n{e}"
+        out += [(section, n, b) for n, b in enumerate([*blocks, now][:most])]
+    hit = {u["asset_id"] for u in rows["evidence_units"] if ("evidence_unit", u["id"]) in used}
+    digests = [d for d in sorted(rows["asset_digests"], key=lambda d: d["created_at"]) if d["session_id"] == session]
+    near = [d for d in digests if d["asset_id"] and (d["asset_id"] in hit or (focus and focus in f"{d['title']} {d['text']}".lower()))][:4]
+    out += [(5, n, f"Asset digest\n- {d['title']}: {d['text']}") for n, d in enumerate(near)]
+    return out + [(6, 0, f"Session digest\n{d['text']}") for d in digests if d["asset_id"] is None]
+
+
+def test_evidence_of_an_answer_step_by_step(spark):
+    tables = _evidence(spark)
+    asked = [("q1", "s", "What is tin?"), ("q2", "s", "topic zinc words"), ("q3", "t", "Explain a tin cell"), ("q4", "t", "??")]
+    q = retrieval.prepare_questions(spark.createDataFrame(asked, "question_id string, session_id string, question string"))
+    matches = {
+        "q1": [("glossary_term", "g1s", "L", "E"), ("evidence_unit", "u1s", "L", "E"), ("material_chunk", "gone", "Lost", "its excerpt"), ("transcript_entry", "t2s", "L", "E")] + [("material_chunk", f"c{k}s", "L", "E") for k in range(8)],
+        "q2": [("evidence_unit", "u2s", "L", "E")], "q3": [], "q4": [("evidence_unit", "u4t", "L", "E")],
+    }
+    m = spark.createDataFrame([(k, *x, n + 1) for k, xs in matches.items() for n, x in enumerate(xs)], "question_id string, source_type string, source_record_id string, label string, excerpt string, rank int")
+    for profile in context.PROFILES:
+        got = {}
+        for r in context.answer_evidence(q, m, tables, profile).collect():
+            got.setdefault(r.question_id, []).append((r.section, r.order_index, r.block))
+        for k, session, text in asked:
+            assert sorted(got[k]) == sorted(_plain_evidence(spark, tables, text, session, matches[k], profile)), (profile, k)
+
+
+def test_pictures_for_an_answer(spark):
+    tables = _evidence(spark)
+    q = retrieval.prepare_questions(spark.createDataFrame([("q1", "s", "what of zinc"), ("q2", "s", "content zinc tin"), ("q3", "t", "What is content 4?"), ("q4", "t", "nothing here")], "question_id string, session_id string, question string"))
+    m = spark.createDataFrame([("q1", "evidence_unit", "u2s", 1), ("q1", "evidence_unit", "u4s", 2), ("q1", "evidence_unit", "u1s", 3), ("q2", "evidence_unit", "u2s", 1)], "question_id string, source_type string, source_record_id string, rank int")
+    got = {r.question_id: (r.tier, r.id, r.uri, r.caption) for r in context.visual_evidence(q, m, tables["evidence_units"], tables["uploaded_assets"]).collect()}
+    assert got == {"q1": (0, "u4s", "uri4", "Unit 4 File: file1.pdf. ex"), "q2": (1, "u1s", "uri1", "Unit 1 File: file1.pdf. Page 1. ex"), "q3": (1, "u4t", "uri4", "Unit 4 File: file1.pdf. ex")}
