@@ -2,9 +2,9 @@
 
 A segment is what one write adds, in folders of its number:
 
-- postings: token, unit (id, session_id, asset_id, length in tokens), tf weighted by column, and shared: how many first
-  characters the token has in common with the one before it among the unit's sorted tokens. A prefix longer than that
-  meets this token first in its unit, so units that hold a prefix are counted without gathering them.
+- postings: token, unit (id, session_id, asset_id, length in tokens), tf weighted by column, and before: the one before it
+  among the unit's sorted tokens. A prefix that before doesn't begin with meets this token first in its unit, so units that
+  hold a prefix are counted without gathering them.
 - units: id, session_id, asset_id, length.
 - vocabulary: the tokens.
 - gone: asset_id of each asset that the segment writes anew or deletes. It ends the asset's units of all segments before.
@@ -15,8 +15,12 @@ a search reads the row groups of its words. compacted() writes the living units
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +35,8 @@ COLUMN_WEIGHTS = {"title": 1.0, "excerpt": 0.5, "content_text": 1.0, "search_tex
 PREFIX = 64
 #: As many beginnings of words or fewer are looked up in the row groups that can hold them.
 FEW_HEADS = 64
-PARTS = ("postings", "units", "vocabulary", "gone")
+#: Units that a task counts together.
+TOGETHER = 2000
 
 
 @dataclass
@@ -48,35 +53,51 @@ def words(c: Column | str) -> Column:
     return F.filter(F.split(F.regexp_replace(X.without_marks(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
 
 
-def _in_common(a: Column, b: Column) -> Column:
-    """How many first characters two texts share."""
-    ends = F.sequence(F.lit(1), F.least(F.length(a), F.length(b)))
-    return F.when((F.length(a) == 0) | (F.length(b) == 0), 0).otherwise(F.size(F.filter(ends, lambda n: F.substr(a, F.lit(1), n) == F.substr(b, F.lit(1), n))))
-
-
 def postings(units: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """token, id, session_id, asset_id, length, tf, shared of units (id, session_id, asset_id if known, and the columns of weights)."""
-    weigh = lambda w: lambda t: F.struct(t.alias("token"), F.lit(w).alias("weight"))
-    weighed = [F.transform(words(c), weigh(w)) for c, w in (weights or COLUMN_WEIGHTS).items()]
-    asset = F.col("asset_id") if "asset_id" in units.columns else F.lit(None)
-    each = units.select("id", "session_id", asset.cast("string").alias("asset_id"), F.concat(*weighed).alias("all"))
-    spread = each.select("id", "session_id", "asset_id", F.size("all").cast("long").alias("length"), F.explode("all").alias("t"))
-    found = spread.groupBy("id", "session_id", "asset_id", "length", F.col("t.token").alias("token")).agg(F.sum("t.weight").alias("tf"))
-    before = F.lag("token").over(Window.partitionBy("id").orderBy("token"))
-    return found.withColumn("before", before).select("token", "id", "session_id", "asset_id", "length", "tf", _in_common(F.col("token"), F.coalesce("before", F.lit(""))).alias("shared"))
+    """token, id, session_id, asset_id, length, tf, before of units (id, session_id, asset_id if known, and the columns of weights).
 
-
-def lengths(units: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """id, session_id, asset_id, length of each unit, also of those without a token."""
+    A unit is one row, so its tokens are counted where it is read; no shuffle. Each unit also has a row with the token "".
+    """
+    weights = weights or COLUMN_WEIGHTS
     asset = F.col("asset_id") if "asset_id" in units.columns else F.lit(None)
-    size = sum((F.size(words(c)) for c in list(weights or COLUMN_WEIGHTS)[1:]), F.size(words(list(weights or COLUMN_WEIGHTS)[0])))
-    return units.select("id", "session_id", asset.cast("string").alias("asset_id"), size.cast("long").alias("length"))
+    kinds = [F.col("id").cast("string"), F.col("session_id").cast("string"), asset.cast("string").alias("asset_id")]
+    each = units.select(*kinds, *[words(c).alias(f"w{k}") for k, c in enumerate(weights)])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, TOGETHER):
+                batch = whole.slice(start, TOGETHER)
+                lists = [batch.column(3 + k) for k in range(len(weights))]
+                row = pa.concat_arrays([pc.list_parent_indices(x).cast(pa.int32()) for x in lists])
+                token = pa.concat_arrays([pc.list_flatten(x) for x in lists])
+                weight = pa.concat_arrays([pa.array(np.full(len(pc.list_flatten(x)), w)) for x, w in zip(lists, weights.values())])
+                t = pa.table({"row": row, "token": token, "weight": weight}).group_by(["row", "token"]).aggregate([("weight", "sum")]).sort_by([("row", "ascending"), ("token", "ascending")])
+                row, token = t["row"].combine_chunks(), t["token"].combine_chunks()
+                tf = t["weight_sum"].combine_chunks()
+                at = row.to_numpy(zero_copy_only=False)
+                first = np.concatenate([[True], at[1:] != at[:-1]]) if len(at) else np.zeros(0, bool)
+                shifted = token.take(pa.array(np.maximum(np.arange(len(at)) - 1, 0)))
+                before = pc.if_else(pa.array(first), pa.scalar("", token.type), shifted)
+                size = sum(pc.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in lists)
+                own = pa.array(np.arange(batch.num_rows, dtype=np.int32))
+                nothing = pa.array([""] * batch.num_rows, token.type)
+                row, token, before = pa.concat_arrays([row, own]), pa.concat_arrays([token, nothing]), pa.concat_arrays([before, nothing])
+                tf = pa.concat_arrays([tf, pa.array(np.zeros(batch.num_rows))])
+                unit = [batch.column(k).take(row) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([token, *unit, pa.array(size, pa.int64()).take(row), tf, before], ["token", "id", "session_id", "asset_id", "length", "tf", "before"])
+
+    return each.mapInArrow(counted, "token string, id string, session_id string, asset_id string, length long, tf double, before string")
+
+
+def _parts(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of what postings gives: the postings, and the units."""
+    return found.where("token <> ''"), found.where("token = ''").select("id", "session_id", "asset_id", "length")
 
 
 def built(units: DataFrame, weights: dict[str, float] | None = None) -> Index:
     """An index of these units alone, written to the folder for tables in between."""
-    found = settle(postings(units, weights))
-    return Index(found, settle(lengths(units, weights)), settle(found.select("token").distinct()))
+    found, of_units = _parts(settle(postings(units, weights)))
+    return Index(found, of_units, settle(found.select("token").distinct()))
 
 
 # --- segments
@@ -99,10 +120,10 @@ def write_segment(root: str, number: int, units: DataFrame, gone: DataFrame) ->
     """Adds units, and ends what earlier segments hold of the assets in gone (asset_id, deleted)."""
     spark = units.sparkSession
     folder = _folder(root, spark)
-    found = settle(postings(units))
+    found, of_units = _parts(settle(postings(units)))
     parts = (
         ("postings", found.repartitionByRange("token").sortWithinPartitions("token")),
-        ("units", lengths(units)),
+        ("units", of_units),
         ("vocabulary", found.select("token").distinct()),
         ("gone", gone.select(F.col("asset_id").cast("string").alias("asset_id"), F.col("deleted").cast("boolean").alias("deleted")).distinct()),
     )
@@ -122,7 +143,7 @@ def last_segment(spark: SparkSession, root: str) -> int:
 
 
 _SCHEMA = {
-    "postings": "token string, id string, session_id string, asset_id string, length long, tf double, shared int, segment long",
+    "postings": "token string, id string, session_id string, asset_id string, length long, tf double, before string, segment long",
     "units": "id string, session_id string, asset_id string, length long, segment long",
     "vocabulary": "token string, segment long",
     "gone": "asset_id string, deleted boolean, segment long",
@@ -194,7 +215,7 @@ def search(questions: DataFrame, index: Index, most: int | None) -> DataFrame:
     vocabulary = index.vocabulary.select("token", F.explode(F.transform(fits, lambda n: F.substr("token", F.lit(1), n))).alias("head"))
     pairs = settle(prefixes.join(vocabulary, "head").where(F.startswith("token", "prefix")).select("prefix", "token"))
     held = held.join(pairs, "token")
-    df = held.where(F.col("shared") < F.length("prefix")).groupBy("prefix").agg(F.count("*").alias("df"))
+    df = held.where(~F.startswith("before", "prefix")).groupBy("prefix").agg(F.count("*").alias("df"))
     n_units, all_length = index.units.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
     hits = held.select("session_id", "prefix", "id", "length", "tf").join(asked, ["session_id", "prefix"]).groupBy("question_id", "pos", "prefix", "id", "length").agg(F.sum("tf").alias("tf"))
     idf = F.greatest(F.log((n_units - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))

@@ -249,3 +249,16 @@ def test_pictures_for_an_answer(spark):
     m = spark.createDataFrame([("q1", "evidence_unit", "u2s", 1), ("q1", "evidence_unit", "u4s", 2), ("q1", "evidence_unit", "u1s", 3), ("q2", "evidence_unit", "u2s", 1)], "question_id string, source_type string, source_record_id string, rank int")
     got = {r.question_id: (r.tier, r.id, r.uri, r.caption) for r in context.visual_evidence(q, m, tables["evidence_units"], tables["uploaded_assets"]).collect()}
     assert got == {"q1": (0, "u4s", "uri4", "Unit 4 File: file1.pdf. ex"), "q2": (1, "u1s", "uri1", "Unit 1 File: file1.pdf. Page 1. ex"), "q3": (1, "u4t", "uri4", "Unit 4 File: file1.pdf. ex")}
+
+
+def test_phrases_meet_the_texts_that_hold_them(spark):
+    """Against all pairs: phrases of one, two and more words, also where they begin or end within words of the text."""
+    import random
+
+    r = random.Random(9)
+    words = ["a", "ab", "abc", "bca", "cabab", "é", "日本", "x-y", "aaaa", "b"]
+    texts = [(f"s{k % 2}", f"t{k}", r.choice(["", " "]).join(r.choices(words, k=r.randint(0, 8))) if k % 5 == 0 else " ".join(r.choices(words, k=r.randint(0, 8)))) for k in range(200)]
+    phrases = [(f"s{k % 2}", f"p{k}", " ".join(r.choices(words, k=r.randint(1, 4)))) for k in range(60)] + [("s0", "none", ""), ("s1", "long", "cabab abc ab")]
+    got = retrieval.holding(spark.createDataFrame(phrases, "session_id string, key string, phrase string"), spark.createDataFrame(texts, "session_id string, id string, body string"))
+    assert sorted(map(tuple, got.collect())) == sorted((k, i) for s, k, p in phrases if p for t, i, b in texts if s == t and p in b)
+    assert retrieval.holding(spark.createDataFrame(phrases[:0], "session_id string, key string, phrase string"), spark.createDataFrame(texts, "session_id string, id string, body string")).count() == 0
