@@ -1,20 +1,22 @@
-"""An inverted index of evidence units that lives (R10, ST5): kept in segments, appended to, and searched as one.
+"""A search index of evidence units that lives (R10, ST5): kept in segments, appended to, and searched as one.
 
 A segment is what one write adds, in folders of its number:
 
-- postings: token, unit (id, session_id, asset_id, length in tokens), tf weighted by column, and before: the one before it
-  among the unit's sorted tokens. A prefix that before doesn't begin with meets this token first in its unit, so units that
-  hold a prefix are counted without gathering them.
-- units: id, session_id, asset_id, length.
-- vocabulary: the tokens.
+- units: id, session_id, asset_id, length in tokens, and the unit's postings: its distinct tokens, sorted, with their tf
+  weighted by column, and shared: how many first characters each has in common with the one before it.
+- frequencies: token, shared, n: in how many units a token stands with so many shared characters. A prefix longer than
+  shared meets this token first in its unit, so the units that hold a prefix are counted from these few rows.
 - gone: asset_id of each asset that the segment writes anew or deletes. It ends the asset's units of all segments before.
 
-Numbers order the segments, not the time of writing; a segment written twice is the same. Postings lie sorted by token, so that
-a search reads the row groups of its words. compacted() writes the living units of all segments as one.
+Numbers order the segments, not the time of writing; a segment written twice is the same. compacted() writes the living units
+of all segments as one. A unit is a row with all its postings, so it is scored where it is read and only the best of each
+task are sent on.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,21 +33,16 @@ from lucerna.sources.tables import settle
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Weight of each column of a unit.
 COLUMN_WEIGHTS = {"title": 1.0, "excerpt": 0.5, "content_text": 1.0, "search_text": 1.0}
-#: Characters of a prefix that words are listed by; what is longer is compared.
-PREFIX = 64
-#: As many beginnings of words or fewer are looked up in the row groups that can hold them.
-FEW_HEADS = 64
-#: Units that a task counts together.
-TOGETHER = 2000
+#: Units that a task handles together; pairs of question and prefix that are searched in one pass.
+TOGETHER, ASKED = 2000, 200_000
 
 
 @dataclass
 class Index:
-    """The living units of an index: their postings, the units themselves, and a table of tokens that holds all of theirs."""
+    """The living units of an index with their postings, and the frequencies of their tokens."""
 
-    postings: DataFrame
     units: DataFrame
-    vocabulary: DataFrame
+    frequencies: DataFrame
 
 
 def words(c: Column | str) -> Column:
@@ -53,14 +50,14 @@ def words(c: Column | str) -> Column:
     return F.filter(F.split(F.regexp_replace(X.without_marks(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
 
 
-def postings(units: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """token, id, session_id, asset_id, length, tf, before of units (id, session_id, asset_id if known, and the columns of weights).
+UNITS = "id string, session_id string, asset_id string, length long, tokens array<string>, tfs array<double>, shared array<int>"
 
-    A unit is one row, so its tokens are counted where it is read; no shuffle. Each unit also has a row with the token "".
-    """
+
+def postings(units: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """UNITS of units (id, session_id, asset_id if known, and the columns of weights). A unit is one row, so its tokens are counted where it is read; no shuffle."""
     weights = weights or COLUMN_WEIGHTS
     asset = F.col("asset_id") if "asset_id" in units.columns else F.lit(None)
-    kinds = [F.col("id").cast("string"), F.col("session_id").cast("string"), asset.cast("string").alias("asset_id")]
+    kinds = [F.col("id").cast("string").alias("id"), F.col("session_id").cast("string").alias("session_id"), asset.cast("string").alias("asset_id")]
     each = units.select(*kinds, *[words(c).alias(f"w{k}") for k, c in enumerate(weights)])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,36 +65,43 @@ def postings(units: DataFrame, weights: dict[str, float] | None = None) -> DataF
             for start in range(0, whole.num_rows, TOGETHER):
                 batch = whole.slice(start, TOGETHER)
                 lists = [batch.column(3 + k) for k in range(len(weights))]
+                flat = [pc.list_flatten(x) for x in lists]
                 row = pa.concat_arrays([pc.list_parent_indices(x).cast(pa.int32()) for x in lists])
-                token = pa.concat_arrays([pc.list_flatten(x) for x in lists])
-                weight = pa.concat_arrays([pa.array(np.full(len(pc.list_flatten(x)), w)) for x, w in zip(lists, weights.values())])
-                t = pa.table({"row": row, "token": token, "weight": weight}).group_by(["row", "token"]).aggregate([("weight", "sum")]).sort_by([("row", "ascending"), ("token", "ascending")])
-                row, token = t["row"].combine_chunks(), t["token"].combine_chunks()
-                tf = t["weight_sum"].combine_chunks()
-                at = row.to_numpy(zero_copy_only=False)
-                first = np.concatenate([[True], at[1:] != at[:-1]]) if len(at) else np.zeros(0, bool)
-                shifted = token.take(pa.array(np.maximum(np.arange(len(at)) - 1, 0)))
-                before = pc.if_else(pa.array(first), pa.scalar("", token.type), shifted)
+                weight = pa.concat_arrays([pa.array(np.full(len(x), w)) for x, w in zip(flat, weights.values())])
+                t = pa.table({"row": row, "token": pa.concat_arrays(flat), "weight": weight}).group_by(["row", "token"]).aggregate([("weight", "sum")]).sort_by([("row", "ascending"), ("token", "ascending")])
+                at = t["row"].combine_chunks().to_numpy(zero_copy_only=False)
+                token = t["token"].combine_chunks()
+                ends = pa.array(np.searchsorted(at, np.arange(batch.num_rows + 1)).astype(np.int32))
+                listed = [pa.ListArray.from_arrays(ends, x) for x in (token, t["weight_sum"].combine_chunks(), pa.array(_in_common(token.to_pylist(), at), pa.int32()))]
                 size = sum(pc.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in lists)
-                own = pa.array(np.arange(batch.num_rows, dtype=np.int32))
-                nothing = pa.array([""] * batch.num_rows, token.type)
-                row, token, before = pa.concat_arrays([row, own]), pa.concat_arrays([token, nothing]), pa.concat_arrays([before, nothing])
-                tf = pa.concat_arrays([tf, pa.array(np.zeros(batch.num_rows))])
-                unit = [batch.column(k).take(row) for k in range(3)]
-                yield pa.RecordBatch.from_arrays([token, *unit, pa.array(size, pa.int64()).take(row), tf, before], ["token", "id", "session_id", "asset_id", "length", "tf", "before"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(size, pa.int64()), *listed], [c.split()[0] for c in UNITS.split(", ")])
 
-    return each.mapInArrow(counted, "token string, id string, session_id string, asset_id string, length long, tf double, before string")
+    return each.mapInArrow(counted, UNITS)
 
 
-def _parts(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of what postings gives: the postings, and the units."""
-    return found.where("token <> ''"), found.where("token = ''").select("id", "session_id", "asset_id", "length")
+def _in_common(tokens: list[str], rows: np.ndarray) -> np.ndarray:
+    """How many first characters each token shares with the one before it in its row."""
+    out = np.zeros(len(tokens), np.int32)
+    for k in np.flatnonzero(rows[1:] == rows[:-1]) + 1 if len(rows) else ():
+        a, b, n = tokens[k - 1], tokens[k], 0
+        for x, y in zip(a, b):
+            if x != y:
+                break
+            n += 1
+        out[k] = n
+    return out
+
+
+def frequencies_of(units: DataFrame) -> DataFrame:
+    """token, shared, n of units with postings; counted task by task before they are sent."""
+    each = units.select(F.explode(F.arrays_zip("tokens", "shared")).alias("p"))
+    return each.groupBy(F.col("p.tokens").alias("token"), F.col("p.shared").alias("shared")).agg(F.count("*").alias("n"))
 
 
 def built(units: DataFrame, weights: dict[str, float] | None = None) -> Index:
     """An index of these units alone, written to the folder for tables in between."""
-    found, of_units = _parts(settle(postings(units, weights)))
-    return Index(found, of_units, settle(found.select("token").distinct()))
+    found = settle(postings(units, weights))
+    return Index(found, settle(frequencies_of(found)))
 
 
 # --- segments
@@ -117,18 +121,13 @@ def _folder(root: str, spark: SparkSession) -> str:
 
 
 def write_segment(root: str, number: int, units: DataFrame, gone: DataFrame) -> None:
-    """Adds units, and ends what earlier segments hold of the assets in gone (asset_id, deleted)."""
+    """Adds units, and ends what earlier segments hold of the assets in gone (asset_id, deleted). The last part tells that the segment is whole."""
     spark = units.sparkSession
     folder = _folder(root, spark)
-    found, of_units = _parts(settle(postings(units)))
-    parts = (
-        ("postings", found.repartitionByRange("token").sortWithinPartitions("token")),
-        ("units", of_units),
-        ("vocabulary", found.select("token").distinct()),
-        ("gone", gone.select(F.col("asset_id").cast("string").alias("asset_id"), F.col("deleted").cast("boolean").alias("deleted")).distinct()),
-    )
-    for name, df in parts:
-        df.write.mode("overwrite").parquet(f"{folder}/{name}/segment={number}")
+    at = lambda name: f"{folder}/{name}/segment={number}"
+    postings(units).write.mode("overwrite").parquet(at("units"))
+    frequencies_of(spark.read.schema(UNITS).parquet(at("units"))).write.mode("overwrite").parquet(at("frequencies"))
+    gone.select(F.col("asset_id").cast("string").alias("asset_id"), F.col("deleted").cast("boolean").alias("deleted")).distinct().write.mode("overwrite").parquet(at("gone"))
 
 
 def delete_assets(root: str, assets: DataFrame) -> None:
@@ -142,12 +141,7 @@ def last_segment(spark: SparkSession, root: str) -> int:
     return max(_listed(spark, f"{_folder(root, spark)}/gone/segment=*/_SUCCESS"), default=-1)
 
 
-_SCHEMA = {
-    "postings": "token string, id string, session_id string, asset_id string, length long, tf double, before string, segment long",
-    "units": "id string, session_id string, asset_id string, length long, segment long",
-    "vocabulary": "token string, segment long",
-    "gone": "asset_id string, deleted boolean, segment long",
-}
+_SCHEMA = {"units": f"{UNITS}, segment long", "frequencies": "token string, shared int, n long, segment long", "gone": "asset_id string, deleted boolean, segment long"}
 
 
 def _part(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -157,16 +151,16 @@ def _part(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def load(spark: SparkSession, root: str) -> Index:
-    """The index with what all segments hold. Only assets written again or deleted, of which there are few, are looked up."""
+    """The index with what all segments hold. Assets written again or deleted, of which there are few, end their units; the frequencies of these are taken off."""
     folder = _folder(root, spark)
     every = _part(spark, folder, "gone").groupBy("asset_id").agg(F.max("segment").alias("_last"), F.max_by("deleted", "segment").alias("_deleted"), F.count("*").alias("n"))
     ended = every.where("n > 1 or _deleted").drop("n")
-
-    def living(df: DataFrame) -> DataFrame:
-        both = df.join(ended, "asset_id", "left")
-        return both.where(F.col("_last").isNull() | ((F.col("segment") >= F.col("_last")) & ~F.col("_deleted"))).select(*[c for c in df.columns if c != "segment"])
-
-    return Index(living(_part(spark, folder, "postings")), living(_part(spark, folder, "units")), _part(spark, folder, "vocabulary").select("token").distinct())
+    units = _part(spark, folder, "units")
+    dead = (F.col("segment") < F.col("_last")) | F.col("_deleted")
+    living = units.join(ended, "asset_id", "left").where(F.col("_last").isNull() | ~dead).drop("_last", "_deleted", "segment").select(*[c.split()[0] for c in UNITS.split(", ")])
+    lost = frequencies_of(units.join(ended, "asset_id").where(dead))
+    told = _part(spark, folder, "frequencies").drop("segment").unionByName(lost.withColumn("n", -F.col("n"))).groupBy("token", "shared").agg(F.sum("n").alias("n")).where("n > 0")
+    return Index(living, told)
 
 
 def compacted(spark: SparkSession, root: str) -> None:
@@ -174,12 +168,11 @@ def compacted(spark: SparkSession, root: str) -> None:
     old, last = _folder(root, spark), last_segment(spark, root)
     if last < 0:
         return
-    found = load(spark, root)
     new = f"{root}/generation={int(old.rsplit('=', 1)[1]) + 1}"
-    found.postings.repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{new}/postings/segment={last}")
-    found.units.write.mode("overwrite").parquet(f"{new}/units/segment={last}")
-    spark.read.parquet(f"{new}/postings/segment={last}").select("token").distinct().write.mode("overwrite").parquet(f"{new}/vocabulary/segment={last}")
-    found.units.select("asset_id", F.lit(False).alias("deleted")).distinct().write.mode("overwrite").parquet(f"{new}/gone/segment={last}")
+    load(spark, root).units.write.mode("overwrite").parquet(f"{new}/units/segment={last}")
+    units = spark.read.schema(UNITS).parquet(f"{new}/units/segment={last}")
+    frequencies_of(units).write.mode("overwrite").parquet(f"{new}/frequencies/segment={last}")
+    units.select("asset_id", F.lit(False).alias("deleted")).distinct().write.mode("overwrite").parquet(f"{new}/gone/segment={last}")
     spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{new}/whole")
 
 
@@ -192,36 +185,127 @@ def query_prefixes(question: Column, most: int = 8) -> Column:
     return F.slice(F.filter(found, lambda w: F.length(w) >= 2), 1, most)
 
 
+@dataclass
+class _Asked:
+    """A block of questions: prefixes by length, each with its number, weight, and the questions of each session that hold it, with how often."""
+
+    by_length: dict[int, tuple[pa.Array, np.ndarray]]
+    idf: np.ndarray
+    sessions: dict[str, int]
+    keys: np.ndarray  # session * prefixes + prefix, sorted
+    question: np.ndarray
+    times: np.ndarray
+
+
+def _asked(rows: list[tuple[int, str, str]], df: dict[str, int], n_units: int) -> _Asked:
+    """rows: (question, session, prefix) as often as it is asked."""
+    prefixes = sorted({p for _, _, p in rows})
+    number = {p: k for k, p in enumerate(prefixes)}
+    sessions = {s: k for k, s in enumerate(sorted({s for _, s, _ in rows}))}
+    idf = np.array([max(math.log((n_units - df.get(p, 0) + 0.5) / (df.get(p, 0) + 0.5)), LEAST_IDF) for p in prefixes])
+    by_length: dict[int, tuple[pa.Array, np.ndarray]] = {}
+    for size in sorted({len(p) for p in prefixes}):
+        some = [p for p in prefixes if len(p) == size]
+        by_length[size] = pa.array(some, pa.string()), np.array([number[p] for p in some])
+    many = Counter(rows)
+    each = sorted((sessions[s] * len(prefixes) + number[p], q, n) for (q, s, p), n in many.items())
+    keys, question, times = (np.array(x, np.int64) for x in zip(*each))
+    return _Asked(by_length, idf, sessions, keys, question, times)
+
+
+def _scores(batch: pa.RecordBatch, a: _Asked, mean: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(question, row, rank) of each question and unit of its session that is hit."""
+    tokens = batch.column(4)
+    row = pc.list_parent_indices(tokens).to_numpy(zero_copy_only=False)
+    flat, tf = pc.list_flatten(tokens), pc.list_flatten(batch.column(5)).to_numpy(zero_copy_only=False)
+    rows, found, weights = [], [], []
+    for size, (texts, numbers) in a.by_length.items():
+        at = pc.index_in(pc.utf8_slice_codeunits(flat, 0, size), texts)
+        hit = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+        rows.append(row[hit])
+        found.append(numbers[at.take(pa.array(hit)).to_numpy(zero_copy_only=False)])
+        weights.append(tf[hit])
+    rows, found, weights = map(np.concatenate, (rows, found, weights))
+    n = len(a.idf)
+    key, where = np.unique(rows * n + found, return_inverse=True)
+    tf = np.bincount(where, weights, len(key))
+    rows, found = key // n, key % n
+    session = np.array([a.sessions[s] for s in batch.column(1).to_pylist()], np.int64)
+    lengths = batch.column(3).to_numpy(zero_copy_only=False)
+    part = a.idf[found] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[rows] / mean))
+    wanted = session[rows] * n + found
+    first, last = np.searchsorted(a.keys, wanted), np.searchsorted(a.keys, wanted, "right")
+    many = last - first
+    at = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+    pairs, where = np.unique(a.question[at] * batch.num_rows + np.repeat(rows, many), return_inverse=True)
+    rank = np.bincount(where, np.repeat(part, many) * a.times[at], len(pairs))
+    return pairs // batch.num_rows, pairs % batch.num_rows, np.round(rank, 9)
+
+
+def _blocks(asked: DataFrame) -> Iterator[list]:
+    """The questions (question_id, session_id, prefixes), in blocks of about ASKED prefixes; one block is on the driver at a time."""
+    block, size = [], 0
+    for r in asked.toLocalIterator():
+        block.append(r)
+        size += len(r.prefixes)
+        if size >= ASKED:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
+
+
 def search(questions: DataFrame, index: Index, most: int | None) -> DataFrame:
     """The best units of each question's session: question_id, id, rank, place. Statistics are those of all living units.
     With most None, all units that are hit, in no order and without their place.
 
-    Each word of the vocabulary is listed under its beginnings, of the lengths that are asked for, so a prefix meets exactly
-    its words; how many units hold it is counted from postings task by task, and only units of the question's session are
-    gathered. Ranks are rounded to nine decimals, so that sums in another order are the same.
+    Questions are taken in blocks, each a pass over the units of its sessions; only a block's prefixes are broadcast. A task
+    scores each unit where it is read and sends its best of each question. Ranks are rounded to nine decimals, so that sums in
+    another order are the same.
     """
-    asked = questions.select("question_id", "session_id", F.posexplode(query_prefixes(F.col("question"))).alias("pos", "prefix"))
-    prefixes = asked.select("prefix").distinct().withColumn("head", F.substring("prefix", 1, PREFIX))
-    told = prefixes.agg(F.collect_set(F.length("head")), F.count_distinct(F.substring("head", 1, 2))).first()  # PREFIX lengths at most
-    asked_lengths = F.array(*[F.lit(n) for n in sorted(told[0])]) if told[0] else F.array().cast("array<int>")
-    held = index.postings
-    if told[1] <= FEW_HEADS:
-        begins = [r.h for r in prefixes.select(F.substring("head", 1, 2).alias("h")).distinct().collect()]
-        some = F.lit(False)
-        for b in begins:
-            some = some | F.startswith("token", F.lit(b))
-        held = held.where(some)
-    fits = F.filter(asked_lengths, lambda n: n <= F.length("token"))
-    vocabulary = index.vocabulary.select("token", F.explode(F.transform(fits, lambda n: F.substr("token", F.lit(1), n))).alias("head"))
-    pairs = settle(prefixes.join(vocabulary, "head").where(F.startswith("token", "prefix")).select("prefix", "token"))
-    held = held.join(pairs, "token")
-    df = held.where(~F.startswith("before", "prefix")).groupBy("prefix").agg(F.count("*").alias("df"))
+    spark = questions.sparkSession
+    id_type = questions.schema["question_id"].dataType.simpleString()
+    ready = questions.select("question_id", F.col("session_id").cast("string").alias("session_id"), query_prefixes(F.col("question")).alias("prefixes")).where("size(prefixes) > 0 and session_id is not null")
     n_units, all_length = index.units.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
-    hits = held.select("session_id", "prefix", "id", "length", "tf").join(asked, ["session_id", "prefix"]).groupBy("question_id", "pos", "prefix", "id", "length").agg(F.sum("tf").alias("tf"))
-    idf = F.greatest(F.log((n_units - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("length") / (F.lit(all_length) / F.lit(max(n_units, 1))))
-    scored = hits.join(df, "prefix").groupBy("question_id", "id").agg(F.round(F.sum(idf * F.col("tf") * (K1 + 1) / norm), 9).alias("rank"))
+    out = spark.createDataFrame([], f"question_id {id_type}, id string, rank double")
+    for block in _blocks(ready):
+        texts = spark.createDataFrame(sorted({(p,) for r in block for p in r.prefixes}), "prefix string")
+        sizes = sorted({len(p) for r in block for p in r.prefixes})
+        heads = F.transform(F.filter(F.array(*map(F.lit, sizes)), lambda n: n <= F.length("token")), lambda n: F.substr("token", F.lit(1), n))
+        held = index.frequencies.select("token", "shared", "n", F.explode(heads).alias("prefix")).where(F.col("shared") < F.length("prefix"))
+        df = {r.prefix: r.n for r in held.join(texts, "prefix").groupBy("prefix").agg(F.sum("n").alias("n")).collect()}
+        asked = _asked([(k, r.session_id, p) for k, r in enumerate(block) for p in r.prefixes], df, n_units)
+        shared = spark.sparkContext.broadcast((asked, all_length / max(n_units, 1) or 1.0))
+        sessions = spark.createDataFrame([(s,) for s in asked.sessions], "session_id string")
+        found = index.units.join(F.broadcast(sessions), "session_id", "left_semi").mapInArrow(_task(shared, most), "question long, id string, rank double")  # a block's sessions
+        names = F.broadcast(spark.createDataFrame([(k, r.question_id) for k, r in enumerate(block)], f"question long, question_id {id_type}"))
+        out = out.unionByName(found.join(names, "question").select("question_id", "id", "rank"))
     if most is None:
-        return scored
+        return out
     order = Window.partitionBy("question_id").orderBy(F.desc("rank"), "id")
-    return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("question_id", "id", "rank", "place")
+    return out.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("question_id", "id", "rank", "place")
+
+
+def _task(shared, most: int | None):
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, mean = shared.value
+        names = ["question", "id", "rank"]
+        kept = pa.table({"question": pa.array([], pa.int64()), "id": pa.array([], pa.string()), "rank": pa.array([], pa.float64())})
+        for whole in batches:
+            columns = {n: whole.column(whole.schema.get_field_index(n)) for n in ("id", "session_id", "asset_id", "length", "tokens", "tfs")}
+            ordered = pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+            for start in range(0, ordered.num_rows, TOGETHER):
+                batch = ordered.slice(start, TOGETHER)
+                question, row, rank = _scores(batch, asked, mean)
+                new = pa.table([pa.array(question, pa.int64()), batch.column(0).take(pa.array(row, pa.int64())).cast(pa.string()), pa.array(rank, pa.float64())], names)
+                if most is None:
+                    yield from new.combine_chunks().to_batches()
+                    continue
+                both = pa.concat_tables([kept, new]).sort_by([("question", "ascending"), ("rank", "descending"), ("id", "ascending")])
+                q = both["question"].to_numpy()
+                place = np.arange(len(q)) - np.searchsorted(q, q)
+                kept = both.filter(pa.array(place < most)).combine_chunks()
+        if most is not None:
+            yield from kept.to_batches()
+
+    return scored

@@ -22,7 +22,7 @@ def test_stream_equals_batch_and_repeats_change_nothing(spark, tmp_path):
     assert got == {(r.asset_id, r.content_text) for r in index.units_of(every).collect()} == {("a", "three"), ("c", "four")}
     states = {r.asset_id: r.status for r in index.latest_states(spark.read.parquet(f"{root}/states")).collect()}
     assert states == {"a": "ready", "b": "failed", "c": "ready"}
-    words = {(r.asset_id, r.token) for r in index.current_index(spark, root).postings.collect()}
+    words = {(r.asset_id, t) for r in index.current_index(spark, root).units.collect() for t in r.tokens}
     assert {("a", "three"), ("c", "four")} <= words and not words & {("a", "one"), ("a", "two")}
     assert {(r.asset_id, r.text) for r in index.current(spark, root, "digests").collect()} == {("a", "three"), ("c", "four")}
 
