@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lucerna.functions import text as X
+from lucerna.sources import pdf
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -42,15 +40,10 @@ def texts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return decoded.where(~blank), decoded.where(blank)
 
 
-def extracted(files: DataFrame, extractor: Callable[[bytes], str]) -> DataFrame:
-    """Files with the text that an extractor (for PDF, say) finds; NUL removed, without text dropped."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield pd.DataFrame({"path": part["path"], "text": [extractor(bytes(c)) for c in part["content"]]})
-
-    found = files.select("path", "content").mapInPandas(run, "path string, text string")
-    return found.withColumn("text", F.replace("text", F.lit("\0"), F.lit(""))).where(X.strip("text") != "")
+def with_pdf_texts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The PDF files among uploads with their text, and those that give none, with the reason as error."""
+    found = files.where("extension = 'pdf'").drop("text").join(pdf.pdf_texts(files.where("extension = 'pdf'")), "path")
+    return found.where("problem is null").drop("problem"), found.where("problem is not null").withColumn("error", F.col("problem")).drop("problem", "text")
 
 
 def matched_by_name(uploads: DataFrame, sources: DataFrame, parsed: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import zipfile
 
 import pytest
 from lucerna.operators import mutations, parse, schema
-from lucerna.sources import assembly, files, packs, tables
+from lucerna.sources import assembly, files, packs, pdf, tables
 from pyspark.sql import functions as F
 
 def rows_of(n, **fields):
@@ -193,3 +193,57 @@ def test_files_for_a_session_that_is_there(spark):
     assert (s.id, s.title, s.course_code, s.lecturer, s.status, s.tags) == ("s9", "Old title", "LOCAL-IMPORT", "Dr. Z", "ended", ["old", "uploaded", "ground-truth", "material"])
     assert t["material_chunks"].first().id.startswith("s9_chunk_a_")
     assert all(df.count() == 0 for df in assembly.assemble(_upload(spark, [("a.txt", "material", "Some text.")]).limit(0), "now", "files").values())
+
+
+def _pdf(pages, flate=True, extra=b"", fonts=b"", packed=False, kids=None):
+    """A PDF file of these content streams; packed: pages in an object stream."""
+    import zlib
+
+    n = len(pages)
+    bodies = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [%s] /Count %d >>" % (b" ".join(b"%d 0 R" % k for k in (kids or range(10, 10 + n))), n)}
+    for k, content in enumerate(pages):
+        data = zlib.compress(content) if flate else content
+        bodies[10 + k] = b"<< /Type /Page /Parent 2 0 R /Resources << /Font << /F1 5 0 R >> >> /Contents %d 0 R >>" % (100 + k)
+        bodies[100 + k] = b"<< /Length %d %s>>\nstream\n%s\nendstream" % (len(data), b"/Filter /FlateDecode " if flate else b"", data)
+    bodies[5] = b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica %s>>" % fonts
+    if packed:
+        inside = {k: bodies.pop(k) for k in list(bodies) if k < 100}
+        head, at, texts = b"", 0, b""
+        for k, b in inside.items():
+            head += b"%d %d " % (k, at)
+            texts += b + b" "
+            at += len(b) + 1
+        data = zlib.compress(head + texts)
+        bodies[900] = b"<< /Type /ObjStm /N %d /First %d /Filter /FlateDecode /Length %d >>\nstream\n%s\nendstream" % (len(inside), len(head), len(data), data)
+    return b"%PDF-1.5\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % kv for kv in bodies.items()) + extra + b"trailer << /Root 1 0 R >>\n%%EOF"
+
+
+def _texts(spark, **named):
+    found = pdf.pdf_texts(spark.createDataFrame([(k, bytearray(v)) for k, v in named.items()], "path string, content binary"))
+    return {r.path: r.text if r.problem is None else r.problem for r in found.collect()}
+
+
+def test_pdf_texts(spark):
+    line = lambda x, y, t: b"BT /F1 10 Tf 1 0 0 1 %d %d Tm (%s) Tj ET\n" % (x, y, t)
+    one = b"BT /F1 12 Tf 14 TL 72 700 Td (First line) Tj T* (with \\(brackets\\) and \\351) Tj 0 -30 Td [(Ker) -20 (ned) -300 (words)] TJ ET"
+    two = line(300, 700, b"right one") + line(72, 700, b"left one") + line(72, 688, b"left two") + line(300, 688, b"right two")
+    moved = b"q 1 0 0 1 0 500 cm " + line(72, 100, b"low") + b"Q " + line(72, 650, b"high, in place")
+    cmap = b"6 0 obj\n<< /Length 1 >>\nstream\n1 beginbfchar <0001> <0048> endbfchar 1 beginbfrange <0002> <0004> <0061> endbfrange\nendstream\nendobj\n"
+    got = _texts(
+        spark, one=_pdf([one]), plain=_pdf([one], flate=False), two=_pdf([two]), moved=_pdf([moved]), packed=_pdf([line(72, 700, b"p one"), line(72, 700, b"p two")], packed=True),
+        order=_pdf([line(72, 700, b"second"), line(72, 700, b"first")], kids=[11, 10]), hexed=_pdf([b"BT /F1 10 Tf 72 700 Td <00010002000300 04> Tj ET"], fonts=b"/ToUnicode 6 0 R ", extra=cmap),
+        blank=_pdf([b"0 0 m 10 10 l S"]), junk=b"hello", none=b"", broken=_pdf([one])[:200] + b"\n%%EOF", locked=_pdf([one]) + b"\ntrailer << /Encrypt 9 0 R >>", flate=_pdf([one]).replace(b"stream\nx", b"stream\ny"),
+    )
+    assert got["one"] == got["plain"] == "First line\nwith (brackets) and é\nKerned words"
+    assert got["two"] == "left one right one\nleft two right two" and got["moved"] == "high, in place\nlow"
+    assert got["packed"] == "p one\n\fp two" and got["order"] == "first\n\fsecond" and got["hexed"] == "Habc"
+    assert got["blank"] == pdf.NO_TEXT and "not a PDF" in got["junk"] and "not a PDF" in got["none"] and "encrypted" in got["locked"]
+    assert got["broken"] == pdf.NO_TEXT and "could not be read" in got["flate"]
+
+
+def test_pdf_uploads(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(_pdf([b"BT /F1 10 Tf 72 700 Td (Some text) Tj ET"]))
+    (tmp_path / "b.pdf").write_bytes(b"junk")
+    (tmp_path / "c.txt").write_text("x")
+    good, bad = files.with_pdf_texts(files.uploads(spark, str(tmp_path)))
+    assert [(r.name, r.text) for r in good.collect()] == [("a.pdf", "Some text")] and [r.name for r in bad.collect()] == ["b.pdf"] and "not a PDF" in bad.first()["error"]
