@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -28,13 +27,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; without one the warehouse, which a cluster shares too, or in local mode a folder of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        local = spark.sparkContext.master.startswith("local")
-        found = f"{tempfile.gettempdir()}/lucerna-{uuid.uuid4().hex}" if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_lucerna"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    """The shared folder that spark.checkpoint.dir names; without it one in the warehouse, which a cluster shares too."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_lucerna"
 
 
 _written: list[str] = []
@@ -66,9 +60,11 @@ def remove(*tables: DataFrame) -> None:
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes what cut() wrote within: for work whose result is written before the block ends."""
     before = set(_written)
-    yield
-    for path in [p for p in _written if p not in before]:
-        _delete(spark, path)
+    try:
+        yield
+    finally:
+        for path in [p for p in _written if p not in before]:
+            _delete(spark, path)
 
 
 def looked_up(rows: DataFrame, unique: DataFrame, key: list[str], n: str) -> DataFrame:
@@ -91,14 +87,14 @@ def fold(doc_id: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(modulus))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches again, cut so that each holds about SLICE_BYTES of text or a single row."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches again, cut so that each holds about `size` bytes of text (SLICE_BYTES unless given) or a single row."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
         column = batch.column(batch.schema.get_field_index(text))
         sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
-        part = np.cumsum(sizes, dtype=np.int64) // SLICE_BYTES
+        part = np.cumsum(sizes, dtype=np.int64) // (size or SLICE_BYTES)
         starts = np.flatnonzero(np.diff(part, prepend=-1))
         for a, b in zip(starts, [*starts[1:], batch.num_rows]):
             yield batch.slice(int(a), int(b - a))

@@ -331,8 +331,15 @@ def _columns(t: Tables, texts: list[str | None], memo: dict[str, bytes]) -> list
     return [lists, pa.array(counts), pa.array(running[ends] - running[ends - counts]), pa.array(right)]
 
 
-def add_tokens(docs: DataFrame, text_col: str = "text", model: str = MODEL) -> DataFrame:
-    """docs with the columns of TOKENS (a column of docs with one of these names is replaced). No shuffle."""
+#: Bytes of text encoded together where nothing but the tokens is kept of the documents.
+ALONE = 3_000_000
+
+
+def add_tokens(docs: DataFrame, text_col: str = "text", model: str = MODEL, slice_bytes: int | None = None) -> DataFrame:
+    """docs with the columns of TOKENS (a column of docs with one of these names is replaced). No shuffle.
+
+    slice_bytes: of text that a task encodes together; more share more words and take less time, and more memory.
+    """
     new = ["token_ids", "n_tokens", "n_byte_tokens", "decoded_ok"]
     kept = [c for c in docs.columns if c not in new]
     shared = docs.sparkSession.sparkContext.broadcast(load(model))
@@ -340,7 +347,7 @@ def add_tokens(docs: DataFrame, text_col: str = "text", model: str = MODEL) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, bytes] = {}
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, slice_bytes):
             yield pa.RecordBatch.from_arrays([*batch.columns, *_columns(shared.value, batch.column(at).to_pylist(), memo)], [*kept, *new])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in kept]).schema)
@@ -349,7 +356,7 @@ def add_tokens(docs: DataFrame, text_col: str = "text", model: str = MODEL) -> D
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
     """One row per document: its id and the columns of TOKENS."""
-    return add_tokens(docs.select(docs[id_col], docs[text_col]), text_col, model).drop(text_col)
+    return add_tokens(docs.select(docs[id_col], docs[text_col]), text_col, model, ALONE).drop(text_col)
 
 
 def decode(tokens: DataFrame, ids_col: str = "token_ids", model: str = MODEL) -> DataFrame:
