@@ -35,6 +35,8 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 COLUMN_WEIGHTS = {"title": 1.0, "excerpt": 0.5, "content_text": 1.0, "search_text": 1.0}
 #: Units that a task handles together; pairs of question and prefix that are searched in one pass.
 TOGETHER, ASKED = 2000, 200_000
+#: As many assets that were written again or deleted, or fewer, are broadcast, so that units are not shuffled; with more the index should be compacted.
+FEW_ENDED = 500_000
 
 
 @dataclass
@@ -154,7 +156,9 @@ def load(spark: SparkSession, root: str) -> Index:
     """The index with what all segments hold. Assets written again or deleted, of which there are few, end their units; the frequencies of these are taken off."""
     folder = _folder(root, spark)
     every = _part(spark, folder, "gone").groupBy("asset_id").agg(F.max("segment").alias("_last"), F.max_by("deleted", "segment").alias("_deleted"), F.count("*").alias("n"))
-    ended = every.where("n > 1 or _deleted").drop("n")
+    ended = settle(every.where("n > 1 or _deleted").drop("n"))
+    if ended.count() <= FEW_ENDED:
+        ended = F.broadcast(ended)
     units = _part(spark, folder, "units")
     dead = (F.col("segment") < F.col("_last")) | F.col("_deleted")
     living = units.join(ended, "asset_id", "left").where(F.col("_last").isNull() | ~dead).drop("_last", "_deleted", "segment").select(*[c.split()[0] for c in UNITS.split(", ")])
