@@ -48,8 +48,10 @@ class Index:
 
 
 def words(c: Column | str) -> Column:
-    """The tokens of a text: runs of letters and digits, in lower case and without diacritics."""
-    return F.filter(F.split(F.regexp_replace(X.without_marks(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
+    """The tokens of a text: runs of letters and digits, in lower case and without diacritics, which only texts beyond ASCII can have."""
+    text = F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+    folded = F.when(F.octet_length(text) > F.length(text), X.without_marks(text)).otherwise(F.lower(text))
+    return F.filter(F.split(folded, r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
 UNITS = "id string, session_id string, asset_id string, length long, tokens array<string>, tfs array<double>, shared array<int>"
