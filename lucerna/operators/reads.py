@@ -69,9 +69,10 @@ def with_known_sources(items: DataFrame, sources: str, known: DataFrame) -> Data
 
 
 def chunks_in_order(chunks: DataFrame, materials: DataFrame) -> DataFrame:
-    """A session's chunks by material, then by place within it."""
+    """Chunks with their place in the session: by material, then by place within it."""
     m = materials.select(F.col("id").alias("material_id"), F.col("order_index").alias("material_order"))
-    return chunks.join(m, "material_id").orderBy("material_order", "order_index", "id")
+    order = Window.partitionBy("session_id").orderBy("material_order", "order_index", "id")
+    return chunks.join(m, "material_id").withColumn("rank", F.row_number().over(order))
 
 
 def _sources(sources: DataFrame) -> DataFrame:

@@ -424,8 +424,7 @@ def O1_Q11_sessions(v: Views) -> DataFrame:
 
 @query
 def O2_O3_J1_chunks(v: Views) -> DataFrame:
-    w = Window.partitionBy("session_id").orderBy("material_order", "order_index", "id")
-    return reads.chunks_in_order(v.chunks(), v.materials()).select("session_id", "id", F.row_number().over(w).cast("long").alias("rank"))
+    return reads.chunks_in_order(v.chunks(), v.materials()).select("session_id", "id", F.col("rank").cast("long").alias("rank"))
 
 
 @query
