@@ -108,6 +108,14 @@ def built(units: DataFrame, weights: dict[str, float] | None = None) -> Index:
     return Index(found, settle(frequencies_of(found)))
 
 
+def is_there(index: Index) -> bool:
+    """Whether the tables that an index was built into have not been removed."""
+    spark = index.units.sparkSession
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]) for df in (index.units, index.frequencies) if df.inputFiles()]
+    return len(paths) == 2 and all(p.getFileSystem(conf).exists(p) for p in paths)
+
+
 # --- segments
 
 

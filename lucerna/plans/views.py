@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lucerna.functions import text as X
-from lucerna.operators.search_index import Index, built
+from lucerna.operators.search_index import Index, built, is_there
 
 SESSIONS = 20
 #: The indexes built so far, by application and folder: one serves all queries of a session.
@@ -113,8 +113,8 @@ class Views:
         )
 
     def index(self) -> Index:
-        """The search index of the units, built once."""
+        """The search index of the units, built once, and anew if its tables have been cleared."""
         key = (self.spark.sparkContext.applicationId, self.dir)
-        if key not in _INDEXES:
+        if key not in _INDEXES or not is_there(_INDEXES[key]):
             _INDEXES[key] = built(self.units())
         return _INDEXES[key]

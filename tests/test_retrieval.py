@@ -262,3 +262,15 @@ def test_phrases_meet_the_texts_that_hold_them(spark):
     got = retrieval.holding(spark.createDataFrame(phrases, "session_id string, key string, phrase string"), spark.createDataFrame(texts, "session_id string, id string, body string"))
     assert sorted(map(tuple, got.collect())) == sorted((k, i) for s, k, p in phrases if p for t, i, b in texts if s == t and p in b)
     assert retrieval.holding(spark.createDataFrame(phrases[:0], "session_id string, key string, phrase string"), spark.createDataFrame(texts, "session_id string, id string, body string")).count() == 0
+
+
+def test_one_build_serves_all_queries_until_it_is_cleared(spark):
+    import shutil
+
+    from lucerna.plans.views import Views
+
+    first = Views(spark, SF).index()
+    assert Views(spark, SF).index() is first
+    shutil.rmtree(first.units.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0])
+    again = Views(spark, SF).index()
+    assert again is not first and search_index.is_there(again) and again.units.count() > 0
