@@ -85,24 +85,6 @@ def new_notes(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     return judged.where("reason is null").drop("reason").withColumn("id", X.stable_id("session_id", "content", "created_at")), judged.where("reason is not null")
 
 
-def append_terms(current: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Incoming terms join a session's glossary: the longer definition and all aliases for a known term,
-    new terms numbered on from the last. Columns: session_id, term, aliases, definition, order_index."""
-    c = current.withColumn("norm", X.normalize("term"))
-    i = incoming.withColumn("norm", X.normalize("term")).select("session_id", "norm", F.col("term").alias("_term"), F.col("aliases").alias("_aliases"), F.col("definition").alias("_definition"), F.col("order_index").alias("_order"))
-    both = c.join(i, ["session_id", "norm"], "full_outer")
-    none = F.array().cast("array<string>")
-    longer = F.when(F.coalesce(F.length("_definition"), F.lit(-1)) > F.coalesce(F.length("definition"), F.lit(-1)), F.col("_definition")).otherwise(F.col("definition"))
-    merged = both.select(
-        "session_id", F.coalesce("term", "_term").alias("term"), F.array_distinct(F.concat(F.coalesce("aliases", none), F.coalesce("_aliases", none))).alias("aliases"),
-        longer.alias("definition"), "order_index", "_order",
-    )
-    last = current.groupBy("session_id").agg((F.max("order_index") + 1).alias("next"))
-    rank = F.row_number().over(Window.partitionBy("session_id", F.col("order_index").isNull()).orderBy("_order", "term")) - 1
-    numbered = merged.withColumn("_rank", rank).join(last, "session_id", "left")
-    return numbered.withColumn("order_index", F.coalesce("order_index", F.coalesce("next", F.lit(0)) + F.col("_rank"))).select("session_id", "term", "aliases", "definition", "order_index")
-
-
 def append_rows(current: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
     """Incoming rows whose key isn't there yet, numbered on from the session's last."""
     new = incoming.join(current.select(*key).distinct(), key, "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from lucerna.functions.text import METADATA, STOP_WORDS
-from lucerna.operators.context import TITLES
+from lucerna.operators.context import ANSWER_RULES, PROFILES, TITLES
 from lucerna.operators.decide import CATEGORY_WORDS, UNSUPPORTED
 
 STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -173,7 +173,7 @@ ORACLES = {
     "F24_string_list": "SELECT event_id, event_type || '|x' AS strings FROM events",
     "F36_F38_labels": f"SELECT doc_id, 'Material: ' || lang AS label, lang AS name, CASE WHEN doc_id % 3 = 0 THEN 'page ' || CAST(doc_id AS VARCHAR) WHEN doc_id % 3 = 1 THEN 'slide ' || CAST(doc_id AS VARCHAR) WHEN doc_id % 2 = 0 THEN {CLOCK.format('doc_id * 10')} || CASE WHEN doc_id % 4 = 0 THEN '-' || {CLOCK.format('doc_id * 10 + 5')} ELSE '' END END AS location FROM documents",
     "T1_paragraphs": f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INTEGER) AS order_index, text FROM (SELECT doc_id, n, {collapse('line')} AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)) WHERE text <> ''",
-    "T12_categories": "SELECT c_custkey % 20 AS asset_id, CAST(row_number() OVER (PARTITION BY c_custkey % 20 ORDER BY c_custkey) - 1 AS INTEGER) AS order_index, " + SLUG.format("lower(c_name)") + " AS key, c_name AS label, c_mktsegment AS description FROM customer",
+    "T12_categories": "SELECT c_custkey // 20 AS asset_id, CAST(row_number() OVER (PARTITION BY c_custkey // 20 ORDER BY c_custkey) - 1 AS INTEGER) AS order_index, " + SLUG.format("lower(c_name)") + " AS key, c_name AS label, c_mktsegment AS description FROM customer",
     "T15_A16_metadata": "SELECT o_custkey AS asset_id, CAST(max(o_orderkey) FILTER (WHERE o_orderstatus = 'F') AS VARCHAR) AS f, CAST(max(o_orderkey) FILTER (WHERE o_orderstatus = 'O') AS VARCHAR) AS o, CAST(max(o_orderkey) FILTER (WHERE o_orderstatus = 'P') AS VARCHAR) AS p FROM orders GROUP BY o_custkey",
     "T16_materials": sql(f"SELECT session_id, 'material_' || {SLUG.format('base')} || CASE WHEN doc_id > 0 THEN '_' || CAST(doc_id AS VARCHAR) ELSE '' END AS id, {TITLE.format(strip('''regexp_replace(base, '[_-]+', ' ', 'g')'''))} AS title, CASE WHEN extension IN ('pptx', 'png') OR regexp_matches(base, 'slide|deck|presentation') THEN 'slide_deck' WHEN regexp_matches(base, 'handout|worksheet') THEN 'handout' WHEN regexp_matches(base, 'code|snippet|example') THEN 'code_sample' ELSE 'reading' END AS type, {excerpt('c', 220)} AS content_text, doc_id AS order_index FROM (SELECT session_id, doc_id, {BASE} AS base, {EXT} AS extension, {collapse('text')} AS c FROM assets) WHERE c <> ''", "assets"),
     "R4_R6_focus": sql(f"SELECT question_id, focus, {boost('''concat_ws(' ', 'About', focus)''')} AS boost, CAST(len(qt) AS BIGINT) AS n_tokens FROM questions", "questions"),
@@ -277,7 +277,7 @@ UNION ALL SELECT 'questions', q.question_id, c.kept || '_concepts' FROM asked q
     "M4_M5_cascade": sql("SELECT id, material_id FROM chunks WHERE material_id NOT IN (SELECT id FROM materials WHERE order_index % 5 = 0)", "chunks", "materials"),
     "M6_toggle": "SELECT CAST(user_id AS VARCHAR) AS session_id, 'event' AS target_type, event_type AS target_id, event_type AS label FROM events GROUP BY user_id, event_type HAVING (count(*) FILTER (WHERE event_id % 10 = 0) > 0) <> (count(*) % 2 = 1)",
     "M9_consolidate": sql("SELECT id, 'src0' AS session_id, term FROM (SELECT g.id, g.term, row_number() OVER (PARTITION BY lower(trim(g.term)) ORDER BY r.n, g.id) AS k FROM glossary g JOIN (SELECT id, row_number() OVER (ORDER BY id <> 'src0', starts_at DESC, title, id) AS n FROM sessions) r ON r.id = g.session_id) WHERE k = 1", "glossary", "sessions"),
-    "U4_U5_J10_difference": "WITH p AS (SELECT DISTINCT o_custkey AS key FROM orders WHERE o_orderstatus = 'P') SELECT key, key AS order_index FROM p UNION ALL SELECT c_custkey, (SELECT max(key) FROM p) + row_number() OVER (ORDER BY c_custkey) FROM customer WHERE c_custkey NOT IN (SELECT key FROM p)",
+    "U4_U5_J10_difference": "WITH f AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS n FROM orders WHERE o_orderstatus = 'F') SELECT o_orderkey AS key, CAST(o_custkey AS VARCHAR) AS session_id, n AS order_index FROM f UNION ALL SELECT o_orderkey, CAST(o.o_custkey AS VARCHAR), coalesce(l.next, 0) + row_number() OVER (PARTITION BY o.o_custkey ORDER BY o_orderkey % 1000, o_orderkey) - 1 FROM orders o LEFT JOIN (SELECT o_custkey, max(n) + 1 AS next FROM f GROUP BY o_custkey) l USING (o_custkey) WHERE o_orderstatus <> 'F'",
     "ST2_ST3_index_states": sql("SELECT asset_id, session_id, CASE WHEN trim(text) = '' THEN 'failed' ELSE 'ready' END AS status FROM assets", "assets"),
 }
 ORACLES["Q10_C5_C6_ask"] = sql(
@@ -338,3 +338,100 @@ ORACLES |= {
     "M8_W3_append_materials": sql("SELECT m.id, m.session_id, CASE WHEN starts_with(m.source_label, 'slides') THEN m.order_index ELSE m.order_index + coalesce(n.n, 0) END AS order_index FROM materials m LEFT JOIN (SELECT session_id, max(order_index) + 1 AS n FROM materials WHERE starts_with(source_label, 'slides') GROUP BY session_id) n ON n.session_id = m.session_id", "materials"),
     "M8_J13_append_questions": "SELECT CAST(event_id AS VARCHAR) AS id, CAST(user_id AS VARCHAR) AS session_id, CASE WHEN event_type IN ('view', 'error') THEN 'old_' ELSE 'new_' END || CAST(user_id AS VARCHAR) || '_' || event_type AS category_id FROM events",
 }
+
+
+# --- texts packed into passages, blocks and summaries
+
+
+def packed(parts: str, most: int, slack: int = 0) -> str:
+    """The parts of a list that isn't empty, neighbours joined by a space up to `most` characters."""
+    each = f"list_transform({parts}, lambda p: {{'done': CAST([] AS VARCHAR[]), 'now': p}})"
+    step = f"lambda a, x: CASE WHEN length(a.now) + {1 + slack} + length(x.now) > {most} THEN {{'done': list_append(a.done, a.now), 'now': x.now}} ELSE {{'done': a.done, 'now': a.now || ' ' || x.now}} END"
+    return f"list_transform([list_reduce({each}, {step})], lambda r: list_append(r.done, r.now))[1]"
+
+
+def cleaned(parts: str) -> str:
+    return f"list_filter(list_transform({parts}, lambda c: {collapse('c')}), lambda c: c <> '')"
+
+
+def cut_at(x: str, pattern: str, kept: str = "") -> str:
+    return rf"string_split(regexp_replace({x}, '{pattern}', '{kept}' || chr(1), 'g'), chr(1))"
+
+
+def sentences(x: str) -> str:
+    return cleaned(cut_at(x, r"([.!?])\s+", r"\1"))
+
+
+def spoken(x: str) -> str:
+    return f"CASE len({x}) WHEN 0 THEN '' WHEN 1 THEN {x}[1] WHEN 2 THEN {x}[1] || ' and ' || {x}[2] ELSE array_to_string({x}[1:len({x}) - 1], ', ') || ', and ' || {x}[len({x})] END"
+
+
+def sections(rows: str, key: str) -> str:
+    """Sections of Markdown texts (key, text): key, section, heading, text."""
+    return rf"""SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY section) - 1 AS order_index, heading, text FROM (
+      SELECT {key}, section, coalesce(nullif(max(title), ''), 'Section') AS heading, coalesce({strip("string_agg(line, chr(10) ORDER BY n) FILTER (WHERE title IS NULL)")}, '') AS text FROM (
+        SELECT *, count(title) OVER (PARTITION BY {key} ORDER BY n) AS section FROM (
+          SELECT {key}, n, line, CASE WHEN regexp_matches(line, '^\s{{0,3}}#{{1,6}}\s+(.*)$') THEN {strip("regexp_extract(line, '^\\s{0,3}#{1,6}\\s+(.*)$', 1)")} END AS title FROM (
+            SELECT {key}, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM ({rows}))))
+      GROUP BY {key}, section) WHERE text <> ''"""
+
+
+PASSAGES = f"""pl AS (SELECT key, {cleaned("string_split(text, chr(10))")} AS lines, {sentences("text")} AS told FROM whole),
+pb AS (SELECT key, flatten(list_transform(CASE WHEN len(lines) >= 6 THEN lines ELSE told END, lambda l: CASE WHEN length(l) <= 420 THEN [l] ELSE {packed("CASE WHEN len(" + sentences("l") + ") > 1 THEN " + sentences("l") + " ELSE string_split(l, ' ') END", 420)} END)) AS parts FROM pl),
+passages AS (SELECT key, {packed("parts", 900, 1)} AS ps FROM pb WHERE len(parts) > 0)"""
+KEYWORDS = once(r"list_filter(string_split(regexp_replace(lower(heading), '\s+', ' ', 'g'), ' '), lambda w: w <> '')")
+VIEWS["summary_rows"] = rf"""SELECT session_id, kind, CASE kind WHEN 'overview' THEN 'This session covers ' || {spoken("topics[1:4]")} || '. ' || array_to_string(told, ' ') WHEN 'key_points' THEN array_to_string(list_transform(told, lambda e: '- ' || e), chr(10)) ELSE 'Review ' || {spoken("topics[1:3]")} || '.' END AS text, place FROM (
+  SELECT session_id, {once("list(topic ORDER BY n, k) FILTER (WHERE topic <> '')")} AS topics FROM (
+    SELECT session_id, n, unnest([regexp_replace(heading, '[.!?]+$', ''), lang]) AS topic, unnest([1, 2]) AS k FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY order_index, id) AS n FROM chunks) WHERE n <= 8) GROUP BY session_id) t
+  JOIN (SELECT session_id, list(CASE WHEN regexp_matches(e, '[.!?]$') THEN e ELSE e || '.' END ORDER BY part, n) AS told FROM (
+    SELECT *, {excerpt("c", 140)} AS e, row_number() OVER (PARTITION BY session_id ORDER BY part, n) AS place FROM (
+      SELECT session_id, 0 AS part, {collapse("text")} AS c, row_number() OVER (PARTITION BY session_id ORDER BY order_index, id) AS n FROM chunks QUALIFY n <= 3
+      UNION ALL SELECT session_id, 1, {collapse("text")}, row_number() OVER (PARTITION BY session_id ORDER BY order_index, id) AS n FROM transcript QUALIFY n <= 2)) WHERE place <= 3 GROUP BY session_id) e USING (session_id),
+  (VALUES ('overview', 0), ('key_points', 1), ('exam_focus', 2)) AS k(kind, place)"""
+NEEDS["summary_rows"] = ["chunks", "transcript"]
+_LIMITS = ", ".join(f"('{kind}', {n}, '{lead}', '{title}', {more}, {PROFILES['development'][kind][0]}, {PROFILES['development'][kind][1]})" for n, (kind, (lead, title, more)) in enumerate(TITLES.items(), 1))
+_RULES = "".join(f" || chr(10) || '- {r.replace(chr(39), chr(39) * 2)}'" for r in ANSWER_RULES)
+ORACLES |= {
+    "T2_passages": f"WITH whole AS (SELECT doc_id AS key, text FROM documents), {PASSAGES} SELECT key AS doc_id, CAST(generate_subscripts(ps, 1) - 1 AS INTEGER) AS order_index, unnest(ps) AS text, 'Passage ' || generate_subscripts(ps, 1) AS heading FROM passages",
+    "T3_T13_markdown": f"SELECT conv_id, CAST(order_index AS INTEGER) AS order_index, heading, md5(text) AS text, CASE WHEN contains(lower(heading), 'exam') THEN 'exam_focus' WHEN contains(lower(heading), 'key') THEN 'key_points' ELSE 'overview' END AS kind FROM ({sections("SELECT conv_id, string_agg('## ' || role || chr(10) || text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id", 'conv_id')})",
+    "T4_material_chunks": sql(rf""", named AS (SELECT asset_id, name, {EXT} AS extension, {TITLE.format(strip(f"regexp_replace({BASE}, '[_-]+', ' ', 'g')"))} AS title, text, {cleaned(cut_at("text", "\\n\\s*\\n+"))} AS paragraphs FROM assets),
+whole AS (SELECT asset_id AS key, text FROM named WHERE extension NOT IN ('md', 'pptx', 'png', 'mp4') AND len(paragraphs) <= 1), {PASSAGES},
+every AS (SELECT asset_id, 0 AS order_index, title AS heading, CASE extension WHEN 'mp4' THEN 'Video' ELSE 'Image' END || ' source uploaded: ' || name AS text FROM named WHERE extension IN ('png', 'mp4')
+  UNION ALL {sections("SELECT asset_id, text FROM named WHERE extension IN ('md', 'pptx')", "asset_id")}
+  UNION ALL SELECT key, generate_subscripts(ps, 1) - 1, 'Passage ' || generate_subscripts(ps, 1), unnest(ps) FROM passages
+  UNION ALL SELECT asset_id, generate_subscripts(paragraphs, 1) - 1, 'Passage ' || generate_subscripts(paragraphs, 1), unnest(paragraphs) FROM named WHERE extension NOT IN ('md', 'pptx', 'png', 'mp4') AND len(paragraphs) > 1)
+SELECT asset_id, CAST(order_index AS INTEGER) AS order_index, heading, md5(text) AS text, array_to_string(list_slice({KEYWORDS}, 1, 6), ' ') AS keywords FROM every""", "assets"),
+    "T18_T19_units": sql(rf""", parted AS (SELECT asset_id, session_id, name, {EXT} AS extension, {cleaned("string_split(text, chr(10))")} AS parts FROM assets),
+u AS (SELECT * EXCLUDE (ps), generate_subscripts(ps, 1) - 1 AS n, unnest(ps) AS c FROM (SELECT asset_id, session_id, name, extension, {packed("parts", 900)} AS ps FROM parted WHERE len(parts) > 0))
+SELECT sha256(asset_id || chr(31) || n) AS id, session_id, asset_id, 'upload' AS source_type, CASE extension WHEN 'pdf' THEN 'pdf' WHEN 'pptx' THEN 'slide' ELSE 'text' END AS modality, name || ' | Passage ' || (n + 1) AS title, {excerpt("c", 240)} AS excerpt, md5(c) AS content_text,
+  md5(lower(name || ' | Passage ' || (n + 1) || ' ' || c)) AS search_text, CAST(CASE WHEN extension = 'pptx' THEN n + 1 END AS INTEGER) AS slide_number, CAST(n AS INTEGER) AS order_index FROM u""", "assets"),
+    "R11_R12_J17_evidence": sql("SELECT question_id, source_type, source_record_id, label, round(CASE WHEN position <= 6 THEN 20.0 - position ELSE score END, 6) AS score FROM e_match", "e_match"),
+    "B7_prompt": sql(f"SELECT q.question_id, 'Evidence:' || chr(10) || coalesce(m.e, '') || chr(10) || 'Question: ' || q.question{_RULES} AS prompt FROM asked q LEFT JOIN (SELECT question_id, string_agg('[' || rank || '] ' || {excerpt('excerpt', 1000)}, chr(10) ORDER BY rank) AS e FROM merged WHERE rank <= 12 GROUP BY question_id) m ON m.question_id = q.question_id", "asked", "merged"),
+    "B1_B5_context_blocks": sql(f""", limits AS (SELECT * FROM (VALUES {_LIMITS}) AS l(type, section, lead, title, boost, chars, most)),
+cand AS (SELECT 'glossary_term' AS type, id, session_id, concat_ws(' ', term, definition) AS body FROM glossary UNION ALL SELECT 'material_chunk', id, session_id, concat_ws(' ', heading, text) FROM chunks
+  UNION ALL SELECT 'transcript_entry', id, session_id, concat_ws(' ', speaker_label, text) FROM transcript UNION ALL SELECT 'evidence_unit', id, session_id, concat_ws(' ', title, search_text) FROM units),
+told AS (SELECT *, {once(tokens("body"))} AS ct FROM cand JOIN records USING (type, id) JOIN limits USING (type)),
+rest AS (SELECT q.question_id, t.*, {score("q.qt", "t.ct", "t.boost + " + boost("t.body"))} AS score, {holds("t.entry")} AS held FROM questions q JOIN told t ON t.session_id = q.session_id ANTI JOIN merged m ON m.question_id = q.question_id AND m.source_type = t.type AND m.source_record_id = t.id),
+named AS (SELECT question_id, type, bool_or(held) AS about FROM rest GROUP BY ALL),
+placed AS (SELECT *, sum(length(entry) + 1) OVER (PARTITION BY question_id, type ORDER BY score DESC, entry COLLATE en, id ROWS UNBOUNDED PRECEDING) - length(entry) AS before, row_number() OVER (PARTITION BY question_id, type ORDER BY score DESC, entry COLLATE en, id) AS n FROM rest),
+lined AS (SELECT question_id, section, title || CASE WHEN about THEN ' (high relevance)' ELSE '' END AS head, chars, most, list(entry ORDER BY n) AS es FROM placed JOIN named USING (question_id, type) WHERE before < 2 * chars * most GROUP BY ALL),
+blocks AS (SELECT question_id, section, list_slice(list_transform([list_reduce(list_transform(es, lambda e: {{'done': CAST([] AS VARCHAR[]), 'now': head || chr(10) || e, 'own': e}}),
+  lambda a, x: CASE WHEN length(a.now) + length(x.own) + 2 > chars THEN {{'done': list_append(a.done, a.now), 'now': x.now, 'own': x.own}} ELSE {{'done': a.done, 'now': a.now || chr(10) || x.own, 'own': x.own}} END)], lambda r: list_append(r.done, r.now))[1], 1, most) AS bs FROM lined),
+dig AS (SELECT source AS session_id, 'doc' || doc_id AS asset_id, 'Digest ' || doc_id AS title, {excerpt("text", 200)} AS text, doc_id FROM documents),
+hit AS (SELECT DISTINCT question_id, regexp_extract(source_record_id, '^(doc[0-9]+)_', 1) AS asset_id FROM merged WHERE source_type = 'evidence_unit'),
+picked AS (SELECT q.question_id, d.title, d.text, row_number() OVER (PARTITION BY q.question_id ORDER BY d.doc_id) - 1 AS n FROM questions q JOIN dig d ON d.session_id = q.session_id LEFT JOIN hit h ON h.question_id = q.question_id AND h.asset_id = d.asset_id WHERE h.asset_id IS NOT NULL OR {holds("d.title || ' ' || d.text")})
+SELECT m.question_id, 0 AS section, CAST(rank - 1 AS INTEGER) AS order_index, lead || chr(10) || r.entry AS block FROM merged m JOIN records r ON r.type = m.source_type AND r.id = m.source_record_id JOIN limits l ON l.type = m.source_type WHERE rank <= {PROFILES["development"]["focused"]}
+UNION ALL SELECT question_id, section, CAST(generate_subscripts(bs, 1) - 1 AS INTEGER), unnest(bs) FROM blocks
+UNION ALL SELECT question_id, 5, CAST(n AS INTEGER), 'Asset digest' || chr(10) || '- ' || title || ': ' || text FROM picked WHERE n < 4
+UNION ALL SELECT q.question_id, 6, 0, 'Session digest' || chr(10) || s.title FROM questions q JOIN sessions s ON s.id = q.session_id""", "merged", "records", "questions", "sessions", "glossary", "chunks", "transcript", "units"),
+    "B8_B10_summaries": sql("SELECT session_id, kind, text FROM summary_rows", "summary_rows"),
+    "Q3_overview": sql("SELECT s.id AS session_id, s.title, coalesce(m.n, 0) AS materials, coalesce(g.n, 0) AS terms, l.latest, r.summaries FROM sessions s LEFT JOIN (SELECT session_id, count(*) AS n FROM materials GROUP BY session_id) m ON m.session_id = s.id LEFT JOIN (SELECT session_id, count(*) AS n FROM glossary GROUP BY session_id) g ON g.session_id = s.id LEFT JOIN (SELECT session_id, md5(string_agg(text, chr(10) ORDER BY order_index)) AS latest FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY order_index DESC, started_at_seconds DESC, id DESC) AS n FROM transcript) WHERE n <= 4 GROUP BY session_id) l ON l.session_id = s.id LEFT JOIN (SELECT session_id, md5(string_agg(text, chr(10) ORDER BY place)) AS summaries FROM summary_rows GROUP BY session_id) r ON r.session_id = s.id", "sessions", "materials", "glossary", "transcript", "summary_rows"),
+    "Q7_snapshot": sql("SELECT coalesce(m.session_id, c.session_id, g.session_id) AS session_id, lecture_materials, material_chunks, glossary_terms, bookmarks FROM (SELECT session_id, md5(string_agg(title, ',' ORDER BY order_index, title, id)) AS lecture_materials FROM materials GROUP BY session_id) m FULL JOIN (SELECT session_id, md5(string_agg(heading, ',' ORDER BY order_index, id)) AS material_chunks FROM chunks GROUP BY session_id) c ON c.session_id = m.session_id FULL JOIN (SELECT session_id, md5(string_agg(term, ',' ORDER BY order_index, term, id)) AS glossary_terms, md5(string_agg(term, ',' ORDER BY id DESC)) AS bookmarks FROM glossary GROUP BY session_id) g ON g.session_id = coalesce(m.session_id, c.session_id)", "materials", "chunks", "glossary"),
+    "W2_W3_A13_append": sql(f""", w AS (SELECT id, session_id, array_to_string(list_slice(string_split(text, ' '), 1, 2), ' ') AS term, lang, text, order_index FROM chunks),
+one AS (SELECT session_id, {norm("term")} AS k, min_by(id, (order_index, id)) AS id, min_by(term, (order_index, id)) AS term, max_by(text, (length(text), -order_index)) AS definition, {once("list(lang ORDER BY order_index, id) FILTER (WHERE lang IS NOT NULL)")} AS aliases, min(order_index) AS seat FROM w GROUP BY ALL),
+g AS (SELECT *, {norm("term")} AS k, CASE WHEN has_alias THEN [alias] ELSE [] END AS own FROM glossary),
+l AS (SELECT session_id, max(order_index) + 1 AS next FROM g GROUP BY session_id),
+j AS (SELECT g.session_id, g.id, g.term, g.definition, g.order_index, g.own, o.definition AS other, {once("list_concat(g.own, coalesce(o.aliases, []))")} AS joint FROM g LEFT JOIN one o ON o.session_id = g.session_id AND o.k = g.k)
+SELECT session_id, id, term, md5(CASE WHEN coalesce(length(other) > length(definition), false) THEN other ELSE definition END) AS definition, array_to_string(joint, ',') AS aliases, order_index, CASE WHEN coalesce(length(other) > length(definition), false) OR len(joint) > len(own) THEN '2' ELSE '1' END AS updated_at FROM j
+UNION ALL SELECT o.session_id, o.id, o.term, md5(o.definition), array_to_string(coalesce(o.aliases, []), ','), coalesce(l.next, 0) + row_number() OVER (PARTITION BY o.session_id ORDER BY o.seat, o.id) - 1, '2' FROM one o LEFT JOIN l ON l.session_id = o.session_id WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.session_id = o.session_id AND g.k = o.k)""", "chunks", "glossary"),
+}

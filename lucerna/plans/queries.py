@@ -146,19 +146,19 @@ def T3_T13_markdown(v: Views) -> DataFrame:
 @query
 def T4_material_chunks(v: Views) -> DataFrame:
     a = v.assets().select("asset_id", "name", X.base_name("name").alias("base_name"), X.extension("name").alias("extension"), "text")
-    return parse.material_chunks(a)
+    return parse.material_chunks(a).withColumns({"text": F.md5("text"), "keywords": F.array_join("keywords", " ")})
 
 
 @query
 def T5_T9_glossary(v: Views) -> DataFrame:
-    d = v.table("benchmark").select((F.col("item_id") % 10).alias("doc"), "item_id", F.concat_ws(" ", F.slice(F.split("text", " "), 1, 2)).alias("term"), "text")
+    d = v.table("benchmark").select(F.floor(F.col("item_id") / 10).alias("doc"), "item_id", F.concat_ws(" ", F.slice(F.split("text", " "), 1, 2)).alias("term"), "text")
     packs = d.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", F.concat_ws(": ", "term", "text").alias("line")))), lambda x: x["line"]), "\n").alias("text"))
     return parse.glossary(packs, ["doc"]).withColumn("aliases", F.array_join("aliases", ","))
 
 
 @query
 def T12_categories(v: Views) -> DataFrame:
-    d = v.table("customer").select((F.col("c_custkey") % 20).alias("asset_id"), "c_custkey", F.concat_ws(": ", "c_name", "c_mktsegment").alias("line"))
+    d = v.table("customer").select(F.floor(F.col("c_custkey") / 20).alias("asset_id"), "c_custkey", F.concat_ws(": ", "c_name", "c_mktsegment").alias("line"))
     packs = d.groupBy("asset_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "line"))), lambda x: x["line"]), "\n").alias("text"))
     return parse.categories(packs)
 
@@ -218,7 +218,9 @@ def T16_materials(v: Views) -> DataFrame:
 
 @query
 def T18_T19_units(v: Views) -> DataFrame:
-    return parse.evidence_units(v.assets().select("asset_id", "session_id", "name", X.extension("name").alias("extension"), "text"))
+    """Each line of a document as a paragraph."""
+    u = parse.evidence_units(v.assets().select("asset_id", "session_id", "name", X.extension("name").alias("extension"), F.regexp_replace("text", "\n", "\n\n").alias("text")))
+    return u.withColumns({"content_text": F.md5("content_text"), "search_text": F.md5("search_text")})
 
 
 # --- retrieval and decisions
@@ -292,7 +294,7 @@ def R10_ST5_living_index(v: Views) -> DataFrame:
 def R11_R12_J17_evidence(v: Views) -> DataFrame:
     q, units = v.questions(), v.units()
     again = retrieval.bm25(q, units, most=retrieval.RERANKED, index=v.index()).select("question_id", "id", (F.lit(20.0) - F.col("place")).alias("new_score"))
-    return _short(retrieval.evidence_matches(q, units, again, v.index()))
+    return _short(retrieval.evidence_matches(q, units, again, v.index())).withColumn("score", F.round("score", 6))
 
 
 @query
@@ -467,12 +469,11 @@ def A17_status_lattice(v: Views) -> DataFrame:
 
 @query
 def W2_W3_A13_append(v: Views) -> DataFrame:
-    g = v.glossary().select("session_id", "term", "aliases", "definition", "order_index")
-    more = v.chunks().where("text like '%.'").select("session_id", F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("term"), "keywords", "text", "order_index")
-    first = Window.partitionBy("session_id", F.lower(F.trim("term"))).orderBy("order_index")
-    more = more.withColumn("n", F.row_number().over(first)).where("n = 1").select("session_id", "term", F.col("keywords").alias("aliases"), F.col("text").alias("definition"), "order_index")
-    out = mutations.append_terms(g, more)
-    return out.select("session_id", F.md5("term").alias("term"), F.md5("definition").alias("definition"), F.array_join("aliases", ",").alias("aliases"))
+    """Every line of a session's documents as a term of its first two words, into the session's glossary."""
+    at = lambda df, when: df.withColumns({"created_at": F.lit(when), "updated_at": F.lit(when)})
+    more = v.chunks().select("id", "session_id", F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("term"), F.col("keywords").alias("aliases"), F.col("text").alias("definition"), "order_index")
+    out = mutations.append_pack({"glossary_terms": at(v.glossary(), "1")}, {"glossary_terms": at(more, "2")})["glossary_terms"]
+    return out.select("session_id", "id", "term", F.md5("definition").alias("definition"), F.array_join("aliases", ",").alias("aliases"), F.col("order_index").cast("long").alias("order_index"), "updated_at")
 
 
 @query
@@ -498,7 +499,7 @@ def Q2_J4_history(v: Views) -> DataFrame:
 def Q3_overview(v: Views) -> DataFrame:
     summaries = context.summaries(v.chunks(), v.transcript())
     o = reads.overview(v.sessions(), {"materials": v.materials(), "terms": v.glossary()}, v.transcript(), summaries)
-    return o.select("session_id", "title", "materials", "terms", F.size("latest").alias("n_latest"), F.size("summaries").alias("n_summaries"))
+    return o.select("session_id", "title", "materials", "terms", F.md5(F.array_join("latest", "\n")).alias("latest"), F.md5(F.array_join(F.transform("summaries", lambda x: x["text"]), "\n")).alias("summaries"))
 
 
 @query
@@ -533,7 +534,7 @@ def Q6_J8_source_detail(v: Views) -> DataFrame:
 def Q7_snapshot(v: Views) -> DataFrame:
     marks = v.glossary().select("session_id", F.lit("glossary_term").alias("target_type"), F.col("id").alias("target_id"), F.col("term").alias("label"), F.col("id").alias("created_at"), "id")
     s = reads.materials_snapshot(v.materials(), v.chunks(), v.glossary(), marks)
-    return s.select("session_id", F.size("lecture_materials").alias("n_materials"), F.size("material_chunks").alias("n_chunks"), F.md5(F.array_join("glossary_terms", ",")).alias("terms"))
+    return s.select("session_id", *[F.md5(F.array_join(t, ",")).alias(t) for t in ("lecture_materials", "material_chunks", "glossary_terms", "bookmarks")])
 
 
 # --- mutations and streaming
@@ -589,9 +590,12 @@ def M9_J16_references(v: Views) -> DataFrame:
 
 @query
 def U4_U5_J10_difference(v: Views) -> DataFrame:
-    current = v.table("orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("key"), F.lit("s").alias("session_id"), F.col("o_custkey").cast("int").alias("order_index")).distinct()
-    incoming = v.table("customer").select(F.col("c_custkey").alias("key"), F.lit("s").alias("session_id"), F.col("c_custkey").cast("int").alias("order_index"))
-    return mutations.append_rows(current, incoming, ["session_id", "key"]).select("key", F.col("order_index").cast("long").alias("order_index"))
+    """A customer's orders as a session: those that are settled are there, all come in, and the others are numbered on."""
+    o = v.table("orders").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").cast("string").alias("session_id"), F.lit(0).alias("order_index"), "o_orderstatus")
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy("key")) - 1
+    current = o.where("o_orderstatus = 'F'").drop("o_orderstatus").withColumn("order_index", place)
+    incoming = o.drop("o_orderstatus").withColumn("order_index", F.pmod("key", F.lit(1000)).cast("int"))
+    return mutations.append_rows(current, incoming, ["session_id", "key"]).select("key", "session_id", F.col("order_index").cast("long").alias("order_index"))
 
 
 @query
