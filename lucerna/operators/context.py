@@ -243,7 +243,8 @@ def first_of(df: DataFrame, key: str, order: list, most: int, as_: str, text: Co
 def summaries(chunks: DataFrame, entries: DataFrame) -> DataFrame:
     """Three summaries per session from its first three chunks and two transcript entries.
 
-    chunks: session_id, id, heading, keywords, text, order_index; entries: session_id, id, text, order_index.
+    chunks: session_id, id, heading, keywords, text, order_index; order_index: the place within the session, as reads.chunks_in_order ranks
+    chunks whose own is that within their material; entries: session_id, id, text, order_index.
     """
     said = first_of(chunks, "session_id", ["order_index", "id"], 3, "chunks", F.col("text"))
     heard = first_of(entries, "session_id", ["order_index", "id"], 2, "entries", F.col("text"))

@@ -94,6 +94,14 @@ def append_rows(current: DataFrame, incoming: DataFrame, key: list[str]) -> Data
     return current.unionByName(numbered.select(*current.columns))
 
 
+def put_first(current: DataFrame, incoming: DataFrame, key: list[str], order: str, within: str = "session_id") -> DataFrame:
+    """Incoming rows in front of a session's list, in their order; what had their keys leaves it. Gives a place from 0."""
+    left = current.join(incoming.select(*key).distinct(), key, "left_anti").withColumn("_late", F.lit(1))
+    both = incoming.withColumn("_late", F.lit(0)).unionByName(left)
+    place = F.row_number().over(Window.partitionBy(within).orderBy("_late", order, *[k for k in key if k != within])) - 1
+    return both.withColumn("place", place).drop("_late")
+
+
 def numbered_on(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """Both, the incoming rows' order_index counted on from the session's last."""
     last = current.groupBy("session_id").agg((F.max("order_index") + 1).alias("_next"))

@@ -435,3 +435,41 @@ j AS (SELECT g.session_id, g.id, g.term, g.definition, g.order_index, g.own, o.d
 SELECT session_id, id, term, md5(CASE WHEN coalesce(length(other) > length(definition), false) THEN other ELSE definition END) AS definition, array_to_string(joint, ',') AS aliases, order_index, CASE WHEN coalesce(length(other) > length(definition), false) OR len(joint) > len(own) THEN '2' ELSE '1' END AS updated_at FROM j
 UNION ALL SELECT o.session_id, o.id, o.term, md5(o.definition), array_to_string(coalesce(o.aliases, []), ','), coalesce(l.next, 0) + row_number() OVER (PARTITION BY o.session_id ORDER BY o.seat, o.id) - 1, '2' FROM one o LEFT JOIN l ON l.session_id = o.session_id WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.session_id = o.session_id AND g.k = o.k)""", "chunks", "glossary"),
 }
+
+
+# --- files and packs of sessions, orders, keys
+
+
+def _ordered(name: str, rows: str, order: str) -> str:
+    return f"SELECT '{name}' AS name, session_id, id, row_number() OVER (PARTITION BY session_id ORDER BY {order}) AS rank FROM ({rows})"
+
+
+ORACLES |= {
+    "S1_S2_T20_M10_packs": rf"""WITH d AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS n, 's' || doc_id AS session_id, coalesce(lang, 'none') AS lang, coalesce(nullif({strip("text")}, ''), 'none') AS body FROM documents WHERE doc_id % 5 <> 0)
+SELECT 'lecture_sessions' AS name, session_id AS id, session_id, 'Course ' || n || '|1.0.0:p' || n || '.json|tag,' || lang AS told FROM d
+UNION ALL SELECT 'lecture_materials', 'm' || n, session_id, md5({excerpt("body", 220)}) FROM d
+UNION ALL SELECT 'material_chunks', 'c' || n, session_id, 'm' || n || '|' || md5(body) || '|' || lang FROM d
+UNION ALL SELECT 'material_chunks', 'old' || doc_id, 's' || doc_id, 'old|' || md5('old') || '|' FROM documents WHERE doc_id % 10 = 0
+UNION ALL SELECT 'glossary_terms', 'g' || n, session_id, 'Term ' || n || '|' || md5(body) || '|' || lang FROM d
+UNION ALL SELECT 'transcript_entries', 't' || n, session_id, 'Dr. X|' || md5(body) FROM d
+UNION ALL SELECT 'summaries', 'u' || n, session_id, 'overview|' || lang FROM d
+UNION ALL SELECT 'qa_categories', 'k' || n, session_id, 'concepts' FROM d
+UNION ALL SELECT 'questions', 'q' || n, session_id, CASE WHEN doc_id % 3 <> 0 THEN 'k' || n || '|' ELSE '' END || 'what is ' || n || '?' FROM d
+UNION ALL SELECT 'answers', 'a' || n, session_id, 'q' || n || '|It is.' FROM d
+UNION ALL SELECT 'answer_sources', 'a' || n || '_src_0', session_id, 'a' || n || '|g' || n || '|Glossary: Term ' || n || '|' || md5(md5(body)) FROM d
+UNION ALL SELECT 'answer_sources', 'a' || n || '_src_1', session_id, 'a' || n || '|c' || n || CASE WHEN doc_id % 2 = 0 THEN '|Material: Part|' || md5(body) ELSE '|Indexed evidence|' || md5('Indexed lecture evidence') END FROM d""",
+    "T14_public_qa": f"SELECT CAST(doc_id AS VARCHAR) AS asset_id, 0 AS order_index, 'public_question_what_is_' || doc_id || '_1' AS id, 'public_answer_what_is_' || doc_id || '_1' AS answer_id, 'What is ' || doc_id || '?' AS question, md5(t) AS answer, CASE WHEN doc_id % 2 = 0 THEN 'big_topic' ELSE 'general' END AS category, least(1.0, doc_id % 3 / 2.0 + 0.25) AS confidence_score, 1 AS n_sources FROM (SELECT doc_id, {strip('text')} AS t FROM documents) WHERE t <> ''",
+    "T15_session_files": "SELECT CAST(doc_id AS VARCHAR) AS asset_id, 'Course ' || doc_id AS title, CASE doc_id % 3 WHEN 0 THEN 'live' WHEN 1 THEN 'ended' END AS status, CASE WHEN doc_id % 2 = 0 THEN lang END AS description, 'a,' || source AS tags FROM documents",
+    "Q8_previews": sql(rf"""SELECT s.id, u.title AS record_label, 'file:/' || u.id AS preview_uri, concat_ws(' | ', u.modality, 'page ' || CASE WHEN s.o % 3 = 0 THEN s.o % 100 END, 'slide ' || CASE WHEN s.doc_id % 3 = 0 THEN s.doc_id END, CASE WHEN s.doc_id % 4 = 0 THEN 'frame' END) AS about,
+  EXISTS (SELECT 1 FROM qa_sources b WHERE b.relevance_score > 5 AND b.session_id = s.session_id AND b.source_record_id = s.source_record_id) AS bookmarked
+FROM (SELECT *, CAST(substr(answer_id, 2) AS BIGINT) AS doc_id, CAST(substr(answer_id, 2) AS BIGINT) * 10000 AS o FROM qa_sources) s JOIN units u ON u.id = s.source_record_id WHERE s.doc_id % 2 = 0""", "qa_sources", "units"),
+    "O4_O14_orders": sql(" UNION ALL ".join([
+        _ordered("glossary_terms", "SELECT * FROM glossary", "order_index, term, id"), _ordered("transcript_entries", "SELECT * FROM transcript", "order_index, started_at_seconds, id"), _ordered("summaries", "SELECT session_id, session_id || '_' || kind AS id, place FROM summary_rows", "place"),
+        _ordered("qa_categories", "SELECT session_id, session_id || '_' || key AS id, n FROM (SELECT DISTINCT session_id FROM glossary), (VALUES ('exam_prep', 0), ('applications', 1), ('logistics', 2), ('concepts', 3)) AS c(key, n)", "n"),
+        _ordered("questions", "SELECT source AS session_id, 'q' || doc_id AS id, doc_id FROM qa", "doc_id DESC"), _ordered("answers", "SELECT source AS session_id, 'a' || doc_id AS id, doc_id FROM qa WHERE quality = 1", "doc_id"),
+        _ordered("notes", "SELECT CAST(user_id AS VARCHAR) AS session_id, CAST(event_id AS VARCHAR) AS id, event_id FROM events", "event_id % 3 = 0 DESC, event_id % 50 DESC, event_id % 7 DESC, id DESC"),
+        _ordered("bookmarks", "SELECT * FROM glossary", "order_index % 3 DESC, id"), _ordered("uploaded_assets", "SELECT session_id, asset_id AS id, status, name FROM assets", "status, name"), _ordered("evidence_units", "SELECT * FROM units", "modality, id"), _ordered("asset_digests", "SELECT session_id, asset_id AS id, status FROM assets", "status, id"),
+    ]), "glossary", "transcript", "summary_rows", "qa", "assets", "units"),
+    "P3_P4_keys": sql("SELECT 'question' AS name, 'q' || doc_id AS id, source AS session_id FROM qa WHERE toxic <> 1 AND doc_id % 2 = 1 UNION ALL SELECT 'bookmark', s.id, s.session_id FROM qa_sources s WHERE s.source_type = 'material_chunk' AND EXISTS (SELECT 1 FROM chunks c WHERE c.id = s.source_record_id AND c.session_id = s.session_id)", "qa", "qa_sources", "chunks"),
+    "U5_put_first": "WITH e AS (SELECT user_id, event_type, min(event_id) AS at FROM events GROUP BY ALL), l AS (SELECT user_id, max_by(event_type, event_id) AS event_type FROM events GROUP BY user_id) SELECT e.user_id AS session_id, e.event_type AS key, row_number() OVER (PARTITION BY e.user_id ORDER BY e.event_type <> l.event_type, e.at) - 1 AS place FROM e JOIN l ON l.user_id = e.user_id",
+}

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from lucerna.functions import text as X
 from lucerna.operators import context, decide, mutations, parse, reads, retrieval, search_index
+from lucerna.plans import api
 from lucerna.plans.views import Views
-from lucerna.sources import assembly, files
+from lucerna.sources import assembly, files, packs
 from lucerna.sources.tables import folder_between, settle
 from lucerna.streaming import index as streaming
 
@@ -661,3 +662,113 @@ def M8_J13_append_questions(v: Views) -> DataFrame:
 def ST2_ST3_index_states(v: Views) -> DataFrame:
     a = v.assets().select("asset_id", "session_id", "name", X.extension("name").alias("extension"), "text", F.col("created_at").alias("queued_at"))
     return streaming.latest_states(streaming.states_of(a)).select("asset_id", "session_id", "status")
+
+
+# --- files and packs of sessions
+
+
+def _pack_files(v: Views) -> DataFrame:
+    """Each document as a pack of one session; every fifth upload is a raw file instead."""
+    n, one = F.col("doc_id").cast("string"), F.lit(0).alias("orderIndex")
+    named = lambda prefix: F.concat(F.lit(prefix), n)
+    same = lambda value, *names: [F.lit(value).alias(x) for x in names]
+    body, lang = F.coalesce(F.nullif(X.strip("text"), F.lit("")), F.lit("none")), F.coalesce("lang", F.lit("none"))
+    points = F.array(F.struct(F.lit("glossary_term").alias("sourceType"), named("g").alias("sourceId")), F.struct(F.when(F.col("doc_id") % 2 == 0, "material_chunk").otherwise("evidence_unit").alias("sourceType"), named("c").alias("sourceId")))
+    answer = F.struct(named("a").alias("id"), F.lit("It is.").alias("text"), F.lit(0.5).alias("confidenceScore"), points.alias("sources"))
+    pack = F.struct(
+        *same("1.0.0", "packVersion"), *same("2024-01-01", "exportedAt"),
+        F.struct(named("s").alias("id"), named("Course ").alias("title"), *same("x", "courseCode", "lecturer", "description", "location"), *same("2024-01-01", "startsAt"), *same("live", "status"), F.array(F.lit("tag"), lang).alias("tags")).alias("session"),
+        F.array(F.struct(named("m").alias("id"), *same("Notes", "title", "sourceLabel"), *same("reading", "type"), X.excerpt(body, 220).alias("contentText"), one, F.array(F.struct(named("c").alias("id"), *same("Part", "heading"), body.alias("text"), F.array(lang).alias("keywords"), one)).alias("chunks"))).alias("materials"),
+        F.array(F.struct(named("g").alias("id"), named("Term ").alias("term"), F.array(lang).alias("aliases"), F.md5(body).alias("definition"), one)).alias("glossary"),
+        F.array(F.struct(named("t").alias("id"), *same("Dr. X", "speakerLabel"), body.alias("text"), F.lit(5.5).alias("startedAtSeconds"), one)).alias("transcript"),
+        F.array(F.struct(named("u").alias("id"), *same("overview", "kind"), *same("O", "title"), lang.alias("text"))).alias("summaries"),
+        F.array(F.struct(named("k").alias("id"), *same("concepts", "key", "label", "description"))).alias("qaCategories"),
+        F.array(F.struct(named("q").alias("id"), F.when(F.col("doc_id") % 3 == 0, "other").otherwise("concepts").alias("categoryKey"), F.concat(F.lit(" What is "), n, F.lit("? ")).alias("questionText"), *same("2024-02-01", "askedAt"), answer.alias("answer"))).alias("publicQa"),
+    )
+    value = F.when(F.col("doc_id") % 5 == 0, F.to_json(F.array(lang))).otherwise(F.to_json(pack))
+    return v.table("documents").select(n.alias("upload"), F.concat(named("p"), F.lit(".json")).alias("name"), value.alias("value"))
+
+
+@query
+def S1_S2_T20_M10_packs(v: Views) -> DataFrame:
+    """Packs told from raw files, read into tables, in place of what every second session had before."""
+    whole, _ = packs.split_uploads(_pack_files(v))
+    loaded = settle(packs.parse_packs(whole))
+    n = F.col("doc_id").cast("string")
+    was = v.table("documents").where("doc_id % 2 = 0").select(F.concat(F.lit("old"), n).alias("id"), F.concat(F.lit("s"), n).alias("session_id"), *[F.lit("old").alias(c) for c in ("material_id", "heading", "text", "created_at")], F.array().cast("array<string>").alias("keywords"), F.lit(0).alias("order_index"))
+    t = api.import_packs(loaded, {"material_chunks": was}, "now")
+    told = {
+        "lecture_sessions": F.concat_ws("|", "title", "source_pack_version", F.array_join("tags", ",")), "lecture_materials": F.md5("content_text"), "material_chunks": F.concat_ws("|", "material_id", F.md5("text"), F.array_join("keywords", ",")),
+        "glossary_terms": F.concat_ws("|", "term", "definition", F.array_join("aliases", ",")), "transcript_entries": F.concat_ws("|", "speaker_label", F.md5("text")), "summaries": F.concat_ws("|", "kind", "text"), "qa_categories": F.col("key"),
+        "questions": F.concat_ws("|", "category_id", "normalized_text"), "answers": F.concat_ws("|", "question_id", "text"), "answer_sources": F.concat_ws("|", "answer_id", "source_record_id", "label", F.md5("excerpt")),
+    }
+    every = [t[name].select(F.lit(name).alias("name"), "id", F.col("id" if name == "lecture_sessions" else "session_id").alias("session_id"), value.alias("told")) for name, value in told.items()]
+    return reduce(DataFrame.unionByName, every)
+
+
+@query
+def T14_public_qa(v: Views) -> DataFrame:
+    """Three questions a document: a whole one, one without an answer, one whose sources have no kind."""
+    n = F.col("doc_id").cast("string")
+    source = F.struct(F.lit("glossary_term").alias("sourceType"), n.alias("sourceId"))
+    row = lambda question, answer, sources: F.struct(F.concat(F.lit(question), n, F.lit("? ")).alias("questionText"), F.when(F.col("doc_id") % 2 == 0, "Big Topic").alias("categoryKey"), F.struct(answer.alias("text"), (F.col("doc_id") % 3 / 2.0 + 0.25).alias("confidenceScore"), sources.alias("sources")).alias("answer"))
+    no_kind = F.struct(F.lit(None).cast("string").alias("sourceType"), n.alias("sourceId"))
+    rows = F.array(row(" What is ", F.col("text"), F.array(source, no_kind)), row("Why ", F.lit(" "), F.array(source)), row("How ", F.col("text"), F.array(no_kind)))
+    d = v.table("documents").select(n.alias("asset_id"), F.to_json(F.struct(rows.alias("publicQa"))).alias("text"))
+    return parse.public_qa(d).select("asset_id", F.col("order_index").cast("long").alias("order_index"), "id", "answer_id", "question", F.md5("answer").alias("answer"), "category", "confidence_score", F.size("sources").cast("long").alias("n_sources"))
+
+
+@query
+def T15_session_files(v: Views) -> DataFrame:
+    """What a session file tells: JSON for even documents, lines for odd ones."""
+    title = F.concat(F.lit("Course "), F.col("doc_id").cast("string"))
+    status = F.when(F.col("doc_id") % 3 == 0, "live").when(F.col("doc_id") % 3 == 1, "ended").otherwise("gone")
+    js = F.to_json(F.struct(title.alias("title"), status.alias("status"), F.col("lang").alias("description"), F.array(F.lit(" a "), F.col("source")).alias("tags")))
+    lines = F.concat_ws("\n", F.concat(F.lit("Title: none\nTITLE : "), title), F.concat(F.lit("status: "), status), F.lit("no key here"), F.concat(F.lit("Tags: a; "), F.col("source")))
+    even = F.col("doc_id") % 2 == 0
+    d = v.table("documents").select(F.col("doc_id").cast("string").alias("asset_id"), F.lit("session").alias("name"), F.when(even, "json").otherwise("txt").alias("extension"), F.when(even, js).otherwise(lines).alias("text"))
+    return parse.session_metadata(d).select("asset_id", "title", "status", "description", F.array_join("tags", ",").alias("tags"))
+
+
+@query
+def Q8_previews(v: Views) -> DataFrame:
+    """The sources of answers as units of evidence, with what is known about those that have a preview."""
+    number = F.regexp_extract("asset_id", "([0-9]+)$", 1).cast("long")
+    units = _evidence_tables(v)["evidence_units"].withColumns({"slide_number": F.when(number % 3 == 0, number), "frame_label": F.when(number % 4 == 0, "frame")})
+    sources = v.qa()["sources"].withColumn("source_type", F.lit("evidence_unit"))
+    marks = sources.where("relevance_score > 5").select("session_id", F.col("source_type").alias("target_type"), F.col("source_record_id").alias("target_id"))
+    return reads.previews(reads.source_detail(sources, _dim(v), marks), units).select("id", "record_label", "preview_uri", "about", "bookmarked")
+
+
+@query
+def O4_O14_orders(v: Views) -> DataFrame:
+    """Each kind of row in its order within a session."""
+    qa, g, n = v.qa(), v.glossary(), F.col("event_id")
+    notes = v.table("events").select(n.cast("string").alias("id"), F.col("user_id").cast("string").alias("session_id"), (n % 3 == 0).alias("pinned"), (n % 50).alias("updated_at"), (n % 7).alias("created_at"))
+    told = context.summaries(v.chunks(), v.transcript()).select("session_id", "kind", F.col("kind").alias("title"), F.concat_ws("_", "session_id", "kind").alias("id"))
+    marks = g.select("id", "session_id", F.col("id").alias("target_id"), F.lit("glossary_term").alias("target_type"), (F.col("order_index") % 3).alias("created_at"))
+    digests = v.assets().select(F.col("asset_id").alias("id"), "session_id", F.col("status").alias("created_at"))
+    t = {
+        "glossary_terms": g, "transcript_entries": v.transcript(), "summaries": told, "qa_categories": v.categories(), "questions": qa["questions"], "answers": qa["answers"], "notes": notes, "bookmarks": marks,
+        "uploaded_assets": v.assets().select(F.col("asset_id").alias("id"), "session_id", F.col("status").alias("created_at"), F.col("name").alias("file_name")), "evidence_units": v.units().withColumn("created_at", F.col("modality")), "asset_digests": digests,
+    }
+    every = [reads.ordered(rows, name, "session_id").select(F.lit(name).alias("name"), "session_id", "id", F.col("rank").cast("long").alias("rank")) for name, rows in t.items()]
+    return reduce(DataFrame.unionByName, every)
+
+
+@query
+def P3_P4_keys(v: Views) -> DataFrame:
+    """The user's own public questions, and the bookmarks under given sessions, kinds and targets."""
+    qa = v.qa()
+    own = reads.scan(qa["questions"], "questions", visibility="public", origin="user_local").select(F.lit("question").alias("name"), "id", "session_id")
+    marks = qa["sources"].select("id", "session_id", F.col("source_type").alias("target_type"), F.col("source_record_id").alias("target_id"))
+    wanted = v.chunks().select("session_id", F.lit("material_chunk").alias("target_type"), F.col("id").alias("target_id"))
+    return own.unionByName(reads.lookup(marks, wanted, ["session_id", "target_type", "target_id"]).select(F.lit("bookmark").alias("name"), "id", "session_id"))
+
+
+@query
+def U5_put_first(v: Views) -> DataFrame:
+    """A user's kinds of events as a list as first seen; the kind of the last event is put in front."""
+    e = v.table("events").groupBy(F.col("user_id").alias("session_id"), F.col("event_type").alias("key")).agg(F.min("event_id").alias("at"))
+    last = v.table("events").groupBy(F.col("user_id").alias("session_id")).agg(F.max_by("event_type", "event_id").alias("key"), F.max("event_id").alias("at"))
+    return mutations.put_first(e, last, ["session_id", "key"], "at").select("session_id", "key", F.col("place").cast("long").alias("place"))

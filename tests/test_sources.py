@@ -84,6 +84,9 @@ def test_a_pack_is_told_from_raw_files(spark):
     whole, _ = packs.split_uploads(spark.createDataFrame([("u1", "a.json", json.dumps(PACK)), ("u1", "b.txt", "x")], "upload string, name string, value string"))
     with pytest.raises(Exception, match="beside other files"):
         whole.collect()
+    many = [(f"u{i}", "a.json", json.dumps(PACK) if i % 2 else "[1]") for i in range(20)]
+    whole, raw = packs.split_uploads(spark.createDataFrame(many, "upload string, name string, value string"))
+    assert packs.parse_packs(whole).count() == 10 and raw.count() == 10  # strict: files that are no packs aren't checked as such
 
 
 def test_csv(spark, tmp_path):
