@@ -46,7 +46,7 @@ def without_marks(x: Text) -> Column:
 
 def collapse(x: Text) -> Column:
     """every run of white space as one space, none at the ends."""
-    return strip(F.regexp_replace(_c(x), f"[{SPACE}]+", " "))
+    return F.trim(F.regexp_replace(_c(x), f"[{SPACE}]+", " "))  # only spaces are left to be taken off
 
 
 def tokenize(x: Text) -> Column:
