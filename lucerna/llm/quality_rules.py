@@ -10,9 +10,10 @@ of letters and digits of the band's length, the same on every machine. So prose
 one stays, and where short prose and noise can't be told apart by their ratio, prose is kept. Real repetition is marked
 by REPEATED times the greatest ratio, what a text reaches of which as much repeats as the base rules allow; ordinary
 prose of any origin lies below. Between the two a text is dropped only if symbols make up more than SYMBOL_SHARE of it.
-Of the chunks, a share of CHUNKS_OUT may be out of their limits. At most about FIT_ROWS labelled rows are read, those
-with the smallest hash of their id; a band with under FIT_LEAST good documents has the limits of LIMITS, which are
-those of a fit to another set of prose and what is used without labels.
+Of the chunks, a share of CHUNKS_OUT may be out of their limits. All texts labelled as good that may be learned from are
+read: ratios are taken where the texts lie, and only these meet the labels, so no text is shuffled and no label broadcast
+by this module. A band with under FIT_LEAST good documents has the limits of LIMITS, which are those of a fit to another
+set of prose and what is used without labels.
 
 Defined results: a null or empty text has no words, counts 0 and base_failed; rows with a null id, repeated
 rows and ties are judged each on its own; an empty table gives an empty result; columns other than the id and
@@ -31,14 +32,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lucerna.llm.common import as_bytes, fold, slices, sums
+from lucerna.llm.common import as_bytes, cut, fold, remove, slices, sums
 
 #: A rest of under half a chunk joins the chunk before.
 CHUNK, LEVEL = 2048, 3
-FIT_ROWS, FIT_LEAST, LOWEST, HIGHEST = 40_000, 20, 0.002, 0.998
+FIT_LEAST, LOWEST, HIGHEST = 20, 0.002, 0.998
+#: Ratios are counted in cells, so many to each doubling of the ratio, before the exact limits are read from a few of them.
+CELLS = 1024
 #: Bytes at which the first band ends; every second one ends at twice the bytes. Longer texts than the last band's are of it.
 FIRST_END, N_BANDS = 128, 20
 
@@ -135,35 +138,78 @@ def noise_ratio(size: int) -> float:
     return float(np.mean(found))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """Texts labelled as good, at most about fit_rows of them; a fifth of the ids is left to measure with."""
-    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), 5) != 0)).select("doc_id").distinct()
-    some = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text")
-
-
-def fit(good: DataFrame, default: Limits = LIMITS) -> Limits:
-    """Limits from good texts (text). One row a band comes to the driver."""
+def ratios(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, band, ratio: a row for each text that isn't empty, and one of band -1 for each of its chunks. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zstd = zstandard.ZstdCompressor(level=LEVEL)
         for batch in slices(batches):
-            rows = [(k, r) for data in as_bytes(batch.column(0)) if data for k, r in [(band_of(len(data)), ratio(data, zstd)), *((-1, c) for c in chunk_ratios(data, zstd))]]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([r for _, r in rows], pa.float64())], ["band", "ratio"])
+            rows = [(n, k, r) for n, data in enumerate(as_bytes(batch.column(1))) if data for k, r in [(band_of(len(data)), ratio(data, zstd)), *((-1, c) for c in chunk_ratios(data, zstd))]]
+            at, bands, found = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(bands, pa.int32()), pa.array(found, pa.float64())], ["id", "band", "ratio"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, band int, ratio double")
+
 
-    parts = good.where("text is not null").select("text").mapInArrow(run, "band int, ratio double")
-    found = parts.groupBy("band").agg(F.count("*").alias("n"), F.percentile("ratio", F.array(F.lit(LOWEST), F.lit(HIGHEST))).alias("p")).where(F.col("n") >= FIT_LEAST).collect()
+def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The ratios (band, ratio) of all texts labelled as good; a fifth of the ids is left to measure with."""
+    allowed = F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), 5) != 0)
+    good = labels.where((F.col("quality") == 1) & allowed).select(F.col("doc_id").alias("id"))
+    return ratios(docs.where(allowed)).join(good, "id", "left_semi").select("band", "ratio")
+
+
+def fit(good: DataFrame, default: Limits = LIMITS) -> Limits:
+    """Limits from the ratios of good texts (band, ratio). What comes to the driver are counts of the cells and two values for each limit."""
+    parts = cut(good)
     bands, chunk = list(default.bands), default.chunk
-    for r in found:
-        size = CHUNK if r.band < 0 else round(FIRST_END * 2 ** (r.band / 2 - 0.25))
-        limits = (min(math.sqrt(r.p[0] * noise_ratio(size)), r.p[0]), r.p[1])
-        if r.band < 0:
+    for band, (low, high) in _quantiles(parts).items():
+        size = CHUNK if band < 0 else round(FIRST_END * 2 ** (band / 2 - 0.25))
+        limits = (min(math.sqrt(low * noise_ratio(size)), low), high)
+        if band < 0:
             chunk = limits
         else:
-            bands[r.band] = limits
+            bands[band] = limits
+    remove(parts)
     return replace(default, bands=tuple(bands), chunk=chunk)
 
 
+def _quantiles(parts: DataFrame) -> dict[int, tuple[float, float]]:
+    """LOWEST and HIGHEST of each band with FIT_LEAST ratios or more, exact and between two ratios by proportion.
+
+    Ratios are counted by cell; of the cells in which a wanted place lies, the distinct ratios are counted.
+    """
+    placed = parts.withColumn("cell", F.floor(F.log2("ratio") * CELLS).cast("int"))
+    counts: dict[int, list[tuple[int, int]]] = {}
+    for r in placed.groupBy("band", "cell").agg(F.count("*").alias("n")).collect():
+        counts.setdefault(r.band, []).append((r.cell, r.n))
+    spots: dict[int, list[float]] = {}
+    wanted = set()
+    for band, cells in counts.items():
+        cells.sort()
+        ends = np.cumsum([n for _, n in cells])
+        if ends[-1] < FIT_LEAST:
+            continue
+        spots[band] = [share * (int(ends[-1]) - 1) for share in (LOWEST, HIGHEST)]
+        for place in {f(x) for x in spots[band] for f in (math.floor, math.ceil)}:
+            at = int(np.searchsorted(ends, place, "right"))
+            wanted.add((band, cells[at][0], place, place - int(ends[at]) + cells[at][1]))
+    if not wanted:
+        return {}
+    spark = parts.sparkSession
+    asked = F.broadcast(spark.createDataFrame(sorted(wanted), "band int, cell int, place long, within long"))
+    some = placed.join(F.broadcast(asked.select("band", "cell").distinct()), ["band", "cell"]).groupBy("band", "cell", "ratio").agg(F.count("*").alias("n"))
+    upto = some.withColumn("end", F.sum("n").over(Window.partitionBy("band", "cell").orderBy("ratio")))
+    found = upto.join(asked, ["band", "cell"]).where((F.col("within") < F.col("end")) & (F.col("within") >= F.col("end") - F.col("n"))).collect()
+    value = {(r.band, r.place): r.ratio for r in found}
+
+    def between(band: int, x: float) -> float:
+        low, high = value[band, math.floor(x)], value[band, math.ceil(x)]
+        return low + (high - low) * (x - math.floor(x))
+
+    return {band: (between(band, low), between(band, high)) for band, (low, high) in spots.items()}
+
+
 def signals(texts: pa.Array, limits: Limits = LIMITS) -> dict[str, pa.Array]:
     zstd = zstandard.ZstdCompressor(level=LEVEL)
     data = as_bytes(texts)
