@@ -81,7 +81,8 @@ def records(tables: dict[str, DataFrame]) -> DataFrame:
 def focused(matches: DataFrame, found: DataFrame, most: int = FOCUSED) -> DataFrame:
     """question_id, order_index, block: the first matches written out from their whole records; one without a record by its label and excerpt."""
     first = matches.where(F.col("rank") <= most)
-    whole = found.select("source_type", F.col("id").alias("source_record_id"), "entry").dropDuplicates(["source_type", "source_record_id"])
+    wanted = first.select("source_type", "source_record_id").distinct()  # the records that no match names are not shuffled
+    whole = found.select("source_type", F.col("id").alias("source_record_id"), "entry").join(wanted, ["source_type", "source_record_id"], "left_semi").dropDuplicates(["source_type", "source_record_id"])
     title = F.create_map(*[F.lit(x) for kind, t in TITLES.items() for x in (kind, t[0])])
     known = F.concat_ws("\n", F.try_element_at(title, F.col("source_type")), "entry")
     unknown = F.concat(F.lit("Focused evidence\n- "), F.coalesce("label", F.lit("")), F.lit(": "), F.coalesce("excerpt", F.lit("")))
@@ -168,8 +169,9 @@ def digests_for(digests: DataFrame, matches: DataFrame, questions: DataFrame, fo
     """
     q = questions.select("question_id", "session_id", "focus")
     of_assets = digests.where("kind = 'asset_summary' and asset_id is not null")
-    units = found.where("source_type = 'evidence_unit' and asset_id is not null").select(F.col("id").alias("source_record_id"), "asset_id").dropDuplicates(["source_record_id"])
-    hit = matches.where("source_type = 'evidence_unit'").select("question_id", "source_record_id").join(units, "source_record_id").join(q.select("question_id", "session_id"), "question_id").select("question_id", "session_id", "asset_id").distinct()
+    matched = matches.where("source_type = 'evidence_unit'").select("question_id", "source_record_id")
+    units = found.where("source_type = 'evidence_unit' and asset_id is not null").select(F.col("id").alias("source_record_id"), "asset_id").join(matched.select("source_record_id").distinct(), "source_record_id", "left_semi").dropDuplicates(["source_record_id"])
+    hit = matched.join(units, "source_record_id").join(q.select("question_id", "session_id"), "question_id").select("question_id", "session_id", "asset_id").distinct()
     by_unit = hit.join(of_assets.select("id", "session_id", "asset_id"), ["session_id", "asset_id"]).select("question_id", "id")
     asked = q.where("focus is not null").select("session_id", F.col("question_id").alias("key"), F.col("focus").alias("phrase"))
     by_focus = holding(asked, of_assets.select("session_id", "id", X.normalize(F.concat_ws(" ", "title", "text")).alias("body"))).select(F.col("key").alias("question_id"), "id")
@@ -216,7 +218,8 @@ def visual_evidence(questions: DataFrame, matches: DataFrame, units: DataFrame,
     scored = pairs.join(rest.select("question_id", "focus", "q_tokens"), "question_id").join(c, "id").withColumn("score", text_score(F.col("q_tokens"), F.col("c_tokens"), F.lit(VISUAL_BOOST) + focus_boost(F.col("focus"), F.col("body"))))
     good = scored.where((F.col("score") >= VISUAL_LEAST) | holds_focus(F.col("focus"), F.col("content")))
     second = good.groupBy("question_id").agg(F.min_by("id", F.struct(-F.col("score"), F.collate("title", "UNICODE"), "id")).alias("id")).select("question_id", F.lit(1).alias("tier"), "id")
-    full = first.unionByName(second).join(seen.dropDuplicates(["id"]), "id")
+    chosen = settle(first.unionByName(second))
+    full = chosen.join(seen.join(chosen.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "id")
     if assets is not None:
         full = full.join(assets.select(F.col("id").alias("asset_id"), F.col("file_name").alias("_file")), "asset_id", "left")
     file = F.when(F.coalesce(_or_null(full, "_file"), F.lit("")) != "", F.concat(F.lit("File: "), _or_null(full, "_file"), F.lit(".")))

@@ -40,3 +40,21 @@ def test_meeting_equals_all_pairs(spark, monkeypatch):
         monkeypatch.setattr(retrieval, "AT_ONCE", min(most, 200))
         assert sorted((r.question_id, r.id) for r in retrieval.meeting(q, ready, 0.65, 0.1).select("question_id", "id").collect()) == want
     assert retrieval.meeting(q.limit(0), ready, 0.65, 0.1).count() == 0
+
+
+def test_space_before_a_sign_that_is_none_stays(spark):
+    from lucerna.functions import text as X
+
+    texts = ["  a  b　\t", "a \u0085", " \n ", "", None]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    assert [r.s for r in df.select("k", X.strip("t").alias("s")).orderBy("k").collect()] == ["a  b", "a \u0085", "", "", None]
+
+
+def test_only_matched_records_are_put_together(spark):
+    from lucerna.operators import context
+
+    matches = spark.createDataFrame([("q", 1, "material_chunk", "c1", "l", "e"), ("q", 2, "material_chunk", "gone", "l", "e")], "question_id string, rank int, source_type string, source_record_id string, label string, excerpt string")
+    found = spark.createDataFrame([("material_chunk", "c1", "- one"), ("material_chunk", "c1", "- one"), ("material_chunk", "c2", "- two")], "source_type string, id string, entry string")
+    out = context.focused(matches, found)
+    assert "LeftSemi" in plan(out)
+    assert [r.block for r in out.orderBy("order_index").collect()] == ["Focused lecture material\n- one", "Focused evidence\n- l: e"]
