@@ -58,3 +58,17 @@ def test_only_matched_records_are_put_together(spark):
     out = context.focused(matches, found)
     assert "LeftSemi" in plan(out)
     assert [r.block for r in out.orderBy("order_index").collect()] == ["Focused lecture material\n- one", "Focused evidence\n- l: e"]
+
+
+def test_a_task_sends_what_can_fill_the_blocks(spark):
+    """Of 6,000 candidates that share a token only the best are sent on, and some that hold the focus only in their entry."""
+    q = retrieval.prepare_questions(spark.createDataFrame([("q", "s", "alpha beta gamma"), ("w", "s", "What is zeta eta?")], "question_id string, session_id string, question string"))
+    n = F.col("id").cast("int")
+    body = F.when(n % 100 == 0, "alpha beta gamma").otherwise(F.concat(F.lit("alpha "), "id"))
+    c = spark.range(0, 6000, 1, 1).select(F.lit("s").alias("session_id"), F.col("id").cast("string").alias("id"), F.lit("k").alias("source_type")).withColumn("body", body)
+    c = c.withColumn("entry", F.concat(F.lit("- "), "body", F.when(n % 10 == 3, F.lit(" Zeta eta")).otherwise(""))).withColumn("c_tokens", retrieval.X.unique(retrieval.X.tokenize("body")))
+    out = retrieval.filling(q, c, 0.2, 100, 300).collect()
+    best = [r for r in out if r.question_id == "q"]
+    assert len(best) == 60 and {(r.shared, r.near) for r in best} == {(3, 3)}  # all of the best score
+    held = [r for r in out if r.question_id == "w"]
+    assert retrieval.MOST_SOURCES < len(held) and all(r.in_entry and not r.in_body for r in held)
