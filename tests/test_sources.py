@@ -250,3 +250,12 @@ def test_pdf_uploads(spark, tmp_path):
     (tmp_path / "c.txt").write_text("x")
     good, bad = files.with_pdf_texts(files.uploads(spark, str(tmp_path)))
     assert [(r.name, r.text) for r in good.collect()] == [("a.pdf", "Some text")] and [r.name for r in bad.collect()] == ["b.pdf"] and "not a PDF" in bad.first()["error"]
+
+
+def test_a_pack_is_parsed_once_for_all_rules(spark):
+    files = spark.createDataFrame([("u", "p.json", "{}"), ("w", "p.json", None)], "upload string, name string, value string")
+    loaded = packs.parse_packs(files.select(F.col("name").alias("label"), "value"), strict=False)
+    judged = files.select(packs.is_pack(F.col("name"), F.col("value")).alias("is_pack"))
+    for df, most in ((loaded, 2), (judged, 1)):
+        assert 1 <= df._jdf.queryExecution().optimizedPlan().toString().count("from_json(") <= most
+    assert all(r.problem.startswith("no session; version") for r in loaded.collect()) and not any(r.is_pack for r in judged.collect())
