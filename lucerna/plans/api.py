@@ -34,9 +34,11 @@ def matches(questions: DataFrame, tables: dict[str, DataFrame], reranker: Rerank
             first = retrieval.bm25(questions, units, most=retrieval.RERANKED).join(units.select("id", "title", X.excerpt("content_text", 320).alias("excerpt")), "id")
             scores = reranker(first.select("question_id", "id", "title", "excerpt"))
         branches.append(retrieval.evidence_matches(questions, units, scores))
-    for name, score in (("glossary_terms", retrieval.glossary_matches), ("material_chunks", retrieval.material_matches), ("transcript_entries", retrieval.transcript_matches)):
+    if "glossary_terms" in tables:
+        branches.append(retrieval.glossary_matches(questions, tables["glossary_terms"]))
+    for name, score in (("material_chunks", retrieval.material_matches), ("transcript_entries", retrieval.transcript_matches)):
         if name in tables:
-            branches.append(score(questions, tables[name]))
+            branches.append(score(questions, tables[name], retrieval.MOST_SOURCES))
     return retrieval.merge_matches(branches)
 
 
