@@ -7,21 +7,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from lucerna.llm import language_id, minhash_dedup, mixing, pieces, quality_rules
-from lucerna.llm.common import checkpoint_dir, scratch, table
+from lucerna.llm.common import checkpoint_dir, scratch, small_batches, table
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in no language that was learned, or without one that holds half of their letters."""
+    small_batches(spark)
     return language_id.keep_known(docs, language_id.train(language_id.training_rows(docs)))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the compression bands, fitted to the labelled ones, or the base rules reject."""
+    small_batches(spark)
     return quality_rules.keep_good(docs, limits=quality_rules.fit(quality_rules.training_rows(docs, table(spark, sf_dir, "labels"))))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates."""
+    small_batches(spark)
     return minhash_dedup.keep_one(docs)
 
 
@@ -32,6 +35,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds token ids, their number and whether they decode to the text."""
+    small_batches(spark)
     return pieces.add_tokens(docs)
 
 

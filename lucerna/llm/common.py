@@ -18,6 +18,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of text that a Python worker handles at a time; bounds its memory whatever the batch size.
 SLICE_BYTES = 1_000_000
+#: Bytes of a batch that a task hands to its Python worker: Spark holds it twice outside its heap, the worker once more.
+BATCH_BYTES = 6_000_000
 #: The most keys that looked_up() broadcasts, and the rows from which a key is one of them.
 HOT, HOT_ROWS = 1000, 1000
 
@@ -67,15 +69,22 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             _delete(spark, path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches end at about BATCH_BYTES, unless it has a limit of its own. No result depends on them."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(limit, spark.conf.get(limit, f"{BATCH_BYTES}b"))
+
+
 def looked_up(rows: DataFrame, unique: DataFrame, key: list[str], n: str) -> DataFrame:
     """The inner join of rows with a table that has one row per key and in column n how many of the rows have it.
 
     Of the keys with over HOT_ROWS rows the HOT with most are broadcast, so HOT narrow rows in all; any other key has at
     most HOT_ROWS rows or 1 / HOT of them all. However many rows share a key, they never meet in one task.
-    unique should be cut and must be narrow.
+    unique should be cut and must be narrow. The broadcast keys pass as Arrow: rows of Python objects would start a second set of
+    Python workers in every executor, which stay.
     """
-    hot = unique.where(F.col(n) > HOT_ROWS).orderBy(F.desc(n), *key).limit(HOT).collect()
-    if not hot:
+    hot = unique.where(F.col(n) > HOT_ROWS).orderBy(F.desc(n), *key).limit(HOT).toArrow()
+    if not hot.num_rows:
         return rows.join(unique, key)
     top = F.broadcast(rows.sparkSession.createDataFrame(hot, unique.schema))
     keys = F.broadcast(top.select(*key))

@@ -33,7 +33,7 @@ from lucerna.llm.common import slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: A memo of encoded words per task is emptied beyond so many words.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 100_000
 #: Characters above which a word's merges are made one after the other.
 LONG_WORD = 256
 TOKENS = "token_ids array<int>, n_tokens long, n_byte_tokens long, decoded_ok boolean"
@@ -301,11 +301,11 @@ def _with_bytes(t: Tables, word: str, pieces: np.ndarray) -> bytes:
     return np.array(out, np.int32).tobytes()
 
 
-def encode_texts(t: Tables, texts: list[str | None], memo: dict[str, bytes]) -> list[bytes]:
+def encode_texts(t: Tables, texts: list[str | None], memo: dict[str, bytes], memo_words: int = MEMO_WORDS) -> list[bytes]:
     pattern = re.compile(t.units)
     units = [pattern.findall(SPACE + x.replace(" ", SPACE)) if x else [] for x in texts]
     fresh = set().union(*units) - memo.keys()
-    if len(memo) + len(fresh) > MEMO_WORDS:
+    if len(memo) + len(fresh) > memo_words:
         memo.clear()
         fresh = set().union(*units)
     encode_words(t, list(fresh), memo)
@@ -318,8 +318,8 @@ def decode_ids(t: Tables, ids: np.ndarray) -> bytes:
     return found[1:] if found[:1] == b" " else found
 
 
-def _columns(t: Tables, texts: list[str | None], memo: dict[str, bytes]) -> list[pa.Array]:
-    parts = encode_texts(t, texts, memo)
+def _columns(t: Tables, texts: list[str | None], memo: dict[str, bytes], memo_words: int = MEMO_WORDS) -> list[pa.Array]:
+    parts = encode_texts(t, texts, memo, memo_words)
     counts = np.array([len(p) // 4 for p in parts], np.int64)
     flat = np.frombuffer(b"".join(parts), np.int32)
     is_byte = np.zeros(len(t.text), np.int64)
@@ -331,14 +331,15 @@ def _columns(t: Tables, texts: list[str | None], memo: dict[str, bytes]) -> list
     return [lists, pa.array(counts), pa.array(running[ends] - running[ends - counts]), pa.array(right)]
 
 
-#: Bytes of text encoded together where nothing but the tokens is kept of the documents.
-ALONE = 3_000_000
+#: Bytes of text encoded together, and words of the memo, where nothing but the tokens is kept of the documents.
+ALONE, ALONE_WORDS = 3_000_000, 400_000
 
 
-def add_tokens(docs: DataFrame, text_col: str = "text", model: str = MODEL, slice_bytes: int | None = None) -> DataFrame:
+def add_tokens(docs: DataFrame, text_col: str = "text", model: str = MODEL, slice_bytes: int | None = None, memo_words: int = MEMO_WORDS) -> DataFrame:
     """docs with the columns of TOKENS (a column of docs with one of these names is replaced). No shuffle.
 
-    slice_bytes: of text that a task encodes together; more share more words and take less time, and more memory.
+    slice_bytes: of text that a task encodes together; more share more words and take less time, and more memory. memo_words: the
+    same, of the words that it keeps.
     """
     new = ["token_ids", "n_tokens", "n_byte_tokens", "decoded_ok"]
     kept = [c for c in docs.columns if c not in new]
@@ -348,7 +349,7 @@ def add_tokens(docs: DataFrame, text_col: str = "text", model: str = MODEL, slic
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, bytes] = {}
         for batch in slices(batches, text_col, slice_bytes):
-            yield pa.RecordBatch.from_arrays([*batch.columns, *_columns(shared.value, batch.column(at).to_pylist(), memo)], [*kept, *new])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *_columns(shared.value, batch.column(at).to_pylist(), memo, memo_words)], [*kept, *new])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in kept]).schema)
     return docs.select(*[f"`{c}`" for c in kept]).mapInArrow(run, f"{fields}, {TOKENS}")
@@ -356,7 +357,7 @@ def add_tokens(docs: DataFrame, text_col: str = "text", model: str = MODEL, slic
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
     """One row per document: its id and the columns of TOKENS."""
-    return add_tokens(docs.select(docs[id_col], docs[text_col]), text_col, model, ALONE).drop(text_col)
+    return add_tokens(docs.select(docs[id_col], docs[text_col]), text_col, model, ALONE, ALONE_WORDS).drop(text_col)
 
 
 def decode(tokens: DataFrame, ids_col: str = "token_ids", model: str = MODEL) -> DataFrame:

@@ -197,7 +197,8 @@ def _quantiles(parts: DataFrame) -> dict[int, tuple[float, float]]:
     if not wanted:
         return {}
     spark = parts.sparkSession
-    asked = F.broadcast(spark.createDataFrame(sorted(wanted), "band int, cell int, place long, within long"))
+    columns = dict(zip(("band", "cell", "place", "within"), zip(*sorted(wanted))))
+    asked = F.broadcast(spark.createDataFrame(pa.table(columns), "band int, cell int, place long, within long"))  # as Arrow: see looked_up()
     some = placed.join(F.broadcast(asked.select("band", "cell").distinct()), ["band", "cell"]).groupBy("band", "cell", "ratio").agg(F.count("*").alias("n"))
     upto = some.withColumn("end", F.sum("n").over(Window.partitionBy("band", "cell").orderBy("ratio")))
     found = upto.join(asked, ["band", "cell"]).where((F.col("within") < F.col("end")) & (F.col("within") >= F.col("end") - F.col("n"))).collect()
